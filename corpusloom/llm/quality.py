@@ -116,7 +116,8 @@ def cutoffs(featured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
         .select("stratum", "q", F.explode("_levels").alias("x"))
         .groupBy("stratum", "x.rule", "x.level").agg(F.sum("q").alias("good"), F.sum(1 - F.col("q")).alias("bad"))
     )
-    # every grid step is a test, whether or not a document lies on it
+    cells = stored(cells, "quality-cells")
+    tests = max(1, cells.select("stratum").distinct().count()) * len(RULES)
     group = Window.partitionBy("stratum", "rule")
     down = group.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     # cutoffs between two occupied steps act alike; the occupied step itself stands for them
@@ -124,11 +125,9 @@ def cutoffs(featured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
         cells.withColumns({"n": F.sum("good").over(group), "k": F.sum("good").over(down), "hit": F.sum("bad").over(down)})
         .where("level > 0")
     )
-    tests = cells.select("stratum").distinct().agg(F.greatest(F.lit(1), F.count("*")).alias("tests")).select((F.col("tests") * len(RULES)).alias("tests"))
     tail = binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES))
     best = (
-        table.crossJoin(F.broadcast(tests))  # one row: the number of tests
-        .withColumn("ok", (F.col("n") > 0) & (tail <= delta / F.col("tests")))
+        table.withColumn("ok", (F.col("n") > 0) & (tail <= delta / tests))
         .withColumn("ok", F.min("ok").over(down))
         .where("ok").withColumn("gain", F.col("hit") - price * F.col("k"))
         .where("gain > 0")

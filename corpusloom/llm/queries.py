@@ -1,8 +1,9 @@
 """Registered queries of the corpus operators and the oracles of those that SQL can express."""
 
-from . import quality
+from . import pii, quality
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_quality_rules": quality.op4_quality_rules,
 }
 ORACLES: dict = {}
