@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from corpusloom.llm import quality
+from corpusloom.llm import minhash, mixing, packing, pii, quality
 from corpusloom.llm.shared import read_table, stored
 
+#: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
     ("quality", quality.quality_stage),
+    ("near_dedup", minhash.dedup_stage),
+    ("pii", pii.pii_stage),
+    ("mixing", mixing.mixing_stage),
+    ("packing", packing.packing_stage),
 ]
 
 #: The learnt cutoffs, similarity links and packing have no SQL form; tests compare with brute force.
@@ -16,9 +21,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

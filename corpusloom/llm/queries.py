@@ -1,9 +1,12 @@
 """Registered queries of the corpus operators and the oracles of those that SQL can express."""
 
-from . import pii, quality
+from . import minhash, mixing, packing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op3_minhash_dedup": minhash.op3_minhash_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_mixing": mixing.op6_mixing,
 }
 ORACLES: dict = {}
