@@ -1,12 +1,20 @@
 """Registered queries of the corpus operators and the oracles of those that SQL can express."""
 
-from . import minhash, mixing, packing, pii, quality
+from . import chat, htmltext, minhash, mixing, packing, pii, quality, tokenids, vectors, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_token_ids": tokenids.op2_token_ids,
     "op3_minhash_dedup": minhash.op3_minhash_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_mixing": mixing.op6_mixing,
+    "op7_chat_rotation": chat.op7_chat_rotation,
+    "op8_vector_dedup": vectors.op8_vector_dedup,
+    "op9_html_text": htmltext.op9_html_text,
+    "op10_warc": warc.op10_warc,
+}
+ORACLES = {
+    "op7_chat_rotation": chat.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
-ORACLES: dict = {}
