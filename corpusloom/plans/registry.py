@@ -1,4 +1,541 @@
-"""Names, DataFrame builders and DuckDB oracles of all registered queries."""
+"""Names, DataFrame builders and DuckDB oracles of all registered queries.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Tables: whole texts of ``documents`` for the operators that are linear in
+text; ``benchmark`` as the collection of short strings (its first item is the
+reference of matching statistics; every item is a reference of its own for
+index operators); ``events`` as integer sequences. Every query runs over its
+whole table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import gsa as ga
+from ..operators import intseq, matchstats, predecessor, ranking, refindex, symbols
+from ..sources import collections as src
+from ..storage import new_path, stored
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Patterns that the backward search counts.
+PATTERNS = ("e", "th", "ing", "tion", "e th", "qqz")
+RUN_SYMBOL = "n"
+RANGE_WIDTH = 16
+
+
+def query(oracle: str | None = None):
+    """Registers a builder (spark, sf_dir) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle.strip()
+        return f
+
+    return add
+
+
+def _documents(spark, d) -> DataFrame:
+    return src.table(spark, d, "documents").select("doc_id", "text")
+
+
+def _items(spark, d) -> DataFrame:
+    return src.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _refs(spark, d) -> DataFrame:
+    return _items(spark, d).withColumnRenamed("doc_id", "ref_id")
+
+
+def _reference(spark, d) -> DataFrame:
+    first = _items(spark, d).agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    return first.select(F.col("x.doc_id").alias("ref_id"), "x.text")
+
+
+def _collection(spark, d) -> DataFrame:
+    return _items(spark, d).join(_reference(spark, d).select(F.col("ref_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+def _index(refs: DataFrame) -> DataFrame:
+    return stored(refindex.with_lcp(refindex.suffix_array(refs), refs), "index")
+
+
+def _matches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Collection, reference, stored reference index and stored matching statistics."""
+    collection, reference = _collection(spark, d), stored(_reference(spark, d), "reference")
+    return collection, reference, _index(reference), stored(matchstats.matching_statistics(collection, reference), "matches")
+
+
+def _heads(spark, d):
+    collection, reference, index, ms = _matches(spark, d)
+    return collection, reference, index, stored(matchstats.heads(ms, collection, reference), "heads")
+
+
+_D = "with d as (select doc_id, coalesce(text, '') as text from documents) "
+_SYM = _D + ", s as (select doc_id, unnest(range(0, length(text))) as idx, text from d), p as (select doc_id, idx, substr(text, idx + 1, 1) as sym from s) "
+_B = "d as (select item_id as doc_id, coalesce(text, '') as text from benchmark)"
+#: Index tables of every item: SA and LCP by sorting suffix strings and comparing neighbours.
+_LCP_OF = "coalesce(list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda k: left({a}, k) = left({b}, k))), 0)"
+_IX = f"""{_B}, x as (select doc_id as ref_id, text, unnest(range(0, length(text))) as pos from d),
+y as (select ref_id, text, pos, substr(text, pos + 1) as s, row_number() over (partition by ref_id order by substr(text, pos + 1)) - 1 as rank from x),
+z as (select *, lag(s) over (partition by ref_id order by rank) as b from y),
+ix as (select ref_id, text, rank, pos, s, case when b is null then 0 else {_LCP_OF.format(a='s', b='b')} end as lcp from z),
+bw as (select ref_id, rank, case when pos = 0 then right(text, 1) else substr(text, pos, 1) end as sym from ix)"""
+#: Matching statistics by sorting all suffixes together.
+_MS = f"""{_B}, r0 as (select min(doc_id) as m from d),
+u as (select case when doc_id = m then 0 else 1 end as src, doc_id, i, substr(text, i) as s from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d), r0),
+w as (select *,
+  last_value(case when src = 0 then struct_pack(i := i, s := s) end ignore nulls) over (order by s, src desc, doc_id, i rows between unbounded preceding and 1 preceding) as p,
+  first_value(case when src = 0 then struct_pack(i := i, s := s) end ignore nulls) over (order by s, src desc, doc_id, i rows between 1 following and unbounded following) as n from u),
+l as (select src, doc_id, i, s, p.i as pi, n.i as ni,
+  coalesce(list_max(list_filter(range(0, length(s) + 1), lambda k: p.s is not null and length(p.s) >= k and left(p.s, k) = left(s, k))), -1) as lp,
+  coalesce(list_max(list_filter(range(0, length(s) + 1), lambda k: n.s is not null and length(n.s) >= k and left(n.s, k) = left(s, k))), -1) as ln from w),
+ms as (select doc_id, i - 1 as idx, (case when ln >= lp then ni else pi end) - 1 as pos, greatest(lp, ln, 0) as len, ln >= lp as smaller from l where src = 1)"""
+_HEADS = _MS + """,
+h0 as (select *, lag(pos) over (partition by doc_id order by idx) as b from ms),
+h1 as (select doc_id, idx, pos, len, smaller, false as is_end from h0 where b is null or pos <> b + 1
+  union all select doc_id, length(text), (select length(text) - 1 from d, r0 where doc_id = m), 0, false, true from d, r0 where doc_id <> m),
+h as (select doc_id, row_number() over (partition by doc_id order by idx) as head_id, idx as start, lead(idx) over (partition by doc_id order by idx) as next_start, pos, len, smaller, is_end from h1),
+rf as (select text from d, r0 where doc_id = m),
+rs as (select i - 1 as pos, row_number() over (order by s) - 1 as rank, s from u where src = 0)"""
+_GSA = f"{_B}, g as (select row_number() over (order by substr(text, i), doc_id, i) - 1 as rank, doc_id, i - 1 as idx, substr(text, i) as s, substr(text, i + 1) as t from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d))"
+_TYPES = f"""{_B}, t as (
+  select doc_id, i - 1 as idx, substr(text, i, 1) as sym, case when substr(text, i) < substr(text, i + 1) then 'S' else 'L' end as type from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d)
+  union all select doc_id, length(text), '', 'S' from d),
+st as (select doc_id, idx, sym from (select *, lag(type) over (partition by doc_id order by idx) as b from t) where type = 'S' and b = 'L')"""
+_EV = """e as (select distinct event_type as sym from events), c as (select sym, row_number() over (order by sym) - 1 as val from e),
+v as (select user_id as seq_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, val from events join c on event_type = sym),
+a as (select seq_id, list(val order by pos) as vals from v group by seq_id),
+r as (select seq_id, v.pos, v.val, row_number() over (partition by seq_id order by vals[v.pos + 1:]) - 1 as rank, vals from v join a using (seq_id))"""
+
+# ---- text ----------------------------------------------------------------
+
+
+@query(_D + r"select doc_id, regexp_replace(regexp_replace(text, '[\n\r]\z', ''), '\$\z', '') as text from d")
+def text_trim(spark, d):
+    return _documents(spark, d).select("doc_id", tx.trim_terminators(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(_D + "select doc_id, translate(text, '%X', '$$') as text from d")
+def symbol_substitution(spark, d):
+    return _documents(spark, d).select("doc_id", tx.substitute_separators(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(_SYM + "select sym, count(*) as n from p group by sym")
+def sym_histogram(spark, d):
+    return symbols.histogram(symbols.positions(_documents(spark, d)))
+
+
+@query(_SYM + """, r as (select doc_id, sym, idx - row_number() over (partition by doc_id, sym order by idx) as island from p)
+select sym, max(n) as max_run from (select sym, count(*) as n from r group by doc_id, sym, island) group by sym""")
+def sym_max_run(spark, d):
+    return symbols.max_runs(_documents(spark, d))
+
+
+@query(f"""with {_B}, p as (select doc_id, idx, substr(text, idx + 1, 1) as sym from (select doc_id, text, unnest(range(0, length(text))) as idx from d)),
+i as (select doc_id, sym, idx - row_number() over (partition by doc_id, sym order by idx) as island from p),
+m as (select sym, max(n) as n from (select sym, count(*) as n from i group by doc_id, sym, island) group by sym)
+select doc_id as ref_id, text || coalesce((select string_agg(repeat(sym, n), '' order by sym) from m where sym <> '%' and not contains(d.text, sym)), '') || '$' || chr(10) as text from d""")
+def ref_augment(spark, d):
+    return symbols.augmented(_refs(spark, d), _items(spark, d))
+
+
+@query("""with t as (select text from documents union all select text from benchmark), s as (select distinct unnest(string_split(text, '')) as sym from t)
+select sym, row_number() over (order by sym) - 1 as code from s where sym <> ''""")
+def alphabet_remap(spark, d):
+    return symbols.alphabet_codes(symbols.positions(_documents(spark, d)), symbols.positions(_items(spark, d)))
+
+
+@query(_SYM + ", c as (select sym, count(*) as n from p group by sym) select sym, n, coalesce(sum(n) over (order by sym rows between unbounded preceding and 1 preceding), 0)::bigint as bucket_start from c")
+def bucket_starts(spark, d):
+    return symbols.bucket_bounds(symbols.histogram(symbols.positions(_documents(spark, d)))).select("sym", "n", "bucket_start")
+
+
+@query(_SYM + ", c as (select sym, count(*) as n from p group by sym) select sym, n, (sum(n) over (order by sym))::bigint as bucket_end from c")
+def bucket_ends(spark, d):
+    return symbols.bucket_bounds(symbols.histogram(symbols.positions(_documents(spark, d)))).select("sym", "n", "bucket_end")
+
+
+_PICTURE = r"""case when sym = ' ' then '\s' when sym = chr(10) then '\n' when sym = chr(13) then '\l' when sym = chr(9) then '\t'
+ when unicode(sym) > 32 and unicode(sym) < 127 then ' ' || sym else (case when unicode(sym) < 16 then '0' else '' end) || lower(to_hex(unicode(sym))) end"""
+
+
+@query(_SYM + f"select distinct sym, {_PICTURE} as picture from p")
+def printable_char(spark, d):
+    return symbols.positions(_documents(spark, d)).select("sym").distinct().select("sym", tx.printable(F.col("sym")).alias("picture"))
+
+
+@query(f"""with {_B}, p as (select doc_id, idx, substr(text, idx + 1, 1) as sym from (select doc_id, text, unnest(range(0, length(text))) as idx from d))
+select doc_id, 'text ' || coalesce(string_agg({_PICTURE}, '' order by idx), '') as picture from d left join p using (doc_id) group by doc_id""")
+def print_array(spark, d):
+    return _items(spark, d).select("doc_id", tx.pictured("text", F.col("text")).alias("picture"))
+
+
+@query("select doc_id, case when n_chars = 0 then 0 else length(bin(n_chars)) - 1 end::int as log2 from documents")
+def floor_log2(spark, d):
+    return src.table(spark, d, "documents").select("doc_id", tx.floor_log2(F.col("n_chars")).alias("log2"))
+
+
+@query(f"with {_B} select a.doc_id, b.doc_id as other_id, left(a.text, least(length(a.text), length(b.text))) < left(b.text, least(length(a.text), length(b.text))) as is_less from d a join d b on b.doc_id = a.doc_id + 1")
+def prefix_compare(spark, d):
+    a = _items(spark, d)
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other_id"), F.col("text").alias("_t"))
+    return a.join(b, "doc_id").select("doc_id", "other_id", tx.prefix_less(F.col("text"), F.col("_t")).alias("is_less"))
+
+
+@query(_D + "select count(*) as n_docs, sum(length(text))::bigint as n_chars, max(length(text)) as max_chars from d")
+def doc_lengths(spark, d):
+    n = F.length(F.coalesce("text", F.lit("")))
+    return _documents(spark, d).agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_chars"), F.max(n).cast("long").alias("max_chars"))
+
+
+@query(_D + 'select doc_id, coalesce(sum(length(text) + 1) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", length(text) as length from d')
+def doc_boundaries(spark, d):
+    return ga.doc_boundaries(_documents(spark, d))
+
+
+@query(f"with {_B} select doc_id, i - 1 as idx, substr(text, i) as s from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d)")
+def suffix_scan(spark, d):
+    return matchstats.suffixes(_items(spark, d))
+
+
+# ---- reference index ---------------------------------------------------------
+
+
+@query(f"with {_IX} select ref_id, rank, pos from ix")
+def suffix_array(spark, d):
+    return refindex.suffix_array(_refs(spark, d))
+
+
+@query(f"with {_IX} select ref_id, pos, rank from ix")
+def inverse_sa(spark, d):
+    return refindex.suffix_array(_refs(spark, d)).select("ref_id", "pos", "rank")
+
+
+@query(f"with {_IX} select ref_id, rank, pos, lcp from ix")
+def lcp_array(spark, d):
+    return _index(_refs(spark, d))
+
+
+@query(f"with {_IX} select ref_id, pos, greatest(lcp, coalesce(lead(lcp) over (partition by ref_id order by rank), 0)) as plcp_max from ix")
+def plcp_max(spark, d):
+    return refindex.with_plcp_max(_index(_refs(spark, d))).select("ref_id", "pos", "plcp_max")
+
+
+@query(f"with {_IX} select ref_id, max(lcp) as max_lcp, max(lcp) filter (where left(s, 1) <> 'N') as max_lcp_without_n from ix group by ref_id")
+def max_lcp(spark, d):
+    refs = _refs(spark, d)
+    rows = _index(refs).join(refs, "ref_id").withColumn("_c", tx.substr0(F.col("text"), F.col("pos"), 1))
+    return rows.groupBy("ref_id").agg(F.max("lcp").alias("max_lcp"), F.max(F.when(F.col("_c") != "N", F.col("lcp"))).alias("max_lcp_without_n"))
+
+
+@query(f"with {_IX} select ref_id, sum(lcp)::bigint as sum_lcp, sum(lcp)::double / count(*) as avg_lcp from ix group by ref_id")
+def avg_lcp(spark, d):
+    return _index(_refs(spark, d)).groupBy("ref_id").agg(F.sum("lcp").alias("sum_lcp"), (F.sum("lcp").cast("double") / F.count("*")).alias("avg_lcp"))
+
+
+@query(f"with {_IX} select ref_id, rank, sym from bw")
+def bwt(spark, d):
+    refs = _refs(spark, d)
+    return refindex.bwt(refindex.suffix_array(refs), refs)
+
+
+@query(f"""with {_IX}, p as (select ref_id, rank + 1 as primary_index from ix where pos = 0)
+select ref_id, case when pos = 0 then 0 else rank + case when rank < primary_index then 1 else 0 end end as i, case when pos = 0 then right(text, 1) else substr(text, pos, 1) end as sym, primary_index from ix join p using (ref_id)""")
+def bwt_primary_index(spark, d):
+    refs = _refs(spark, d)
+    return refindex.bwt_library(stored(refindex.suffix_array(refs), "sa"), refs)
+
+
+def _bwt(spark, d):
+    refs = _refs(spark, d)
+    return stored(refindex.bwt(refindex.suffix_array(refs), refs), "bwt")
+
+
+@query(f"with {_IX} select ref_id, sym, (select count(*) from bw b where b.ref_id = a.ref_id and b.sym < a.sym) as c from (select distinct ref_id, sym from bw) a")
+def c_array(spark, d):
+    return refindex.c_array(_bwt(spark, d))
+
+
+@query(f"""with {_IX} select a.ref_id, a.block, a.sym, count(*) as cnt from (select distinct ref_id, rank // 128 as block, sym from bw) a
+join bw b on b.ref_id = a.ref_id and b.sym = a.sym and b.rank < (a.block + 1) * 128 group by all""")
+def occ_blocks(spark, d):
+    return refindex.occ_blocks(_bwt(spark, d))
+
+
+@query(f"with {_IX} select ref_id, rank, sym, row_number() over (partition by ref_id, sym order by rank) as occ from bw")
+def occ_rank(spark, d):
+    return refindex.occ_rank(_bwt(spark, d))
+
+
+@query(f"with {_B}, q as (select unnest({list(PATTERNS)}) as pattern) select doc_id as ref_id, pattern, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(pattern)) = pattern))::bigint as n from d, q where length(text) > 0")
+def backward_search_count(spark, d):
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    return refindex.backward_search(_bwt(spark, d), patterns, max(map(len, PATTERNS)))
+
+
+_PN = """pn as (select a.ref_id, a.rank, a.lcp, (select max(b.rank) from ix b where b.ref_id = a.ref_id and b.rank < a.rank and b.lcp < a.lcp) as psv,
+  (select min(b.rank) from ix b where b.ref_id = a.ref_id and b.rank > a.rank and b.lcp < a.lcp) as nsv from ix a)"""
+_IV = _IX + ", " + _PN + ", iv as (select ref_id, rank, lcp as len, coalesce(psv, 0) as lo, coalesce(nsv - 1, (select max(rank) from ix b where b.ref_id = pn.ref_id)) as hi from pn)"
+
+
+@query(f"with {_IX}, {_PN} select * from pn")
+def psv_nsv(spark, d):
+    return refindex.psv_nsv(_index(_refs(spark, d)))
+
+
+@query(f"with {_IX} select a.ref_id, a.rank, min(b.lcp) as min_lcp from ix a join ix b on b.ref_id = a.ref_id and b.rank >= a.rank and b.rank < a.rank + {RANGE_WIDTH} group by all")
+def range_min(spark, d):
+    return refindex.range_minimum(_index(_refs(spark, d)), RANGE_WIDTH)
+
+
+@query(f"with {_IV} select * from iv")
+def lcp_interval(spark, d):
+    return refindex.lcp_intervals(_index(_refs(spark, d)))
+
+
+@query(f"""with {_IV} select v.ref_id, v.rank, v.len - 1 as len, min(b.rank) as lo, max(b.rank) as hi from iv v
+join ix a on a.ref_id = v.ref_id and a.rank = v.rank join ix b on b.ref_id = v.ref_id and left(b.s, v.len - 1) = substr(a.s, 2, v.len - 1) and length(b.s) >= v.len - 1
+where v.len > 0 group by all""")
+def suffix_link(spark, d):
+    index = _index(_refs(spark, d))
+    return refindex.suffix_links(index, stored(refindex.lcp_intervals(index), "intervals"))
+
+
+@query(f"""with {_IV}, s as (select ref_id, max(rank) as last from ix group by ref_id),
+q as (select v.*, greatest(coalesce(x.lcp, 0), coalesce(y.lcp, 0)) as plen from iv v join s using (ref_id) left join ix x on x.ref_id = v.ref_id and x.rank = v.lo left join ix y on y.ref_id = v.ref_id and y.rank = v.hi + 1 where not (v.lo = 0 and v.hi = s.last))
+select q.ref_id, q.rank, q.plen as len, min(b.rank) as lo, max(b.rank) as hi from q join ix a on a.ref_id = q.ref_id and a.rank = q.lo join ix b on b.ref_id = q.ref_id and length(b.s) >= q.plen and left(b.s, q.plen) = left(a.s, q.plen) group by all""")
+def parent_interval(spark, d):
+    index = _index(_refs(spark, d))
+    return refindex.parent_intervals(index, stored(refindex.lcp_intervals(index), "intervals"))
+
+
+@query(f"with {_IV} select v.ref_id, v.lo, v.hi, v.len, substr(b.s, v.len + 1, 1) as sym, min(b.rank) as left_bound, max(b.rank) as right_bound from (select distinct ref_id, lo, hi, len from iv) v join ix b on b.ref_id = v.ref_id and b.rank between v.lo and v.hi group by all")
+def interval_bound_search(spark, d):
+    refs = _refs(spark, d)
+    index = _index(refs)
+    return refindex.interval_bounds(index, refs, stored(refindex.lcp_intervals(index), "intervals"))
+
+
+@query(f"""with {_IX}, k as (select ref_id, rank, pos, left(s, 1) as sym, (select b.rank from ix b where b.ref_id = ix.ref_id and b.pos = ix.pos + 1) as nxt from ix),
+m as (select *, lag(sym) over w as s0, lag(coalesce(nxt, -1)) over w as n0 from k window w as (partition by ref_id order by rank))
+select ref_id, count(*) as n, count(distinct pos) as n_distinct, min(pos) as min_pos, max(pos) as max_pos, count(*) filter (where s0 is not null and (s0 > sym or (s0 = sym and n0 >= coalesce(nxt, -1)))) as violations from m group by ref_id""")
+def sa_check(spark, d):
+    refs = _refs(spark, d)
+    return ga.sa_violations(stored(refindex.suffix_array(refs), "sa"), refs)
+
+
+# ---- matching statistics ---------------------------------------------------------
+
+
+@query(f"""with {_B}, r0 as (select min(doc_id) as m from d), rf as (select text as ref from d, r0 where doc_id = m)
+select doc_id, i - 1 as idx, list_max(list_filter(range(0, length(text) - i + 2), lambda l: contains(ref, substr(text, i, l)))) as len from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d), r0, rf where doc_id <> m""")
+def ms_len(spark, d):
+    return matchstats.matching_statistics(_collection(spark, d), _reference(spark, d)).select("doc_id", "idx", "len")
+
+
+@query(f"with {_MS} select * from ms")
+def ms_full(spark, d):
+    return matchstats.matching_statistics(_collection(spark, d), _reference(spark, d))
+
+
+@query(f"with {_HEADS} select * from h")
+def ms_heads(spark, d):
+    return _heads(spark, d)[3]
+
+
+@query(f"with {_B} select doc_id, i - 1 as idx, length(regexp_extract(substr(text, i), '^{RUN_SYMBOL}+')) as len from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d) where substr(text, i, 1) = '{RUN_SYMBOL}'")
+def ms_n_runs(spark, d):
+    return matchstats.symbol_runs(_items(spark, d), RUN_SYMBOL)
+
+
+@query(f"""with {_HEADS}, rl as (select max({_LCP_OF.format(a='s', b='b')}) as max_lcp from (select s, lag(s) over (order by rank) as b from rs) where b is not null)
+select count(*) as n_heads, coalesce(sum(len), 0)::bigint as sum_len, max(len) as max_len, count(*) filter (where len = 0) as n_zero, count(*) filter (where len <= max_lcp) as n_short, sum(len)::double / count(*) as avg_len from h, rl where not is_end""")
+def ms_head_stats(spark, d):
+    _, _, index, head = _heads(spark, d)
+    return matchstats.head_statistics(head, index)
+
+
+@query(f"with {_HEADS} select rs.rank, count(h.doc_id) as n from rs left join h on h.pos = rs.pos and not h.is_end group by rs.rank")
+def suffixes_before(spark, d):
+    _, _, index, head = _heads(spark, d)
+    return matchstats.heads_by_slot(head, index)
+
+
+_PHRASES = _HEADS + ", ph as (select row_number() over (order by rs.rank, h.len, h.doc_id, h.start) - 1 as order_no, h.doc_id, h.start, h.pos, h.len from h join rs on rs.pos = h.pos where not h.is_end)"
+
+
+@query(f"with {_PHRASES} select * from ph")
+def phrase_sort(spark, d):
+    _, _, index, head = _heads(spark, d)
+    return matchstats.sorted_phrases(head, index)
+
+
+@query(f"with {_PHRASES}, q as (select order_no, order_no - row_number() over (partition by len order by order_no) as island, len from ph), r as (select count(*) as run from q group by len, island) select count(*) as n_buckets, max(run) as max_run from r")
+def length_buckets(spark, d):
+    _, _, index, head = _heads(spark, d)
+    return matchstats.length_buckets(stored(matchstats.sorted_phrases(head, index), "phrases"))
+
+
+@query(f"with {_MS} select min(len) as min_len, max(len) as max_len, sum(len)::bigint as sum_len, sum(len)::double / count(*) as avg_len from ms")
+def ms_length_summary(spark, d):
+    ms = matchstats.matching_statistics(_collection(spark, d), _reference(spark, d))
+    return ms.agg(F.min("len").alias("min_len"), F.max("len").alias("max_len"), F.sum("len").alias("sum_len"), (F.sum("len").cast("double") / F.count("*")).alias("avg_len"))
+
+
+@query(f"with {_MS} select doc_id, idx, pos, len from ms")
+def ms_from_heads(spark, d):
+    """Matches of all positions told from heads alone."""
+    collection, _, _, head = _heads(spark, d)
+    rows = predecessor.head_of(symbols.positions(collection).select("doc_id", "idx"), head)
+    k = F.col("idx") - F.col("head_start")
+    return rows.select("doc_id", "idx", (F.col("pos") + k).alias("pos"), F.greatest(F.col("len") - k, F.lit(0)).alias("len"))
+
+
+# ---- predecessors ------------------------------------------------------------------
+
+
+@query(f"with {_HEADS} select ms.doc_id, ms.idx, h.head_id, h.start as head_start from ms asof join h on ms.doc_id = h.doc_id and ms.idx >= h.start")
+def head_of_suffix(spark, d):
+    collection, _, _, head = _heads(spark, d)
+    return predecessor.head_of(symbols.positions(collection).select("doc_id", "idx"), head).select("doc_id", "idx", "head_id", "head_start")
+
+
+@query(f"with {_HEADS}, q as (select ms.doc_id, ms.idx as q, a.start as pred from ms asof left join h a on ms.doc_id = a.doc_id and ms.idx >= a.start) select q.doc_id, q.q, q.pred, b.start as succ from q asof left join h b on q.doc_id = b.doc_id and q.q <= b.start")
+def pred_succ_lookup(spark, d):
+    collection, _, _, head = _heads(spark, d)
+    return predecessor.pred_succ(symbols.positions(collection).select("doc_id", F.col("idx").alias("q")), head.select("doc_id", F.col("start").alias("key")))
+
+
+@query(f"""with {_HEADS}, q as (select doc_id, head_id as from_head, start + len as idx from h where not is_end),
+j as (select q.doc_id, q.from_head, h.head_id as next_head_id, q.idx - h.start as "offset", h.pos from q asof join h on q.doc_id = h.doc_id and q.idx >= h.start)
+select j.doc_id, j.from_head as head_id, j.next_head_id, j."offset", rs.rank as next_isa from j join rs on rs.pos = j.pos + j."offset" """)
+def next_head(spark, d):
+    _, _, index, head = _heads(spark, d)
+    return predecessor.next_heads(head, index)
+
+
+# ---- types, buckets, heads, GSA ---------------------------------------------------------
+
+
+@query(f"with {_TYPES} select * from t")
+def ls_types(spark, d):
+    return ga.types(_items(spark, d))
+
+
+@query(f"with {_TYPES} select * from st")
+def sstar(spark, d):
+    return ga.s_star(ga.types(_items(spark, d)))
+
+
+@query(f"with {_TYPES} select sym, count(*) as n from st group by sym")
+def sstar_per_symbol(spark, d):
+    return symbols.histogram(ga.s_star(ga.types(_items(spark, d))))
+
+
+@query(f"""with {_HEADS}, t as (select doc_id, idx, substr(text, idx + 1) < substr(text, idx + 2) as is_s, idx > 0 and substr(text, idx) > substr(text, idx + 1) as after_l from ms join d using (doc_id))
+select rs.rank as isa_pos, count(*) as n from ms join t using (doc_id, idx) join rs on rs.pos = ms.pos where t.is_s and t.after_l group by rs.rank""")
+def sstar_buckets(spark, d):
+    collection, _, index, ms = _matches(spark, d)
+    star = ga.s_star(ga.types(collection)).select("doc_id", "idx")
+    return ms.join(star, ["doc_id", "idx"]).join(index.select("pos", F.col("rank").alias("isa_pos")), "pos").groupBy("isa_pos").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_HEADS} select rs.rank as isa_pos, count(*) as n from ms join rs on rs.pos = ms.pos group by rs.rank")
+def full_suffix_buckets(spark, d):
+    _, _, index, ms = _matches(spark, d)
+    return ms.join(index.select("pos", F.col("rank").alias("isa_pos")), "pos").groupBy("isa_pos").agg(F.count("*").alias("n"))
+
+
+_SORTED = _HEADS + """, hk as (select h.doc_id, h.head_id, rs.rank as slot, not h.smaller as side, case when h.smaller then h.len else -h.len end as k, substr(d.text, h.start + h.len + 1, 1) as nxt from h join d using (doc_id) join rs on rs.pos = h.pos where not h.is_end)"""
+
+
+@query(f"with {_SORTED} select row_number() over (order by slot, side, k, nxt, doc_id, head_id) - 1 as order_no, doc_id, head_id from hk")
+def head_sort(spark, d):
+    collection, _, index, head = _heads(spark, d)
+    return ga.sorted_heads(head, collection, index).where("order_no is not null").select("order_no", "doc_id", "head_id")
+
+
+@query(f"with {_SORTED} select dense_rank() over (order by slot, side, k, nxt) + 1 as name, doc_id, head_id from hk union all select 1, doc_id, head_id from h where is_end")
+def head_names(spark, d):
+    collection, _, index, head = _heads(spark, d)
+    return ga.sorted_heads(head, collection, index).select("name", "doc_id", "head_id")
+
+
+@query(f"with {_GSA} select rank, doc_id, idx from g")
+def gsa(spark, d):
+    return ga.gsa(_items(spark, d))
+
+
+@query(f"with {_GSA} select rank, doc_id, idx from g")
+def gsa_bucketed(spark, d):
+    return ga.gsa_bucketed(_items(spark, d))
+
+
+@query(_GSA.replace("from benchmark)", "from benchmark where item_id > (select min(item_id) from benchmark))", 1).join(["with ", " select rank, doc_id, idx from g"]))
+def gsa_by_ranks(spark, d):
+    collection = _collection(spark, d)
+    reference = stored(symbols.augmented(_reference(spark, d), collection), "reference")
+    return ga.gsa_by_matches(collection, reference, _index(reference))
+
+
+@query(f"with {_GSA}, t as (select *, idx > 0 and s < t and (select substr(d.text, g.idx) > g.s from d where d.doc_id = g.doc_id) as star from g) select row_number() over (order by rank) - 1 as order_no, doc_id, idx from t where star")
+def sstar_sorted(spark, d):
+    items = _items(spark, d)
+    star = ga.gsa(items).join(ga.s_star(ga.types(items)).select("doc_id", "idx"), ["doc_id", "idx"])
+    return ranking.bucket_rank(star, F.floor(F.col("rank") / 4096), ["rank"], "order_no").select("order_no", "doc_id", "idx")
+
+
+@query(f"with {_GSA} select count(*) as n, count(*) as n_distinct, 0::bigint as min_rank, count(*) - 1 as max_rank, 0::bigint as violations from g")
+def gsa_check(spark, d):
+    items = _items(spark, d)
+    return ga.order_violations(stored(ga.gsa(items), "gsa"), items)
+
+
+@query(f"with {_TYPES} select count(*) as n, 0::bigint as violations from t where type = 'L'")
+def induce_l_check(spark, d):
+    items = _items(spark, d)
+    return ga.induction_violations(stored(ga.gsa(items), "gsa"), ga.types(items), "L")
+
+
+@query(f"with {_TYPES} select count(*) as n, 0::bigint as violations from t where type = 'S' and sym <> ''")
+def induce_s_check(spark, d):
+    items = _items(spark, d)
+    return ga.induction_violations(stored(ga.gsa(items), "gsa"), ga.types(items), "S")
+
+
+# ---- integer sequences, sinks --------------------------------------------------------------
+
+
+def _event_codes(spark, d) -> DataFrame:
+    events = src.table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("sym"))
+    codes = symbols.alphabet_codes(events)
+    return stored(intseq.sequences(events.join(codes, "sym"), "user_id", F.col("code"), ["ts", "event_id"]), "sequences")
+
+
+@query(f"with {_EV} select seq_id, rank, pos from r")
+def int_suffix_array(spark, d):
+    return intseq.suffix_array(_event_codes(spark, d))
+
+
+@query(f"""with {_EV}, p as (select seq_id, rank + 1 as primary_index from r where pos = 0)
+select seq_id, case when pos = 0 then 0 else rank + case when rank < primary_index then 1 else 0 end end as i, case when pos = 0 then vals[len(vals)] else vals[pos] end as val, primary_index from r join p using (seq_id)""")
+def int_bwt(spark, d):
+    values = _event_codes(spark, d)
+    return intseq.bwt(values, stored(intseq.suffix_array(values), "sa"))
+
+
+@query(f"with {_GSA} select count(*) as n, 0::bigint as missing, 0::bigint as added from g")
+def sink_roundtrip(spark, d):
+    """The GSA written as a sorted table and read back."""
+    array, path = stored(ga.gsa_bucketed(_items(spark, d)), "gsa"), new_path(spark, "sink")
+    src.write_index(array, path, ["rank"])
+    back = spark.read.parquet(path)
+    both = array.select("*", F.lit(1).alias("_a")).unionByName(back.select("*", F.lit(-1).alias("_a"))).groupBy("rank", "doc_id", "idx").agg(F.sum("_a").alias("_s"), F.count_if(F.col("_a") > 0).alias("_n"))
+    return both.agg(F.sum("_n").alias("n"), F.count_if(F.col("_s") > 0).alias("missing"), F.count_if(F.col("_s") < 0).alias("added"))
