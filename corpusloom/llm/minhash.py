@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .shared import components, read_table, stored
+from .shared import components, read_table, remove, stored
 
 K, T = 24, 10
 WIDTH = 5
@@ -136,12 +136,12 @@ def _sketch_only(docs: DataFrame, columns: list[str], text: str = "text") -> Dat
 
 
 def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings (rep, sig, n, prefix, k, v) dealt to block pairs: adds ``i`` and ``j`` (block numbers, i <= j) and ``own`` (the row's block)."""
-    size = postings.groupBy("k", "v").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
+    """Postings (rep, sig, n, prefix, e) dealt to block pairs: adds ``i`` and ``j`` (block numbers, i <= j) and ``own`` (the row's block)."""
+    size = postings.groupBy("e").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
     parts = F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("m") / BLOCK_DOCS)).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
     return (
-        postings.join(size.select("k", "v", parts.alias("parts")), ["k", "v"])
+        postings.join(size.select("e", parts.alias("parts")), "e")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -149,41 +149,47 @@ def _blocks(postings: DataFrame) -> DataFrame:
     )
 
 
-def _meetings(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Which documents of a block pair must be compared on their sets."""
-    k, v, i, j = key
-    out = pd.DataFrame({"k": [], "v": [], "i": [], "j": [], "rep": []}).astype("int64")
-    if len(rows) < 2:
-        return out
-    sig = np.array(rows["sig"].tolist(), np.int32)
-    n, own = rows["n"].to_numpy(), rows["own"].to_numpy()
-    prefix = [np.asarray(p, np.int64) for p in rows["prefix"]]
-    here = next(x for x, (a, b) in enumerate(zip(*_elements(sig[0], prefix[0]))) if a == k and b == v)
-    mine = prefix[0][here]
-    # the elements before this one, in the order that all documents share
-    earlier = [frozenset(p[: np.flatnonzero(p == mine)[0]].tolist()) for p in prefix]
-    left = np.flatnonzero(own == i)
-    right = np.flatnonzero(own == j)
-    chosen = np.zeros(len(rows), bool)
-    for a in left:
-        others = right[right > a] if i == j else right
-        if not len(others):
-            continue
-        same = (sig[others] == sig[a]).sum(1) >= T
-        lo, hi = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
-        for b in others[same & (100 * lo >= PERCENT * hi)]:
-            if chosen[a] and chosen[b]:
-                continue
-            if not (earlier[a] & earlier[b]):
-                chosen[a] = chosen[b] = True
-    reps = rows["rep"].to_numpy()[chosen]
-    return pd.DataFrame({"k": k, "v": v, "i": i, "j": j, "rep": reps}).astype("int64")
-
-
-def _elements(sig: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and values of packed elements."""
-    k = prefix & 63
-    return k, sig[k]
+def _shared_out(df: DataFrame, rows: int, per_share: int) -> DataFrame:
+    """Adds ``g``: whole block pairs dealt to groups of about ``per_share`` rows, so that a group's fixed cost is paid once for many."""
+    return df.withColumn("g", F.pmod(F.xxhash64("e", "i", "j"), F.lit(max(1, rows // per_share))))
+
+
+def _by_block(rows: pd.DataFrame) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+    """((element, i, j), row numbers) of each block pair."""
+    e, i, j = (rows[c].to_numpy(np.int64) for c in ("e", "i", "j"))
+    order = np.lexsort((j, i, e))
+    cut = np.flatnonzero((np.diff(e[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+    for at in np.split(order, cut):
+        if len(at) > 1:
+            yield (int(e[at[0]]), int(i[at[0]]), int(j[at[0]])), at
+
+
+def _meetings(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which documents of each block pair must be compared on their sets."""
+    sig, n, own = np.stack(rows["sig"].tolist()), rows["n"].to_numpy(np.int64), rows["own"].to_numpy()
+    reps, prefixes = rows["rep"].to_numpy(np.int64), rows["prefix"].tolist()
+    found = []
+    for (e, i, j), at in _by_block(rows):
+        left, right = at[own[at] == i], at[own[at] == j]
+        chosen: set = set()
+        before: dict = {}
+
+        def earlier(x: int, e: int = e, before: dict = before) -> frozenset:
+            """The document's elements before this one, in the order that all documents share."""
+            if x not in before:
+                p = prefixes[x].tolist()
+                before[x] = frozenset(p[: p.index(e)])
+            return before[x]
+
+        for q, a in enumerate(left):
+            others = right[q + 1 :] if i == j else right
+            lo, hi = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
+            ok = ((sig[others] == sig[a]).sum(1) >= T) & (100 * lo >= PERCENT * hi)
+            for b in others[ok].tolist():
+                if not (a in chosen and b in chosen) and not earlier(int(a)) & earlier(b):
+                    chosen |= {int(a), b}
+        found += [(e, i, j, reps[x]) for x in chosen]
+    return pd.DataFrame(found, columns=["e", "i", "j", "rep"]).astype("int64")
 
 
 def _overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -208,31 +214,46 @@ def _overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.
     return out
 
 
-def _links(rows: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the exact links among the documents of a block pair."""
-    rows = rows.sort_values("rep")
-    reps, sets = rows["rep"].to_numpy(), [shingles(t) for t in rows["text"]]
-    n = np.array([len(s) for s in sets])
-    root = np.arange(len(reps))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    tile = 192
-    edges = []
-    for x in range(0, len(reps), tile):
-        for y in range(x, len(reps), tile):
-            r, c = np.arange(x, min(x + tile, len(reps))), np.arange(y, min(y + tile, len(reps)))
+def _linked_pairs(sets: list[np.ndarray], n: np.ndarray, tile: int = 192) -> Iterator[tuple[int, int]]:
+    """All pairs of sets that reach the similarity."""
+    if len(sets) <= 8:
+        for p in range(len(sets)):
+            for q in range(p):
+                if 100 * min(n[p], n[q]) >= PERCENT * max(n[p], n[q]):
+                    both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    if 100 * both >= PERCENT * (n[p] + n[q] - both):
+                        yield p, q
+        return
+    for x in range(0, len(sets), tile):
+        for y in range(x, len(sets), tile):
+            r, c = np.arange(x, min(x + tile, len(sets))), np.arange(y, min(y + tile, len(sets)))
             both = _overlaps(sets, r, c)
             union = n[r][:, None] + n[c][None, :] - both
             for p, q in zip(*np.nonzero(100 * both >= PERCENT * union)):
-                a, b = find(r[p]), find(c[q])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    edges.append((reps[r[p]], reps[c[q]]))
+                yield int(r[p]), int(c[q])
+
+
+def _links(rows: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the exact links among the documents of each block pair."""
+    edges = []
+    reps, texts = rows["rep"].to_numpy(np.int64), rows["text"].tolist()
+    for _, at in _by_block(rows):
+        at = at[np.argsort(reps[at], kind="stable")]
+        sets = [shingles(texts[x]) for x in at]
+        n = np.array([len(s) for s in sets])
+        root = list(range(len(at)))
+
+        def find(x: int, root: list = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for p, q in _linked_pairs(sets, n):
+            a, b = find(p), find(q)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                edges.append((reps[at[p]], reps[at[q]]))
     return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
 
@@ -242,33 +263,33 @@ def classes(sketch: DataFrame) -> DataFrame:
 
 
 def similar_classes(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between class representatives that join the same classes as all links would.
+    """Stored links (a, b) between class representatives that join the same classes as all links would.
 
     ``docs`` has ``doc_id`` and ``text``; of rows that share a representative's
     id the one with the class's set counts.
     """
-    elements = F.transform(F.col("sig"), lambda v, k: F.struct(k.alias("k"), v.alias("v")))
-    posted = groups.where("rep is not null").select("_set", "rep", "n", "sig", F.explode(elements).alias("x")).select("_set", "rep", "n", "sig", "x.k", "x.v")
-    often = posted.groupBy("k", "v").count().where("count > 1")
-    shared = posted.select("_set", "k", "v").join(often, ["k", "v"])
-    # order of all elements: rarest first; the low six bits of a packed element are its coordinate
-    packed = F.shiftleft(F.xxhash64("k", "v"), 6).bitwiseOR(F.col("k").cast("long"))
+    # the low six bits of a packed element are its coordinate
+    packed = F.transform(F.col("sig"), lambda v, k: F.shiftleft(F.xxhash64(k, v), 6).bitwiseOR(k.cast("long")))
+    posted = groups.where("rep is not null").select("_set", F.explode(packed).alias("e"))
+    often = posted.groupBy("e").count().where("count > 1")
+    # order of all elements: rarest first
     prefix = (
-        shared.groupBy("_set").agg(F.sort_array(F.collect_list(F.struct("count", packed.alias("e"), "k", "v"))).alias("x"))
+        posted.join(often, "e").groupBy("_set").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("x"))
         .where(F.size("x") >= T).select("_set", F.slice("x", F.lit(1), F.size("x") - (T - 1)).alias("x"))
     )
-    lists = (
-        groups.join(prefix, "_set").select("rep", "n", "sig", F.col("x.e").alias("prefix"), F.explode("x").alias("y"))
-        .select("rep", "n", "sig", "prefix", "y.k", "y.v")
-    )
+    lists = groups.join(prefix, "_set").select("rep", "n", "sig", F.col("x.e").alias("prefix"), F.explode("x.e").alias("e"))
     lists = stored(lists, "near-postings")
-    dealt = _blocks(lists)
-    meet = stored(dealt.groupBy("k", "v", "i", "j").applyInPandas(_meetings, "k long, v long, i long, j long, rep long"), "near-meetings")
-    wanted = meet.select("rep").distinct().join(groups.select("rep", "_set"), "rep")
+    dealt = stored(_blocks(lists), "near-blocks")
+    met = _shared_out(dealt, dealt.count(), 10_000).groupBy("g").applyInPandas(_meetings, "e long, i long, j long, rep long")
+    meet = stored(met, "near-meetings")
+    # neither side of this join is bounded, so neither is broadcast at any size
+    wanted = meet.select("rep").distinct().join(groups.select("rep", "_set"), "rep").hint("merge")
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "_set", "text")
-    texts = _checked(texts)
-    block = meet.join(texts, "rep")
-    return block.groupBy("k", "v", "i", "j").applyInPandas(_links, "a long, b long").distinct()
+    block = _shared_out(meet, meet.count(), 300).join(_checked(texts), "rep")
+    links = stored(block.groupBy("g").applyInPandas(_links, "a long, b long").distinct(), "near-links")
+    for done in (lists, dealt, meet):
+        remove(done)
+    return links
 
 
 def _checked(texts: DataFrame) -> DataFrame:
@@ -291,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``_set``, ``n_shingles``, ``component_id``, ``kept``."""
     sketch = stored(_sketch_only(docs, ["doc_id"]), "near-sketches")
     groups = stored(classes(sketch), "near-classes")
-    found = components(stored(similar_classes(groups, docs), "near-links"))
+    found = components(similar_classes(groups, docs))
     label = (
         groups.select("_set", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("_set", F.coalesce("component", "rep").alias("component"))
@@ -312,18 +333,24 @@ def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays, once.
 
-    Documents without words are linked with nothing and stay; so do documents
-    with a null id, unless a document with an id has their set.
+    Documents without words are linked with nothing and stay. A document with
+    a null id stays, once for each set, unless a document with an id has its set.
     """
     found = stored(near_duplicates(docs.select("doc_id", "text")), "near-result")
-    keep = found.where(F.col("kept") | F.col("_set").isNull()).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(keep, docs["doc_id"] == keep["_id"], "left_semi")
-    again = found.where("_set is not null").groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if again.isEmpty():
-        return out
-    # ids that occur on several rows: only rows with the set of the component's least document, one each
-    sets = found.where("kept and _set is not null").join(again, "doc_id", "left_semi").select("doc_id", "_set").distinct()
-    twice = sketched(out.join(again.select("doc_id"), "doc_id", "left_semi").select(*docs.columns))
-    first = twice.where("_set is null").select(*docs.columns).union(
-        twice.join(sets, ["doc_id", "_set"], "left_semi").dropDuplicates(["doc_id", "_set"]).select(*docs.columns))
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(first)
+    keep = found.where("doc_id is not null and (kept or _set is null)").select(F.col("doc_id").alias("_id")).distinct()
+    # the kept ids grow with the input: they are merged, never broadcast
+    out = docs.join(keep.hint("merge"), docs["doc_id"] == keep["_id"], "left_semi")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    if not again.isEmpty():
+        # ids that occur on several rows: only rows with the set of the component's least document, one each
+        sets = found.where("kept and _set is not null").select(F.col("doc_id").alias("_id"), F.col("_set").alias("_s")).distinct()
+        twice = sketched(out.join(again, out["doc_id"] == again["_id"], "left_semi").select(*names))
+        first = twice.join(sets, (twice["doc_id"] == sets["_id"]) & (twice["_set"] == sets["_s"]), "left_semi").dropDuplicates(["doc_id", "_set"])
+        out = out.join(again, out["doc_id"] == again["_id"], "left_anti").select(*names).union(first.select(*names)).union(twice.where("_set is null").select(*names))
+    if found.where("doc_id is null").limit(1).count():
+        bare = sketched(docs.where("doc_id is null"))
+        known = found.where("doc_id is not null and _set is not null").select(F.col("_set").alias("_s")).distinct()
+        own = bare.where("_set is not null").join(known, bare["_set"] == known["_s"], "left_anti").dropDuplicates(["_set"])
+        out = out.select(*names).union(own.select(*names)).union(bare.where("_set is null").select(*names))
+    return out.select(*names)
