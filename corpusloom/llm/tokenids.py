@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .packing import CAPACITY, END, pieces_of
+from .packing import CAPACITY, pieces_of
 from .shared import read_table
 from .tokens import encoder
 
@@ -111,7 +111,7 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, path: str | None = No
         for batch in batches:
             keys = [None if x is None or x != x else x for x in batch["doc_id"].astype(object)]
             for doc, text in zip(keys, batch["text"]):
-                ids = np.frombuffer(encode(text) + END, "<u4").astype(f"<u{width}")
+                ids = encode.ended(text).astype(f"<u{width}")
                 for k, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                     held.append((doc, k, start, ids[start : start + length]))
                 tokens += len(ids)
