@@ -14,6 +14,7 @@ from ..functions.text import substr0
 from ..storage import stored
 from .matchstats import matching_statistics, suffixes
 from .ranking import bucket_rank, doubled, sparse_start
+from .refindex import symbol_at
 from .symbols import positions, with_ends
 
 START = 3
@@ -21,8 +22,8 @@ START = 3
 
 def gsa(collection: DataFrame) -> DataFrame:
     """(rank, doc_id, idx) by prefix doubling; documents of any length."""
-    rows = positions(collection).join(collection.select("doc_id", "text"), "doc_id").select("doc_id", "idx", substr0(F.col("text"), F.col("idx"), START).alias("_key"))
-    return _numbered(doubled(sparse_start(rows, F.col("_key"), []), START, []))
+    rows = positions(collection, START).select("doc_id", "idx", "key")
+    return _numbered(doubled(sparse_start(rows, F.col("key"), []), START, []))
 
 
 def _numbered(ranked: DataFrame) -> DataFrame:
@@ -85,8 +86,9 @@ def sorted_heads(head: DataFrame, collection: DataFrame, index: DataFrame) -> Da
 
     Names count from 2; all document ends have name 1 and no place in the order.
     """
-    rows = head.where("not is_end").join(collection.select("doc_id", "text"), "doc_id").join(index.select("pos", F.col("rank").alias("slot")), "pos")
-    key = {"_side": ~F.col("smaller"), "_len": F.when(F.col("smaller"), F.col("len")).otherwise(-F.col("len")), "_next": substr0(F.col("text"), F.col("start") + F.col("len"), 1)}
+    after = positions(collection).select("doc_id", F.col("idx").alias("_after"), "sym")
+    rows = head.where("not is_end").withColumn("_after", F.col("start") + F.col("len")).join(after, ["doc_id", "_after"], "left").join(index.select("pos", F.col("rank").alias("slot")), "pos")
+    key = {"_side": ~F.col("smaller"), "_len": F.when(F.col("smaller"), F.col("len")).otherwise(-F.col("len")), "_next": F.coalesce("sym", F.lit(""))}
     rows = rows.withColumns(key).select("doc_id", "head_id", "slot", *key)
     ordered = bucket_rank(rows, F.col("slot"), [*key, "doc_id", "head_id"], "order_no")
     names = bucket_rank(rows.select("slot", *key).distinct(), F.col("slot"), list(key), "_name")
@@ -108,9 +110,8 @@ def order_violations(array: DataFrame, collection: DataFrame) -> DataFrame:
 
 def sa_violations(index: DataFrame, refs: DataFrame) -> DataFrame:
     """The linear check for each reference: a permutation, and (symbol, rank of the next position) rises with rank."""
-    sym = substr0(F.col("text"), F.col("pos"), 1)
     follow = index.select("ref_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("_next"))
-    rows = index.join(refs.select("ref_id", "text"), "ref_id").join(follow, ["ref_id", "pos"], "left").select("ref_id", "rank", "pos", F.struct(sym.alias("c"), F.coalesce("_next", F.lit(-1)).alias("r")).alias("_key"))
+    rows = index.join(symbol_at(refs), ["ref_id", "pos"]).join(follow, ["ref_id", "pos"], "left").select("ref_id", "rank", "pos", F.struct(F.col("sym").alias("c"), F.coalesce("_next", F.lit(-1)).alias("r")).alias("_key"))
     before = rows.select("ref_id", (F.col("rank") + 1).alias("rank"), F.col("_key").alias("_k"))
     return rows.join(before, ["ref_id", "rank"], "left").groupBy("ref_id").agg(
         F.count("*").alias("n"), F.count_distinct("pos").alias("n_distinct"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"),

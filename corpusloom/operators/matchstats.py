@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import lcp, substr0
-from .ranking import bucket_rank
+from ..storage import stored
+from .ranking import bucket_rank, common_prefixes, doubled, sparse_start
+from .symbols import positions
 
 BUCKET_SYMBOLS = 2
 
@@ -51,6 +53,36 @@ def matching_statistics(collection: DataFrame, reference: DataFrame) -> DataFram
     )
 
 
+def matching_statistics_by_ranks(collection: DataFrame, reference: DataFrame, cell: int = 4096) -> DataFrame:
+    """As :func:`matching_statistics`, for documents and references of any length; no suffix is materialised.
+
+    Reference and collection are ranked together by prefix doubling. The
+    nearest reference suffixes are found inside cells of ranks, with what
+    neighbouring cells carry over, and match lengths come from the ranks of
+    the doubling rounds. Documents are told from the reference by a flag, so
+    ids may coincide.
+    """
+    key = lambda flag, id_: F.struct(F.lit(flag).alias("f"), F.col(id_).cast("long").alias("d"))
+    both = reference.select(key(0, "ref_id").alias("doc_id"), "text").union(collection.select(key(1, "doc_id").alias("doc_id"), "text"))
+    levels: list = []
+    ranks = doubled(sparse_start(positions(both, 1).select("doc_id", "idx", "key"), F.col("key"), []), 1, [], levels)
+    rows = ranks.select("doc_id", "idx", "r", (F.col("doc_id.f") == 0).alias("_own"), F.floor(F.col("r") / cell).alias("_b"))
+    ref = F.when(F.col("_own"), F.struct("r", "doc_id", "idx"))
+    # a document's suffix equal to the reference's comes first: the reference's is then its successor
+    span = Window.unboundedPreceding, -1
+    up = Window.partitionBy("_b").orderBy("r", "_own").rowsBetween(*span)
+    down = Window.partitionBy("_b").orderBy(F.desc("r"), F.desc("_own")).rowsBetween(*span)
+    near = rows.withColumns({"_p": F.last(ref, ignorenulls=True).over(up), "_n": F.last(ref, ignorenulls=True).over(down)}).where("not _own")
+    edges = rows.groupBy("_b").agg(F.min(ref).alias("_lo"), F.max(ref).alias("_hi"))
+    edges = edges.select("_b", F.last("_hi", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(*span)).alias("_pb"), F.last("_lo", ignorenulls=True).over(Window.orderBy(F.desc("_b")).rowsBetween(*span)).alias("_nb"))
+    near = near.join(edges, "_b").select("doc_id", "idx", F.coalesce("_p", "_pb").alias("_p"), F.coalesce("_n", "_nb").alias("_n"))
+    side = lambda c, name: near.select(F.lit(name).alias("side"), F.col("doc_id").alias("da"), F.col("idx").alias("ia"), F.col(f"{c}.doc_id").alias("db"), F.col(f"{c}.idx").alias("ib"))
+    pairs = stored(side("_p", "p").union(side("_n", "n")).where("db is not null"), "neighbours")
+    shared = common_prefixes(pairs, levels)
+    best = shared.groupBy("da", "ia").agg(F.max(F.struct("len", (F.col("side") == "n").alias("smaller"), "ib")).alias("x"))
+    return best.select(F.col("da.d").alias("doc_id"), F.col("ia").alias("idx"), F.col("x.ib").alias("pos"), "x.len", "x.smaller")
+
+
 def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame) -> DataFrame:
     """(doc_id, head_id, start, next_start, pos, len, smaller, is_end): positions whose match doesn't continue the one before, and document ends."""
     w = Window.partitionBy("doc_id").orderBy("idx")
@@ -64,8 +96,6 @@ def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame) -> DataFra
 
 def symbol_runs(collection: DataFrame, symbol: str) -> DataFrame:
     """(doc_id, idx, len): how long the run of ``symbol`` lasts from each of its positions."""
-    from .symbols import positions
-
     rows = positions(collection).withColumn("_hit", (F.col("sym") == symbol).cast("int"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     stop = F.last(F.when(F.col("_hit") == 0, F.col("idx")), ignorenulls=True).over(w)

@@ -38,7 +38,7 @@ def sparse_start(rows: DataFrame, key, within: list[str]) -> DataFrame:
     return b.join(before, [*within, "_b"]).drop("_b")
 
 
-def doubled(rows: DataFrame, start: int, within: list[str]) -> DataFrame:
+def doubled(rows: DataFrame, start: int, within: list[str], levels: list | None = None) -> DataFrame:
     """Prefix doubling on (doc_id, idx, r, _n): ranks by whole suffixes.
 
     ``r`` ranks by the first ``start`` symbols; ``_n`` is the size of the
@@ -46,11 +46,14 @@ def doubled(rows: DataFrame, start: int, within: list[str]) -> DataFrame:
     its continuation, ``k`` symbols on (ends come first), and refines inside
     the group. It stops when all groups are single or the prefixes are longer
     than any document, after a logarithm of the longest repeat in rounds.
-    Equal suffixes of several documents keep a shared rank.
+    Equal suffixes of several documents keep a shared rank. ``levels``
+    collects (k, table): ranks by the first k symbols, for common prefixes.
     """
     k = start
     rows = stored(rows.select(*dict.fromkeys([*within, "doc_id", "idx", "r", "_n"])), "ranks")
     longest = (rows.agg(F.max("idx")).first()[0] or 0) + 1
+    if levels is not None:
+        levels.append((k, rows))
     while k < longest and rows.where("_n > 1").limit(1).count():
         follow = rows.select("doc_id", (F.col("idx") - k).alias("idx"), F.col("r").alias("_next")).where("idx >= 0")
         open_ = rows.where("_n > 1").join(follow, ["doc_id", "idx"], "left").withColumn("_next", F.coalesce("_next", F.lit(-1)))
@@ -60,4 +63,27 @@ def doubled(rows: DataFrame, start: int, within: list[str]) -> DataFrame:
         finer = finer.withColumn("_n", F.count("*").over(Window.partitionBy(*within, "r2"))).withColumn("r", F.col("r2").cast("long"))
         rows = stored(finer.select(*rows.columns).union(rows.where("_n <= 1")), "ranks")
         k *= 2
+        if levels is not None:
+            levels.append((k, rows))
     return rows
+
+
+def common_prefixes(pairs: DataFrame, levels: list) -> DataFrame:
+    """For (…, da, ia, db, ib): ``len``, how many symbols the two suffixes share.
+
+    Ranks by the first k symbols are equal where k symbols agree, so the length
+    is found from the largest level down, two joins a level and no text. The
+    levels must begin with single symbols; pairs with a null side share nothing.
+    """
+    out = pairs.withColumn("len", F.lit(0).cast("long"))
+    for k, table in reversed(levels):
+        side = lambda d, i, r: table.select(F.col("doc_id").alias(d), F.col("idx").alias(i), F.col("r").alias(r))  # noqa: B023, E731
+        at = out.withColumns({"_ia": F.col("ia") + F.col("len"), "_ib": F.col("ib") + F.col("len")})
+        at = at.join(side("da", "_ia", "_ra"), ["da", "_ia"], "left").join(side("db", "_ib", "_rb"), ["db", "_ib"], "left")
+        # ranks tell prefixes of k symbols apart only where the suffixes are that long
+        whole = side("da", "_ea", "_x").select("da", "_ea", F.lit(1).alias("_has"))
+        at = at.withColumn("_ea", F.col("_ia") + k - 1).join(whole, ["da", "_ea"], "left")
+        at = at.withColumn("_same", F.coalesce((F.col("_ra") == F.col("_rb")) & (F.col("_has") == 1), F.lit(False)))
+        out = at.withColumn("len", F.col("len") + F.when(F.col("_same"), k).otherwise(0)).select(*out.columns)
+        out = stored(out, "prefixes")
+    return out

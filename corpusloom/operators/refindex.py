@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import lcp as lcp_of
 from ..functions.text import substr0
-from .ranking import doubled, sparse_start
+from .ranking import common_prefixes, doubled, sparse_start
 from .symbols import positions
 
 #: Ranks of a block of occurrence counts, and of block minima.
@@ -16,22 +16,40 @@ BLOCK = 128
 START = 3
 
 
-def suffix_array(refs: DataFrame) -> DataFrame:
+def as_documents(refs: DataFrame) -> DataFrame:
+    return refs.select(F.col("ref_id").alias("doc_id"), "text")
+
+
+def symbol_at(refs: DataFrame, pos: str = "pos", sym: str = "sym") -> DataFrame:
+    """(ref_id, pos, sym) of every symbol, to be joined on position."""
+    return positions(as_documents(refs)).select(F.col("doc_id").alias("ref_id"), F.col("idx").alias(pos), F.col("sym").alias(sym))
+
+
+def suffix_array(refs: DataFrame, levels: list | None = None) -> DataFrame:
     """(ref_id, rank, pos) by prefix doubling; no suffix is materialised beyond START symbols."""
-    docs = refs.select(F.col("ref_id").alias("doc_id"), "text")
-    rows = positions(docs).join(docs, "doc_id").select(F.col("doc_id").alias("ref_id"), "doc_id", "idx", substr0(F.col("text"), F.col("idx"), START).alias("_key"))
-    ranked = doubled(sparse_start(rows, F.col("_key"), ["ref_id"]), START, ["ref_id"])
+    ahead = START if levels is None else 1
+    rows = positions(as_documents(refs), ahead).select(F.col("doc_id").alias("ref_id"), "doc_id", "idx", "key")
+    ranked = doubled(sparse_start(rows, F.col("key"), ["ref_id"]), ahead, ["ref_id"], levels)
     return ranked.select("ref_id", F.col("r").cast("long").alias("rank"), F.col("idx").alias("pos"))
 
 
 def with_lcp(sa: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds ``lcp`` with the suffix of the rank before (0 at rank 0); neighbours meet by a join on rank."""
+    """Adds ``lcp`` with the suffix of the rank before (0 at rank 0), comparing text; for short references."""
     before = sa.select("ref_id", (F.col("rank") + 1).alias("rank"), F.col("pos").alias("_p"))
     both = sa.join(before, ["ref_id", "rank"], "left").join(refs.select("ref_id", "text"), "ref_id")
     value = lcp_of(substr0(F.col("text"), F.col("pos")), substr0(F.col("text"), F.col("_p")))
     return both.select("ref_id", "rank", "pos", F.when(F.col("_p").isNull(), 0).otherwise(value).cast("long").alias("lcp"))
 
 
+def index_by_levels(refs: DataFrame) -> DataFrame:
+    """(ref_id, rank, pos, lcp) for references of any length: the LCP is told from the ranks of the doubling rounds."""
+    levels: list = []
+    sa = suffix_array(refs, levels)
+    before = sa.select("ref_id", (F.col("rank") + 1).alias("rank"), F.col("pos").alias("ib"))
+    pairs = sa.join(before, ["ref_id", "rank"], "left").select("ref_id", "rank", F.col("ref_id").alias("da"), F.col("pos").alias("ia"), F.col("ref_id").alias("db"), "ib")
+    return common_prefixes(pairs, levels).select("ref_id", "rank", F.col("ia").alias("pos"), F.col("len").alias("lcp"))
+
+
 def with_plcp_max(index: DataFrame) -> DataFrame:
     """Adds ``plcp_max``: the longest repeat that begins at the position."""
     after = index.select("ref_id", (F.col("rank") - 1).alias("rank"), F.col("lcp").alias("_l"))
@@ -40,19 +58,17 @@ def with_plcp_max(index: DataFrame) -> DataFrame:
 
 def bwt(sa: DataFrame, refs: DataFrame) -> DataFrame:
     """(ref_id, rank, sym): the symbol before each suffix, cyclically."""
-    n = F.length("text")
-    at = F.when(F.col("pos") == 0, n - 1).otherwise(F.col("pos") - 1)
-    return sa.join(refs.select("ref_id", "text"), "ref_id").select("ref_id", "rank", substr0(F.col("text"), at, 1).alias("sym"))
+    last = sa.groupBy("ref_id").agg(F.max("pos").alias("_last"))
+    at = sa.join(last, "ref_id").select("ref_id", "rank", F.when(F.col("pos") == 0, F.col("_last")).otherwise(F.col("pos") - 1).alias("pos"))
+    return at.join(symbol_at(refs), ["ref_id", "pos"]).select("ref_id", "rank", "sym")
 
 
 def bwt_library(sa: DataFrame, refs: DataFrame) -> DataFrame:
-    """The BWT with the end of text first: last symbol, then the symbols before each suffix but the first; ``primary`` is the rank of position 0 plus 1."""
+    """The BWT with the end of text first: last symbol, then the symbols before each suffix but the first; ``primary_index`` is the rank of position 0 plus 1."""
     primary = sa.where("pos = 0").select("ref_id", (F.col("rank") + 1).alias("primary_index"))
-    rows = sa.join(refs.select("ref_id", "text"), "ref_id").join(primary, "ref_id")
-    before = rows.where("pos > 0").select(
-        "ref_id", (F.col("rank") + F.when(F.col("rank") < F.col("primary_index"), 1).otherwise(0)).alias("i"), substr0(F.col("text"), F.col("pos") - 1, 1).alias("sym"), "primary_index")
-    last = rows.where("pos = 0").select("ref_id", F.lit(0).cast("long").alias("i"), F.right("text", F.lit(1)).alias("sym"), "primary_index")
-    return before.union(last)
+    first = F.col("rank") + 1 == F.col("primary_index")
+    i = F.when(first, 0).otherwise(F.col("rank") + F.when(F.col("rank") < F.col("primary_index"), 1).otherwise(0)).cast("long")
+    return bwt(sa, refs).join(primary, "ref_id").select("ref_id", i.alias("i"), "sym", "primary_index")
 
 
 def c_array(bwt_rows: DataFrame) -> DataFrame:
@@ -199,7 +215,7 @@ def parent_intervals(index: DataFrame, intervals: DataFrame) -> DataFrame:
 def interval_bounds(index: DataFrame, refs: DataFrame, intervals: DataFrame) -> DataFrame:
     """(ref_id, lo, hi, len, sym, left_bound, right_bound): first and last rank in each interval whose symbol after ``len`` is ``sym``."""
     wanted = intervals.select("ref_id", "lo", "hi", "len").distinct()
-    rows = index.join(refs.select("ref_id", "text"), "ref_id").select(F.col("ref_id").alias("_r"), "rank", "pos", "text")
+    rows = index.select(F.col("ref_id").alias("_r"), "rank", F.col("pos").alias("_p"))
     met = wanted.join(rows, (F.col("ref_id") == F.col("_r")) & F.col("rank").between(F.col("lo"), F.col("hi")))
-    sym = substr0(F.col("text"), F.col("pos") + F.col("len"), 1)
-    return met.groupBy("ref_id", "lo", "hi", "len", sym.alias("sym")).agg(F.min("rank").alias("left_bound"), F.max("rank").alias("right_bound"))
+    met = met.withColumn("pos", F.col("_p") + F.col("len")).join(symbol_at(refs), ["ref_id", "pos"], "left")
+    return met.groupBy("ref_id", "lo", "hi", "len", F.coalesce("sym", F.lit("")).alias("sym")).agg(F.min("rank").alias("left_bound"), F.max("rank").alias("right_bound"))

@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def positions(collection: DataFrame) -> DataFrame:
-    """(doc_id, idx, sym) of every symbol; one row of text is exploded at a time."""
+def positions(collection: DataFrame, ahead: int = 0) -> DataFrame:
+    """(doc_id, idx, sym) of every symbol; one row of text is exploded at a time.
+
+    With ``ahead``, also ``key``: the symbol and what follows it, ``ahead``
+    symbols in all. It is taken from the array of symbols, so the work is
+    linear in the text.
+    """
     symbols = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
-    return collection.select("doc_id", F.posexplode(symbols).alias("idx", "sym")).select("doc_id", F.col("idx").cast("long").alias("idx"), "sym")
+    if not ahead:
+        return collection.select("doc_id", F.posexplode(symbols).alias("idx", "sym")).select("doc_id", F.col("idx").cast("long").alias("idx"), "sym")
+    split = collection.select("doc_id", symbols.alias("_a"))
+    key = lambda c, i: F.concat_ws("", *[F.get("_a", i + k) for k in range(ahead)])
+    rows = split.select("doc_id", F.posexplode(F.transform("_a", lambda c, i: F.struct(c.alias("sym"), key(c, i).alias("key")))).alias("idx", "x"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "x.sym", "x.key")
 
 
 def with_ends(rows: DataFrame, collection: DataFrame) -> DataFrame:

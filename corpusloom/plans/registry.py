@@ -223,6 +223,11 @@ def lcp_array(spark, d):
     return _index(_refs(spark, d))
 
 
+@query(f"with {_IX} select ref_id, rank, pos, lcp from ix")
+def lcp_array_by_levels(spark, d):
+    return refindex.index_by_levels(_refs(spark, d))
+
+
 @query(f"with {_IX} select ref_id, pos, greatest(lcp, coalesce(lead(lcp) over (partition by ref_id order by rank), 0)) as plcp_max from ix")
 def plcp_max(spark, d):
     return refindex.with_plcp_max(_index(_refs(spark, d))).select("ref_id", "pos", "plcp_max")
@@ -345,6 +350,11 @@ def ms_full(spark, d):
     return matchstats.matching_statistics(_collection(spark, d), _reference(spark, d))
 
 
+@query(f"with {_MS} select * from ms")
+def ms_by_ranks(spark, d):
+    return matchstats.matching_statistics_by_ranks(_collection(spark, d), _reference(spark, d))
+
+
 @query(f"with {_HEADS} select * from h")
 def ms_heads(spark, d):
     return _heads(spark, d)[3]
