@@ -45,6 +45,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag closes an open element of these kinds first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main aside nav body form".split())
+CONTAINERS = frozenset("article main section aside nav header footer form div dialog body".split())
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -56,6 +57,9 @@ class Block:
     tags: tuple
     names: frozenset
     linked: int
+    container: str
+    own: frozenset
+    box: int
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -79,7 +83,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     page = page or ""
     lower = None
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[tuple[str, frozenset, int]] = []
     held: list[str] = []
     linked = silent = links = 0
 
@@ -88,13 +92,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                blocks.append(Block(text, tuple(t for t, _ in stack), frozenset(w for _, n in stack for w in n), linked))
+                near = next((x for x in reversed(stack) if x[0] in CONTAINERS), ("none", frozenset(), 0))
+                blocks.append(Block(text, tuple(t for t, _, _ in stack), frozenset(w for _, n, _ in stack for w in n), linked, *near))
             held.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal silent, links
-        for name, _ in stack[to:]:
+        for name, _, _ in stack[to:]:
             silent -= name in SILENT
             links -= name == "a"
         del stack[to:]
@@ -159,7 +164,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in SCOPES:
                     break
         found = frozenset(w for m in _ATTR.findall(body) for w in _WORD.findall(m.lower())) if "=" in body else frozenset()
-        stack.append((kind, found))
+        stack.append((kind, found, tag + 1))
         silent += kind in SILENT
         links += kind == "a"
         if kind in RAW:
@@ -175,13 +180,22 @@ def leaf_blocks(page: str | None) -> list[Block]:
 def features(blocks: list[Block]) -> list[list[str]]:
     """The active features of every block."""
     out = []
-    for k, b in enumerate(blocks):
+    shares: dict[int, int] = {}
+    for b in blocks:
+        shares[b.box] = shares.get(b.box, 0) + len(b.text) - min(len(b.text), b.linked)
+    total = max(1, sum(shares.values()))
+    largest = max(shares.values(), default=0)
+    for b in blocks:
         n = len(b.text)
         tags = set(b.tags)
         inner = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
         f = ["bias", "in:" + inner, f"len:{min(8, int(math.log2(n + 1)))}", f"link:{min(4, 4 * b.linked // max(1, n))}"]
         f += ["anc:" + t for t in tags if t in BLOCK_TAGS and t not in ("html", "body")]
         f += ["name:" + w for w in b.names if len(w) > 1]
+        f += {"stem:" + w[:4] for w in b.names if len(w) > 3}
+        f += [f"share:{4 * shares[b.box] // total}", "largest" if shares[b.box] == largest else "smaller"]
+        f.append("box:" + b.container + ("" if b.own else ":bare"))
+        f += ["own:" + w for w in b.own if len(w) > 1]
         f.append("end:" + ("stop" if b.text[-1] in ".!?:;\"'»”)" else "open"))
         if "©" in b.text:
             f.append("copyright")
@@ -191,7 +205,6 @@ def features(blocks: list[Block]) -> list[list[str]]:
             f.append("digits")
         if not tags & {"article", "main"}:
             f.append("outside")
-        f.append("at:first" if k == 0 else "at:last" if k == len(blocks) - 1 else "at:mid")
         out.append(f)
     return out
 
@@ -234,7 +247,7 @@ class Chain:
         return path[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate: float = 0.3, ridge: float = 1e-4, seed: int = 7) -> Chain:
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 25, rate: float = 0.4, ridge: float = 1e-5, seed: int = 7) -> Chain:
     """Maximum likelihood of the labelled chains by AdaGrad on the exact gradient of each page."""
     rng = random.Random(seed)
     names = {f: i for i, f in enumerate(sorted({f for rows, _ in pages for row in rows for f in row}))}
@@ -271,7 +284,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate
     return Chain({f: (float(w[i, 0]), float(w[i, 1])) for f, i in names.items()}, m.tolist())
 
 
-def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[str, list[str]]]:
+def labelled_pages(count: int = 800, seed: int = 11) -> list[tuple[str, list[str]]]:
     """(html, main text blocks) of invented pages in many layouts."""
     rng = random.Random(seed)
 
@@ -288,27 +301,29 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[str, list[str
         return "".join(f'<{tag}><a href="/{word()}">{phrase(1, 3)}</a></{tag}>' for _ in range(rng.randint(3, 8)))
 
     def named(*names: str) -> str:
-        return f'{rng.choice(["class", "class", "id"])}="{rng.choice(names)}{rng.choice(["", "", "-" + word(), " " + word()])}"'
+        return f'{rng.choice(["class", "class", "id", "role"])}="{rng.choice(names)}{rng.choice(["", "", "-" + word(), " " + word()])}"'
 
     def boiler(kind: str) -> str:
         short = prose(rng.randint(1, 2)) if rng.random() < 0.7 else phrase(1, 6)
+        inner = rng.choice(["{}", "<p>{}</p>", "<h3>{1}</h3><p>{0}</p>", "<p>{}</p><p>{1}</p>"])
+        wrapped = lambda text: inner.replace("{}", "{0}").format(text, phrase(1, 6))
         if kind == "nav":
-            return rng.choice([f"<nav><ul>{links()}</ul></nav>", f'<div {named("menu", "nav", "navigation", "navbar", "breadcrumb", "breadcrumbs")}><ul>{links()}</ul></div>', f"<nav>{links('span')}</nav>"])
+            return rng.choice([f"<nav><ul>{links()}</ul></nav>", f'<div {named("menu", "nav", "navigation", "navbar", "breadcrumb", "breadcrumbs", "main-menu", "site-nav", "topnav", "links")}><ul>{links()}</ul></div>', f"<nav>{links('span')}</nav>"])
         if kind == "header":
-            return rng.choice([f"<header><div {named('logo', 'site-title', 'branding')}>{phrase(1, 3)}</div><p>{phrase(2, 7)}</p></header>", f"<header><h1>{phrase(1, 3)}</h1></header>", f'<div {named("header", "masthead", "top-bar")}>{phrase(1, 4)}</div>'])
+            return rng.choice([f"<header><div {named('logo', 'site-title', 'branding')}>{phrase(1, 3)}</div><p>{phrase(2, 7)}</p></header>", f"<header><h1>{phrase(1, 3)}</h1></header>", f'<div {named("header", "masthead", "top-bar", "site-header", "page-header", "branding")}>{phrase(1, 4)}</div>'])
         if kind == "footer":
-            return rng.choice([f"<footer>&copy; {word()}.example &middot; {short}</footer>", f"<footer><p>{short}</p><ul>{links()}</ul></footer>", f'<div {named("footer", "copyright", "colophon")}><p>© {word()} {short}</p></div>'])
+            return rng.choice([f"<footer>&copy; {word()}.example &middot; {short}</footer>", f"<footer><p>{short}</p><ul>{links()}</ul></footer>", f'<div {named("footer", "copyright", "colophon", "site-footer", "bottom", "legal")}><p>© {word()} {short}</p></div>'])
         if kind == "side":
-            return rng.choice([f"<aside><h2>{phrase(1, 3)}</h2><ul>{links()}</ul><p>{short}</p></aside>", f'<div {named("sidebar", "side", "widget", "related", "recommended", "trending")}><h3>{phrase(1, 3)}</h3><p>{prose(2)}</p><ul>{links()}</ul></div>', f"<aside><p>{prose(rng.randint(1, 3))}</p></aside>"])
+            return rng.choice([f"<aside><h2>{phrase(1, 3)}</h2><ul>{links()}</ul><p>{short}</p></aside>", f'<div {named("sidebar", "side", "widget", "related", "recommended", "trending", "related-posts", "side-bar", "most-read", "popular", "more-stories")}><h3>{phrase(1, 3)}</h3><p>{prose(2)}</p><ul>{links()}</ul></div>', f"<aside><p>{prose(rng.randint(1, 3))}</p></aside>"])
         if kind == "notice":
-            return f'<{(t := rng.choice(["div", "section", "p", "div"]))} {named("cookie", "cookie-notice", "notice", "banner", "consent", "gdpr", "alert", "newsletter", "subscribe", "paywall", "privacy")}>{prose(rng.randint(1, 3))}</{t}>'
+            return f'<{(t := rng.choice(["div", "section", "div", "aside"]))} {named("cookie", "cookie-notice", "notice", "banner", "consent", "gdpr", "alert", "newsletter", "subscribe", "paywall", "privacy", "cookie-banner", "cookies", "popup", "modal", "signup", "warning", "disclaimer", "notification")}>{wrapped(prose(rng.randint(1, 3)))}</{t}>'
         if kind == "ad":
-            return f'<{(t := rng.choice(["div", "aside", "section", "p", "div"]))} {named("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "sponsor")}>{prose(rng.randint(1, 3)) if rng.random() < 0.8 else phrase(1, 4)}</{t}>'
+            return f'<{(t := rng.choice(["div", "aside", "section", "div"]))} {named("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "sponsor", "adbox", "advertising", "ad-container", "banner-ad", "sponsored-content", "promotion")}>{wrapped(prose(rng.randint(1, 3)) if rng.random() < 0.8 else phrase(1, 4))}</{t}>'
         if kind == "form":
             return rng.choice([f"<form action=/><label>{phrase(1, 3)}</label><input name=q><p>{short}</p><button>{word()}</button></form>", f"<form><fieldset><legend>{phrase(1, 3)}</legend><label>{phrase(2, 6)}</label></fieldset></form>"])
         if kind == "comments":
             each = "".join(f'<{(t := rng.choice(["div", "li", "article"]))} class="comment"><p {named("author", "meta", "user")}>{phrase(1, 2)}</p><p>{prose(rng.randint(1, 5))}</p></{t}>' for _ in range(rng.randint(1, 5)))
-            return f'<{(t := rng.choice(["section", "div", "ol"]))} {named("comments", "comment-list", "responses", "discussion", "replies", "reader-comments")}><h2>{phrase(1, 2)}</h2>{each}</{t}>'
+            return f'<{(t := rng.choice(["section", "div", "ol"]))} {named("comments", "comment-list", "responses", "discussion", "replies", "reader-comments", "comment-section", "user-comments", "disqus", "feedback")}><h2>{phrase(1, 2)}</h2>{each}</{t}>'
         return f'<div {named("share", "social", "tags", "meta", "byline", "pagination", "pager", "toolbar")}>{phrase(1, 5)}</div>'
 
     kinds = ["nav", "header", "footer", "side", "notice", "ad", "form", "comments", "share"]
@@ -323,34 +338,40 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[tuple[str, list[str
                 out.append(f"<h1>{main[-1]}</h1>")
             for _ in range(rng.randint(1, 9)):
                 r = rng.random()
-                if r < 0.72:
-                    main.append(prose(rng.randint(1, 6)) if rng.random() < 0.85 else phrase(1, 5) + rng.choice(["", "."]))
+                if r < 0.62:
+                    text = prose(rng.randint(1, 6)) if rng.random() < 0.85 else phrase(1, rng.choice([1, 1, 5])) + rng.choice(["", ".", "."])
+                    # not all prose ends in a full stop
+                    main.append(text if rng.random() < 0.6 else text.rstrip(".!?") + rng.choice(["", "", "***", " #", "%", ","]))
                     out.append(rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p {}>".format(named("lead", "intro", "text")) + "{}</p>"]).format(main[-1]))
-                elif r < 0.80:
+                elif r < 0.70:
                     main.append(phrase(1, 6))
                     out.append(f"<{(t := rng.choice(['h2', 'h3']))}>{main[-1]}</{t}>")
-                elif r < 0.86:
+                elif r < 0.75:
                     items = [phrase(2, 12) + rng.choice(["", "."]) for _ in range(rng.randint(2, 5))]
                     main.extend(items)
                     out.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
-                elif r < 0.89:
+                elif r < 0.78:
                     main.append(prose(2))
-                    out.append(f"<blockquote>{main[-1]}</blockquote>")
-                elif r < 0.92:
+                    out.append(f"<{(t := rng.choice(['blockquote', 'pre', 'figcaption']))}>{main[-1]}</{t}>")
+                elif r < 0.81:
                     cells = [phrase(1, 3) for _ in range(4)]
                     main.extend(cells)
                     out.append("<table><tr>" + "".join(f"<td>{x}</td>" for x in cells) + "</tr></table>")
                 else:
-                    out.append(boiler(rng.choice(["ad", "ad", "share", "notice", "side", "form"])))
+                    out.append(boiler(rng.choice(["ad", "ad", "share", "notice", "side", "form", "comments"])))
+            if rng.random() < 0.15:
+                out.append(boiler("comments"))
             return "".join(out)
 
-        inside = rng.choice([
+        bare = rng.random() < 0.1
+        inside = "{}" if bare else rng.choice([
             "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>",
             '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<div class="post"><div class="entry">{}</div></div>',
-            '<div class="article-body">{}</div>', '<section class="story">{}</section>', "<div>{}</div>",
-        ]).format(body())
-        above = [boiler(k) for k in rng.sample(["nav", "header", "notice", "ad", "form", "share", "side"], rng.randint(0, 4))]
-        below = [boiler(k) for k in rng.sample(kinds, rng.randint(0, 5))]
+            '<div class="article-body">{}</div>', '<section class="story">{}</section>', "<div>{}</div>", "{}",
+        ])
+        inside = inside.format(body())
+        above = [] if bare else [boiler(k) for k in rng.sample(["nav", "header", "notice", "ad", "form", "share", "side"], rng.randint(0, 4))]
+        below = [] if bare else [boiler(k) for k in rng.sample(kinds, rng.randint(0, 5))]
         pages.append((f"<html><head><title>{phrase(2, 6)}</title><script>var a='<p>';</script></head><body>{''.join(above)}{inside}{''.join(below)}</body></html>", list(main)))
     return pages
 
