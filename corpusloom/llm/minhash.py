@@ -49,7 +49,7 @@ BLOCK_DOCS = 1_500
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxh3_64_intdigest(word)
         return value

@@ -3,51 +3,42 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..storage import new_path, shared_folder  # noqa: F401
+
 #: White space that separates words in every operator of this package.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is made and kept for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package, wherever the driver was started."""
+    """Lets Python workers on this machine import the package, wherever the driver was started.
+
+    Texts travel to them in smaller batches than Spark's default of 10,000
+    rows, unless the session has chosen a size itself.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     That cuts the lineage, keeps no state on executors, and gives the planner
     real sizes: a small table is then broadcast under Spark's own size check.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    importable(df.sparkSession)
+    return storage.stored(df, name)
 
 
 def remove(df: DataFrame) -> None:

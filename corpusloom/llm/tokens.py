@@ -11,11 +11,11 @@ are ordinary text.
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -47,11 +47,19 @@ class Encoder:
     """Encodes texts to arrays of unsigned 32-bit ids."""
 
     def __init__(self, path: str):
-        self._slow = Tokenizer.from_file(path)
-        self._slow.encode_special_tokens = True
+        self._path = path
         ranks = merge_ranks(path)
         self._fast = ranks and tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def _slow(self):
+        """The file's own library, loaded only where it is needed."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self._path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
