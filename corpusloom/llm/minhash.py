@@ -44,7 +44,7 @@ WIDTH = 5
 PERCENT = 85
 #: Shingles that a block of a posting list holds on average.
 BLOCK_SHINGLES = 400_000
-BLOCK_DOCS = 1_500
+BLOCK_DOCS = 400
 
 
 class _WordHashes(dict):
