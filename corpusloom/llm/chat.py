@@ -36,29 +36,47 @@ def _header(perspective: Column, role: Column) -> Column:
     )
 
 
+def _chunk_starts(rows: DataFrame) -> DataFrame:
+    """(_key, _chunk, perspective, _before): where each chunk of turns begins in each rendering.
+
+    Only lengths are grouped and joined here, no text. A rendering's length is
+    that of the dialogue with all speakers named, less what the perspective's
+    own headers save.
+    """
+    per = rows.groupBy("_key", "_chunk", "speaker").agg(F.count("*").alias("_n"), F.sum(F.length("text") + len(END)).alias("_text"))
+    # a null perspective owns no message, so every speaker is named
+    per = per.withColumn("_named", F.length(_header(F.lit(None).cast("string"), F.col("speaker"))))
+    chunks = per.groupBy("_key", "_chunk").agg(F.sum(F.col("_text") + F.col("_n") * F.col("_named")).alias("_all"))
+    people = per.where("speaker <> 'system'").select("_key", F.col("speaker").alias("perspective")).distinct()
+    saved = per.select("_key", "_chunk", F.col("speaker").alias("perspective"), (F.col("_n") * (F.col("_named") - F.length(F.lit("<|assistant|>\n")))).alias("_saved"))
+    sizes = chunks.join(people, "_key").join(saved, ["_key", "_chunk", "perspective"], "left").withColumn("_size", F.col("_all") - F.coalesce("_saved", F.lit(0)))
+    before = Window.partitionBy("_key", "perspective").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_key", "_chunk", "perspective", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+
+
 def rotated(turns: DataFrame) -> DataFrame:
-    """conv_id, perspective, turn, speaker, role, segment, start, end, mask_start, mask_end."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    people = rows.where("speaker <> 'system'").select(F.col("conv_id").alias("_c"), F.col("speaker").alias("perspective")).distinct()
-    out = rows.join(people, rows["conv_id"].eqNullSafe(people["_c"])).drop("_c")
+    """conv_id, perspective, turn, speaker, role, segment, start, end, mask_start, mask_end.
+
+    Texts are shuffled once, by conversation and chunk; the offsets within a
+    chunk are running sums on that partitioning.
+    """
+    rows = turns.select(
+        "conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null")).alias("_key"),
+        F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-1)).cast("long").alias("_chunk"),
+        "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    out = rows.join(_chunk_starts(rows).hint("merge"), ["_key", "_chunk"])
     head = _header(F.col("perspective"), F.col("speaker"))
-    out = out.withColumns({"segment": F.concat(head, F.col("text"), F.lit(END)), "_head": F.length(head).cast("long"), "_text": F.length("text").cast("long")})
-    size = F.length("segment").cast("long")
-    group = ["conv_id", "perspective"]
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-1)).cast("long")
-    out = out.withColumns({"_size": size, "_chunk": chunk})
-    sums = out.groupBy(*group, "_chunk").agg(F.sum("_size").alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("_c"), F.col("perspective").alias("_p"), F.col("_chunk").alias("_k"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*group, "_chunk").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    out = out.join(sums, out["conv_id"].eqNullSafe(sums["_c"]) & (out["perspective"] == sums["_p"]) & (out["_chunk"] == sums["_k"]))
-    start = (F.col("_before") + F.col("_in")).cast("long")
+    size = (F.length(head) + F.length("text") + len(END)).cast("long")
+    inside = Window.partitionBy("_key", "_chunk", "perspective").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({"_head": F.length(head).cast("long"), "_size": size})
+    out = out.withColumn("start", (F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).cast("long"))
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise("user")
+    end = F.col("start") + F.col("_size")
     return out.select(
-        "conv_id", "perspective", "turn", "speaker", role.alias("role"), "segment", start.alias("start"), (start + F.col("_size")).alias("end"),
-        F.when(own, start + F.col("_head")).alias("mask_start"), F.when(own, start + F.col("_size")).alias("mask_end"),
+        "conv_id", "perspective", "turn", "speaker", role.alias("role"), F.concat(head, F.col("text"), F.lit(END)).alias("segment"), "start", end.alias("end"),
+        F.when(own, F.col("start") + F.col("_head")).alias("mask_start"), F.when(own, end).alias("mask_end"),
     )
 
 
