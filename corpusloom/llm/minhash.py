@@ -136,14 +136,19 @@ def _sketch_only(docs: DataFrame, columns: list[str], text: str = "text") -> Dat
 
 
 def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings (rep, sig, n, prefix, e) dealt to block pairs: adds ``i`` and ``j`` (block numbers, i <= j) and ``own`` (the row's block)."""
-    size = postings.groupBy("e").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
+    """Postings (rep, sig, n, prefix, e) dealt to block pairs: adds ``i`` and ``j`` (block numbers, i <= j) and ``own`` (the row's block).
+
+    Only long lists have more than one block; their table is small beside the
+    postings and is joined under Spark's size check, so postings stay where they are.
+    """
+    size = postings.groupBy("e").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     parts = F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("m") / BLOCK_DOCS)).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
+    long_ = stored(size.select("e", parts.alias("parts")).where("parts > 1"), "near-long-lists")
+    n_parts = F.coalesce("parts", F.lit(1))
     return (
-        postings.join(size.select("e", parts.alias("parts")), "e")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        postings.join(long_, "e", "left")
+        .withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), n_parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
         .drop("other", "parts")
     )
