@@ -76,45 +76,46 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """Link counts and a spanning forest of the block pairs in ``rows``."""
     out_a, out_b, out_n = [], [], []
-    for (_, table, _, i, j), at in rows.groupby(["bucket", "t", "dim", "i", "j"]).indices.items():
-        part = rows.iloc[at]
-        own = part["own"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        if not len(left) or not len(right) or (i == j and len(left) < 2):
+    bucket, table, i, j, own, rep, copies = (rows[c].to_numpy(np.int64) for c in ("bucket", "t", "i", "j", "own", "rep", "copies"))
+    keys = np.stack(rows["keys"].tolist())
+    raw = rows["v"].tolist()
+    order = np.lexsort((j, i, bucket))
+    cut = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+    for at in np.split(order, cut):
+        if len(at) < 2 or len({len(raw[k]) for k in at}) > 1:  # different lengths meet by chance only
             continue
-        x = unit(np.stack([np.asarray(v, np.float64) for v in part["v"]]))
-        keys = np.stack([np.asarray(k, np.int64) for k in part["keys"]])
-        rep, copies = part["rep"].to_numpy(np.int64), part["copies"].to_numpy(np.int64)
-        near = np.clip(x[left] @ x[right].T, -1, 1) >= THRESHOLD
-        for s in range(table):  # a pair counts where it meets first
-            near &= keys[left, s][:, None] != keys[right, s][None, :]
-        if i == j:
+        first = at[0]
+        left, right = at[own[at] == i[first]], at[own[at] == j[first]]
+        if not len(left) or not len(right):
+            continue
+        x = unit(np.stack([raw[k] for k in left]))
+        y = x if i[first] == j[first] else unit(np.stack([raw[k] for k in right]))
+        near = x @ y.T >= THRESHOLD
+        if i[first] == j[first]:
             near = np.triu(near, 1)
         if not near.any():
             continue
-        got = near @ copies[right]
-        back = near.T @ copies[left]
-        for who, n in ((rep[left], got), (rep[right], back)):
+        for s in range(table[first]):  # a pair counts where it meets first
+            near &= keys[left, s][:, None] != keys[right, s][None, :]
+        for who, n in ((left, near @ copies[right]), (right, near.T @ copies[left])):
             some = n > 0
-            out_a += who[some].tolist()
+            out_a += rep[who[some]].tolist()
             out_b += [None] * int(some.sum())
             out_n += n[some].tolist()
         root: dict = {}
 
-        def find(y: int) -> int:
-            while root.get(y, y) != y:
-                y = root[y]
-            return y
-
-        for p in range(len(left)):
-            a = rep[left[p]]
-            for b in rep[right[np.flatnonzero(near[p])]]:
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    root[max(ra, rb)] = min(ra, rb)
-                    out_a.append(a)
-                    out_b.append(b)
-                    out_n.append(0)
+        def find(z: int, root: dict = root) -> int:
+            while root.get(z, z) != z:
+                z = root[z]
+            return z
+
+        for p, q in zip(*np.nonzero(near)):
+            a, b = find(int(rep[left[p]])), find(int(rep[right[q]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out_a.append(int(rep[left[p]]))
+                out_b.append(int(rep[right[q]]))
+                out_n.append(0)
     return pd.DataFrame({"a": pd.Series(out_a, dtype="Int64"), "b": pd.Series(out_b, dtype="Int64"), "n": pd.Series(out_n, dtype="Int64")})
 
 
