@@ -108,6 +108,24 @@ def order_violations(array: DataFrame, collection: DataFrame) -> DataFrame:
     )
 
 
+def linear_violations(array: DataFrame, collection: DataFrame) -> DataFrame:
+    """One row: rows, distinct positions, greatest rank, and neighbours out of order, for documents of any length.
+
+    An array is right if (symbol, rank of the next position) rises with rank;
+    where both next positions are document ends the document decides. So no
+    suffix is compared.
+    """
+    follow = array.select("doc_id", (F.col("idx") - 1).alias("idx"), F.col("rank").alias("_next"))
+    rows = array.join(positions(collection), ["doc_id", "idx"]).join(follow, ["doc_id", "idx"], "left")
+    last = F.when(F.col("_next").isNull(), F.col("doc_id")).otherwise(0)
+    rows = rows.select("rank", "doc_id", "idx", F.struct("sym", F.coalesce("_next", F.lit(-1)).alias("r"), last.alias("d")).alias("_key"))
+    before = rows.select((F.col("rank") + 1).alias("rank"), F.col("_key").alias("_k"))
+    return rows.join(before, "rank", "left").agg(
+        F.count("*").alias("n"), F.count_distinct("doc_id", "idx").alias("n_distinct"), F.max("rank").alias("max_rank"),
+        F.count_if(F.col("_k") >= F.col("_key")).alias("violations"),
+    )
+
+
 def sa_violations(index: DataFrame, refs: DataFrame) -> DataFrame:
     """The linear check for each reference: a permutation, and (symbol, rank of the next position) rises with rank."""
     follow = index.select("ref_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("_next"))

@@ -508,6 +508,13 @@ def gsa_check(spark, d):
     return ga.order_violations(stored(ga.gsa(items), "gsa"), items)
 
 
+@query(_D + "select sum(length(text))::bigint as n, sum(length(text))::bigint as n_distinct, (sum(length(text)) - 1)::bigint as max_rank, 0::bigint as violations from d")
+def gsa_documents_check(spark, d):
+    """The suffix array of all documents, whole, and its linear check."""
+    docs = _documents(spark, d)
+    return ga.linear_violations(stored(ga.gsa(docs), "gsa"), docs)
+
+
 @query(f"with {_TYPES} select count(*) as n, 0::bigint as violations from t where type = 'L'")
 def induce_l_check(spark, d):
     items = _items(spark, d)

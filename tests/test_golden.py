@@ -102,6 +102,7 @@ def test_checks_see_errors(spark):
     docs = collection(spark, {1: "banana"})
     wrong = gsa.gsa(docs).withColumn("rank", F.when(F.col("rank") == 0, 5).when(F.col("rank") == 5, 0).otherwise(F.col("rank")))
     assert gsa.order_violations(wrong, docs).first().violations > 0
+    assert gsa.linear_violations(wrong, docs).first().violations > 0
     ref = refs(spark, "banana")
     index = refindex.suffix_array(ref).withColumn("rank", 5 - F.col("rank"))
     assert gsa.sa_violations(index, ref).first().violations > 0
@@ -122,8 +123,13 @@ def test_edge_documents(spark):
     docs = collection(spark, EDGES)
     want = suffix_order(EDGES)
     assert [(r.idx, r.doc_id) for r in gsa.gsa(docs).orderBy("rank").collect()] == want
+    assert tuple(gsa.linear_violations(gsa.gsa(docs), docs).first()) == (len(want), len(want), len(want) - 1, 0)
     ref = symbols.augmented(refs(spark, "banana"), docs).cache()
     index = refindex.with_lcp(refindex.suffix_array(ref), ref).cache()
+    levels = refindex.index_by_levels(ref)
+    assert sorted(levels.collect()) == sorted(index.collect())
+    by_text, by_rank = matchstats.matching_statistics(docs, ref), matchstats.matching_statistics_by_ranks(docs, ref)
+    assert sorted(by_text.collect()) == sorted(by_rank.select(*by_text.columns).collect())
     assert [(r.idx, r.doc_id) for r in gsa.gsa_by_matches(docs, ref, index).orderBy("rank").collect()] == want
     text = ref.first().text
     for r in matchstats.matching_statistics(docs, ref).collect():
