@@ -33,8 +33,13 @@ def collection_file(spark: SparkSession, path, separator: str = "%") -> DataFram
     """
     lines = spark.read.text(path, lineSep=separator).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
     lines = lines.withColumn("_n", F.monotonically_increasing_id()).where("value not rlike '^[\\n\\r]*$' or value = ''")
-    order = Window.orderBy("_f", "_b", "_n")
-    return lines.select(F.row_number().over(order).cast("long").alias("doc_id"), F.regexp_replace("value", "^[\n\r]+", "").alias("text"))
+    # numbered inside each block of a file, after the documents of the blocks before
+    sizes = lines.groupBy("_f", "_b").count()
+    span = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_f", "_b", F.coalesce(F.sum("count").over(span), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_n"))
+    numbered = lines.withColumn("_local", local).join(before, ["_f", "_b"])
+    return numbered.select((F.col("_before") + F.col("_local")).cast("long").alias("doc_id"), F.regexp_replace("value", "^[\n\r]+", "").alias("text"))
 
 
 def read_collections(spark: SparkSession, list_path: str) -> tuple[DataFrame, DataFrame]:
