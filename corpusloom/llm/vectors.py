@@ -88,8 +88,8 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = at[own[at] == i[first]], at[own[at] == j[first]]
         if not len(left) or not len(right):
             continue
-        x = unit(np.stack([raw[k] for k in left]))
-        y = x if i[first] == j[first] else unit(np.stack([raw[k] for k in right]))
+        x = unit(np.stack([raw[k] for k in left]).astype(np.float64))
+        y = x if i[first] == j[first] else unit(np.stack([raw[k] for k in right]).astype(np.float64))
         near = x @ y.T >= THRESHOLD
         if i[first] == j[first]:
             near = np.triu(near, 1)
@@ -121,17 +121,19 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
 
 def near_vectors(table: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
-    v = F.col("embedding").cast("array<double>")
+    # components travel as they are stored; all arithmetic is in double precision
+    kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = table.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & sound, F.lit(False))
-    rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda x: x + F.lit(0.0))))
+    rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))))
     key = [F.when(F.col("v").isNotNull(), F.xxhash64("label", "v", F.lit(s))).alias(f"k{s}") for s in (1, 2)]
     keyed = rows.select("vec_id", *key, "label", "v")
     # a class is named by a number of its own, since ids may be null
     groups = keyed.where("v is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     groups = groups.select(F.col("k1").alias("rep"), "k2", "least", "copies", "label", "v", F.size("v").alias("dim"))
-    groups = stored(groups.mapInPandas(_hashed, "rep long, k2 long, least long, copies long, label string, v array<double>, dim int, keys array<long>"), "vector-classes")
+    groups = stored(groups.mapInPandas(_hashed, f"rep long, k2 long, least long, copies long, label string, v array<{kind}>, dim int, keys array<long>"), "vector-classes")
 
     posted = groups.select("rep", "label", "dim", F.posexplode("keys").alias("t", "key")).select("rep", "dim", "t", F.xxhash64("label", "dim", "t", "key").alias("bucket"))
     full = posted.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
