@@ -4,7 +4,9 @@ Tables: whole texts of ``documents`` for the operators that are linear in
 text; ``benchmark`` as the collection of short strings (its first item is the
 reference of matching statistics; every item is a reference of its own for
 index operators); ``events`` as integer sequences. Every query runs over its
-whole table.
+whole table. Queries over ``benchmark`` have a form over all of ``documents``
+too (:data:`DOCUMENT_QUERIES`, names ending in ``_documents``), which takes
+texts of any length and has no oracle, since the SQL compares suffix strings.
 """
 
 from __future__ import annotations
@@ -41,11 +43,17 @@ def query(oracle: str | None = None):
     return add
 
 
+class Whole(str):
+    """A table folder whose ``documents``, not ``benchmark``, are collection, references and reference."""
+
+
 def _documents(spark, d) -> DataFrame:
     return src.table(spark, d, "documents").select("doc_id", "text")
 
 
 def _items(spark, d) -> DataFrame:
+    if isinstance(d, Whole):
+        return _documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
     return src.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -62,14 +70,21 @@ def _collection(spark, d) -> DataFrame:
     return _items(spark, d).join(_reference(spark, d).select(F.col("ref_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-def _index(refs: DataFrame) -> DataFrame:
+def _index(refs: DataFrame, d) -> DataFrame:
+    if isinstance(d, Whole):
+        return stored(refindex.index_by_levels(refs), "index")
     return stored(refindex.with_lcp(refindex.suffix_array(refs), refs), "index")
 
 
+def _statistics(d):
+    """The form of matching statistics: by suffix strings for short items, by ranks for texts of any length."""
+    return matchstats.matching_statistics_by_ranks if isinstance(d, Whole) else matchstats.matching_statistics
+
+
 def _matches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Collection, reference, stored reference index and stored matching statistics."""
     collection, reference = _collection(spark, d), stored(_reference(spark, d), "reference")
-    return collection, reference, _index(reference), stored(matchstats.matching_statistics(collection, reference), "matches")
+    return collection, reference, _index(reference, d), stored(_statistics(d)(collection, reference), "matches")
 
 
 def _heads(spark, d):
@@ -220,7 +235,7 @@ def inverse_sa(spark, d):
 
 @query(f"with {_IX} select ref_id, rank, pos, lcp from ix")
 def lcp_array(spark, d):
-    return _index(_refs(spark, d))
+    return _index(_refs(spark, d), d)
 
 
 @query(f"with {_IX} select ref_id, rank, pos, lcp from ix")
@@ -230,19 +245,19 @@ def lcp_array_by_levels(spark, d):
 
 @query(f"with {_IX} select ref_id, pos, greatest(lcp, coalesce(lead(lcp) over (partition by ref_id order by rank), 0)) as plcp_max from ix")
 def plcp_max(spark, d):
-    return refindex.with_plcp_max(_index(_refs(spark, d))).select("ref_id", "pos", "plcp_max")
+    return refindex.with_plcp_max(_index(_refs(spark, d), d)).select("ref_id", "pos", "plcp_max")
 
 
 @query(f"with {_IX} select ref_id, max(lcp) as max_lcp, max(lcp) filter (where left(s, 1) <> 'N') as max_lcp_without_n from ix group by ref_id")
 def max_lcp(spark, d):
     refs = _refs(spark, d)
-    rows = _index(refs).join(refs, "ref_id").withColumn("_c", tx.substr0(F.col("text"), F.col("pos"), 1))
+    rows = _index(refs, d).join(refs, "ref_id").withColumn("_c", tx.substr0(F.col("text"), F.col("pos"), 1))
     return rows.groupBy("ref_id").agg(F.max("lcp").alias("max_lcp"), F.max(F.when(F.col("_c") != "N", F.col("lcp"))).alias("max_lcp_without_n"))
 
 
 @query(f"with {_IX} select ref_id, sum(lcp)::bigint as sum_lcp, sum(lcp)::double / count(*) as avg_lcp from ix group by ref_id")
 def avg_lcp(spark, d):
-    return _index(_refs(spark, d)).groupBy("ref_id").agg(F.sum("lcp").alias("sum_lcp"), (F.sum("lcp").cast("double") / F.count("*")).alias("avg_lcp"))
+    return _index(_refs(spark, d), d).groupBy("ref_id").agg(F.sum("lcp").alias("sum_lcp"), (F.sum("lcp").cast("double") / F.count("*")).alias("avg_lcp"))
 
 
 @query(f"with {_IX} select ref_id, rank, sym from bw")
@@ -292,24 +307,24 @@ _IV = _IX + ", " + _PN + ", iv as (select ref_id, rank, lcp as len, coalesce(psv
 
 @query(f"with {_IX}, {_PN} select * from pn")
 def psv_nsv(spark, d):
-    return refindex.psv_nsv(_index(_refs(spark, d)))
+    return refindex.psv_nsv(_index(_refs(spark, d), d))
 
 
 @query(f"with {_IX} select a.ref_id, a.rank, min(b.lcp) as min_lcp from ix a join ix b on b.ref_id = a.ref_id and b.rank >= a.rank and b.rank < a.rank + {RANGE_WIDTH} group by all")
 def range_min(spark, d):
-    return refindex.range_minimum(_index(_refs(spark, d)), RANGE_WIDTH)
+    return refindex.range_minimum(_index(_refs(spark, d), d), RANGE_WIDTH)
 
 
 @query(f"with {_IV} select * from iv")
 def lcp_interval(spark, d):
-    return refindex.lcp_intervals(_index(_refs(spark, d)))
+    return refindex.lcp_intervals(_index(_refs(spark, d), d))
 
 
 @query(f"""with {_IV} select v.ref_id, v.rank, v.len - 1 as len, min(b.rank) as lo, max(b.rank) as hi from iv v
 join ix a on a.ref_id = v.ref_id and a.rank = v.rank join ix b on b.ref_id = v.ref_id and left(b.s, v.len - 1) = substr(a.s, 2, v.len - 1) and length(b.s) >= v.len - 1
 where v.len > 0 group by all""")
 def suffix_link(spark, d):
-    index = _index(_refs(spark, d))
+    index = _index(_refs(spark, d), d)
     return refindex.suffix_links(index, stored(refindex.lcp_intervals(index), "intervals"))
 
 
@@ -317,14 +332,14 @@ def suffix_link(spark, d):
 q as (select v.*, greatest(coalesce(x.lcp, 0), coalesce(y.lcp, 0)) as plen from iv v join s using (ref_id) left join ix x on x.ref_id = v.ref_id and x.rank = v.lo left join ix y on y.ref_id = v.ref_id and y.rank = v.hi + 1 where not (v.lo = 0 and v.hi = s.last))
 select q.ref_id, q.rank, q.plen as len, min(b.rank) as lo, max(b.rank) as hi from q join ix a on a.ref_id = q.ref_id and a.rank = q.lo join ix b on b.ref_id = q.ref_id and length(b.s) >= q.plen and left(b.s, q.plen) = left(a.s, q.plen) group by all""")
 def parent_interval(spark, d):
-    index = _index(_refs(spark, d))
+    index = _index(_refs(spark, d), d)
     return refindex.parent_intervals(index, stored(refindex.lcp_intervals(index), "intervals"))
 
 
 @query(f"with {_IV} select v.ref_id, v.lo, v.hi, v.len, substr(b.s, v.len + 1, 1) as sym, min(b.rank) as left_bound, max(b.rank) as right_bound from (select distinct ref_id, lo, hi, len from iv) v join ix b on b.ref_id = v.ref_id and b.rank between v.lo and v.hi group by all")
 def interval_bound_search(spark, d):
     refs = _refs(spark, d)
-    index = _index(refs)
+    index = _index(refs, d)
     return refindex.interval_bounds(index, refs, stored(refindex.lcp_intervals(index), "intervals"))
 
 
@@ -342,12 +357,12 @@ def sa_check(spark, d):
 @query(f"""with {_B}, r0 as (select min(doc_id) as m from d), rf as (select text as ref from d, r0 where doc_id = m)
 select doc_id, i - 1 as idx, list_max(list_filter(range(0, length(text) - i + 2), lambda l: contains(ref, substr(text, i, l)))) as len from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d), r0, rf where doc_id <> m""")
 def ms_len(spark, d):
-    return matchstats.matching_statistics(_collection(spark, d), _reference(spark, d)).select("doc_id", "idx", "len")
+    return _statistics(d)(_collection(spark, d), _reference(spark, d)).select("doc_id", "idx", "len")
 
 
 @query(f"with {_MS} select * from ms")
 def ms_full(spark, d):
-    return matchstats.matching_statistics(_collection(spark, d), _reference(spark, d))
+    return _statistics(d)(_collection(spark, d), _reference(spark, d))
 
 
 @query(f"with {_MS} select * from ms")
@@ -395,7 +410,7 @@ def length_buckets(spark, d):
 
 @query(f"with {_MS} select min(len) as min_len, max(len) as max_len, sum(len)::bigint as sum_len, sum(len)::double / count(*) as avg_len from ms")
 def ms_length_summary(spark, d):
-    ms = matchstats.matching_statistics(_collection(spark, d), _reference(spark, d))
+    ms = _statistics(d)(_collection(spark, d), _reference(spark, d))
     return ms.agg(F.min("len").alias("min_len"), F.max("len").alias("max_len"), F.sum("len").alias("sum_len"), (F.sum("len").cast("double") / F.count("*")).alias("avg_len"))
 
 
@@ -492,7 +507,7 @@ def gsa_bucketed(spark, d):
 def gsa_by_ranks(spark, d):
     collection = _collection(spark, d)
     reference = stored(symbols.augmented(_reference(spark, d), collection), "reference")
-    return ga.gsa_by_matches(collection, reference, _index(reference))
+    return ga.gsa_by_matches(collection, reference, _index(reference, d), _statistics(d))
 
 
 @query(f"with {_GSA}, t as (select *, idx > 0 and s < t and (select substr(d.text, g.idx) > g.s from d where d.doc_id = g.doc_id) as star from g) select row_number() over (order by rank) - 1 as order_no, doc_id, idx from t where star")
@@ -551,8 +566,33 @@ def int_bwt(spark, d):
 @query(f"with {_GSA} select count(*) as n, 0::bigint as missing, 0::bigint as added from g")
 def sink_roundtrip(spark, d):
     """The GSA written as a sorted table and read back."""
-    array, path = stored(ga.gsa_bucketed(_items(spark, d)), "gsa"), new_path(spark, "sink")
+    by = ga.gsa if isinstance(d, Whole) else ga.gsa_bucketed
+    array, path = stored(by(_items(spark, d)), "gsa"), new_path(spark, "sink")
     src.write_index(array, path, ["rank"])
     back = spark.read.parquet(path)
     both = array.select("*", F.lit(1).alias("_a")).unionByName(back.select("*", F.lit(-1).alias("_a"))).groupBy("rank", "doc_id", "idx").agg(F.sum("_a").alias("_s"), F.count_if(F.col("_a") > 0).alias("_n"))
     return both.agg(F.sum("_n").alias("n"), F.count_if(F.col("_s") > 0).alias("missing"), F.count_if(F.col("_s") < 0).alias("added"))
+
+
+# ---- the same over documents -----------------------------------------------------------------
+
+#: Queries that read ``documents`` or ``events`` themselves.
+_OWN_TABLE = set(
+    "text_trim symbol_substitution sym_histogram sym_max_run alphabet_remap bucket_starts bucket_ends printable_char floor_log2 "
+    "doc_lengths doc_boundaries gsa_documents_check int_suffix_array int_bwt".split()
+)
+#: Queries that write out suffix strings, whose size is the square of a text's; gsa_documents and gsa_documents_check tell the same of the last two.
+_STRINGS = {"suffix_scan", "gsa_bucketed", "gsa_check"}
+
+
+def _over_documents(f):
+    def run(spark, d):
+        return f(spark, Whole(d))
+
+    run.__doc__ = f"As ``{f.__name__}``, over all of ``documents`` (reference: the one of the least id)."
+    return run
+
+
+DOCUMENT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f"{name}_documents": _over_documents(f) for name, f in QUERIES.items() if name not in _OWN_TABLE | _STRINGS
+}
