@@ -14,7 +14,8 @@ needs no input table, takes a bounded number of pages and gives a few hundred
 weights, which travel with the tasks.
 
 Defined cases: null, empty or textless pages give an empty text; unclosed and
-stray tags are closed as browsers do for paragraphs, items and cells; pages of
+stray tags are closed as browsers do for paragraphs, items, cells and heads, and
+the end tag of an element without text closes what is open inside it; pages of
 any length are read in one pass; repeated rows give equal rows; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -41,6 +42,8 @@ BLOCK_TAGS = frozenset(
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style noscript template textarea select option title head iframe object svg math canvas button datalist".split())
 RAW = frozenset("script style textarea title iframe".split())
+#: What an open head holds; any other tag, or text, ends it, as its omitted end tag would.
+HEAD_TAGS = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open element of these kinds first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -109,6 +112,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         tag = page.find("<", at)
         if tag < 0:
             tag = size
+        if silent and stack[-1][0] == "head" and page[at:tag].strip():
+            pop(len(stack) - 1)
         if tag > at and not silent:
             held.append(page[at:tag])
             if links:
@@ -143,9 +148,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if stack[k][0] == kind:
                     pop(k)
                     break
-                if kind not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
+                if kind not in BLOCK_TAGS and kind not in SILENT and stack[k][0] in BLOCK_TAGS:
                     break
             continue
+        if kind == "head" and any(t == "head" for t, _, _ in stack):
+            continue
+        if silent and (kind == "body" or stack[-1][0] == "head" and kind not in HEAD_TAGS):
+            for k, (name, _, _) in enumerate(stack):
+                if name == "head":
+                    pop(k)
+                    break
         if kind in VOID or body.endswith("/") and kind not in RAW:
             continue
         if kind in BLOCK_TAGS:
