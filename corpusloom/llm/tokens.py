@@ -4,8 +4,8 @@ The vocabulary and merges are those of the tokenizer's JSON file. Where ids
 follow the order of merges, as in byte-level BPE files, a vocabulary of ranks
 says the same as the merges, and ``tiktoken`` applies it several times faster
 than the file's own library with equal ids; other files, and texts that
-``tiktoken`` can't split, go through ``tokenizers``. Strings of special tokens
-are ordinary text.
+``tiktoken`` can't split, go through ``tokenizers``. A special token's string in
+a text is that token's id, as ``encode(text, add_special_tokens=False)`` reads it.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def merge_ranks(path: str) -> dict[bytes, int] | None:
-    """Token bytes and ids of a byte-level BPE file whose ids rise with its merges; None for any other file."""
+def merge_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Token bytes and ids of a byte-level BPE file whose ids rise with its merges, and its added tokens; None for any other file."""
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
     model, split = data["model"], data.get("pre_tokenizer") or {}
@@ -39,8 +39,11 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
     merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if merged != sorted(merged):
         return None
-    special = {t["content"] for t in data.get("added_tokens", [])}
-    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    added = data.get("added_tokens", [])
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        return None
+    special = {t["content"]: t["id"] for t in added}
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}, special
 
 
 class Encoder:
@@ -48,24 +51,22 @@ class Encoder:
 
     def __init__(self, path: str):
         self._path = path
-        ranks = merge_ranks(path)
-        self._fast = ranks and tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        found = merge_ranks(path)
+        self._fast = found and tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found[0], special_tokens=found[1])
 
     @cached_property
     def _slow(self):
         """The file's own library, loaded only where it is needed."""
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self._path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+        return Tokenizer.from_file(self._path)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
         if self._fast:
             try:
-                return self._fast.encode_to_numpy(text, disallowed_special=())
+                return self._fast.encode_to_numpy(text, allowed_special="all")
             except Exception:  # the splitter gives up on some very long runs
                 pass
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
