@@ -19,10 +19,11 @@ K = 24 coordinates agree, which has probability 1.3e-7; every link that is
 returned is exact.
 
 Defined cases: null and whitespace texts have an empty set and link with
-nothing; texts of fewer than five words are one shingle; null ids stay, never
-kept and never a representative unless all ids of their class are null;
-repeated rows share the class of their text; an empty table gives an empty
-result; other columns are left alone.
+nothing; texts of fewer than five words are one shingle; texts with a null id
+link like all others, and are never kept or a component's id, which is null
+where no document has one; repeated rows share the class of their text; an id
+with several texts is in several classes; an empty table gives an empty result;
+other columns are left alone.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def _sketch_only(docs: DataFrame, columns: list[str], text: str = "text") -> Dat
 
 
 def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings (rep, sig, n, prefix, e) dealt to block pairs: adds ``i`` and ``j`` (block numbers, i <= j) and ``own`` (the row's block).
+    """Postings (cls, sig, n, prefix, e) dealt to block pairs: adds ``i`` and ``j`` (block numbers, i <= j) and ``own`` (the row's block).
 
     Only long lists have more than one block; their table is small beside the
     postings and is joined under Spark's size check, so postings stay where they are.
@@ -147,7 +148,7 @@ def _blocks(postings: DataFrame) -> DataFrame:
     n_parts = F.coalesce("parts", F.lit(1))
     return (
         postings.join(long_, "e", "left")
-        .withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), n_parts).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), n_parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
         .drop("other", "parts")
@@ -172,7 +173,7 @@ def _by_block(rows: pd.DataFrame) -> Iterator[tuple[tuple[int, int, int], np.nda
 def _meetings(rows: pd.DataFrame) -> pd.DataFrame:
     """Which documents of each block pair must be compared on their sets."""
     sig, n, own = np.stack(rows["sig"].tolist()), rows["n"].to_numpy(np.int64), rows["own"].to_numpy()
-    reps, prefixes = rows["rep"].to_numpy(np.int64), rows["prefix"].tolist()
+    ids, prefixes = rows["cls"].to_numpy(np.int64), rows["prefix"].tolist()
     found = []
     for (e, i, j), at in _by_block(rows):
         left, right = at[own[at] == i], at[own[at] == j]
@@ -193,8 +194,8 @@ def _meetings(rows: pd.DataFrame) -> pd.DataFrame:
             for b in others[ok].tolist():
                 if not (a in chosen and b in chosen) and not earlier(int(a)) & earlier(b):
                     chosen |= {int(a), b}
-        found += [(e, i, j, reps[x]) for x in chosen]
-    return pd.DataFrame(found, columns=["e", "i", "j", "rep"]).astype("int64")
+        found += [(e, i, j, ids[x]) for x in chosen]
+    return pd.DataFrame(found, columns=["e", "i", "j", "cls"]).astype("int64")
 
 
 def _overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -241,9 +242,9 @@ def _linked_pairs(sets: list[np.ndarray], n: np.ndarray, tile: int = 192) -> Ite
 def _links(rows: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the exact links among the documents of each block pair."""
     edges = []
-    reps, texts = rows["rep"].to_numpy(np.int64), rows["text"].tolist()
+    ids, texts = rows["cls"].to_numpy(np.int64), rows["text"].tolist()
     for _, at in _by_block(rows):
-        at = at[np.argsort(reps[at], kind="stable")]
+        at = at[np.argsort(ids[at], kind="stable")]
         sets = [shingles(texts[x]) for x in at]
         n = np.array([len(s) for s in sets])
         root = list(range(len(at)))
@@ -258,104 +259,118 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
             a, b = find(p), find(q)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                edges.append((reps[at[p]], reps[at[q]]))
+                edges.append((ids[at[p]], ids[at[q]]))
     return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
 
 def classes(sketch: DataFrame) -> DataFrame:
-    """One row per distinct set that an id represents: ``_set``, ``rep`` (least id), ``n``, ``sig``."""
-    return sketch.where("_set is not null").groupBy("_set").agg(F.min("doc_id").alias("rep"), F.first("_n").alias("n"), F.first("_sig").alias("sig"))
+    """One row per distinct set: ``_set``, ``cls`` (its number), ``rep`` (least id, null if it has none), ``n``, ``sig``."""
+    groups = sketch.where("_set is not null").groupBy("_set").agg(F.min("doc_id").alias("rep"), F.first("_n").alias("n"), F.first("_sig").alias("sig"))
+    return groups.withColumn("cls", F.xxhash64("_set"))
 
 
-def similar_classes(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Stored links (a, b) between class representatives that join the same classes as all links would.
+def _several(sketch: DataFrame) -> DataFrame:
+    """``_id``: ids that occur on several rows."""
+    return sketch.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
 
-    ``docs`` has ``doc_id`` and ``text``; of rows that share a representative's
-    id the one with the class's set counts.
+
+def similar_classes(groups: DataFrame, docs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Stored links (a, b) between class numbers that join the same classes as all links would.
+
+    ``docs`` has ``doc_id`` and ``text``, ``sketch`` its sets.
     """
     # the low six bits of a packed element are its coordinate
     packed = F.transform(F.col("sig"), lambda v, k: F.shiftleft(F.xxhash64(k, v), 6).bitwiseOR(k.cast("long")))
-    posted = groups.where("rep is not null").select("_set", F.explode(packed).alias("e"))
+    posted = groups.select("_set", F.explode(packed).alias("e"))
     often = posted.groupBy("e").count().where("count > 1")
     # order of all elements: rarest first
     prefix = (
         posted.join(often, "e").groupBy("_set").agg(F.sort_array(F.collect_list(F.struct("count", "e"))).alias("x"))
         .where(F.size("x") >= T).select("_set", F.slice("x", F.lit(1), F.size("x") - (T - 1)).alias("x"))
     )
-    lists = groups.join(prefix, "_set").select("rep", "n", "sig", F.col("x.e").alias("prefix"), F.explode("x.e").alias("e"))
+    lists = groups.join(prefix, "_set").select("cls", "n", "sig", F.col("x.e").alias("prefix"), F.explode("x.e").alias("e"))
     lists = stored(lists, "near-postings")
     dealt = stored(_blocks(lists), "near-blocks")
-    met = _shared_out(dealt, dealt.count(), 10_000).groupBy("g").applyInPandas(_meetings, "e long, i long, j long, rep long")
+    met = _shared_out(dealt, dealt.count(), 10_000).groupBy("g").applyInPandas(_meetings, "e long, i long, j long, cls long")
     meet = stored(met, "near-meetings")
     # neither side of this join is bounded, so neither is broadcast at any size
-    wanted = meet.select("rep").distinct().join(groups.select("rep", "_set"), "rep").hint("merge")
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "_set", "text")
-    block = _shared_out(meet, meet.count(), 300).join(_checked(texts), "rep")
+    wanted = meet.select("cls").distinct().join(groups.select("cls", "rep", "_set"), "cls").hint("merge")
+    block = _shared_out(meet, meet.count(), 300).join(_texts(docs, wanted, sketch), "cls")
     links = stored(block.groupBy("g").applyInPandas(_links, "a long, b long").distinct(), "near-links")
     for done in (lists, dealt, meet):
         remove(done)
     return links
 
 
-def _checked(texts: DataFrame) -> DataFrame:
-    """One text a representative: where an id occurs on several rows, one whose text has the class's set."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = [xxh3_128_digest(shingles(t).tobytes()) == s for t, s in zip(batch["text"], batch["_set"])]
-            yield batch.loc[ok, ["rep", "text"]]
+def _texts(docs: DataFrame, wanted: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(cls, text): one text with the set of each class of ``wanted`` (cls, rep, _set).
 
-    once = texts.groupBy("rep").count().where("count > 1").select("rep")
-    repeated = texts.join(once, "rep", "left_semi")
-    if repeated.isEmpty():
-        return texts.select("rep", "text")
-    single = texts.join(once, "rep", "left_anti").select("rep", "text")
-    return single.union(repeated.mapInPandas(run, texts.select("rep", "text").schema).dropDuplicates(["rep"]))
+    An id on one row tells the text. Where the least id is null or on several
+    rows, the text is found by its set.
+    """
+    docs, several = docs.select("doc_id", "text"), stored(_several(sketch), "near-several")
+    no_id = sketch.where("doc_id is null").limit(1).count() > 0
+    repeated = not several.isEmpty()
+    by_id = docs.join(wanted, docs["doc_id"] == wanted["rep"])
+    if not (no_id or repeated):
+        return by_id.select("cls", "text")
+    rows = docs.where("doc_id is null")
+    if repeated:
+        by_id = by_id.join(several, by_id["rep"] == several["_id"], "left_anti")
+        rows = rows.union(docs.join(several, docs["doc_id"] == several["_id"], "left_semi"))
+        wanted = wanted.join(several, wanted["rep"] == several["_id"], "left").where("rep is null or _id is not null")
+    else:
+        wanted = wanted.where("rep is null")
+    found = sketched(rows).where("_set is not null").groupBy("_set").agg(F.first("text").alias("text"))
+    return by_id.select("cls", "text").union(found.join(wanted.select("cls", "_set"), "_set").select("cls", "text"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``_set``, ``n_shingles``, ``component_id``, ``kept``."""
+    """One row per document: ``doc_id``, ``_set``, ``_group`` (number of the component), ``n_shingles``, ``component_id``, ``kept``."""
     sketch = stored(_sketch_only(docs, ["doc_id"]), "near-sketches")
     groups = stored(classes(sketch), "near-classes")
-    found = components(similar_classes(groups, docs))
+    found = components(similar_classes(groups, docs, sketch)).select(F.col("node").alias("cls"), F.col("component").alias("_group"))
+    # a component's id is the least of its documents'
+    linked = stored(found.join(groups.select("cls", "rep"), "cls"), "near-linked")
+    least = linked.groupBy("_group").agg(F.min("rep").alias("_least"))
     label = (
-        groups.select("_set", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("_set", F.coalesce("component", "rep").alias("component"))
+        groups.select("_set", "cls", "rep").join(linked.select("cls", "_group").join(least, "_group"), "cls", "left")
+        .select("_set", F.coalesce("_group", "cls").alias("_group"), F.coalesce("_least", "rep").alias("component"))
     )
     out = sketch.select("doc_id", "_n", "_set").join(label, "_set", "left")
     component = F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select(
-        "doc_id", "_set", F.col("_n").alias("n_shingles"), component.alias("component_id"),
+        "doc_id", "_set", "_group", F.col("_n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return near_duplicates(docs.select("doc_id", "text")).drop("_set")
+    return near_duplicates(docs.select("doc_id", "text")).drop("_set", "_group")
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays, once.
 
-    Documents without words are linked with nothing and stay. A document with
-    a null id stays, once for each set, unless a document with an id has its set.
+    Documents without words are linked with nothing and stay. Of a group
+    without any id one document stays.
     """
     found = stored(near_duplicates(docs.select("doc_id", "text")), "near-result")
     keep = found.where("doc_id is not null and (kept or _set is null)").select(F.col("doc_id").alias("_id")).distinct()
     # the kept ids grow with the input: they are merged, never broadcast
     out = docs.join(keep.hint("merge"), docs["doc_id"] == keep["_id"], "left_semi")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    if not again.isEmpty():
-        # ids that occur on several rows: only rows with the set of the component's least document, one each
-        sets = found.where("kept and _set is not null").select(F.col("doc_id").alias("_id"), F.col("_set").alias("_s")).distinct()
-        twice = sketched(out.join(again, out["doc_id"] == again["_id"], "left_semi").select(*names))
-        first = twice.join(sets, (twice["doc_id"] == sets["_id"]) & (twice["_set"] == sets["_s"]), "left_semi").dropDuplicates(["doc_id", "_set"])
-        out = out.join(again, out["doc_id"] == again["_id"], "left_anti").select(*names).union(first.select(*names)).union(twice.where("_set is null").select(*names))
-    if found.where("doc_id is null").limit(1).count():
-        bare = sketched(docs.where("doc_id is null"))
-        known = found.where("doc_id is not null and _set is not null").select(F.col("_set").alias("_s")).distinct()
-        own = bare.where("_set is not null").join(known, bare["_set"] == known["_s"], "left_anti").dropDuplicates(["_set"])
-        out = out.select(*names).union(own.select(*names)).union(bare.where("_set is null").select(*names))
-    return out.select(*names)
+    again = stored(_several(found), "near-again")
+    no_id = found.where("doc_id is null").limit(1).count() > 0
+    if not no_id and again.isEmpty():
+        return out.select(*names)
+    # rows that no id tells apart stay by their set: the least of the component's
+    rows = out.join(again, out["doc_id"] == again["_id"], "left_semi").select(*names).union(docs.where("doc_id is null").select(*names))
+    rows = stored(sketched(rows), "near-untold")
+    able = found.where("_set is not null and (kept or doc_id is null and component_id is null)")
+    first = able.groupBy("_group").agg(F.min(F.struct("doc_id", "_set")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x._set").alias("_s"))
+    once = rows.where("_set is not null").dropDuplicates(["doc_id", "_set"])
+    once = once.join(first.hint("merge"), once["doc_id"].eqNullSafe(first["_id"]) & (once["_set"] == first["_s"]), "left_semi")
+    told = out.join(again, out["doc_id"] == again["_id"], "left_anti").select(*names)
+    return told.union(once.select(*names)).union(rows.where("_set is null").select(*names))
