@@ -14,9 +14,9 @@
 4. There they are compared on their full sets, and each block returns a
    spanning forest of its links, which joins the same documents as all links.
 
-A pair of similarity 0.85 or more is missed only if fewer than T = 10 of its
-K = 24 coordinates agree, which has probability 1.3e-7; every link that is
-returned is exact.
+A pair is missed only if fewer than T = 10 of its K = 24 coordinates agree,
+which has probability 1.5e-7 at similarity 0.85 (the query) and 6.7e-6 at 0.8
+(the pipeline's stage); every link that is returned is exact.
 
 Defined cases: null and whitespace texts have an empty set and link with
 nothing; texts of fewer than five words are one shingle; texts with a null id
@@ -41,8 +41,8 @@ from .shared import components, read_table, remove, stored
 
 K, T = 24, 10
 WIDTH = 5
-#: Percent of the union that the intersection must reach.
-PERCENT = 85
+#: Percent of the union that the intersection must reach, in the query and in the pipeline's stage.
+PERCENT, STAGE_PERCENT = 85, 80
 #: Shingles that a block of a posting list holds on average.
 BLOCK_SHINGLES = 400_000
 BLOCK_DOCS = 400
@@ -170,7 +170,7 @@ def _by_block(rows: pd.DataFrame) -> Iterator[tuple[tuple[int, int, int], np.nda
             yield (int(e[at[0]]), int(i[at[0]]), int(j[at[0]])), at
 
 
-def _meetings(rows: pd.DataFrame) -> pd.DataFrame:
+def _meetings(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Which documents of each block pair must be compared on their sets."""
     sig, n, own = np.stack(rows["sig"].tolist()), rows["n"].to_numpy(np.int64), rows["own"].to_numpy()
     ids, prefixes = rows["cls"].to_numpy(np.int64), rows["prefix"].tolist()
@@ -190,7 +190,7 @@ def _meetings(rows: pd.DataFrame) -> pd.DataFrame:
         for q, a in enumerate(left):
             others = right[q + 1 :] if i == j else right
             lo, hi = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
-            ok = ((sig[others] == sig[a]).sum(1) >= T) & (100 * lo >= PERCENT * hi)
+            ok = ((sig[others] == sig[a]).sum(1) >= T) & (100 * lo >= percent * hi)
             for b in others[ok].tolist():
                 if not (a in chosen and b in chosen) and not earlier(int(a)) & earlier(b):
                     chosen |= {int(a), b}
@@ -220,14 +220,14 @@ def _overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.
     return out
 
 
-def _linked_pairs(sets: list[np.ndarray], n: np.ndarray, tile: int = 192) -> Iterator[tuple[int, int]]:
+def _linked_pairs(sets: list[np.ndarray], n: np.ndarray, percent: int, tile: int = 192) -> Iterator[tuple[int, int]]:
     """All pairs of sets that reach the similarity."""
     if len(sets) <= 8:
         for p in range(len(sets)):
             for q in range(p):
-                if 100 * min(n[p], n[q]) >= PERCENT * max(n[p], n[q]):
+                if 100 * min(n[p], n[q]) >= percent * max(n[p], n[q]):
                     both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    if 100 * both >= PERCENT * (n[p] + n[q] - both):
+                    if 100 * both >= percent * (n[p] + n[q] - both):
                         yield p, q
         return
     for x in range(0, len(sets), tile):
@@ -235,11 +235,11 @@ def _linked_pairs(sets: list[np.ndarray], n: np.ndarray, tile: int = 192) -> Ite
             r, c = np.arange(x, min(x + tile, len(sets))), np.arange(y, min(y + tile, len(sets)))
             both = _overlaps(sets, r, c)
             union = n[r][:, None] + n[c][None, :] - both
-            for p, q in zip(*np.nonzero(100 * both >= PERCENT * union)):
+            for p, q in zip(*np.nonzero(100 * both >= percent * union)):
                 yield int(r[p]), int(c[q])
 
 
-def _links(rows: pd.DataFrame) -> pd.DataFrame:
+def _links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """A spanning forest of the exact links among the documents of each block pair."""
     edges = []
     ids, texts = rows["cls"].to_numpy(np.int64), rows["text"].tolist()
@@ -255,7 +255,7 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
                 x = root[x]
             return x
 
-        for p, q in _linked_pairs(sets, n):
+        for p, q in _linked_pairs(sets, n, percent):
             a, b = find(p), find(q)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -274,7 +274,7 @@ def _several(sketch: DataFrame) -> DataFrame:
     return sketch.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
 
 
-def similar_classes(groups: DataFrame, docs: DataFrame, sketch: DataFrame) -> DataFrame:
+def similar_classes(groups: DataFrame, docs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Stored links (a, b) between class numbers that join the same classes as all links would.
 
     ``docs`` has ``doc_id`` and ``text``, ``sketch`` its sets.
@@ -291,12 +291,12 @@ def similar_classes(groups: DataFrame, docs: DataFrame, sketch: DataFrame) -> Da
     lists = groups.join(prefix, "_set").select("cls", "n", "sig", F.col("x.e").alias("prefix"), F.explode("x.e").alias("e"))
     lists = stored(lists, "near-postings")
     dealt = stored(_blocks(lists), "near-blocks")
-    met = _shared_out(dealt, dealt.count(), 10_000).groupBy("g").applyInPandas(_meetings, "e long, i long, j long, cls long")
+    met = _shared_out(dealt, dealt.count(), 10_000).groupBy("g").applyInPandas(lambda rows: _meetings(rows, percent), "e long, i long, j long, cls long")
     meet = stored(met, "near-meetings")
     # neither side of this join is bounded, so neither is broadcast at any size
     wanted = meet.select("cls").distinct().join(groups.select("cls", "rep", "_set"), "cls").hint("merge")
     block = _shared_out(meet, meet.count(), 300).join(_texts(docs, wanted, sketch), "cls")
-    links = stored(block.groupBy("g").applyInPandas(_links, "a long, b long").distinct(), "near-links")
+    links = stored(block.groupBy("g").applyInPandas(lambda rows: _links(rows, percent), "a long, b long").distinct(), "near-links")
     for done in (lists, dealt, meet):
         remove(done)
     return links
@@ -325,11 +325,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, sketch: DataFrame) -> DataFrame:
     return by_id.select("cls", "text").union(found.join(wanted.select("cls", "_set"), "_set").select("cls", "text"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``_set``, ``_group`` (number of the component), ``n_shingles``, ``component_id``, ``kept``."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links at ``percent`` of the union; one row per document: ``doc_id``, ``_set``, ``_group`` (number of the component), ``n_shingles``, ``component_id``, ``kept``."""
     sketch = stored(_sketch_only(docs, ["doc_id"]), "near-sketches")
     groups = stored(classes(sketch), "near-classes")
-    found = components(similar_classes(groups, docs, sketch)).select(F.col("node").alias("cls"), F.col("component").alias("_group"))
+    found = components(similar_classes(groups, docs, sketch, percent)).select(F.col("node").alias("cls"), F.col("component").alias("_group"))
     # a component's id is the least of its documents'
     linked = stored(found.join(groups.select("cls", "rep"), "cls"), "near-linked")
     least = linked.groupBy("_group").agg(F.min("rep").alias("_least"))
@@ -356,7 +356,7 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are linked with nothing and stay. Of a group
     without any id one document stays.
     """
-    found = stored(near_duplicates(docs.select("doc_id", "text")), "near-result")
+    found = stored(near_duplicates(docs.select("doc_id", "text"), STAGE_PERCENT), "near-result")
     keep = found.where("doc_id is not null and (kept or _set is null)").select(F.col("doc_id").alias("_id")).distinct()
     # the kept ids grow with the input: they are merged, never broadcast
     out = docs.join(keep.hint("merge"), docs["doc_id"] == keep["_id"], "left_semi")
