@@ -121,56 +121,81 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Bins:
     return bins
 
 
+def _best_pair(source: tuple, limit: int) -> tuple | None:
+    """The two pieces of ``source`` (longest first) with the largest sum up to ``limit``, by two pointers."""
+    best, i, j = None, 0, len(source) - 1
+    while i < j or i == j and source[i][1] > 1:
+        a, b = source[i][0], source[j][0]
+        if a + b > limit:
+            i += 1
+            continue
+        if best is None or a + b > sum(best):
+            best = (a, b)
+        j -= 1
+    return best
+
+
 def _step(source: tuple, target: tuple, room: int) -> tuple[int, tuple, tuple] | None:
     """The exchange that fills ``target`` most: (gain, pieces it gets, pieces it gives)."""
     best = None
-    mine = [length for length, _ in source]
-    pairs = [(a, b) for i, a in enumerate(mine) for b in mine[i:] if a != b or dict(source)[a] > 1][:400]
-    theirs = [()] + [(length,) for length, _ in target]
-    for into in [(a,) for a in mine] + pairs:
-        if len(into) == 2 and len(theirs) == 1:
-            continue
-        for out in theirs if len(into) == 1 else theirs[1:]:
+    for out in [()] + [(length,) for length, _ in target]:
+        limit = room + sum(out)
+        one = next(((length,) for length, _ in source if length <= limit), None)
+        for into in (one, _best_pair(source, limit) if out else None):
+            if into is None:
+                continue
             gain = sum(into) - sum(out)
             if 0 < gain <= room and (best is None or (gain, -len(into)) > (best[0], -len(best[1]))):
                 best = (gain, into, out)
     return best
 
 
-def local_search(bins: Bins, total: int, moves: int = 2_000) -> Bins:
-    """Exchanges between underfull bins while the number of bins is above the lower bound."""
+def local_search(bins: Bins, total: int) -> Bins:
+    """Exchanges between underfull bins until their number meets the lower bound or no exchange improves.
+
+    Every exchange raises the sum of squared fills, so the search ends. A
+    group that found no partner looks again only at groups that came later.
+    """
     bound, capacity = -(-total // bins.capacity), bins.capacity
-    stuck: set = set()
-    for _ in range(moves):
-        if bins.count() <= bound:
-            break
+    born: Counter = Counter()
+    tried: dict = {}
+    now = 0
+    while bins.count() > bound:
+        now += 1
         under = sorted((c for c in bins.groups if bins.fill(c) < capacity), key=lambda c: (bins.fill(c), c))
-        source = next((c for c in under if c not in stuck), None)
-        if source is None:
-            break
-        done = False
-        for target in sorted(under, key=lambda c: (-bins.fill(c), c)):
-            if target == source and bins.groups[source] < 2 or bins.fill(target) < bins.fill(source):
+        newest = max((born[c] for c in under), default=0)
+        for source in under:
+            if tried.get(source, -1) >= newest:
                 continue
-            step = _step(source, target, capacity - bins.fill(target))
-            if step is None:
-                continue
-            _, into, out = step
-            times = bins.groups[source] // 2 if target == source else min(bins.groups[source], bins.groups[target])
-            for content in (source, target):
-                bins.groups[content] -= times
-            for content in (bins.changed(source, into, out), bins.changed(target, out, into)):
-                if content:
-                    bins.groups[content] += times
-            bins.groups += Counter()  # empty groups go
-            stuck.clear()
-            done = True
+            move = _move(bins, source, [c for c in under if born[c] > tried.get(source, -1)])
+            if move is not None:
+                break
+            tried[source] = now - 1
+        else:
             break
-        if not done:
-            stuck.add(source)
+        target, (_, into, out) = move
+        times = bins.groups[source] // 2 if target == source else min(bins.groups[source], bins.groups[target])
+        for content in (source, target):
+            bins.groups[content] -= times
+        for content in (bins.changed(source, into, out), bins.changed(target, out, into)):
+            if content:
+                bins.groups[content] += times
+                born[content] = now
+        bins.groups += Counter()  # empty groups go
     return bins
 
 
+def _move(bins: Bins, source: tuple, targets: list[tuple]) -> tuple | None:
+    """(target, step) of the fullest target that an exchange with ``source`` fills more."""
+    for target in sorted(targets, key=lambda c: (-bins.fill(c), c)):
+        if target == source and bins.groups[source] < 2 or bins.fill(target) < bins.fill(source):
+            continue
+        step = _step(source, target, bins.capacity - bins.fill(target))
+        if step is not None:
+            return target, step
+    return None
+
+
 def runs(bins: Bins) -> np.ndarray:
     """The plan: rows (length, first rank, bins, pieces a bin, first sequence, offset), by length and rank."""
     rank: Counter = Counter()
