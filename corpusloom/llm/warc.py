@@ -39,6 +39,8 @@ CLOSING = struct.pack("<II", 0x184D2A50, 1)
 #: Raw bytes of an archive, of its dictionary's sample, and of the dictionary.
 ARCHIVE_BYTES = 16 << 20
 SAMPLE_BYTES = 1 << 20
+#: Length of a chunk of the sample.
+CHUNK_BYTES = 4096
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -73,11 +75,25 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def trained(records: list[bytes]) -> bytes:
-    """A dictionary from an even sample of the records; too few to train on are used as they are."""
+def sampled(records: list[bytes]) -> list[bytes]:
+    """The records, or where they exceed SAMPLE_BYTES chunks of them, evenly spread over all their bytes."""
     total = sum(map(len, records))
-    step = max(1, total // SAMPLE_BYTES)
-    sample = [r[: 64 << 10] for r in records[::step]]
+    if total <= SAMPLE_BYTES:
+        return records
+    n = max(1, SAMPLE_BYTES // CHUNK_BYTES)
+    out, k, start = [], 0, 0
+    for r in records:
+        while k < n and k * total // n < start + len(r):
+            at = k * total // n - start
+            out.append(r[at : at + CHUNK_BYTES])
+            k += 1
+        start += len(r)
+    return out
+
+
+def trained(records: list[bytes]) -> bytes:
+    """A dictionary from a sample of the records; too few to train on are used as they are."""
+    total, sample = sum(map(len, records)), sampled(records)
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 20)), sample, k=64, d=8, steps=1).as_bytes()
     except zstandard.ZstdError:
