@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one machine, so any folder is shared)
+    uses one below its warehouse; on a cluster there is no folder to guess.
+    """
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_shared"
+        spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")
 
 
+#: Paths given out by this driver, in order.
+_given: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -26,3 +38,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_alone(build, spark: SparkSession, name: str) -> DataFrame:
+    """Store what ``build()`` returns and delete the tables that were stored on the way."""
+    first = len(_given)
+    out = stored(build(), name)
+    for path in _given[first:-1]:
+        delete(spark, path)
+    del _given[first:-1]
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all intermediate tables. Only when no result that reads them is needed any more: results are read from them lazily."""
+    delete(spark, f"{shared_folder(spark)}/corpusloom")
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`stored` that nothing needs any more."""
+    spark = df.sparkSession
+    tail = f"{shared_folder(spark)}/corpusloom/".split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if tail in folder:
+            delete(spark, folder)
