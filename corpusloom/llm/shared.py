@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..storage import new_path, shared_folder  # noqa: F401
+from ..storage import new_path, remove, stored_alone  # noqa: F401
 
 #: White space that separates words in every operator of this package.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -41,24 +41,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return storage.stored(df, name)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stored` that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    marker = f"{shared_folder(spark)}/corpusloom/"
-    tail = marker.split(":", 1)[-1].lstrip("/")
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if tail in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with its columns other than ``used`` renamed c0, c1, ..., so that no working column clashes with them."""
+    return docs.toDF(*[n if n in used else f"c{k}" for k, n in enumerate(docs.columns)])
+
+
+def restored(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` from a table made from :func:`plain`, under their names."""
+    return df.select(*[F.col(n if n in used else f"c{k}").alias(n) for k, n in enumerate(docs.columns)])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != F.lit(""))
@@ -86,6 +83,20 @@ def prefix_sums(values: Column, block: int = 64) -> Column:
     )
 
 
+#: Edges of a node that one task's share of a join holds on average.
+HUB = 256
+
+
+def _with_least(edges: DataFrame, least: DataFrame, name: str) -> DataFrame:
+    """``edges`` (a, b) with ``m`` of their a, from ``least`` (a, m, n). The edges of a hub are dealt to shares, so no node is a hot key."""
+    hubs = stored(least.where(F.col("n") > HUB).select("a", F.ceil(F.col("n") / HUB).cast("int").alias("parts")), name + "-hubs")
+    if hubs.isEmpty():
+        return edges.join(least.select("a", "m"), "a")
+    dealt = edges.join(hubs, "a", "left").withColumn("_s", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spread = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HUB).cast("int") - 1)).alias("_s"))
+    return dealt.join(spread, ["a", "_s"]).drop("_s")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of (a, b) edges as rows (node, component), component being the least node.
 
@@ -100,13 +111,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         # large star: every larger neighbour of a node is linked with the least node near it
         near = both(current)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(near, least, name).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its smaller neighbours are linked with the least of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            _with_least(down, low, name).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
