@@ -1,7 +1,9 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Patterns propose candidates; five labelers (checksum, gazetteer, context,
-boundary, variety) vote +1, 0 or -1 on each. Expectation-maximisation over the
+Patterns propose candidates; five labelers vote +1, 0 or -1 on each: a rule of
+the kind (checksums, issued ranges, letters mixed with digits), gazetteers of
+its parts, cue words in the 48 code points before it, its boundaries, and how
+many different characters it has. Expectation-maximisation over the
 vote patterns estimates every labeler's reliability and a posterior for each
 pattern; a logistic span classifier is then trained on votes, kind and shape
 with these posteriors as targets, and decides the candidates. The corpus is
@@ -10,7 +12,8 @@ at most :data:`MAX_PATTERNS` rows, whatever the input.
 
 The base spans (valid e-mail, IP, card and phone matches) always stay; the
 classifier adds spans of the other kinds, or drops their candidates. Added
-spans never overlap a base span.
+spans overlap neither a base span nor one another; of a secret and another
+kind the other one stays.
 
 Defined cases: null and empty texts have no spans; repeated rows are found
 alike; rows with null keys stay; an empty table gives an empty result; other
@@ -26,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums, read_table, stored
+from .shared import plain, prefix_sums, read_table, restored, stored
 
 BASE = {
     # \G or a look-behind: a run of name characters is tried once, from where it begins
@@ -37,19 +40,34 @@ BASE = {
 }
 EXTRA = {
     "spelt_email": r"\b[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}",
-    "local_phone": r"(?<![0-9.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]*[0-9])",
+    "local_phone": r"(?<![0-9.-])(?<!\+[0-9]{1,3}[\x20.-]?\(?)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]*[0-9])",
     "national_id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "person": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\b\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    # a value given to a name of secrets, or a long run of key characters wherever it is
+    "secret": r"(?<![A-Za-z0-9])(?:(?i:pass(?:word|wd|phrase)|pwd|secret|token|credential|(?:api|access|private|auth)[_\x20-]?key)s?[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?[^\s\"'<>,;]{8,256}+|[A-Za-z0-9+/_-]{20,}+={0,2})(?![A-Za-z0-9+/_=-])",
 }
 KINDS = [*BASE, *EXTRA]
-
-#: Gazetteer: ends of mail domains and common given names.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
-GIVEN = ("James", "Mary", "John", "Anna", "Maria", "Peter", "Paul", "Hans", "Jean", "Marie", "Juan", "Carlos", "Laura", "David", "Sarah")
+#: What of a match comes before its span.
+LEADS = {"secret": r"^(?i:pass(?:word|wd|phrase)|pwd|secret|token|credential|(?:api|access|private|auth)[_\x20-]?key)s?[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?"}
+
+#: Gazetteers. Ends of mail domains: generic ones of the public root zone list, and countries by size of their zones.
+DOMAINS = tuple("com org net edu gov mil int info biz name io co ai app dev me tv de uk fr es it nl eu ru pl br au ca us mx ar cl jp cn in kr ch at be se no dk fi cz pt gr ie nz za tr ua ro hu example test".split())
+#: Given names that public birth statistics (United States, Germany, France, Spain) list as most common over the last century.
+GIVEN = tuple(
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Paul Steven Andrew George Kevin "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Sandra Margaret Ashley Emily Laura Emma Olivia "
+    "Hans Peter Karl Heinz Werner Klaus Wolfgang Jürgen Stefan Andreas Anna Ursula Monika Petra Sabine Renate Helga Karin Brigitte Ingrid "
+    "Jean Pierre Michel André Philippe Louis Jacques Claude Nicolas Julien Marie Jeanne Françoise Monique Catherine Nathalie Isabelle Sylvie Camille Léa "
+    "Antonio José Manuel Francisco Juan Javier Carlos Miguel Luis Alejandro María Carmen Josefa Isabel Ana Dolores Pilar Teresa Rosa Lucía".split()
+)
+#: Countries whose account numbers are IBANs, of the public registry's largest.
+IBAN_COUNTRIES = tuple("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK SM TR UA".split())
+#: How keys of well-known services begin, as their public documentation says.
+KEY_STARTS = r"^(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|pk_|rk_|eyJ|hf_|npm_|ya29|SG)"
 #: Words before a span that speak for it, and against it.
-CUES = r"(?i)\b(?:e-?mail|mail|contact|phone|call|tel|mobile|fax|card|visa|account|iban|ssn|social security|address|name|reach|write to|signed)\b"
-COUNTER_CUES = r"(?i)\b(?:order|version|isbn|issn|invoice|serial|section|chapter|figure|build|sku|ref|page)\b"
+CUES = r"(?i)\b(?:e-?mail|mail|contact|phone|call|tel|mobile|fax|card|visa|account|iban|ssn|social security|address|name|reach|write to|signed|token|secret|pass(?:word|wd|phrase)|pwd|key|credential|auth|bearer)s?\b"
+COUNTER_CUES = r"(?i)\b(?:order|version|isbn|issn|invoice|serial|section|chapter|figure|build|sku|ref|page|sha-?[0-9]*|md5|hash|commit|checksum|digest|uuid|http|https|file|path)\b"
 VOTERS = ("checksum", "gazetteer", "context", "boundary", "variety")
 SHAPES = ("digits9", "spaced", "long")
 MAX_PATTERNS = len(KINDS) * 3 ** len(VOTERS) * 2 ** len(SHAPES)
@@ -84,6 +102,8 @@ def valid(kind: str, m: Column) -> Column:
         return m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     if kind == "local_phone":
         return m.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9]")
+    if kind == "secret":
+        return m.rlike("[A-Za-z]") & m.rlike("[0-9]") & ~m.rlike("^[A-Za-z]+[0-9]{1,4}$")
     if kind == "iban":
         plain = F.regexp_replace(m, " ", "")
         turned = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
@@ -102,25 +122,38 @@ def _gazetteer(kind: str, m: Column) -> Column:
     if kind == "person":
         return F.when(m.rlike(r"\b(?:" + "|".join(GIVEN) + r")\b"), 1).otherwise(0)
     if kind == "ip":
-        return F.when(m.rlike(r"^(?:0|127|255)\."), -1).otherwise(0)
+        return F.when(m.rlike(r"^0*(?:0|10|127|255|192\.168|169\.254)\."), -1).when(m.rlike(r"^0*(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\."), 1).otherwise(-1)
     if kind == "card":
-        return F.when(m.rlike("^(?:4|5[1-5]|34|37|6011)"), 1).otherwise(0)
-    return F.lit(0)
+        return F.when(m.rlike("^(?:4|5[1-5]|2[2-7]|34|37|6011|65)"), 1).otherwise(-1)
+    if kind == "phone":  # zones of the international numbering plan
+        return F.when(m.rlike(r"^\+(?:1|7|2[0-79]|3[0-69]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9])"), 1).otherwise(-1)
+    if kind == "local_phone":  # area codes begin with 2 to 9 and aren't service codes
+        return F.when(m.rlike(r"^\(?[2-9](?!11)[0-9]{2}"), 1).otherwise(-1)
+    if kind == "national_id":
+        return F.when(m.rlike("^(?:00[1-9]|0[1-9][0-9]|[1-5][0-9]{2}|6(?!66)[0-9]{2}|7[0-6][0-9]|77[0-2])"), 1).otherwise(-1)
+    if kind == "iban":
+        return F.when(F.left(m, F.lit(2)).isin(*IBAN_COUNTRIES), 1).otherwise(-1)
+    # keys: a known beginning, or as many hexadecimal digits as keys and digests have
+    return F.when(m.rlike(KEY_STARTS) | m.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{64})$"), 1).when(m.rlike("^[A-Za-z/_-]+$"), -1).otherwise(0)
 
 
 def _candidate(kind: str, m: Column, start: Column, before: Column, after: Column) -> Column:
+    if kind in LEADS:
+        value = F.regexp_replace(m, LEADS[kind], "")
+        lead = F.length(m) - F.length(value)
+        m, start, before = value, start + lead, F.concat(before, F.left(m, lead))
     near, digits = F.right(before, F.lit(48)), F.length(_digits(m))
     last, following = F.right(before, F.lit(1)), F.left(after, F.lit(1))
     glued = last.rlike(r"[\p{L}\p{N}_]") | following.rlike(r"[\p{L}\p{N}_]")
     bare = F.regexp_replace(m, r"[\x20().-]", "")
-    kinds = F.size(F.array_distinct(F.split(F.left(bare, F.lit(64)), "")))
+    kinds = F.size(F.array_distinct(F.split(bare, "")))
     ok = valid(kind, m)
     votes = {
         "checksum": F.when(ok, 1).otherwise(-1) if kind not in ("spelt_email", "person") else F.lit(0),
         "gazetteer": _gazetteer(kind, m),
         "context": F.when(near.rlike(CUES), 1).when(near.rlike(COUNTER_CUES), -1).otherwise(0),
         "boundary": F.when(glued, -1).otherwise(1),
-        "variety": F.when(kinds >= 5, 1).when(kinds <= 2, -1).otherwise(0),
+        "variety": F.when(kinds >= (10 if kind == "secret" else 5), 1).when(kinds <= (5 if kind == "secret" else 2), -1).otherwise(0),
     }
     shapes = {"digits9": digits >= 9, "spaced": F.instr(m, " ") > 0, "long": F.length(m) >= 20}
     return F.struct(
@@ -182,7 +215,7 @@ class Model:
 
 def pattern_counts(found: DataFrame) -> list[tuple[dict, int]]:
     """Counts by kind, votes and shape: the whole corpus in at most MAX_PATTERNS rows."""
-    names = ["kind", "ok", *VOTERS, *SHAPES]
+    names = ["kind", *VOTERS, *SHAPES]
     rows = found.select(F.explode("_p_all").alias("x")).groupBy(*[F.col("x")[n].alias(n) for n in names]).count().orderBy(*names).collect()
     return [({n: r[n] for n in names}, r["count"]) for r in rows]
 
@@ -244,8 +277,12 @@ def spans(found: DataFrame, model: Model) -> DataFrame:
     bare = lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
     out = found.withColumn("_p_base", F.transform(F.filter("_p_all", lambda x: x["kind"].isin(*BASE) & x["ok"]), bare))
     base = F.col("_p_base")
-    fresh = lambda x: ~x["kind"].isin(*BASE) & model.accepts(x) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return out.withColumn("_p_added", F.transform(F.filter("_p_all", fresh), bare))
+    free = lambda x, marks: ~F.exists(marks, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    kinds = [k for k in EXTRA if k != "secret"]
+    out = out.withColumn("_p_added", F.transform(F.filter("_p_all", lambda x: x["kind"].isin(*kinds) & model.accepts(x) & free(x, base)), bare))
+    taken = F.concat(base, F.col("_p_added"))
+    secrets = F.transform(F.filter("_p_all", lambda x: (x["kind"] == "secret") & model.accepts(x) & free(x, taken)), bare)
+    return out.withColumn("_p_added", F.concat("_p_added", secrets))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -284,16 +321,17 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k) for k in BASE],
         F.sha2(joined(F.col("_p_base")), 256).alias("base_sha256"),
         joined(F.concat("_p_base", "_p_added")).alias("spans"),
-        F.size("_p_added").cast("long").alias("n_added"),
+        F.size("_p_added").cast("long").alias("n_added"), (F.size("_p_base") + F.size("_p_added")).cast("long").alias("n_spans"),
     )
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is replaced in the text by its kind; ``n_chars`` follows."""
-    found = detect(docs)
+    used = ("text", "n_chars")
+    found = detect(plain(docs, *used))
     out = found.withColumn("_p_marks", merged(F.concat("_p_base", "_p_added")))
     new = F.when(F.size("_p_marks") > 0, redacted(F.col("text"), F.col("_p_marks"))).otherwise(F.col("text"))
     out = out.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_p_marks") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return restored(out, docs, *used)
