@@ -84,8 +84,10 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def packed_rows(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, width: int = 2, pad: int = 0) -> DataFrame:
-    """One row per sequence; ``width`` bytes an id (2 holds vocabularies up to 65,536)."""
+def packed_rows(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, width: int | None = None, pad: int = 0) -> DataFrame:
+    """One row per sequence; ``width`` bytes an id: 2 or 4, by default the least that holds the vocabulary (and ``pad``)."""
+    if (most := max(encoder(path).size - 1, pad)) >= 1 << 8 * (width := width or (2 if most < 1 << 16 else 4)):
+        raise ValueError(f"{width} bytes don't hold the id {most}")
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"sequence_id long, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{key}>, pieces array<int>, starts array<long>"
 

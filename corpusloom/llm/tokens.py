@@ -51,7 +51,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self._path = path
-        found = merge_ranks(path)
+        found = self._fast_ids = merge_ranks(path)
         self._fast = found and tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=found[0], special_tokens=found[1])
 
     @cached_property
@@ -61,13 +61,19 @@ class Encoder:
 
         return Tokenizer.from_file(self._path)
 
+    @cached_property
+    def size(self) -> int:
+        """One more than the largest id."""
+        known = {**self._fast_ids[0], **self._fast_ids[1]} if self._fast_ids else self._slow.get_vocab(with_added_tokens=True)
+        return max(known.values(), default=-1) + 1
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
         if self._fast:
             try:
                 return self._fast.encode_to_numpy(text, allowed_special="all")
-            except Exception:  # the splitter gives up on some very long runs
+            except ValueError:  # the splitter runs out of stack on runs of some hundred thousand blanks
                 pass
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
