@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .shared import components, read_table, remove, stored
+from .shared import components, plain, read_table, remove, restored, stored
 
 K, T = 24, 10
 WIDTH = 5
@@ -264,9 +264,9 @@ def _links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def classes(sketch: DataFrame) -> DataFrame:
-    """One row per distinct set: ``_set``, ``cls`` (its number), ``rep`` (least id, null if it has none), ``n``, ``sig``."""
+    """One row per distinct set: ``_set``, ``cls`` (its number, fixed once the table is stored), ``rep`` (least id, null if it has none), ``n``, ``sig``."""
     groups = sketch.where("_set is not null").groupBy("_set").agg(F.min("doc_id").alias("rep"), F.first("_n").alias("n"), F.first("_sig").alias("sig"))
-    return groups.withColumn("cls", F.xxhash64("_set"))
+    return groups.withColumn("cls", F.monotonically_increasing_id())
 
 
 def _several(sketch: DataFrame) -> DataFrame:
@@ -356,6 +356,11 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are linked with nothing and stay. Of a group
     without any id one document stays.
     """
+    used = ("doc_id", "text")
+    return restored(_one_of_each(plain(docs, *used)), docs, *used)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     found = stored(near_duplicates(docs.select("doc_id", "text"), STAGE_PERCENT), "near-result")
     keep = found.where("doc_id is not null and (kept or _set is null)").select(F.col("doc_id").alias("_id")).distinct()
     # the kept ids grow with the input: they are merged, never broadcast
@@ -374,3 +379,20 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = once.join(first.hint("merge"), once["doc_id"].eqNullSafe(first["_id"]) & (once["_set"] == first["_s"]), "left_semi")
     told = out.join(again, out["doc_id"] == again["_id"], "left_anti").select(*names)
     return told.union(once.select(*names)).union(rows.where("_set is null").select(*names))
+
+
+#: All shingles are joined exactly, so it suits small tables; components are the reachable pairs of distinct sets.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as a from documents),
+l as (select doc_id, list_distinct(list_transform(range(1, greatest(len(a) - 4, 1) + 1), lambda i: array_to_string(a[i:i + 4], ' '))) as s from w where len(a) > 0),
+u as (select md5(array_to_string(list_sort(s), chr(10))) as k, min(doc_id) as rep, any_value(s) as s from l group by k),
+x as (select rep, len(s) as n, unnest(s) as h from u),
+p as (select a.rep as a, b.rep as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as shared from x a join x b on a.h = b.h and a.rep < b.rep group by all),
+e as (select a, b from p where 100 * shared >= 85 * (n + m - shared)),
+g as (select a, b from e union all select b, a from e),
+t(a, b) as (select a, b from g union select t.a, g.b from t join g on t.b = g.a),
+c as (select a, least(a, min(b)) as component from t group by a)
+select w.doc_id, coalesce(len(l.s), 0) as n_shingles, coalesce(c.component, u.rep, w.doc_id) as component_id, coalesce(c.component, u.rep, w.doc_id) = w.doc_id as kept
+from w left join l using (doc_id) left join u on u.k = md5(array_to_string(list_sort(l.s), chr(10))) left join c on c.a = u.rep
+"""
