@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import read_table, stored, words_of
+from .shared import plain, read_table, restored, stored, words_of
 
 #: Scores that carry a learnt cutoff; each is a ratio, tested at k / GRID.
 RULES = ("symbols", "dup_lines", "repeats", "short_lines")
@@ -162,4 +162,33 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the columns stay as they are."""
-    return apply_rules(docs, read_table(spark, sf_dir, "labels")).where("_q_kept").select(*[f"`{c}`" for c in docs.columns])
+    used = ("doc_id", "lang", "text")
+    return restored(apply_rules(plain(docs, *used), read_table(spark, sf_dir, "labels")).where("_q_kept"), docs, *used)
+
+
+#: Base counts, the exact binomial tail by sums of its terms, and the fixed sequence of tests.
+ORACLE = r"""
+with d as (select doc_id, lang, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as a, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+i as (select doc_id, unnest(range(1, len(a) - 1)) as i, a from w),
+g as (select doc_id, i, count(*) over (partition by doc_id, a[i:i + 2]) as n from i),
+r as (select doc_id, count(distinct i + j) as n_repeat_words from g, range(3) q(j) where n > 1 group by doc_id),
+f as (select doc_id, lang, len(a) as n_words, length(array_to_string(a, '')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols,
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(l) as n_lines, len(list_filter(l, lambda x: length(x) < 20)) as n_short_lines
+  from w left join r using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  [least(100, case when word_chars > 0 then n_symbols * 100 // word_chars else 0 end), least(100, case when n_lines > 0 then n_dup_lines * 100 // n_lines else 0 end),
+   least(100, case when n_words > 0 then n_repeat_words * 100 // n_words else 0 end), least(100, case when n_lines > 0 then n_short_lines * 100 // n_lines else 0 end)] as levels from f),
+y as (select doc_id, min(quality) as q from labels group by doc_id having min(quality) = max(quality) and min(quality) in (0, 1)),
+z as (select lang, q, k as rule, levels[k] as level from b join y using (doc_id), range(1, 5) r(k) where not base_failed),
+c as (select lang, rule, level, sum(q) as good, sum(1 - q) as bad from z group by all),
+n as (select count(*) * 4 as tests from (select distinct lang from c)),
+s as (select *, sum(good) over (partition by lang, rule) as n, sum(good) over (partition by lang, rule order by level desc) as k, sum(bad) over (partition by lang, rule order by level desc) as hit from c),
+p as (select s.*, k < n * 0.0125 and n > 0 and
+  list_sum(list_transform(range(0, k::bigint + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0125) + (n - j) * ln(0.9875)))) <= 0.05 / tests as ok from s, n where level > 0),
+o as (select *, bool_and(ok) over (partition by lang, rule order by level desc) as certified from p),
+m as (select lang, rule, max(struct_pack(gain := hit - 10 * k, level := level)).level as cut from o where certified and hit - 10 * k > 0 group by all)
+select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not exists (select 1 from m where m.lang is not distinct from b.lang and b.levels[m.rule] >= m.cut) as kept
+from b
+"""
