@@ -9,9 +9,9 @@ sum of squared fills, on as many bins as both groups have at once, until the
 emptiest bins are empty, the lower bound is met or nothing improves.
 
 The plan is a table of runs (length, first rank, bins, pieces per bin, first
-sequence, offset). Best fit makes at most four groups a length and each of the
-``moves`` steps at most four more, so the table has a bound that doesn't grow
-with the corpus. Every piece finds its place from its rank among the pieces of
+sequence, offset). Best fit makes at most four groups a length and each move
+at most two more, on as many bins at once as both groups have, so the table
+follows the number of different lengths, at most ``capacity``, not the corpus. Every piece finds its place from its rank among the pieces of
 its length; ranks are counted in salted shares, so a length that a third of
 all pieces have is no hot spot.
 
@@ -23,6 +23,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -150,52 +151,122 @@ def _step(source: tuple, target: tuple, room: int) -> tuple[int, tuple, tuple] |
     return best
 
 
+class Open:
+    """Groups of underfull bins, found by a length they hold (0: any) and the room they have."""
+
+    def __init__(self):
+        self.holders: dict[tuple[int, int], dict] = {}
+        self.rooms: dict[int, list[int]] = {}
+        self.lengths: list[int] = []
+
+    def add(self, content: tuple, room: int) -> None:
+        for length in (0, *(x for x, _ in content)):
+            if (length, room) not in self.holders:
+                self.holders[length, room] = {}
+                if length not in self.rooms:
+                    self.rooms[length] = []
+                    insort(self.lengths, length)
+                insort(self.rooms[length], room)
+            self.holders[length, room][content] = None
+
+    def drop(self, content: tuple, room: int) -> None:
+        for length in (0, *(x for x, _ in content)):
+            held = self.holders[length, room]
+            del held[content]
+            if not held:
+                del self.holders[length, room]
+                self.rooms[length].remove(room)
+                if not self.rooms[length]:
+                    del self.rooms[length]
+                    self.lengths.remove(length)
+
+    def best(self, source: tuple, most: int, single: bool) -> tuple | None:
+        """(target, (gain, pieces it gets, pieces it gives)) of the exchange that leaves a target least room.
+
+        Targets have at most ``most`` room; ``single`` says that the source is
+        one bin, which can't be its own target.
+        """
+        sums = {}
+        for i, (x, n) in enumerate(source):
+            for y, _ in source[i if n > 1 else i + 1 :]:
+                sums[x + y] = (x, y)
+        sums |= {x: (x,) for x, _ in source}
+        found = None
+        for total, into in sums.items():
+            for at in range(bisect_left(self.lengths, total - most), bisect_left(self.lengths, total)):
+                out = self.lengths[at]
+                if not out and len(into) > 1:
+                    continue
+                rooms = self.rooms[out]
+                k = bisect_left(rooms, total - out)
+                if k == len(rooms) or rooms[k] > most:
+                    continue
+                key = rooms[k] - total + out, len(into), out > 0
+                if found is None or key < found[0]:
+                    target = next((c for c in self.holders[out, rooms[k]] if c != source or not single), None)
+                    if target is not None:
+                        found = key, target, (total - out, into, (out,) if out else ())
+        return found and found[1:]
+
+
 def local_search(bins: Bins, total: int) -> Bins:
     """Exchanges between underfull bins until their number meets the lower bound or no exchange improves.
 
-    Every exchange raises the sum of squared fills, so the search ends. A
-    group that found no partner looks again only at groups that came later.
+    Every exchange moves pieces to a bin that is at least as full, which raises
+    the sum of squared fills, so the search ends. Bins are emptied from the
+    emptiest on, in rounds until a round changes nothing; a group that found no
+    partner looks again only at groups that came later.
     """
-    bound, capacity = -(-total // bins.capacity), bins.capacity
-    born: Counter = Counter()
-    tried: dict = {}
-    now = 0
-    while bins.count() > bound:
-        now += 1
-        under = sorted((c for c in bins.groups if bins.fill(c) < capacity), key=lambda c: (bins.fill(c), c))
-        newest = max((born[c] for c in under), default=0)
-        for source in under:
-            if tried.get(source, -1) >= newest:
-                continue
-            move = _move(bins, source, [c for c in under if born[c] > tried.get(source, -1)])
-            if move is not None:
-                break
-            tried[source] = now - 1
-        else:
-            break
-        target, (_, into, out) = move
-        times = bins.groups[source] // 2 if target == source else min(bins.groups[source], bins.groups[target])
+    bound, capacity, groups = -(-total // bins.capacity), bins.capacity, bins.groups
+    open_, born, tried, count = Open(), [], {}, bins.count()
+    room = lambda c: capacity - bins.fill(c)
+    for content in sorted(groups):
+        if room(content):
+            open_.add(content, room(content))
+
+    def exchange(source: tuple, target: tuple, into: tuple, out: tuple) -> tuple:
+        """Makes the exchange on as many bins as both groups have; what is left of a source bin."""
+        nonlocal count
+        times = groups[source] // 2 if target == source else min(groups[source], groups[target])
         for content in (source, target):
-            bins.groups[content] -= times
-        for content in (bins.changed(source, into, out), bins.changed(target, out, into)):
-            if content:
-                bins.groups[content] += times
-                born[content] = now
-        bins.groups += Counter()  # empty groups go
+            groups[content] -= times
+            if not groups[content]:
+                del groups[content]
+                open_.drop(content, room(content))
+        rest = bins.changed(source, into, out)
+        for content in (rest, bins.changed(target, out, into)):
+            if not content:
+                count -= times
+                continue
+            if content not in groups and room(content):
+                open_.add(content, room(content))
+                born.append(content)
+            groups[content] += times
+        return rest
+
+    changed = True
+    while changed and count > bound:
+        changed = False
+        for source in sorted((c for c in groups if room(c)), key=lambda c: (bins.fill(c), c)):
+            while source in groups and count > bound:
+                move, single = None, groups[source] < 2
+                later = born[tried[source] :] if source in tried else None
+                if later is None or len(later) > 64:
+                    move = open_.best(source, room(source), single)
+                else:
+                    for target in dict.fromkeys(later):
+                        if target in groups and (target != source or not single) and room(target) <= room(source) and (step := _step(source, target, room(target))):
+                            move = target, step
+                            break
+                if move is None:
+                    tried[source] = len(born)
+                    break
+                rest, changed = exchange(source, move[0], *move[1][1:]), True
+                if source not in groups and rest:
+                    source = rest
     return bins
 
 
-def _move(bins: Bins, source: tuple, targets: list[tuple]) -> tuple | None:
-    """(target, step) of the fullest target that an exchange with ``source`` fills more."""
-    for target in sorted(targets, key=lambda c: (-bins.fill(c), c)):
-        if target == source and bins.groups[source] < 2 or bins.fill(target) < bins.fill(source):
-            continue
-        step = _step(source, target, bins.capacity - bins.fill(target))
-        if step is not None:
-            return target, step
-    return None
-
-
 def runs(bins: Bins) -> np.ndarray:
     """The plan: rows (length, first rank, bins, pieces a bin, first sequence, offset), by length and rank."""
     rank: Counter = Counter()
