@@ -1,42 +1,54 @@
 """Mixing sources to target token weights by entropy balancing.
 
-The document rates r that stay closest to 1 in relative entropy (weighted by
-tokens) under token constraints are exponentially tilted, r = exp(sum of the
-dual variables of the document's groups). The convex dual is solved by Newton
-steps: each evaluates the gradient and the diagonal of the Hessian with one
-grouped sum over the cells of all constraint columns, until every constraint
-holds. With one constraint column (the source) that is one dual variable a
-source.
-
-A rate k + f becomes k copies of every document and one more of a share f of
-the source's tokens, taken from every size class alike: in each class the
-documents below a hash threshold, found from bucket sums. What the thresholds
-leave of the target is filled by raising those of shorter documents, and last
-by single documents next to them, longest first.
-Every choice is a function of the row's id, size and source and of a bounded
-number of values for each source: reruns agree and no document list is
-gathered.
-
-Defined cases: a null or empty text has size 0 and takes 0; null sources are a
-source of their own, last; repeated rows are treated alike (same hash, same
-copies); an empty table gives an empty result; other columns are left alone.
+Document rates r stay as close to each other in relative entropy (weighted by
+tokens) as the constraints allow, so they are exponentially tilted: r =
+min(most, exp(dual of the source + dual of the size class)). Each source's
+tokens are held to their target exactly; the duals of the size classes (binary
+digits of a document's size, at most 64) keep the corpus's share of tokens in
+short and long documents, which source weights alone would shift, as far as a
+small quadratic penalty and the sources allow. For given class duals a
+source's dual has a closed form (water filling under the cap), so the convex
+dual is solved by Newton steps on the class duals alone: each is one job that
+sums gradient and Hessian over all sources.
+
+A rate k + f becomes k copies of every document of that source and class, and
+one more of a share f of its tokens: the documents below a hash threshold,
+found from bucket sums. That leaves each class short by less than its next
+document. From the documents on both sides of the thresholds, NEAR of each
+class, what is short of the source's target is then filled longest first, and
+one last exchange (take one, give one back, or both) comes nearest to it. The
+next document of each class is among these, and together they are larger than
+what is missing, so no more are needed to fill it.
+
+Every choice is a function of the row's id, text and source and of sums, so
+reruns agree and no document list is gathered.
+
+Defined cases: a null or empty text has size 0 and takes 0 (the stage keeps it
+once); null sources are a source of their own, last; repeated rows are treated
+alike (same hash, same copies); an empty table gives an empty result; other
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import read_table, stored
+from .shared import plain, read_table, restored, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-#: Documents after each size class's threshold that may be taken singly.
-NEXT = 4
-#: Rounds of thresholds; each fills what the one before has left, with shorter documents.
-PASSES = 3
-_BITS = 55  # the eight bits above these choose a bucket of the 63-bit hash
+CLASSES = 64
+#: Weight of the penalty on class duals, as a share of all tokens.
+RIDGE = 0.01
+#: Documents on each side of a class's threshold that the last fill may choose from.
+NEAR = 64
+_BITS = 49  # the fourteen bits above these choose a bucket of the 63-bit hash
 
 
 def word_count(text: Column) -> Column:
@@ -44,9 +56,17 @@ def word_count(text: Column) -> Column:
 
 
 def mark(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_size`` and the selection hash ``_h``."""
+    """Adds ``_size``, its class ``_c`` (the number of its binary digits) and the selection hash ``_h``."""
     out = docs.withColumn("_size", word_count(F.col(text)))
-    return out.withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", "_size"), 1))
+    return out.withColumns({"_c": F.length(F.bin("_size")).cast("int"), "_h": F.shiftrightunsigned(F.xxhash64("doc_id", "_size", text), 1)})
+
+
+def same(a: DataFrame, b: DataFrame, *columns: str):
+    """The join condition that ``columns`` of ``a`` equal those of ``b`` (named with a trailing _), nulls included."""
+    condition = F.lit(True)
+    for c in columns:
+        condition = condition & a[c].eqNullSafe(b[c + "_"])
+    return condition
 
 
 def numbered(sources: DataFrame, parts: int = 16) -> DataFrame:
@@ -83,134 +103,174 @@ def targets(marked: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Da
     return table.select("source", "source_size", F.when(cap <= share * F.col("_w"), cap).otherwise(share * F.col("_w")).alias("target"))
 
 
-def balanced(cells: DataFrame, constraints: dict[str, DataFrame], rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
-    """``cells`` (constraint columns and ``mass``) with ``rate``, the entropy-balanced rate of each cell.
-
-    ``constraints`` maps a column to a table of its values and their targets
-    (``target``). Every round is a damped Newton step for each column in turn.
-    """
-    current = cells.withColumn("_dual", F.lit(0.0))
-    for round_ in range(rounds):
-        misses = []
-        for column, wanted in constraints.items():
-            reached = current.groupBy(column).agg(F.sum(F.col("mass") * F.exp("_dual")).alias("_got"))
-            want = wanted.select(F.col(column).alias("_c"), F.col("target").alias("_want"))
-            # gradient _got - _want, Hessian _got; a step is kept within 2 so that exp stays tame
-            step = F.when(F.col("_got") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("_want") - F.col("_got")) / F.col("_got")))).otherwise(0.0)
-            steps = reached.join(want, reached[column].eqNullSafe(want["_c"])).select("_c", step.alias("_step"), (F.abs(F.col("_want") - F.col("_got")) / F.greatest("_want", F.lit(1.0))).alias("_miss"))
-            current = current.join(steps, current[column].eqNullSafe(steps["_c"])).withColumn("_dual", F.col("_dual") + F.col("_step")).drop("_c", "_step").withColumnRenamed("_miss", f"_miss_{column}")
-            misses.append(f"_miss_{column}")
-        current = stored(current, "mixing-dual")
-        worst = current.agg(F.max(F.greatest(*misses, F.lit(0.0)))).first()[0]
-        current = current.drop(*misses)
-        if worst is None or worst <= tolerance:
+def source_rates(target: float, mass: np.ndarray, dual: np.ndarray, most: float = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Rates min(most, exp(l + dual)) that give the source its target, and which of them are below ``most``."""
+    if target >= most * mass.sum() * (1 - 1e-12):
+        return np.full(len(mass), float(most)), np.zeros(len(mass), bool)
+    tilt, free = np.exp(dual - dual.max()), np.ones(len(mass), bool)
+    while True:
+        rate = tilt * ((target - most * mass[~free].sum()) / (mass[free] * tilt[free]).sum())
+        over = free & (rate > most)
+        if not over.any():
+            return np.where(free, rate, most), free
+        free &= ~over
+
+
+def _sums(sources: DataFrame, dual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each class at these duals, and their derivatives: a row of CLASSES * (CLASSES + 1) numbers a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got, slope = np.zeros(CLASSES), np.zeros((CLASSES, CLASSES))
+        for batch in batches:
+            for target, classes, mass in zip(batch["target"], batch["classes"], batch["mass"]):
+                classes, mass = np.asarray(classes, int), np.asarray(mass, float)
+                rate, free = source_rates(target, mass, dual[classes])
+                got[classes] += mass * rate
+                move = np.where(free, mass * rate, 0.0)
+                if move.any():
+                    slope[classes, classes] += move
+                    slope[np.ix_(classes, classes)] -= np.outer(move, move) / move.sum()
+        yield pd.DataFrame({"v": [np.concatenate([got, slope.ravel()])]})
+
+    parts = sources.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("k", "x")).where("x <> 0").groupBy("k").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(CLASSES * (CLASSES + 1))
+    for r in parts:
+        out[r["k"]] = r["x"]
+    return out[:CLASSES], out[CLASSES:].reshape(CLASSES, CLASSES)
+
+
+def class_duals(sources: DataFrame, wanted: np.ndarray, ridge: float = RIDGE, rounds: int = 40, tolerance: float = 1e-7) -> np.ndarray:
+    """Newton's minimum of the penalised dual over the size classes. ``sources`` has ``target``, ``classes`` and ``mass`` (arrays)."""
+    dual, penalty = np.zeros(CLASSES), ridge * max(1.0, wanted.sum())
+    for _ in range(rounds):
+        got, slope = _sums(sources, dual)
+        miss = got - wanted + penalty * dual
+        if np.abs(miss).max() <= tolerance * max(1.0, wanted.sum()):
             break
-    return current.withColumn("rate", F.exp("_dual")).drop("_dual")
-
-
-def _pass(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Raise the thresholds so that the open documents of every source take what is left of its target.
-
-    Open are documents above the threshold of their size class whose class is
-    below ``_limit``; each class gives the same share of its tokens.
-    """
-    none = F.array().cast("array<struct<_sum:bigint,_h:bigint,_c:int>>")
-    s = state.select(F.col("source").alias("_s"), F.col("_tops").alias("_t"), "_limit", "_left")
-    open_ = rows.join(s, rows["source"].eqNullSafe(s["_s"]))
-    open_ = open_.where((F.col("_c") < F.col("_limit")) & (F.col("_h") > F.coalesce(F.try_element_at("_t", F.col("_c")), F.lit(-1)))).drop("_s", "_t", "_limit")
-    sums = open_.groupBy("source", "_c", "_b", "_left").agg(F.sum("_size").alias("_sum"))
+        step = np.linalg.solve(slope + penalty * np.eye(CLASSES), miss)
+        dual = dual - step * min(1.0, 2.0 / np.abs(step).max())  # so that exp stays tame
+    return np.round(dual, 6)  # sums of fractions may differ in their last digits between runs
+
+
+def balanced(cells: DataFrame, goal: DataFrame) -> DataFrame:
+    """``cells`` (source, _c, mass) with ``rate``: entropy-balanced, at the source's ``target`` of ``goal``."""
+    g = goal.select(F.col("source").alias("source_"), "target")
+    per = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("_c", "mass"))).alias("x"))  # at most CLASSES entries
+    sources = per.join(g, same(per, g, "source")).select("source", "target", F.col("x._c").alias("classes"), F.col("x.mass").alias("mass"))
+    sources = stored(sources, "mixing-balance")
+    share = {r["_c"]: r["m"] for r in cells.groupBy("_c").agg(F.sum("mass").alias("m")).collect()}
+    total = goal.agg(F.sum("target")).first()[0] or 0.0
+    wanted = np.array([share.get(c, 0) for c in range(CLASSES)], float)
+    dual = class_duals(sources, wanted * (total / max(1.0, wanted.sum())))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rates = [source_rates(t, np.asarray(m, float), dual[np.asarray(c, int)])[0].tolist() for t, c, m in zip(batch["target"], batch["classes"], batch["mass"])]
+            yield batch.assign(rate=rates)
+
+    kind = cells.schema["source"].dataType.simpleString()
+    rated = sources.mapInPandas(run, f"source {kind}, target double, classes array<int>, mass array<long>, rate array<double>")
+    return rated.select("source", F.explode(F.arrays_zip("classes", "mass", "rate")).alias("x")).select("source", F.col("x.classes").alias("_c"), "x.mass", "x.rate")
+
+
+def thresholds(units: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cells`` with ``top``, the largest hash that takes an extra copy, and ``got``, the tokens up to it (at most ``want``)."""
+    c = cells.where("want > 0").select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), "want")
+    open_ = units.join(c, same(units, c, "source", "_c")).drop("source_", "_c_").withColumn("_b", F.shiftright("_h", _BITS))
+    sums = open_.groupBy("source", "_c", "want", "_b").agg(F.sum("_size").alias("_sum"))
     run = Window.partitionBy("source", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.least(F.lit(1.0), F.col("_left") / F.sum("_sum").over(Window.partitionBy("source")))
-    sums = sums.withColumns({"_want": share * F.sum("_sum").over(Window.partitionBy("source", "_c")), "_cum": F.sum("_sum").over(run)})
-    classes = stored(sums.groupBy("source", "_c").agg(
-        F.first("_want").alias("_want"), F.max("_cum").alias("_all"),
-        F.min(F.when(F.col("_cum") > F.col("_want"), F.struct("_b", (F.col("_cum") - F.col("_sum")).alias("_before")))).alias("_edge"),
-    ), "mixing-classes")
-    # only the bucket that crosses the share is looked at row by row
-    edge = classes.where("_edge is not null").select(F.col("source").alias("_s"), F.col("_c").alias("_sc"), F.col("_edge._b").alias("_sb"), "_edge._before", "_want")
-    match = open_["source"].eqNullSafe(edge["_s"]) & (open_["_c"] == edge["_sc"]) & (open_["_b"] == edge["_sb"])
-    inside = open_.join(edge, match).groupBy("source", "_c", "_h", "_before", "_want").agg(F.sum("_size").alias("_sum"))
+    # the bucket that crosses the share is looked at row by row
+    edge = sums.withColumn("_cum", F.sum("_sum").over(run)).where("_cum > want").groupBy("source", "_c").agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_sum")).alias("before"))).alias("x"))
+    edge = stored(edge.select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), F.col("x._b").alias("_b_"), "x.before"), "mixing-edges")
+    inside = open_.join(edge, same(open_, edge, "source", "_c", "_b"))
     by_hash = Window.partitionBy("source", "_c").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_cum", F.col("_before") + F.sum("_sum").over(by_hash))
-    inside = inside.withColumn("_next", F.sum(F.when(F.col("_cum") > F.col("_want"), 1).otherwise(0)).over(by_hash))
-    found = inside.groupBy("source", "_c").agg(
-        F.max(F.when(F.col("_next") == 0, F.struct("_h", "_cum"))).alias("_last"),
-        F.collect_list(F.when(F.col("_next").between(1, NEXT), F.struct("_sum", "_h", "_c"))).alias("_more"),
-    ).select(F.col("source").alias("_s"), F.col("_c").alias("_sc"), "_last", "_more")
-    all_ = classes.join(found, classes["source"].eqNullSafe(found["_s"]) & (classes["_c"] == found["_sc"]), "left")
-    top = F.when(F.col("_edge").isNull(), F.lit(2**63 - 1)).otherwise(F.coalesce("_last._h", F.shiftleft(F.col("_edge._b"), _BITS) - 1))
-    got = F.when(F.col("_edge").isNull(), F.col("_all")).otherwise(F.coalesce("_last._cum", "_edge._before"))
-    # at most 64 size classes a source
-    per = all_.groupBy("source").agg(
-        F.map_from_entries(F.collect_list(F.struct("_c", top))).alias("_new"), F.sum(got).alias("_got"),
-        F.flatten(F.collect_list(F.coalesce("_more", none))).alias("_more"),
-    ).withColumnRenamed("source", "_s")
-    out = state.join(per, state["source"].eqNullSafe(per["_s"]), "left")
-    old = F.map_filter("_tops", lambda k, _: ~F.coalesce(F.map_contains_key("_new", k), F.lit(False)))
-    out = out.withColumns({
-        "_tops": F.when(F.col("_new").isNull(), F.col("_tops")).otherwise(F.map_concat(old, "_new")),
-        "_left": F.col("_left") - F.coalesce("_got", F.lit(0)), "_open": F.concat("_open", F.coalesce("_more", none)),
-    })
-    # the next pass looks at documents of less than about a quarter of what is left
-    limit = F.length(F.bin(F.greatest(F.col("_left"), F.lit(1.0)).cast("long"))) - 2
-    return stored(out.withColumn("_limit", limit).drop("_s", "_new", "_got", "_more"), "mixing-pass")
-
-
-def plan(marked: DataFrame) -> DataFrame:
-    """One row per source: sizes, target, whole copies, a hash threshold per size class and the hashes of single extras."""
+    inside = inside.withColumn("_cum", F.col("before") + F.sum("_size").over(by_hash)).where("_cum <= want").groupBy("source", "_c").agg(F.max(F.struct("_h", "_cum")).alias("x"))
+    inside = inside.select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), "x")
+    out = cells.join(edge, same(cells, edge, "source", "_c"), "left").drop("source_", "_c_")
+    out = out.join(inside, same(out, inside, "source", "_c"), "left").drop("source_", "_c_")
+    # shares are below 1: a class that asks for a copy more always has an edge
+    return out.select(
+        "source", "_c", "mass", "whole", F.coalesce("x._h", F.shiftleft("_b_", _BITS) - 1, F.lit(-1)).alias("top"), F.coalesce("x._cum", "before", F.lit(0)).alias("got"))
+
+
+def exchanges(left: float, add: np.ndarray, drop: np.ndarray) -> tuple[list[int], list[int]]:
+    """Which of ``add`` (sizes) to take and of ``drop`` to give back so that ``left`` is nearest to 0: longest first, then one exchange."""
+    taken = []
+    for k in np.argsort(-add, kind="stable").tolist():
+        if add[k] <= left:
+            taken.append(k)
+            left -= add[k]
+    rest = np.setdiff1d(np.arange(len(add)), taken)
+    rest = rest[np.argsort(add[rest], kind="stable")]
+    ins, outs = np.concatenate([[0.0], add[rest]]), np.concatenate([[0.0], drop])
+    at = np.searchsorted(ins, left + outs)
+    best = (abs(left), 0, 0)
+    for shift in (0, -1):
+        k = np.clip(at + shift, 0, len(ins) - 1)
+        off = np.abs(left + outs - ins[k])
+        j = int(off.argmin())
+        best = min(best, (float(off[j]), int(k[j]), j))
+    _, more, less = best
+    return taken + ([int(rest[more - 1])] if more else []), [less - 1] if less else []
+
+
+def fill(units: DataFrame, cells: DataFrame, goal: DataFrame) -> DataFrame:
+    """(source, _c, _h, step): documents next to the thresholds that take a copy more or less, so that sources come near their targets."""
+    g = goal.select(F.col("source").alias("source_"), "target")
+    per = cells.groupBy("source").agg(F.sum(F.col("whole") * F.col("mass") + F.col("got")).alias("_got"))
+    left = per.join(g, same(per, g, "source")).select("source_", (F.col("target") - F.col("_got")).alias("left")).where("left <> 0")
+    c = cells.where(F.col("whole") < MOST).select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), "top")
+    near = units.join(c, same(units, c, "source", "_c")).withColumns({"taken": F.col("_h") <= F.col("top"), "_far": F.abs(F.col("_h") - F.col("top"))})
+    place = F.row_number().over(Window.partitionBy("source", "_c", "taken").orderBy("_far"))
+    near = near.withColumn("_place", place).where(F.col("_place") <= NEAR).select("source", "_c", "_h", "_size", "taken")
+    near = near.join(left, same(near, left, "source")).select("source", "_c", "_h", "_size", "taken", "left")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_size", "_h", "_c"])
+        add, drop = rows[~rows["taken"]], rows[rows["taken"]]
+        more, less = exchanges(float(rows["left"].iloc[0]), add["_size"].to_numpy(float), drop["_size"].to_numpy(float))
+        return pd.concat([add.iloc[more].assign(step=1), drop.iloc[less].assign(step=-1)])[["source", "_c", "_h", "step"]]
+
+    return near.groupBy("source").applyInPandas(run, f"source {units.schema['source'].dataType.simpleString()}, _c int, _h long, step int")
+
+
+def plan(marked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: targets of sources; whole copies and threshold of each source and class; single exchanges."""
     goal = stored(targets(marked), "mixing-targets")
-    cells = goal.select("source", F.col("source_size").cast("double").alias("mass"))
-    rate = balanced(cells, {"source": goal}).select(F.col("source").alias("_s"), "rate")
-    state = goal.join(rate, goal["source"].eqNullSafe(rate["_s"])).drop("_s")
+    # rows that share a hash are one unit; narrow rows, combined before they travel
+    units = stored(marked.where("_size > 0").groupBy("source", "_c", "_h").agg(F.sum("_size").alias("_size")), "mixing-units")
+    cells = stored(units.groupBy("source", "_c").agg(F.sum("_size").alias("mass")), "mixing-cells")
+    rated = balanced(cells, goal)
     r = F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-8, F.round("rate")).otherwise(F.col("rate"))
-    state = state.withColumn("_copies", F.least(F.lit(MOST), F.floor(r)).cast("long"))
-    left = F.when(F.col("_copies") >= MOST, 0.0).otherwise((r - F.col("_copies")) * F.col("source_size"))
-    state = state.select(
-        "source", "source_size", "target", "_copies", left.alias("_left"), F.lit(99).alias("_limit"),
-        F.create_map().cast("map<int,bigint>").alias("_tops"), F.array().cast("array<struct<_sum:bigint,_h:bigint,_c:int>>").alias("_open"),
-    )
-    rows = marked.where("_size > 0").select("source", size_class().alias("_c"), F.shiftright("_h", _BITS).alias("_b"), "_h", "_size")
-    for _ in range(PASSES):
-        state = _pass(rows, state)
-    still = F.filter("_open", lambda x: x["_h"] > F.try_element_at("_tops", x["_c"]))
-    empty = F.array().cast("array<bigint>")
-    greedy = F.aggregate(
-        F.reverse(F.sort_array("_still")), F.struct(F.col("_left").alias("left"), empty.alias("taken")),
-        lambda a, x: F.when(x["_sum"] <= a["left"], F.struct((a["left"] - x["_sum"]).alias("left"), F.concat(a["taken"], F.array(x["_h"])).alias("taken"))).otherwise(a),
-    )
-    state = state.withColumn("_still", still).withColumn("_greedy", greedy)
-    spare = F.array_min(F.filter("_still", lambda x: ~F.array_contains(F.col("_greedy.taken"), x["_h"])))
-    nearer = F.coalesce((spare["_sum"] - F.col("_greedy.left")) < F.col("_greedy.left"), F.lit(False))
-    singles = F.concat("_greedy.taken", F.when(nearer, F.array(spare["_h"])).otherwise(empty))
-    return stored(state.select("source", "source_size", "target", "_copies", "_tops", singles.alias("_singles")), "mixing-plan")
-
-
-def size_class() -> Column:
-    """The number of binary digits of the size."""
-    return F.length(F.bin("_size")).cast("int")
-
-
-def with_copies(marked: DataFrame, state: DataFrame) -> DataFrame:
+    whole = F.least(F.lit(MOST), F.floor(r)).cast("int")
+    rated = stored(rated.select("source", "_c", "mass", whole.alias("whole"), F.when(whole >= MOST, 0.0).otherwise((r - whole) * F.col("mass")).alias("want")), "mixing-rates")
+    cells = stored(thresholds(units, rated), "mixing-thresholds")
+    steps = stored(fill(units, cells, goal), "mixing-steps")
+    return goal, cells, steps
+
+
+def with_copies(marked: DataFrame, goal: DataFrame, cells: DataFrame, steps: DataFrame) -> DataFrame:
     """Adds ``_copies`` (of the document), ``source_size`` and ``target``."""
-    s = state.withColumnRenamed("source", "_s").withColumnRenamed("_copies", "_whole")
-    out = marked.join(s, marked["source"].eqNullSafe(s["_s"]))
-    more = (F.col("_size") > 0) & ((F.col("_h") <= F.try_element_at("_tops", size_class())) | F.array_contains("_singles", F.col("_h")))
-    extra = F.when(F.coalesce(more, F.lit(False)) & (F.col("_whole") < MOST), 1).otherwise(0)
-    return out.withColumn("_copies", F.col("_whole") + extra)
+    g = goal.withColumnRenamed("source", "source_")
+    out = marked.join(g, same(marked, g, "source")).drop("source_")
+    c = cells.select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), "whole", "top")
+    out = out.join(c, same(out, c, "source", "_c"), "left").drop("source_", "_c_")
+    s = steps.select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), F.col("_h").alias("_h_"), "step")
+    out = out.join(s, same(out, s, "source", "_c", "_h"), "left").drop("source_", "_c_", "_h_")
+    copies = F.coalesce("whole", F.lit(0)) + F.when(F.col("_h") <= F.col("top"), 1).otherwise(0) + F.coalesce("step", F.lit(0))
+    return out.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(1)).drop("whole", "top", "step")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     marked = stored(mark(docs).drop("text"), "mixing-sizes")
-    out = with_copies(marked, plan(marked))
+    out = with_copies(marked, *plan(marked))
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (not at all, or up to three times)."""
-    marked = stored(mark(docs.select("doc_id", "source", "text")).drop("text"), "mixing-sizes")
-    state = plan(marked)
-    names = [c for c in docs.columns]
-    inner = mark(docs.select(*[F.col(f"`{c}`") for c in names]))
-    out = with_copies(inner, state).where("_copies > 0")
-    return out.select(*[inner[f"`{c}`"] for c in names], F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    used = ("doc_id", "source", "text")
+    marked = stored(mark(docs.select(*used)).drop("text"), "mixing-sizes")
+    out = with_copies(mark(plain(docs, *used)), *plan(marked)).where("_copies > 0")
+    return restored(out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))), docs, *used)
