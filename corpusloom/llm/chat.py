@@ -9,6 +9,9 @@ concatenation of a dialogue's segments in order of ``start`` is its text, so
 a conversation of any length is never gathered in one row or task: offsets
 are running sums over chunks of turns, and running sums inside a chunk.
 
+Marks can't be forged: ``<|`` in a text is written ``<||`` and ``|`` in a
+speaker's name ``||``, which a reader turns back.
+
 Defined cases: a null text is empty; a null role is the participant
 ``unknown``; a null conversation id is a conversation; repeated turns stay,
 ordered by role and text; conversations without participants (system turns
@@ -32,7 +35,7 @@ def _header(perspective: Column, role: Column) -> Column:
     return (
         F.when(role == "system", F.lit("<|system|>\n"))
         .when(role == perspective, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), F.replace(role, F.lit("|"), F.lit("||")), F.lit("|>\n")))
     )
 
 
@@ -62,8 +65,8 @@ def rotated(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(
         "conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null")).alias("_key"),
-        F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-1)).cast("long").alias("_chunk"),
-        "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS).cast("long"), F.lit(-(2**63))).alias("_chunk"),  # null turns come first
+        "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<||")).alias("text"),
     )
     out = rows.join(_chunk_starts(rows).hint("merge"), ["_key", "_chunk"])
     head = _header(F.col("perspective"), F.col("speaker"))
@@ -85,11 +88,11 @@ def op7_chat_rotation(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-with r as (select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
+with r as (select conv_id, turn, coalesce(role, 'unknown') as speaker, replace(coalesce(text, ''), '<|', '<||') as text from conversations),
 p as (select distinct conv_id, speaker as perspective from r where speaker <> 'system'),
 s as (
   select r.conv_id, perspective, turn, speaker, text,
-    case when speaker = 'system' then '<|system|>' when speaker = perspective then '<|assistant|>' else '<|user name=' || speaker || '|>' end || chr(10) as head
+    case when speaker = 'system' then '<|system|>' when speaker = perspective then '<|assistant|>' else '<|user name=' || replace(speaker, '|', '||') || '|>' end || chr(10) as head
   from r join p on r.conv_id is not distinct from p.conv_id),
 t as (select *, head || text || '<|end|>' || chr(10) as segment from s),
 o as (
