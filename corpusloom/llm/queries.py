@@ -15,6 +15,9 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {
+    "op3_minhash_dedup": minhash.ORACLE,
+    "op4_quality_rules": quality.ORACLE,
     "op7_chat_rotation": chat.ORACLE,
+    "op8_vector_dedup": vectors.ORACLE,
     "op10_warc": warc.ORACLE,
 }
