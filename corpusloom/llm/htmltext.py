@@ -65,20 +65,17 @@ class Block:
     box: int
 
 
+#: What lies between a tag's name and its '>': a '>' in a quoted value ends nothing, and a quote that never closes quotes nothing.
+_TAG_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+>""")
+
+
 def _tag_end(page: str, at: int) -> int:
-    """The index of the '>' that ends the tag at ``at``; quoted ones within it don't."""
+    """The index of the '>' that ends the tag whose name ends at ``at``, or -1."""
     end = page.find(">", at)
-    for _ in range(50):
-        if end < 0:
-            return -1
-        part = page[at:end]
-        if (part.count('"') % 2 == 0 or '="' not in part) and (part.count("'") % 2 == 0 or "='" not in part):
-            return end
-        following = page.find(">", end + 1)
-        if following < 0 or "<" in page[end:following]:
-            return end
-        end = following
-    return end
+    if end < 0 or page.find("=", at, end) < 0:
+        return end
+    found = _TAG_REST.match(page, at)
+    return found.end() - 1 if found else -1
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
@@ -134,7 +131,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     held.append("<")
                 at = tag + 1
             continue
-        end = _tag_end(page, tag)
+        end = _tag_end(page, name.end())
         if end < 0:
             break
         kind, closing, body = name.group(1).lower(), page[tag + 1] == "/", page[name.end() : end]
@@ -207,13 +204,14 @@ def features(blocks: list[Block]) -> list[list[str]]:
         f += {"stem:" + w[:4] for w in b.names if len(w) > 3}
         f += [f"share:{4 * shares[b.box] // total}", "largest" if shares[b.box] == largest else "smaller"]
         f.append("box:" + b.container + ("" if b.own else ":bare"))
+        f.append("boxes:" + ">".join([t for t in b.tags if t in CONTAINERS][-2:]))
         f += ["own:" + w for w in b.own if len(w) > 1]
         f.append("end:" + ("stop" if b.text[-1] in ".!?:;\"'»”)" else "open"))
         if "©" in b.text:
             f.append("copyright")
         commas = b.text.count(",")
         f.append(f"commas:{min(3, commas)}")
-        if sum(c.isdigit() for c in b.text[:200]) * 4 > min(n, 200):
+        if sum(map(str.isdigit, b.text)) * 4 > n:
             f.append("digits")
         if not tags & {"article", "main"}:
             f.append("outside")
@@ -333,6 +331,9 @@ def labelled_pages(count: int = 800, seed: int = 11) -> list[tuple[str, list[str
             return f'<{(t := rng.choice(["div", "aside", "section", "div"]))} {named("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "sponsor", "adbox", "advertising", "ad-container", "banner-ad", "sponsored-content", "promotion")}>{wrapped(prose(rng.randint(1, 3)) if rng.random() < 0.8 else phrase(1, 4))}</{t}>'
         if kind == "form":
             return rng.choice([f"<form action=/><label>{phrase(1, 3)}</label><input name=q><p>{short}</p><button>{word()}</button></form>", f"<form><fieldset><legend>{phrase(1, 3)}</legend><label>{phrase(2, 6)}</label></fieldset></form>"])
+        if kind == "toc":
+            listed = f"<ul>{links()}</ul>"
+            return rng.choice([listed, f'<{(t := rng.choice(["ul", "ol"]))} {named("toc", "contents", "jump-links", "table-of-contents")}>{links()}</{t}>', f'<div {named("toc", "contents", "table-of-contents")}><h2>{phrase(1, 3)}</h2>{listed}</div>', f"<nav>{listed}</nav>"])
         if kind == "comments":
             each = "".join(f'<{(t := rng.choice(["div", "li", "article"]))} class="comment"><p {named("author", "meta", "user")}>{phrase(1, 2)}</p><p>{prose(rng.randint(1, 5))}</p></{t}>' for _ in range(rng.randint(1, 5)))
             return f'<{(t := rng.choice(["section", "div", "ol"]))} {named("comments", "comment-list", "responses", "discussion", "replies", "reader-comments", "comment-section", "user-comments", "disqus", "feedback")}><h2>{phrase(1, 2)}</h2>{each}</{t}>'
@@ -343,11 +344,17 @@ def labelled_pages(count: int = 800, seed: int = 11) -> list[tuple[str, list[str
     for _ in range(count):
         main: list[str] = []
 
+        headed = False
+
         def body() -> str:
             out = []
             if rng.random() < 0.85:
                 main.append(phrase(2, 12) + rng.choice(["", "."]))
-                out.append(f"<h1>{main[-1]}</h1>")
+                title = f"<h1>{main[-1]}</h1>"
+                # the headline of an article's own header is the article's; a byline in it isn't
+                out.append(f"<header>{title}{rng.choice(['', boiler('share')])}</header>" if headed and rng.random() < 0.3 else title)
+            if rng.random() < 0.1:
+                out.append(boiler("toc"))
             for _ in range(rng.randint(1, 9)):
                 r = rng.random()
                 if r < 0.62:
@@ -370,7 +377,7 @@ def labelled_pages(count: int = 800, seed: int = 11) -> list[tuple[str, list[str
                     main.extend(cells)
                     out.append("<table><tr>" + "".join(f"<td>{x}</td>" for x in cells) + "</tr></table>")
                 else:
-                    out.append(boiler(rng.choice(["ad", "ad", "share", "notice", "side", "form", "comments"])))
+                    out.append(boiler(rng.choice(["ad", "ad", "share", "notice", "side", "form", "comments", "toc"])))
             if rng.random() < 0.15:
                 out.append(boiler("comments"))
             return "".join(out)
@@ -381,6 +388,7 @@ def labelled_pages(count: int = 800, seed: int = 11) -> list[tuple[str, list[str
             '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<div class="post"><div class="entry">{}</div></div>',
             '<div class="article-body">{}</div>', '<section class="story">{}</section>', "<div>{}</div>", "{}",
         ])
+        headed = "<article>" in inside or "<main>" in inside
         inside = inside.format(body())
         above = [] if bare else [boiler(k) for k in rng.sample(["nav", "header", "notice", "ad", "form", "share", "side"], rng.randint(0, 4))]
         below = [] if bare else [boiler(k) for k in rng.sample(kinds, rng.randint(0, 5))]
