@@ -12,7 +12,8 @@ Of records with equal payloads the one with the largest id is a ``response``;
 the others are ``revisit`` records that refer to it and carry no payload.
 
 Defined cases: a null html is an empty payload; a null url has no target URI;
-a null id is a revisit wherever an id has its payload, else a response;
+a null id is a revisit wherever an id has its payload, else a response; ids
+on several rows, and null ones, get record ids of their own for each row;
 repeated rows with the largest id are all responses; an empty table gives an
 empty archive set and an empty result; other columns are ignored.
 """
@@ -29,6 +30,7 @@ from urllib.parse import quote
 
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,22 +49,23 @@ DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id, nth: str = "") -> str:
+    """The id of a page's record; ``nth`` tells the records of a page id that several rows have apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}{nth}')}>"
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
-    """One WARC/1.1 record; ``refers_to`` makes it a revisit."""
+def record(page_id, url: str | None, payload: bytes, refers_to=None, nth: str = "", told: bool = True) -> bytes:
+    """One WARC/1.1 record; ``refers_to`` makes it a revisit, which names that record's id where one record is ``told`` by it."""
     revisit = refers_to is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if not revisit:
         block += payload
     head = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, nth)), ("WARC-Date", DATE),
         ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)), ("WARC-Block-Digest", "sha1:" + base32_sha1(block)),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
@@ -71,7 +74,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if revisit:
-        head += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", _PROFILE)] + [("WARC-Refers-To", record_id(refers_to))] * told + [("X-Refers-To-Page-Id", str(refers_to))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -131,25 +134,31 @@ def read_archive(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def with_reference(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds ``_to``: the id that a page's record refers to, null for responses."""
+    """Adds ``_to``: the id that a page's record refers to, null for responses; ``_many`` and ``_to_many``: whether the page's id and that one are on several rows (a null id is)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_bytes"))
     often = keyed.where(F.col("_bytes") >= least_bytes).groupBy("_sha").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n"))
     often = stored(often.where("_n > 1").select("_sha", "_top"), "warc-copies")
     to = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_top")), F.col("_top"))
-    return keyed.join(often, "_sha", "left").select("page_id", "url", "html", to.alias("_to"))
+    rows = keyed.join(often, "_sha", "left").select("page_id", "url", "html", to.alias("_to"))
+    many = stored(keyed.where("page_id is not null").groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("_id")), "warc-ids")
+    on = lambda c: many.select(F.col("_id").alias(c), F.lit(True).alias(c + "_many"))
+    rows = rows.join(on("_to"), "_to", "left").join(on("page_id"), "page_id", "left")
+    return rows.select("page_id", "url", "html", "_to", (F.col("page_id").isNull() | F.col("page_id_many").isNotNull()).alias("_many"), F.col("_to_many").isNotNull().alias("_to_many"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write ``pages`` (page_id, url, html) as archives below ``path``, one file each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, n, context = [], 0, 0, TaskContext.get()
+        part = context.partitionId() if context else 0
         for batch in batches:
             ids, tos = batch["page_id"].tolist(), batch["_to"].tolist()
-            for page_id, url, html, to in zip(ids, batch["url"], batch["html"], tos):
+            for page_id, url, html, to, many, to_many in zip(ids, batch["url"], batch["html"], tos, batch["_many"], batch["_to_many"]):
                 page_id, to = (None if x is None or x != x else int(x) for x in (page_id, to))
-                held.append(record(page_id, url, (html or "").encode(), to))
+                n += 1
+                held.append(record(page_id, url, (html or "").encode(), to, f":{part}:{n}" if many else "", not to_many))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield pd.DataFrame({"blob": [archive(held)]})
