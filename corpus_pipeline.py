@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from corpusloom.llm import minhash, mixing, packing, pii, quality
-from corpusloom.llm.shared import read_table, stored
+from corpusloom.llm.shared import read_table, remove, stored_alone
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
@@ -24,5 +24,7 @@ def run(spark, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored_alone(lambda: stage(spark, docs, sf_dir), spark, f"pipeline-{name}")  # noqa: B023
+        if name != STAGES[0][0]:
+            remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)
