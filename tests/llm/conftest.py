@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 LONG = " ".join(f"w{i % 977}x{i // 977}" for i in range(9_000))
 BODY = " ".join(f"alpha{i} beta{i}" for i in range(60))
@@ -17,16 +18,18 @@ def messy_documents():
     ]
 
 
-DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _size string, `kept` int, word string"
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _size string, `kept` int, word string, _h string, _copies string, target string, _set string, _sig string, _n string, _c string, _q_w string, _q_kept string, _p_all string, _p_marks string, c0 string"
+#: Values of the columns that follow n_chars, in every row.
+EXTRA = ("x", "y", 7, None, *[f"own {k}" for k in range(12)])
 
 
 @pytest.fixture(scope="session")
 def tables(spark, tmp_path_factory):
     """(folder of messy tables, folder of empty tables); documents carry extra columns with clashing names."""
     full, empty = tmp_path_factory.mktemp("full"), tmp_path_factory.mktemp("empty")
-    docs = [(*r, "x", "y", 7, None) for r in messy_documents()]
-    good = [(i, f"clean words number {i} " + " ".join(f"v{i}u{j}" for j in range(70)), "en", "a", 9, "x", "y", 7, None) for i in range(100, 700)]
-    bad = [(i, " ".join(f"s{i}#{j}" for j in range(70)), "en", "a", 9, "x", "y", 7, None) for i in range(700, 800)]
+    docs = [(*r, *EXTRA) for r in messy_documents()]
+    good = [(i, f"clean words number {i} " + " ".join(f"v{i}u{j}" for j in range(70)), "en", "a", 9, *EXTRA) for i in range(100, 700)]
+    bad = [(i, " ".join(f"s{i}#{j}" for j in range(70)), "en", "a", 9, *EXTRA) for i in range(700, 800)]
     conversations = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "héllo 🎉"), (1, 2, "assistant", "héllo 🎉"), (2, 0, None, None), (2, 1, "user", ""), (None, 0, "user", "x"), (3, 0, "system", "alone")]
     pages = [(1, "http://a/é b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>x</p>"), (None, None, "<p>only</p>"), (2, "again", "<p>x</p>"), (9, "u", "<div>é🎉" + "long " * 50_000)]
     e = [float(i % 7) - 3 for i in range(16)]
@@ -41,6 +44,9 @@ def tables(spark, tmp_path_factory):
     }
     for name, (rows, schema) in data.items():
         df = spark.createDataFrame(rows, schema)
+        if name != "documents":  # columns that clash with those the operators work with
+            for c in ("_sha", "_to", "rep", "keys", "speaker", "perspective", "segment", "q", "payload", "n_links"):
+                df = df.withColumn(c, F.lit("own"))
         df.repartition(3).write.parquet(f"{full}/{name}.parquet")
         df.limit(0).write.parquet(f"{empty}/{name}.parquet")
     return str(full), str(empty)

@@ -205,13 +205,3 @@ def test_mixing_meets_targets(spark, tables):
         members = [r for r in rows if r.source_size == s]
         slack = max((r["size"] for r in members), default=0)
         assert abs(sum(r.taken for r in members) - t) <= slack / 2 + 1
-
-
-def test_newton_solves_several_margins(spark):
-    cells = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 30.0), ("b", "x", 20.0), ("b", "y", 40.0)], "p string, q string, mass double")
-    ps, qs = spark.createDataFrame([("a", 60.0), ("b", 40.0)], "p string, target double"), spark.createDataFrame([("x", 50.0), ("y", 50.0)], "q string, target double")
-    rows = mixing.balanced(cells, {"p": ps, "q": qs}, rounds=40, tolerance=1e-7).collect()
-    assert sum(r.mass * r.rate for r in rows if r.p == "a") == pytest.approx(60, rel=1e-5)
-    assert sum(r.mass * r.rate for r in rows if r.q == "x") == pytest.approx(50, rel=1e-5)
-    rate = {(r.p, r.q): r.rate for r in rows}
-    assert rate["a", "x"] * rate["b", "y"] == pytest.approx(rate["a", "y"] * rate["b", "x"], rel=1e-5)
