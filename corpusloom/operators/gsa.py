@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from ..functions.text import substr0
 from ..storage import stored
 from .matchstats import matching_statistics, suffixes
-from .ranking import bucket_rank, doubled, sparse_start
+from .ranking import bucket_rank, doubled, refined, running, sparse_start
+from .predecessor import head_of, next_heads
 from .refindex import symbol_at
 from .symbols import positions, with_ends
 
@@ -61,12 +62,80 @@ def gsa_by_matches(collection: DataFrame, reference: DataFrame, index: DataFrame
             break
         state = now
         to = rows.select("doc_id", F.col("idx").alias("jump"), F.col("r").alias("_r"), F.col("jump").alias("_j"))
-        both = rows.join(to, ["doc_id", "jump"])
-        finer = F.rank().over(Window.partitionBy("r").orderBy("_r")) - 1
-        rows = stored(both.select("doc_id", "idx", F.col("_j").alias("jump"), F.when(F.col("r") < 0, F.col("r")).otherwise(F.col("r") + finer).cast("long").alias("r")), "match-ranks")
+        both = refined(rows.join(to, ["doc_id", "jump"]).where("r >= 0"), "_r").select("doc_id", "idx", F.col("_j").alias("jump"), "r")
+        rows = stored(both.union(rows.where("r < 0")), "match-ranks")
     return _numbered(rows.where("r >= 0"))
 
 
+def anchors(head: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, head_id, next_head_id, r): for each head the place after its match, ranked by its own match.
+
+    That place is inside another head (``next_head_id``), whose match it
+    shares, so its next place is that head's: the places are closed, one for
+    each head. ``r`` is -1 for document ends.
+    """
+    sides = head.select("doc_id", F.col("head_id").alias("next_head_id"), "len", "smaller", "is_end")
+    rows = next_heads(head, index).join(sides, ["doc_id", "next_head_id"]).withColumn("_left", F.col("len") - F.col("offset"))
+    signed = F.when(F.col("smaller"), F.col("_left")).otherwise(-F.col("_left"))
+    ends = rows.where("is_end").select("doc_id", "head_id", "next_head_id", F.lit(-1).cast("long").alias("r"))
+    rows = rows.where("not is_end").select("doc_id", "head_id", "next_head_id", "next_isa", (~F.col("smaller")).cast("int").alias("_side"), signed.alias("_len"))
+    sizes = running(rows.groupBy("next_isa").agg(F.count("*").alias("_n")), "next_isa", "_n", "r").drop("_n")
+    by = rows.groupBy("next_isa", "_side", "_len").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("next_isa").orderBy("_side", "_len").rowsBetween(Window.unboundedPreceding, -1))
+    by = by.select("next_isa", "_side", "_len", F.coalesce(before, F.lit(0)).alias("_p")).join(sizes, "next_isa")
+    ranked = rows.join(by, ["next_isa", "_side", "_len"]).select("doc_id", "head_id", "next_head_id", (F.col("r") + F.col("_p")).cast("long").alias("r"))
+    stop = head.where("is_end").select("doc_id", "head_id", F.col("head_id").alias("next_head_id"), F.lit(-1).cast("long").alias("r"))
+    return ranked.union(ends).union(stop)
+
+
+def anchor_ranks(head: DataFrame, index: DataFrame, counts: list | None = None) -> DataFrame:
+    """(doc_id, head_id, after): the rank of what follows each head's match, by doubling over heads alone.
+
+    Equal ranks mean equal text up to the next place, so what follows it
+    decides: pointers jump over one match, then two, four, …. ``counts``
+    collects the rows of every round.
+    """
+    rows, state = stored(anchors(head, index), "anchors"), None
+    while True:
+        now = rows.agg(F.count_distinct("r"), F.sum("next_head_id"), F.count("*")).first()
+        if counts is not None:
+            counts.append(now[2])
+        if now[:2] == state:
+            break
+        state = now[:2]
+        to = rows.select("doc_id", F.col("head_id").alias("next_head_id"), F.col("r").alias("_r"), F.col("next_head_id").alias("_j"))
+        finer = refined(rows.where("r >= 0").join(to, ["doc_id", "next_head_id"]), "_r").select("doc_id", "head_id", F.col("_j").alias("next_head_id"), "r")
+        rows = stored(finer.union(rows.where("r < 0")), "anchors")
+    return rows.select("doc_id", "head_id", F.col("r").alias("after"))
+
+
+def sorted_by_heads(asked: DataFrame, head: DataFrame, index: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(order_no, doc_id, idx) of positions ``asked`` (doc_id, idx) in suffix order, without text.
+
+    A position sorts by the slot of its match, the side it lies on, what is
+    left of its head's match, and the rank of what follows that (``ranks``).
+    """
+    rows = head_of(asked.select("doc_id", "idx"), head).join(ranks, ["doc_id", "head_id"])
+    rows = rows.withColumn("_k", F.col("idx") - F.col("head_start")).withColumn("_left", F.col("len") - F.col("_k"))
+    rows = rows.withColumn("_at", F.col("pos") + F.col("_k")).join(index.select(F.col("pos").alias("_at"), F.col("rank").alias("slot")), "_at")
+    rows = rows.select("doc_id", "idx", "slot", (~F.col("smaller")).alias("_side"), F.when(F.col("smaller"), F.col("_left")).otherwise(-F.col("_left")).alias("_len"), "after")
+    return bucket_rank(rows, F.col("slot"), ["_side", "_len", "after", "doc_id", "idx"], "order_no").select("order_no", "doc_id", "idx")
+
+
+def gsa_by_heads(collection: DataFrame, head: DataFrame, index: DataFrame) -> DataFrame:
+    """(rank, doc_id, idx) from sorted heads. The reference must hold every symbol, as :func:`gsa_by_matches` needs it."""
+    ranks = stored(anchor_ranks(head, index), "anchor-ranks")
+    return sorted_by_heads(positions(collection), head, index, ranks).withColumnRenamed("order_no", "rank")
+
+
+def suborder_violations(order: DataFrame, array: DataFrame) -> DataFrame:
+    """One row: positions sorted in ``order`` (order_no, doc_id, idx), empty entries, and neighbours that the suffix array has the other way round."""
+    rows = order.join(array, ["doc_id", "idx"], "left").select("order_no", "rank")
+    before = rows.select((F.col("order_no") + 1).alias("order_no"), F.col("rank").alias("_r"))
+    return rows.join(before, "order_no", "left").agg(
+        F.count("*").alias("n"), F.count_if(F.col("rank").isNull()).alias("n_empty"), F.count_if(F.col("_r") >= F.col("rank")).alias("violations"))
+
+
 def types(collection: DataFrame) -> DataFrame:
     """(doc_id, idx, sym, type): L if the suffix is greater than the next one, else S; document ends are S."""
     w = Window.partitionBy("doc_id").orderBy("idx")
@@ -138,6 +207,19 @@ def sa_violations(index: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
+def sa_outcome(index: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref_id, outcome) of the linear check: 0 right, -1 not as many rows as symbols, -2 a position out of range or missing, -3 first symbols out of order, -4 suffixes out of order."""
+    follow = index.select("ref_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("_next"))
+    rows = index.join(symbol_at(refs), ["ref_id", "pos"], "left").join(follow, ["ref_id", "pos"], "left").select("ref_id", "rank", "pos", "sym", F.coalesce("_next", F.lit(-1)).alias("r"))
+    before = rows.select("ref_id", (F.col("rank") + 1).alias("rank"), F.col("sym").alias("_sym"), F.col("r").alias("_r"))
+    seen = rows.join(before, ["ref_id", "rank"], "left").groupBy("ref_id").agg(
+        F.count("*").alias("n"), F.count_distinct("pos").alias("d"), F.count_if(F.col("sym").isNull()).alias("out"),
+        F.count_if(F.col("_sym") > F.col("sym")).alias("first"), F.count_if((F.col("_sym") == F.col("sym")) & (F.col("_r") >= F.col("r"))).alias("later"))
+    told = refs.select("ref_id", F.length("text").alias("size")).join(seen, "ref_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return told.select("ref_id", F.when(n != F.col("size"), -1).when(n == 0, 0).when((F.col("out") > 0) | (F.col("d") < n), -2).when(F.col("first") > 0, -3).when(F.col("later") > 0, -4).otherwise(0).alias("outcome"))
+
+
 def induction_violations(array: DataFrame, typed: DataFrame, kind: str) -> DataFrame:
     """One row: suffixes of type ``kind``, and those whose next suffix doesn't rise with their own rank within a symbol."""
     follow = array.select("doc_id", (F.col("idx") - 1).alias("idx"), F.col("rank").alias("_next"))
@@ -151,6 +233,6 @@ def doc_boundaries(collection: DataFrame, cell: int = 1024) -> DataFrame:
     """(doc_id, offset, length): where each document would begin if all were joined by one separator."""
     rows = collection.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length")).withColumn("_cell", F.floor(F.col("doc_id") / cell))
     sums = rows.groupBy("_cell").agg(F.sum(F.col("length") + 1).alias("_sum"))
-    before = sums.select("_cell", F.coalesce(F.sum("_sum").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = running(sums, "_cell", "_sum", "_before").select("_cell", "_before")
     inside = F.coalesce(F.sum(F.col("length") + 1).over(Window.partitionBy("_cell").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_in", inside).join(before, "_cell").select("doc_id", (F.col("_before") + F.col("_in")).alias("offset"), "length")

@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import lcp, substr0
 from ..storage import stored
-from .ranking import bucket_rank, common_prefixes, doubled, sparse_start
+from .ranking import CELL, bucket_rank, carried, common_prefixes, doubled, sparse_start
+from .refindex import with_plcp_max
 from .symbols import positions
 
 BUCKET_SYMBOLS = 2
@@ -53,7 +54,7 @@ def matching_statistics(collection: DataFrame, reference: DataFrame) -> DataFram
     )
 
 
-def matching_statistics_by_ranks(collection: DataFrame, reference: DataFrame, cell: int = 4096) -> DataFrame:
+def matching_statistics_by_ranks(collection: DataFrame, reference: DataFrame, cell: int = CELL) -> DataFrame:
     """As :func:`matching_statistics`, for documents and references of any length; no suffix is materialised.
 
     Reference and collection are ranked together by prefix doubling. The
@@ -74,7 +75,7 @@ def matching_statistics_by_ranks(collection: DataFrame, reference: DataFrame, ce
     down = Window.partitionBy("_b").orderBy(F.desc("r"), F.desc("_own")).rowsBetween(*span)
     near = rows.withColumns({"_p": F.last(ref, ignorenulls=True).over(up), "_n": F.last(ref, ignorenulls=True).over(down)}).where("not _own")
     edges = rows.groupBy("_b").agg(F.min(ref).alias("_lo"), F.max(ref).alias("_hi"))
-    edges = edges.select("_b", F.last("_hi", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(*span)).alias("_pb"), F.last("_lo", ignorenulls=True).over(Window.orderBy(F.desc("_b")).rowsBetween(*span)).alias("_nb"))
+    edges = carried(edges, "_b", {"_pb": "_hi"}).join(carried(edges, "_b", {"_nb": "_lo"}, back=True), "_b")
     near = near.join(edges, "_b").select("doc_id", "idx", F.coalesce("_p", "_pb").alias("_p"), F.coalesce("_n", "_nb").alias("_n"))
     side = lambda c, name: near.select(F.lit(name).alias("side"), F.col("doc_id").alias("da"), F.col("idx").alias("ia"), F.col(f"{c}.doc_id").alias("db"), F.col(f"{c}.idx").alias("ib"))
     pairs = stored(side("_p", "p").union(side("_n", "n")).where("db is not null"), "neighbours")
@@ -83,11 +84,39 @@ def matching_statistics_by_ranks(collection: DataFrame, reference: DataFrame, ce
     return best.select(F.col("da.d").alias("doc_id"), F.col("ia").alias("idx"), F.col("x.ib").alias("pos"), "x.len", "x.smaller")
 
 
+def with_mismatch(ms: DataFrame, collection: DataFrame) -> DataFrame:
+    """Adds ``mismatch``: the symbol after each match, empty where the document ends."""
+    after = positions(collection).select("doc_id", F.col("idx").alias("_after"), F.col("sym").alias("mismatch"))
+    return ms.withColumn("_after", F.col("idx") + F.col("len")).join(after, ["doc_id", "_after"], "left").withColumn("mismatch", F.coalesce("mismatch", F.lit(""))).drop("_after")
+
+
+def with_runs(ms: DataFrame, collection: DataFrame, reference: DataFrame, symbol: str) -> DataFrame:
+    """Matching statistics in which a position of ``symbol`` has what is left of its run as length, and the reference's end as position."""
+    runs = symbol_runs(collection, symbol).select("doc_id", "idx", F.col("len").alias("_run"))
+    end = F.lit(reference.select(F.length("text")).first()[0]).cast("long")  # one reference
+    hit = F.col("_run").isNotNull()
+    return ms.join(runs, ["doc_id", "idx"], "left").select(
+        "doc_id", "idx", F.when(hit, end).otherwise(F.col("pos")).alias("pos"), F.coalesce("_run", "len").alias("len"), F.when(hit, False).otherwise(F.col("smaller")).alias("smaller"))
+
+
+def unambiguous(head: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: heads whose match occurs once in the reference, and all that match something."""
+    once = with_plcp_max(index).select("pos", "plcp_max")
+    return head.where("not is_end and len > 0").join(once, "pos").agg(F.count("*").alias("n_matched"), F.count_if(F.col("len") > F.col("plcp_max")).alias("n_unambiguous"))
+
+
+def phrase_sequences(head: DataFrame) -> DataFrame:
+    """(order_no, doc_id, n_phrases): documents by their sequences of (pos, len), a shorter one before its continuations."""
+    rows = head.where("not is_end").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "pos", "len"))).alias("x"))  # one document's heads
+    rows = rows.select("doc_id", F.size("x").alias("n_phrases"), F.transform("x", lambda p: F.struct(p["pos"].alias("pos"), p["len"].alias("len"))).alias("_s"))
+    return bucket_rank(rows, F.get("_s", F.lit(0))["pos"], ["_s", "doc_id"], "order_no").select("order_no", "doc_id", "n_phrases")
+
+
 def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame) -> DataFrame:
     """(doc_id, head_id, start, next_start, pos, len, smaller, is_end): positions whose match doesn't continue the one before, and document ends."""
     w = Window.partitionBy("doc_id").orderBy("idx")
     first = ms.withColumn("_before", F.lag("pos").over(w)).where("_before is null or pos <> _before + 1")
-    last = reference.select((F.length("text") - 1).cast("long").alias("pos"))
+    last = reference.select((F.length("text") - 1).cast("long").alias("pos"))  # one row, as one reference is
     ends = collection.select("doc_id", F.length("text").cast("long").alias("idx")).join(last).select("doc_id", "idx", "pos", F.lit(0).cast("long").alias("len"), F.lit(False).alias("smaller"), F.lit(True).alias("is_end"))
     rows = first.select("doc_id", "idx", "pos", "len", "smaller", F.lit(False).alias("is_end")).union(ends)
     return rows.select(
@@ -135,7 +164,7 @@ def length_buckets(phrases: DataFrame) -> DataFrame:
     """One row: how many runs of equal length the sorted phrases have, and the longest."""
     before = phrases.select((F.col("order_no") + 1).alias("order_no"), F.col("len").alias("_l"))
     starts = phrases.join(before, "order_no", "left").where("_l is null or _l <> len").select("order_no")
-    starts = bucket_rank(starts, F.floor(F.col("order_no") / 4096), ["order_no"], "k")
+    starts = bucket_rank(starts, F.floor(F.col("order_no") / CELL), ["order_no"], "k")
     following = starts.select((F.col("k") - 1).alias("k"), F.col("order_no").alias("_next"))
     total = phrases.agg(F.count("*").alias("_n"))
     runs = starts.join(following, "k", "left").join(total).select((F.coalesce("_next", "_n") - F.col("order_no")).alias("run"))

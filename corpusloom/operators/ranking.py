@@ -2,7 +2,9 @@
 
 A sparse rank is the number of rows that sort strictly before; rows not yet
 told apart share it. It is refined inside groups of equal rank only, so no
-window ever spans the table, and a group that has one row is finished.
+window ever spans the table, and a group that has one row is finished. A group
+of any size is refined from counts of its distinct next ranks, in cells of
+ranks, so neither a large group nor the whole table is one task's window.
 """
 
 from __future__ import annotations
@@ -14,6 +16,55 @@ from pyspark.sql.window import Window
 from ..storage import stored
 
 
+#: Whole numbers of a cell; running sums are taken in cells, in cells of cells, and over these.
+CELL = 4096
+
+
+def running(sizes: DataFrame, key: str, count: str, out: str, within: list[str] | None = None) -> DataFrame:
+    """Adds ``out``: the sum of ``count`` over smaller values of the whole number ``key`` (each on one row), for each ``within``.
+
+    The last of three levels has a row for CELL * CELL values of the key.
+    """
+    within, span = within or [], (Window.unboundedPreceding, -1)
+    over = lambda keys, order: (Window.partitionBy(*keys) if keys else Window).orderBy(order).rowsBetween(*span)
+    rows = sizes.withColumn("_c1", F.floor(F.col(key) / CELL)).withColumn("_c2", F.floor(F.col("_c1") / CELL))
+    cells = rows.groupBy(*within, "_c2", "_c1").agg(F.sum(count).alias("_w"))
+    tops = cells.groupBy(*within, "_c2").agg(F.sum("_w").alias("_v"))
+    tops = tops.select(*within, "_c2", F.coalesce(F.sum("_v").over(over(within, "_c2")), F.lit(0)).alias("_s2"))
+    cells = cells.select(*within, "_c2", "_c1", F.coalesce(F.sum("_w").over(over([*within, "_c2"], "_c1")), F.lit(0)).alias("_s1"))
+    rows = rows.withColumn("_s0", F.coalesce(F.sum(count).over(over([*within, "_c2", "_c1"], key)), F.lit(0)))
+    rows = rows.join(cells, [*within, "_c2", "_c1"]).join(tops, [*within, "_c2"])
+    return rows.withColumn(out, F.col("_s0") + F.col("_s1") + F.col("_s2")).drop("_c1", "_c2", "_s0", "_s1", "_s2")
+
+
+def carried(rows: DataFrame, key: str, values: dict[str, str], back: bool = False) -> DataFrame:
+    """(key, each of ``values``): the last value that isn't null at a smaller (``back``: greater) whole number ``key``.
+
+    ``values`` maps new names to columns. Like :func:`running`, in cells and over cells.
+    """
+    span, way = (Window.unboundedPreceding, -1), F.desc if back else F.asc
+    r = rows.withColumn("_c1", F.floor(F.col(key) / CELL))
+    inside, over = Window.partitionBy("_c1").orderBy(way(key)).rowsBetween(*span), Window.orderBy(way("_c1")).rowsBetween(*span)
+    pick = F.min if back else F.max
+    edge = lambda c: pick(F.when(F.col(c).isNotNull(), F.struct(F.col(key).alias("k"), F.col(c).alias("v"))))["v"]
+    cells = r.groupBy("_c1").agg(*[edge(c).alias("_e_" + n) for n, c in values.items()])
+    cells = cells.select("_c1", *[F.last("_e_" + n, ignorenulls=True).over(over).alias("_o_" + n) for n in values])
+    r = r.select(key, "_c1", *[F.last(c, ignorenulls=True).over(inside).alias(n) for n, c in values.items()])
+    return r.join(cells, "_c1").select(key, *[F.coalesce(n, "_o_" + n).alias(n) for n in values])
+
+
+def refined(rows: DataFrame, after: str, within: list[str] | None = None) -> DataFrame:
+    """``rows`` (…, r, ``after``) with finer ``r`` and ``_n``: inside each group of equal ``r``, by the whole number ``after``.
+
+    Only distinct pairs (r, after) and their counts are summed, so a group of
+    any size is many tasks' work and equal pairs are combined before they travel.
+    """
+    within = within or []
+    pairs = rows.groupBy(*within, "r", after).agg(F.count("*").alias("_n"))
+    pairs = running(pairs, after, "_n", "_p", [*within, "r"]).withColumn("_r2", (F.col("r") + F.col("_p")).cast("long")).drop("_p")
+    return rows.drop("_n").join(pairs, [*within, "r", after]).drop("r").withColumnRenamed("_r2", "r")
+
+
 def bucket_rank(rows: DataFrame, bucket, order: list, out: str = "rank", within: list | None = None) -> DataFrame:
     """Adds the exact 0-based place of each row in the order (``within``, bucket, ``order``).
 
@@ -23,8 +74,11 @@ def bucket_rank(rows: DataFrame, bucket, order: list, out: str = "rank", within:
     within = within or []
     b = rows.withColumn("_b", bucket)
     sizes = b.groupBy(*within, "_b").count()
-    span = Window.partitionBy(*within).orderBy("_b") if within else Window.orderBy("_b")
-    before = sizes.select(*within, "_b", F.coalesce(F.sum("count").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    if dict(sizes.dtypes)["_b"] in ("int", "bigint"):
+        before = running(sizes, "_b", "count", "_off", within).drop("count")
+    else:  # a few symbols: as many rows as the alphabet has combinations
+        span = Window.partitionBy(*within).orderBy("_b") if within else Window.orderBy("_b")
+        before = sizes.select(*within, "_b", F.coalesce(F.sum("count").over(span.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy(*within, "_b").orderBy(*order))
     return b.withColumn("_local", local).join(before, [*within, "_b"]).withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("long")).drop("_b", "_off", "_local")
 
@@ -57,10 +111,7 @@ def doubled(rows: DataFrame, start: int, within: list[str], levels: list | None
     while k < longest and rows.where("_n > 1").limit(1).count():
         follow = rows.select("doc_id", (F.col("idx") - k).alias("idx"), F.col("r").alias("_next")).where("idx >= 0")
         open_ = rows.where("_n > 1").join(follow, ["doc_id", "idx"], "left").withColumn("_next", F.coalesce("_next", F.lit(-1)))
-        group = Window.partitionBy(*within, "r")
-        place = F.rank().over(group.orderBy("_next")) - 1
-        finer = open_.withColumn("r2", F.col("r") + place).drop("_n")
-        finer = finer.withColumn("_n", F.count("*").over(Window.partitionBy(*within, "r2"))).withColumn("r", F.col("r2").cast("long"))
+        finer = refined(open_, "_next", within)
         rows = stored(finer.select(*rows.columns).union(rows.where("_n <= 1")), "ranks")
         k *= 2
         if levels is not None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import lcp as lcp_of
 from ..functions.text import substr0
-from .ranking import common_prefixes, doubled, sparse_start
+from ..storage import stored
+from .ranking import common_prefixes, doubled, running, sparse_start
 from .symbols import positions
 
 #: Ranks of a block of occurrence counts, and of block minima.
@@ -81,92 +82,132 @@ def c_array(bwt_rows: DataFrame) -> DataFrame:
 def occ_blocks(bwt_rows: DataFrame) -> DataFrame:
     """(ref_id, block, sym, cnt): occurrences before the block's end, for symbols and blocks where they occur."""
     per = bwt_rows.groupBy("ref_id", F.floor(F.col("rank") / BLOCK).alias("block"), "sym").count()
-    w = Window.partitionBy("ref_id", "sym").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("ref_id", "block", "sym", F.sum("count").over(w).alias("cnt"))
+    return running(per, "block", "count", "_before", ["ref_id", "sym"]).select("ref_id", "block", "sym", (F.col("_before") + F.col("count")).cast("long").alias("cnt"))
+
+
+def occ_lookup(bwt_rows: DataFrame) -> DataFrame:
+    """(ref_id, sym, block, before, inside): occurrences before every block, and the places inside it (at most BLOCK).
+
+    Every symbol of a reference has a row for each block and one more, so a
+    count before any rank is one equi-join: n / BLOCK rows for each symbol.
+    """
+    rows = bwt_rows.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    size = bwt_rows.groupBy("ref_id").agg(F.floor(F.count("*") / BLOCK).alias("_last"))
+    symbols = bwt_rows.select("ref_id", "sym").distinct()
+    every = size.select("ref_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("block")).join(symbols, "ref_id")
+    held = rows.groupBy("ref_id", "sym", "block").agg(F.collect_list((F.col("rank") % BLOCK).cast("int")).alias("inside"))
+    all_ = every.join(held, ["ref_id", "sym", "block"], "left").withColumn("inside", F.coalesce("inside", F.array().cast("array<int>"))).withColumn("_n", F.size("inside"))
+    return running(all_, "block", "_n", "before", ["ref_id", "sym"]).select("ref_id", "sym", "block", F.col("before").cast("long").alias("before"), "inside")
 
 
 def occ_rank(bwt_rows: DataFrame) -> DataFrame:
     """Adds ``occ``: occurrences of the row's symbol in ranks 0 to its own."""
-    blocks = occ_blocks(bwt_rows)
-    w = Window.partitionBy("ref_id", "sym").orderBy("block")
-    before = blocks.select("ref_id", "sym", "block", F.coalesce(F.lag("cnt").over(w), F.lit(0)).alias("_before"))
+    per = bwt_rows.groupBy("ref_id", F.floor(F.col("rank") / BLOCK).alias("block"), "sym").count()
+    before = running(per, "block", "count", "_before", ["ref_id", "sym"]).select("ref_id", "block", "sym", "_before")
     inside = F.row_number().over(Window.partitionBy("ref_id", "block", "sym").orderBy("rank"))
     rows = bwt_rows.withColumn("block", F.floor(F.col("rank") / BLOCK)).withColumn("_in", inside)
     return rows.join(before, ["ref_id", "sym", "block"]).select("ref_id", "rank", "sym", (F.col("_before") + F.col("_in")).cast("long").alias("occ"))
 
 
 def backward_search(bwt_rows: DataFrame, patterns: DataFrame, longest: int) -> DataFrame:
-    """(ref_id, pattern, n): occurrences of each pattern by backward steps, one join a step.
+    """(ref_id, pattern, n): occurrences of each pattern by backward steps.
 
-    A bound's occurrence count is that of the nearest row at or before it with
-    the wanted symbol, found as a maximum over a range join on (ref_id, sym).
+    ``patterns`` is a stated set, asked of every reference. A step is an
+    equi-join of each bound with the block that holds it. References must end
+    in a symbol that is less than all others and in no pattern, since the BWT is cyclic.
     """
     counts = c_array(bwt_rows)
-    occ = occ_rank(bwt_rows).select("ref_id", "sym", F.col("rank").alias("_rank"), F.col("occ").alias("_occ"))
+    occ = stored(occ_lookup(bwt_rows), "occ")
     size = bwt_rows.groupBy("ref_id").agg(F.count("*").alias("_n"))
     state = size.join(patterns).select("ref_id", "pattern", F.lit(0).cast("long").alias("lo"), F.col("_n").alias("hi"), F.length("pattern").alias("left"))
     for _ in range(longest):
-        going = state.where("left > 0").withColumn("sym", substr0(F.col("pattern"), F.col("left") - 1, 1))
-        found = (
-            going.join(occ, ["ref_id", "sym"], "left")
-            .groupBy("ref_id", "pattern", "sym", "lo", "hi", "left")
-            .agg(F.coalesce(F.max(F.when(F.col("_rank") < F.col("lo"), F.col("_occ"))), F.lit(0)).alias("_l"), F.coalesce(F.max(F.when(F.col("_rank") < F.col("hi"), F.col("_occ"))), F.lit(0)).alias("_h"))
-            .join(counts, ["ref_id", "sym"], "left")
-        )
-        base = F.coalesce("c", F.lit(0))
-        stepped = found.select("ref_id", "pattern", (base + F.col("_l")).alias("lo"), (base + F.col("_h")).alias("hi"), (F.col("left") - 1).alias("left"))
-        state = stepped.union(state.where("left = 0"))
+        at = state.withColumn("sym", F.when(F.col("left") > 0, substr0(F.col("pattern"), F.col("left") - 1, 1)))
+        for bound in ("lo", "hi"):
+            side = occ.select(F.col("ref_id"), F.col("sym"), F.col("block").alias("_block"), "before", "inside")
+            at = at.withColumn("_block", F.floor(F.col(bound) / BLOCK)).join(side, ["ref_id", "sym", "_block"], "left")
+            n = F.col("before") + F.size(F.filter("inside", lambda x: x < F.col(bound) % BLOCK))  # noqa: B023
+            at = at.withColumn("_" + bound, F.coalesce(n, F.lit(0))).drop("_block", "before", "inside")
+        at = at.join(counts, ["ref_id", "sym"], "left")
+        base, done = F.coalesce("c", F.lit(0)), F.col("left") == 0
+        state = at.select("ref_id", "pattern", *[F.when(done, F.col(x)).otherwise(base + F.col("_" + x)).alias(x) for x in ("lo", "hi")], F.greatest(F.col("left") - 1, F.lit(0)).alias("left"))
     return state.select("ref_id", "pattern", F.greatest(F.col("hi") - F.col("lo"), F.lit(0)).alias("n"))
 
 
-def smaller_before(values: DataFrame, queries: DataFrame, id_: list[str]) -> DataFrame:
-    """For queries (ref_id, *id_, i, bound): ``found`` = max j <= i with v(j) < bound, null if none. ``values`` is (ref_id, j, v).
+def minima(values: DataFrame) -> list[DataFrame]:
+    """Stored tables (ref_id, node, items): BLOCK values (j, v) a node, then minima of BLOCK nodes a node, up to one for a reference."""
+    tables, rows = [], values.select("ref_id", "j", "v")
+    longest = (values.agg(F.max("j")).first()[0] or 0) + 1
+    while True:
+        table = stored(rows.groupBy("ref_id", F.floor(F.col("j") / BLOCK).alias("node")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("items")), "minima")
+        tables.append(table)
+        longest = -(-longest // BLOCK)
+        if longest <= 1:
+            return tables
+        rows = table.select("ref_id", F.col("node").alias("j"), F.array_min(F.transform("items", lambda x: x["v"])).alias("v"))
+
 
-    The own block is searched first; what it doesn't settle looks for the
-    nearest earlier block whose minimum is below the bound, then inside it.
+def smaller(tables: list[DataFrame], queries: DataFrame, id_: list[str], before: bool) -> DataFrame:
+    """For queries (ref_id, *id_, i, bound): ``found`` = the greatest j <= i (``before``; else the least j >= i) with v(j) < bound, null if none.
+
+    ``tables`` are the :func:`minima` of v. The own node is searched first; what
+    it doesn't settle climbs a level, and what is found there comes down
+    again. Each step is an equi-join on (ref_id, node).
     """
-    return _smaller(values, queries, id_, before=True)
+    pick = F.array_max if before else F.array_min
+    columns = ["ref_id", *id_, "i", "bound"]
 
+    def search(rows: DataFrame, level: int, node, reach) -> DataFrame:
+        side = tables[level].withColumnRenamed("node", "_node")
+        hit = F.transform(F.filter("items", lambda x: (x["v"] < F.col("bound")) & reach(x["j"])), lambda x: x["j"])
+        return rows.withColumn("_node", node).join(side, ["ref_id", "_node"], "left").withColumn("_hit", pick(hit)).drop("items", "_node")
 
-def smaller_after(values: DataFrame, queries: DataFrame, id_: list[str]) -> DataFrame:
-    """As :func:`smaller_before`, with min j >= i."""
-    return _smaller(values, queries, id_, before=False)
+    found, open_ = [], queries.select(*columns)
+    for level in range(len(tables)):
+        own = F.floor(F.col("i") / BLOCK**level)
+        near = lambda j: j <= F.col("i") if before else j >= F.col("i")
+        far = lambda j: j < own if before else j > own  # noqa: B023, E731
+        tried = search(open_, level, F.floor(F.col("i") / BLOCK ** (level + 1)), far if level else near)
+        found.append(tried.where("_hit is not null"))
+        open_ = tried.where("_hit is null").drop("_hit")
+    state = found[-1]
+    for level in range(len(tables) - 2, -1, -1):
+        state = search(state.withColumnRenamed("_hit", "_from"), level, F.col("_from"), lambda j: F.lit(True)).drop("_from").unionByName(found[level])
+    none = open_.withColumn("found", F.lit(None).cast("long"))
+    return state.select(*columns, F.col("_hit").cast("long").alias("found")).union(none)
 
 
-def _smaller(values: DataFrame, queries: DataFrame, id_: list[str], before: bool) -> DataFrame:
-    pick = F.array_max if before else F.array_min
-    block = F.floor(F.col("j") / BLOCK)
-    blocks = values.groupBy("ref_id", block.alias("_block")).agg(F.collect_list(F.struct("j", "v")).alias("_v"), F.min("v").alias("_min"))  # BLOCK entries
-
-    def inside(reach: Column) -> Column:
-        return pick(F.transform(F.filter("_v", lambda x: (x["v"] < F.col("bound")) & reach(x)), lambda x: x["j"]))
-
-    near = lambda x: x["j"] <= F.col("i") if before else x["j"] >= F.col("i")
-    q = queries.withColumn("_block", F.floor(F.col("i") / BLOCK)).join(blocks, ["ref_id", "_block"], "left").withColumn("found", inside(near)).drop("_v", "_min")
-    open_ = q.where("found is null").drop("found")
-    m = blocks.select(F.col("ref_id").alias("_r"), F.col("_block").alias("_b"), "_min")
-    side = F.col("_b") < F.col("_block") if before else F.col("_b") > F.col("_block")
-    far = open_.join(m, (F.col("ref_id") == F.col("_r")) & side & (F.col("_min") < F.col("bound")), "left")
-    best = (F.max if before else F.min)("_b").alias("_to")
-    far = far.groupBy("ref_id", *id_, "i", "bound").agg(best)
-    far = far.join(blocks.withColumnRenamed("_block", "_to"), ["ref_id", "_to"], "left").withColumn("found", inside(lambda x: F.lit(True)))
-    columns = ["ref_id", *id_, "i", "bound", "found"]
-    return q.where("found is not null").select(*columns).union(far.select(*columns))
-
-
-def psv_nsv(index: DataFrame) -> DataFrame:
+def _lcp_minima(index: DataFrame) -> list[DataFrame]:
+    return minima(index.select("ref_id", F.col("rank").alias("j"), F.col("lcp").alias("v")))
+
+
+def psv_nsv(index: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
     """(ref_id, rank, lcp, psv, nsv): nearest ranks with a strictly smaller LCP value, null if none."""
-    v = index.select("ref_id", F.col("rank").alias("j"), F.col("lcp").alias("v"))
+    tables = tables or _lcp_minima(index)
     at = index.select("ref_id", "rank", (F.col("rank") - 1).alias("i"), F.col("lcp").alias("bound"))
-    back = smaller_before(v, at, ["rank"]).select("ref_id", "rank", F.col("found").alias("psv"))
-    fore = smaller_after(v, at.withColumn("i", F.col("rank") + 1), ["rank"]).select("ref_id", "rank", F.col("found").alias("nsv"))
+    back = smaller(tables, at, ["rank"], True).select("ref_id", "rank", F.col("found").alias("psv"))
+    fore = smaller(tables, at.withColumn("i", F.col("rank") + 1), ["rank"], False).select("ref_id", "rank", F.col("found").alias("nsv"))
     return index.select("ref_id", "rank", "lcp").join(back, ["ref_id", "rank"]).join(fore, ["ref_id", "rank"])
 
 
-def range_minimum(index: DataFrame, width: int) -> DataFrame:
-    """(ref_id, rank, min_lcp): the least LCP value of the ``width`` ranks from each rank."""
-    w = Window.partitionBy("ref_id").orderBy("rank").rowsBetween(0, width - 1)
-    return index.select("ref_id", "rank", F.min("lcp").over(w).alias("min_lcp"))
+def range_minimum(index: DataFrame, asked: DataFrame, id_: list[str], tables: list[DataFrame] | None = None) -> DataFrame:
+    """``asked`` (ref_id, *id_, lo, hi) with ``min_lcp``: the least LCP value of ranks lo to hi; ranges of any length.
+
+    At each level the ends of a range are looked up in the nodes that hold
+    them, and the whole nodes between are left to the next level.
+    """
+    tables = tables or _lcp_minima(index)
+    columns, parts = ["ref_id", *id_], []
+    rows = asked.select(*columns, F.col("lo").alias("_a"), F.col("hi").alias("_b"))
+    for table in tables:
+        node = lambda c: F.floor(F.col(c) / BLOCK)
+        ends = rows.select(*columns, "_a", "_b", F.explode(F.array_distinct(F.array(node("_a"), node("_b")))).alias("node"))
+        least = F.array_min(F.transform(F.filter("items", lambda x: x["j"].between(F.col("_a"), F.col("_b"))), lambda x: x["v"]))
+        parts.append(ends.join(table, ["ref_id", "node"]).select(*columns, least.alias("min_lcp")))
+        rows = rows.select(*columns, (node("_a") + 1).alias("_x"), (node("_b") - 1).alias("_y")).where("_x <= _y").select(*columns, F.col("_x").alias("_a"), F.col("_y").alias("_b"))
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.union(p)
+    return asked.join(all_.groupBy(*columns).agg(F.min("min_lcp").alias("min_lcp")), columns)
 
 
 def lcp_intervals(index: DataFrame) -> DataFrame:
@@ -178,10 +219,10 @@ def lcp_intervals(index: DataFrame) -> DataFrame:
 
 def widened(index: DataFrame, asked: DataFrame, id_: list[str]) -> DataFrame:
     """For (ref_id, *id_, a, b, len): the interval [lo, hi] around ranks a to b that shares ``len`` symbols."""
-    v = index.select("ref_id", F.col("rank").alias("j"), F.col("lcp").alias("v"))
+    tables = _lcp_minima(index)
     last = index.groupBy("ref_id").agg(F.max("rank").alias("_last"))
-    low = smaller_before(v, asked.select("ref_id", *id_, F.col("a").alias("i"), F.col("len").alias("bound")), id_).select("ref_id", *id_, F.col("found").alias("_lo"))
-    high = smaller_after(v, asked.select("ref_id", *id_, (F.col("b") + 1).alias("i"), F.col("len").alias("bound")), id_).select("ref_id", *id_, F.col("found").alias("_hi"))
+    low = smaller(tables, asked.select("ref_id", *id_, F.col("a").alias("i"), F.col("len").alias("bound")), id_, True).select("ref_id", *id_, F.col("found").alias("_lo"))
+    high = smaller(tables, asked.select("ref_id", *id_, (F.col("b") + 1).alias("i"), F.col("len").alias("bound")), id_, False).select("ref_id", *id_, F.col("found").alias("_hi"))
     both = asked.join(low, ["ref_id", *id_]).join(high, ["ref_id", *id_]).join(last, "ref_id")
     return both.select("ref_id", *id_, "len", F.coalesce("_lo", F.lit(0)).cast("long").alias("lo"), F.coalesce(F.col("_hi") - 1, F.col("_last")).cast("long").alias("hi"))
 
@@ -213,9 +254,23 @@ def parent_intervals(index: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def interval_bounds(index: DataFrame, refs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(ref_id, lo, hi, len, sym, left_bound, right_bound): first and last rank in each interval whose symbol after ``len`` is ``sym``."""
-    wanted = intervals.select("ref_id", "lo", "hi", "len").distinct()
-    rows = index.select(F.col("ref_id").alias("_r"), "rank", F.col("pos").alias("_p"))
-    met = wanted.join(rows, (F.col("ref_id") == F.col("_r")) & F.col("rank").between(F.col("lo"), F.col("hi")))
-    met = met.withColumn("pos", F.col("_p") + F.col("len")).join(symbol_at(refs), ["ref_id", "pos"], "left")
-    return met.groupBy("ref_id", "lo", "hi", "len", F.coalesce("sym", F.lit("")).alias("sym")).agg(F.min("rank").alias("left_bound"), F.max("rank").alias("right_bound"))
+    """(ref_id, lo, hi, len, sym, left_bound, right_bound): first and last rank in each interval whose symbol after ``len`` is ``sym``.
+
+    A new symbol begins at the interval's first rank and at each rank of it
+    whose LCP value is ``len``: those are the ranks that have this interval as theirs.
+    """
+    key = ["ref_id", "lo", "hi", "len"]
+    starts = intervals.select(*key, "rank").union(intervals.select(*key, F.col("lo").alias("rank"))).distinct()
+    inside = Window.partitionBy(*key).orderBy("rank")  # one row a symbol
+    starts = starts.withColumn("_next", F.lead("rank").over(inside)).join(index.select("ref_id", "rank", F.col("pos").alias("_p")), ["ref_id", "rank"])
+    met = starts.withColumn("pos", F.col("_p") + F.col("len")).join(symbol_at(refs), ["ref_id", "pos"], "left")
+    return met.select(*key, F.coalesce("sym", F.lit("")).alias("sym"), F.col("rank").alias("left_bound"), F.coalesce(F.col("_next") - 1, F.col("hi")).cast("long").alias("right_bound"))
+
+
+def bound_search(bounds: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (ref_id, lo, hi, len, sym) with the symbol's bounds in the interval, or, where it is absent, ``insertion``: the rank it would begin at."""
+    key = ["ref_id", "lo", "hi", "len"]
+    met = asked.join(bounds.withColumnRenamed("sym", "_s"), key)
+    hit, above = F.col("_s") == F.col("sym"), F.col("_s") > F.col("sym")
+    out = met.groupBy(*key, "sym").agg(F.max(F.when(hit, F.col("left_bound"))).alias("left_bound"), F.max(F.when(hit, F.col("right_bound"))).alias("right_bound"), F.min(F.when(above, F.col("left_bound"))).alias("_up"))
+    return out.withColumn("insertion", F.when(F.col("left_bound").isNull(), F.coalesce("_up", F.col("hi") + 1))).drop("_up")

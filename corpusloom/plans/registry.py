@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import gsa as ga
-from ..operators import intseq, matchstats, predecessor, ranking, refindex, symbols
+from ..operators import backward, intseq, matchstats, predecessor, ranking, refindex, symbols
 from ..sources import collections as src
 from ..storage import new_path, stored
 
@@ -28,7 +28,10 @@ ORACLES: dict[str, str] = {}
 #: Patterns that the backward search counts.
 PATTERNS = ("e", "th", "ing", "tion", "e th", "qqz")
 RUN_SYMBOL = "n"
-RANGE_WIDTH = 16
+#: Ends that no pattern holds and that sort before all symbols.
+TERMINATOR = "\0"
+#: Symbols looked for in every interval.
+SOUGHT = ("a", "e", "n", "Z")
 
 
 def query(oracle: str | None = None):
@@ -297,7 +300,9 @@ def occ_rank(spark, d):
 @query(f"with {_B}, q as (select unnest({list(PATTERNS)}) as pattern) select doc_id as ref_id, pattern, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(pattern)) = pattern))::bigint as n from d, q where length(text) > 0")
 def backward_search_count(spark, d):
     patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
-    return refindex.backward_search(_bwt(spark, d), patterns, max(map(len, PATTERNS)))
+    refs = _refs(spark, d).where(F.length("text") > 0).withColumn("text", F.concat("text", F.lit(TERMINATOR)))
+    rows = stored(refindex.bwt(refindex.suffix_array(refs), refs), "bwt")
+    return refindex.backward_search(rows, patterns, max(map(len, PATTERNS)))
 
 
 _PN = """pn as (select a.ref_id, a.rank, a.lcp, (select max(b.rank) from ix b where b.ref_id = a.ref_id and b.rank < a.rank and b.lcp < a.lcp) as psv,
@@ -310,9 +315,14 @@ def psv_nsv(spark, d):
     return refindex.psv_nsv(_index(_refs(spark, d), d))
 
 
-@query(f"with {_IX} select a.ref_id, a.rank, min(b.lcp) as min_lcp from ix a join ix b on b.ref_id = a.ref_id and b.rank >= a.rank and b.rank < a.rank + {RANGE_WIDTH} group by all")
+@query(f"""with {_IX}, q as (select ref_id, rank as lo, least(rank + pos % 300, max(rank) over (partition by ref_id)) as hi from ix)
+select q.ref_id, q.lo, q.hi, min(b.lcp) as min_lcp from q join ix b on b.ref_id = q.ref_id and b.rank between q.lo and q.hi group by all""")
 def range_min(spark, d):
-    return refindex.range_minimum(_index(_refs(spark, d), d), RANGE_WIDTH)
+    """Least LCP values of a range from every rank, of many lengths."""
+    index = _index(_refs(spark, d), d)
+    last = index.groupBy("ref_id").agg(F.max("rank").alias("_last"))
+    asked = index.join(last, "ref_id").select("ref_id", F.col("rank").alias("lo"), F.least(F.col("rank") + F.col("pos") % 300, F.col("_last")).alias("hi"))
+    return refindex.range_minimum(index, asked.withColumn("id", F.col("lo")), ["id"]).select("ref_id", "lo", "hi", "min_lcp")
 
 
 @query(f"with {_IV} select * from iv")
@@ -343,6 +353,25 @@ def interval_bound_search(spark, d):
     return refindex.interval_bounds(index, refs, stored(refindex.lcp_intervals(index), "intervals"))
 
 
+@query(f"""with {_IV}, q as (select distinct ref_id, lo, hi, len, sym from iv, (select unnest({list(SOUGHT)}) as sym)),
+b as (select q.*, x.rank, substr(x.s, q.len + 1, 1) as c from q join ix x on x.ref_id = q.ref_id and x.rank between q.lo and q.hi)
+select ref_id, lo, hi, len, sym, min(rank) filter (where c = sym) as left_bound, max(rank) filter (where c = sym) as right_bound,
+  case when count(*) filter (where c = sym) = 0 then lo + count(*) filter (where c < sym) end as insertion from b group by ref_id, lo, hi, len, sym""")
+def bound_insertion(spark, d):
+    """Where some symbols are in each interval, or would be."""
+    refs = _refs(spark, d)
+    index = _index(refs, d)
+    intervals = stored(refindex.lcp_intervals(index), "intervals")
+    asked = intervals.select("ref_id", "lo", "hi", "len").distinct().withColumn("sym", F.explode(F.array(*map(F.lit, SOUGHT))))
+    return refindex.bound_search(refindex.interval_bounds(index, refs, intervals), asked)
+
+
+@query(f"with {_B} select doc_id as ref_id, 0 as outcome from d")
+def sa_outcome(spark, d):
+    refs = _refs(spark, d)
+    return ga.sa_outcome(stored(refindex.suffix_array(refs), "sa"), refs)
+
+
 @query(f"""with {_IX}, k as (select ref_id, rank, pos, left(s, 1) as sym, (select b.rank from ix b where b.ref_id = ix.ref_id and b.pos = ix.pos + 1) as nxt from ix),
 m as (select *, lag(sym) over w as s0, lag(coalesce(nxt, -1)) over w as n0 from k window w as (partition by ref_id order by rank))
 select ref_id, count(*) as n, count(distinct pos) as n_distinct, min(pos) as min_pos, max(pos) as max_pos, count(*) filter (where s0 is not null and (s0 > sym or (s0 = sym and n0 >= coalesce(nxt, -1)))) as violations from m group by ref_id""")
@@ -370,6 +399,28 @@ def ms_by_ranks(spark, d):
     return matchstats.matching_statistics_by_ranks(_collection(spark, d), _reference(spark, d))
 
 
+@query(f"with {_MS} select ms.doc_id, ms.idx, pos, len, smaller, substr(text, idx + len + 1, 1) as mismatch from ms join d using (doc_id)")
+def ms_mismatch(spark, d):
+    collection, _, _, ms = _matches(spark, d)
+    return matchstats.with_mismatch(ms, collection)
+
+
+@query(f"""with {_MS}, q as (select ms.*, length(regexp_extract(substr(text, idx + 1), '^{RUN_SYMBOL}+')) as run, (select length(text) from d, r0 where doc_id = m) as n from ms join d using (doc_id))
+select doc_id, idx, case when run > 0 then n else pos end as pos, case when run > 0 then run else len end as len, run = 0 and smaller as smaller from q""")
+def ms_with_runs(spark, d):
+    """Matches in which the runs of one symbol stand for themselves."""
+    collection, reference, _, ms = _matches(spark, d)
+    return matchstats.with_runs(ms, collection, reference, RUN_SYMBOL)
+
+
+@query(f"""with {_MS}, rs as (select s, row_number() over (order by s) - 1 as rank from u where src = 0)
+select ms.doc_id, ms.idx, ms.len, min(rank) as lo, max(rank) as hi from ms join d using (doc_id) join rs on left(rs.s, ms.len) = substr(d.text, ms.idx + 1, ms.len) group by all""")
+def ms_backward(spark, d):
+    """Right to left over the reference's index, with the interval of each match."""
+    reference = stored(_reference(spark, d), "reference")
+    return backward.backward_matching(_collection(spark, d), reference, _index(reference, d))
+
+
 @query(f"with {_HEADS} select * from h")
 def ms_heads(spark, d):
     return _heads(spark, d)[3]
@@ -387,6 +438,20 @@ def ms_head_stats(spark, d):
     return matchstats.head_statistics(head, index)
 
 
+@query(f"""with {_HEADS}, q as (select h.doc_id, h.head_id, count(*) as n from h join d using (doc_id) join u on u.src = 0 and left(u.s, h.len) = substr(d.text, h.start + 1, h.len) where not is_end and len > 0 group by all)
+select count(*) as n_matched, count(*) filter (where n = 1) as n_unambiguous from q""")
+def ms_unambiguous(spark, d):
+    _, _, index, head = _heads(spark, d)
+    return matchstats.unambiguous(head, index)
+
+
+@query(f"""with {_HEADS}, q as (select doc_id, list(struct_pack(pos := pos, len := len) order by start) as x from h where not is_end group by doc_id)
+select row_number() over (order by x, doc_id) - 1 as order_no, doc_id, len(x)::int as n_phrases from q""")
+def phrase_sequences(spark, d):
+    """Documents sorted by their sequences of phrases."""
+    return matchstats.phrase_sequences(_heads(spark, d)[3])
+
+
 @query(f"with {_HEADS} select rs.rank, count(h.doc_id) as n from rs left join h on h.pos = rs.pos and not h.is_end group by rs.rank")
 def suffixes_before(spark, d):
     _, _, index, head = _heads(spark, d)
@@ -510,6 +575,46 @@ def gsa_by_ranks(spark, d):
     return ga.gsa_by_matches(collection, reference, _index(reference, d), _statistics(d))
 
 
+def _whole_heads(spark, d):
+    """As :func:`_heads`, against the reference with all symbols of the collection."""
+    collection = _collection(spark, d)
+    reference = stored(symbols.augmented(_reference(spark, d), collection), "reference")
+    ms = stored(_statistics(d)(collection, reference), "matches")
+    return collection, reference, _index(reference, d), stored(matchstats.heads(ms, collection, reference), "heads")
+
+
+_WITHOUT_FIRST = _GSA.replace("from benchmark)", "from benchmark where item_id > (select min(item_id) from benchmark))", 1)
+#: The items with the first one augmented, as reference.
+_AUGMENTED = """b0 as (select item_id as doc_id, coalesce(text, '') as text, min(item_id) over () as m from benchmark),
+i0 as (select doc_id, substr(text, idx + 1, 1) as sym, idx - row_number() over (partition by doc_id, substr(text, idx + 1, 1) order by idx) as island from (select doc_id, text, unnest(range(0, length(text))) as idx from b0 where doc_id > m)),
+m0 as (select sym, max(n) as n from (select sym, count(*) as n from i0 group by doc_id, sym, island) group by sym),
+d as (select doc_id, case when doc_id = m then text || coalesce((select string_agg(repeat(sym, n), '' order by sym) from m0 where sym <> '%' and not contains(b0.text, sym)), '') || '$' || chr(10) else text end as text from b0)"""
+
+
+@query(f"with {_WITHOUT_FIRST} select rank, doc_id, idx from g")
+def gsa_by_heads(spark, d):
+    collection, _, index, head = _whole_heads(spark, d)
+    return ga.gsa_by_heads(collection, head, index)
+
+
+@query(f"with {_HEADS.replace(_B, _AUGMENTED)} select count(*) as n, 0::bigint as n_empty, 0::bigint as violations from h where not is_end")
+def heads_check(spark, d):
+    """Heads sorted by their matches and what follows, against the suffix array of all positions."""
+    collection, _, index, head = _whole_heads(spark, d)
+    ranks = stored(ga.anchor_ranks(head, index), "anchor-ranks")
+    starts = head.where("not is_end").select("doc_id", F.col("start").alias("idx"))
+    return ga.suborder_violations(ga.sorted_by_heads(starts, head, index, ranks), ga.gsa(collection))
+
+
+@query(f"with {_TYPES} select count(*) as n, 0::bigint as n_empty, 0::bigint as violations from st where sym <> '' and doc_id > (select min(doc_id) from d)")
+def sstar_check(spark, d):
+    """S* positions sorted by heads, against the suffix array of all positions."""
+    collection, _, index, head = _whole_heads(spark, d)
+    ranks = stored(ga.anchor_ranks(head, index), "anchor-ranks")
+    star = ga.s_star(ga.types(collection)).where("sym <> ''")
+    return ga.suborder_violations(ga.sorted_by_heads(star, head, index, ranks), ga.gsa(collection))
+
+
 @query(f"with {_GSA}, t as (select *, idx > 0 and s < t and (select substr(d.text, g.idx) > g.s from d where d.doc_id = g.doc_id) as star from g) select row_number() over (order by rank) - 1 as order_no, doc_id, idx from t where star")
 def sstar_sorted(spark, d):
     items = _items(spark, d)
@@ -563,6 +668,17 @@ def int_bwt(spark, d):
     return intseq.bwt(values, stored(intseq.suffix_array(values), "sa"))
 
 
+@query(f"with {_B} select count(*) as n, 0::bigint as n_different from d where doc_id > (select min(doc_id) from d)")
+def index_roundtrip(spark, d):
+    """Reference, index and heads written, read back, and the collection decoded from them."""
+    collection, reference, index, head = _whole_heads(spark, d)
+    path = new_path(spark, "collection-index")
+    src.write_collection_index(path, reference, index, head)
+    read, _, heads = src.read_collection_index(spark, path)
+    both = collection.join(src.decoded(read, heads).withColumnRenamed("text", "_t"), "doc_id", "full")
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("text").eqNullSafe(F.col("_t"))).alias("n_different"))
+
+
 @query(f"with {_GSA} select count(*) as n, 0::bigint as missing, 0::bigint as added from g")
 def sink_roundtrip(spark, d):
     """The GSA written as a sorted table and read back."""

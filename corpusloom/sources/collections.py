@@ -61,6 +61,29 @@ def write_index(df: DataFrame, path: str, order: list[str]) -> None:
     df.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
+def write_collection_index(path: str, reference: DataFrame, index: DataFrame, heads: DataFrame) -> None:
+    """A reference, its index and a collection's heads (relative to it) as one folder: what a compressed collection is made of."""
+    reference.select("ref_id", F.length("text").cast("long").alias("length"), "text").write.mode("overwrite").parquet(f"{path}/reference")
+    write_index(index, f"{path}/index", ["ref_id", "rank"])
+    write_index(heads.select("doc_id", "head_id", "start", "pos", "len", "smaller", "is_end"), f"{path}/heads", ["doc_id", "head_id"])
+
+
+def read_collection_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reference, index, heads) of such a folder; heads have ``next_start`` again."""
+    by = Window.partitionBy("doc_id").orderBy("head_id")
+    heads = spark.read.parquet(f"{path}/heads")
+    heads = heads.select("doc_id", "head_id", "start", F.lead("start").over(by).alias("next_start"), "pos", "len", "smaller", "is_end")
+    return spark.read.parquet(f"{path}/reference").select("ref_id", "text"), spark.read.parquet(f"{path}/index"), heads
+
+
+def decoded(reference: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc_id, text): the documents that the heads tell, each phrase cut from the reference (which must hold every symbol)."""
+    n = F.coalesce("next_start", F.col("start")) - F.col("start")
+    parts = heads.where("not is_end").join(reference.select("text")).select("doc_id", "start", F.substring("text", (F.col("pos") + 1).cast("int"), n.cast("int")).alias("part"))  # one reference
+    whole = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "part"))).alias("x"))  # one document's phrases
+    return heads.select("doc_id").distinct().join(whole, "doc_id", "left").select("doc_id", F.coalesce(F.array_join(F.transform("x", lambda p: p["part"]), ""), F.lit("")).alias("text"))
+
+
 def write_phrases(phrases: DataFrame, path: str) -> None:
     """Text lines ``pos len`` in phrase order; file names follow the order."""
     ranged = phrases.repartitionByRange("order_no").sortWithinPartitions("order_no")

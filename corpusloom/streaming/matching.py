@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.matchstats import matching_statistics
+from ..operators.matchstats import matching_statistics_by_ranks
 
 
 def stream_matches(documents: DataFrame, reference: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -15,6 +15,6 @@ def stream_matches(documents: DataFrame, reference: DataFrame, path: str, checkp
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        matching_statistics(batch.select("doc_id", "text"), reference).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        matching_statistics_by_ranks(batch.select("doc_id", "text"), reference).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
