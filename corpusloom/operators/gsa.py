@@ -52,39 +52,39 @@ def gsa_by_matches(collection: DataFrame, reference: DataFrame, index: DataFrame
     side = F.when(F.col("smaller"), F.col("len")).otherwise(-F.col("len"))
     offset = sparse_start(ms.select("doc_id", "idx", "rank", (~F.col("smaller")).alias("_side"), side.alias("_len"), (F.col("idx") + F.col("len")).alias("jump")), F.col("rank"), []).drop("_n")
     place = F.rank().over(Window.partitionBy("rank").orderBy("_side", "_len")) - 1
-    rows = offset.select("doc_id", "idx", "jump", (F.col("r") + place).cast("long").alias("r"))
+    rows = offset.select("doc_id", "idx", "jump", (F.col("r") + place).cast("long").alias("r"), F.count("*").over(Window.partitionBy("rank", "_side", "_len")).alias("_n"))
     ends = collection.select("doc_id", F.length("text").cast("long").alias("idx"))
-    rows = rows.union(ends.select("doc_id", "idx", F.col("idx").alias("jump"), F.lit(-1).cast("long").alias("r")))
+    rows = rows.union(ends.select("doc_id", "idx", F.col("idx").alias("jump"), F.lit(-1).cast("long").alias("r"), F.lit(1).cast("long").alias("_n")))
     rows, state = stored(rows, "match-ranks"), None
     while True:
-        now = rows.agg(F.count_distinct("r"), F.sum(F.when(F.col("jump") > F.col("idx"), 1).otherwise(0)), F.sum("jump")).first()
+        *now, largest = rows.agg(F.count_distinct("r"), F.sum(F.when(F.col("jump") > F.col("idx"), 1).otherwise(0)), F.sum("jump"), F.max("_n")).first()
         if now == state:
             break
         state = now
         to = rows.select("doc_id", F.col("idx").alias("jump"), F.col("r").alias("_r"), F.col("jump").alias("_j"))
-        both = refined(rows.join(to, ["doc_id", "jump"]).where("r >= 0"), "_r").select("doc_id", "idx", F.col("_j").alias("jump"), "r")
+        both = refined(rows.join(to, ["doc_id", "jump"]).where("r >= 0"), "_r", None, largest).select("doc_id", "idx", F.col("_j").alias("jump"), "r", "_n")
         rows = stored(both.union(rows.where("r < 0")), "match-ranks")
     return _numbered(rows.where("r >= 0"))
 
 
 def anchors(head: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, head_id, next_head_id, r): for each head the place after its match, ranked by its own match.
+    """(doc_id, head_id, next_head_id, r, _n): for each head the place after its match, ranked by its own match.
 
     That place is inside another head (``next_head_id``), whose match it
     shares, so its next place is that head's: the places are closed, one for
-    each head. ``r`` is -1 for document ends.
+    each head. ``r`` is -1 for document ends, ``_n`` how many have this rank.
     """
     sides = head.select("doc_id", F.col("head_id").alias("next_head_id"), "len", "smaller", "is_end")
     rows = next_heads(head, index).join(sides, ["doc_id", "next_head_id"]).withColumn("_left", F.col("len") - F.col("offset"))
     signed = F.when(F.col("smaller"), F.col("_left")).otherwise(-F.col("_left"))
-    ends = rows.where("is_end").select("doc_id", "head_id", "next_head_id", F.lit(-1).cast("long").alias("r"))
+    ends = rows.where("is_end").select("doc_id", "head_id", "next_head_id", F.lit(-1).cast("long").alias("r"), F.lit(1).cast("long").alias("_n"))
     rows = rows.where("not is_end").select("doc_id", "head_id", "next_head_id", "next_isa", (~F.col("smaller")).cast("int").alias("_side"), signed.alias("_len"))
     sizes = running(rows.groupBy("next_isa").agg(F.count("*").alias("_n")), "next_isa", "_n", "r").drop("_n")
     by = rows.groupBy("next_isa", "_side", "_len").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("next_isa").orderBy("_side", "_len").rowsBetween(Window.unboundedPreceding, -1))
-    by = by.select("next_isa", "_side", "_len", F.coalesce(before, F.lit(0)).alias("_p")).join(sizes, "next_isa")
-    ranked = rows.join(by, ["next_isa", "_side", "_len"]).select("doc_id", "head_id", "next_head_id", (F.col("r") + F.col("_p")).cast("long").alias("r"))
-    stop = head.where("is_end").select("doc_id", "head_id", F.col("head_id").alias("next_head_id"), F.lit(-1).cast("long").alias("r"))
+    by = by.select("next_isa", "_side", "_len", "_n", F.coalesce(before, F.lit(0)).alias("_p")).join(sizes, "next_isa")
+    ranked = rows.join(by, ["next_isa", "_side", "_len"]).select("doc_id", "head_id", "next_head_id", (F.col("r") + F.col("_p")).cast("long").alias("r"), "_n")
+    stop = head.where("is_end").select("doc_id", "head_id", F.col("head_id").alias("next_head_id"), F.lit(-1).cast("long").alias("r"), F.lit(1).cast("long").alias("_n"))
     return ranked.union(ends).union(stop)
 
 
@@ -97,14 +97,14 @@ def anchor_ranks(head: DataFrame, index: DataFrame, counts: list | None = None)
     """
     rows, state = stored(anchors(head, index), "anchors"), None
     while True:
-        now = rows.agg(F.count_distinct("r"), F.sum("next_head_id"), F.count("*")).first()
+        now = rows.agg(F.count_distinct("r"), F.sum("next_head_id"), F.count("*"), F.max("_n")).first()
         if counts is not None:
             counts.append(now[2])
         if now[:2] == state:
             break
         state = now[:2]
         to = rows.select("doc_id", F.col("head_id").alias("next_head_id"), F.col("r").alias("_r"), F.col("next_head_id").alias("_j"))
-        finer = refined(rows.where("r >= 0").join(to, ["doc_id", "next_head_id"]), "_r").select("doc_id", "head_id", F.col("_j").alias("next_head_id"), "r")
+        finer = refined(rows.where("r >= 0").join(to, ["doc_id", "next_head_id"]), "_r", None, now[3]).select("doc_id", "head_id", F.col("_j").alias("next_head_id"), "r", "_n")
         rows = stored(finer.union(rows.where("r < 0")), "anchors")
     return rows.select("doc_id", "head_id", F.col("r").alias("after"))
 

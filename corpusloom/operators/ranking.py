@@ -16,34 +16,33 @@ from pyspark.sql.window import Window
 from ..storage import stored
 
 
-#: Whole numbers of a cell; running sums are taken in cells, in cells of cells, and over these.
+#: Ranks of a cell in which neighbours are looked for.
 CELL = 4096
+#: Whole numbers of a span in which sums run; and rows of a group that one window may hold.
+SPAN = 1 << 20
 
 
 def running(sizes: DataFrame, key: str, count: str, out: str, within: list[str] | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``count`` over smaller values of the whole number ``key`` (each on one row), for each ``within``.
 
-    The last of three levels has a row for CELL * CELL values of the key.
+    Sums run inside spans of SPAN values, and over spans: the last window has a row for SPAN values.
     """
-    within, span = within or [], (Window.unboundedPreceding, -1)
-    over = lambda keys, order: (Window.partitionBy(*keys) if keys else Window).orderBy(order).rowsBetween(*span)
-    rows = sizes.withColumn("_c1", F.floor(F.col(key) / CELL)).withColumn("_c2", F.floor(F.col("_c1") / CELL))
-    cells = rows.groupBy(*within, "_c2", "_c1").agg(F.sum(count).alias("_w"))
-    tops = cells.groupBy(*within, "_c2").agg(F.sum("_w").alias("_v"))
-    tops = tops.select(*within, "_c2", F.coalesce(F.sum("_v").over(over(within, "_c2")), F.lit(0)).alias("_s2"))
-    cells = cells.select(*within, "_c2", "_c1", F.coalesce(F.sum("_w").over(over([*within, "_c2"], "_c1")), F.lit(0)).alias("_s1"))
-    rows = rows.withColumn("_s0", F.coalesce(F.sum(count).over(over([*within, "_c2", "_c1"], key)), F.lit(0)))
-    rows = rows.join(cells, [*within, "_c2", "_c1"]).join(tops, [*within, "_c2"])
-    return rows.withColumn(out, F.col("_s0") + F.col("_s1") + F.col("_s2")).drop("_c1", "_c2", "_s0", "_s1", "_s2")
+    within, before = within or [], (Window.unboundedPreceding, -1)
+    over = lambda keys, order: (Window.partitionBy(*keys) if keys else Window).orderBy(order).rowsBetween(*before)
+    rows = sizes.withColumn("_c", F.floor(F.col(key) / SPAN))
+    spans = rows.groupBy(*within, "_c").agg(F.sum(count).alias("_w"))
+    spans = spans.select(*within, "_c", F.coalesce(F.sum("_w").over(over(within, "_c")), F.lit(0)).alias("_s1"))
+    rows = rows.withColumn("_s0", F.coalesce(F.sum(count).over(over([*within, "_c"], key)), F.lit(0)))
+    return rows.join(spans, [*within, "_c"]).withColumn(out, F.col("_s0") + F.col("_s1")).drop("_c", "_s0", "_s1")
 
 
 def carried(rows: DataFrame, key: str, values: dict[str, str], back: bool = False) -> DataFrame:
     """(key, each of ``values``): the last value that isn't null at a smaller (``back``: greater) whole number ``key``.
 
-    ``values`` maps new names to columns. Like :func:`running`, in cells and over cells.
+    ``values`` maps new names to columns. Like :func:`running`, in spans and over spans.
     """
     span, way = (Window.unboundedPreceding, -1), F.desc if back else F.asc
-    r = rows.withColumn("_c1", F.floor(F.col(key) / CELL))
+    r = rows.withColumn("_c1", F.floor(F.col(key) / SPAN))
     inside, over = Window.partitionBy("_c1").orderBy(way(key)).rowsBetween(*span), Window.orderBy(way("_c1")).rowsBetween(*span)
     pick = F.min if back else F.max
     edge = lambda c: pick(F.when(F.col(c).isNotNull(), F.struct(F.col(key).alias("k"), F.col(c).alias("v"))))["v"]
@@ -53,13 +52,18 @@ def carried(rows: DataFrame, key: str, values: dict[str, str], back: bool = Fals
     return r.join(cells, "_c1").select(key, *[F.coalesce(n, "_o_" + n).alias(n) for n in values])
 
 
-def refined(rows: DataFrame, after: str, within: list[str] | None = None) -> DataFrame:
+def refined(rows: DataFrame, after: str, within: list[str] | None = None, largest: int | None = None) -> DataFrame:
     """``rows`` (…, r, ``after``) with finer ``r`` and ``_n``: inside each group of equal ``r``, by the whole number ``after``.
 
-    Only distinct pairs (r, after) and their counts are summed, so a group of
-    any size is many tasks' work and equal pairs are combined before they travel.
+    Where the ``largest`` group has more than SPAN rows (or isn't known), only
+    distinct pairs (r, after) and their counts are summed, so a group of any
+    size is many tasks' work and equal pairs are combined before they travel.
     """
     within = within or []
+    if largest is not None and largest <= SPAN:
+        place = F.rank().over(Window.partitionBy(*within, "r").orderBy(after)) - 1
+        finer = rows.drop("_n").withColumn("r", (F.col("r") + place).cast("long"))
+        return finer.withColumn("_n", F.count("*").over(Window.partitionBy(*within, "r")))
     pairs = rows.groupBy(*within, "r", after).agg(F.count("*").alias("_n"))
     pairs = running(pairs, after, "_n", "_p", [*within, "r"]).withColumn("_r2", (F.col("r") + F.col("_p")).cast("long")).drop("_p")
     return rows.drop("_n").join(pairs, [*within, "r", after]).drop("r").withColumnRenamed("_r2", "r")
@@ -108,10 +112,10 @@ def doubled(rows: DataFrame, start: int, within: list[str], levels: list | None
     longest = (rows.agg(F.max("idx")).first()[0] or 0) + 1
     if levels is not None:
         levels.append((k, rows))
-    while k < longest and rows.where("_n > 1").limit(1).count():
+    while k < longest and (largest := rows.agg(F.max("_n")).first()[0] or 0) > 1:
         follow = rows.select("doc_id", (F.col("idx") - k).alias("idx"), F.col("r").alias("_next")).where("idx >= 0")
         open_ = rows.where("_n > 1").join(follow, ["doc_id", "idx"], "left").withColumn("_next", F.coalesce("_next", F.lit(-1)))
-        finer = refined(open_, "_next", within)
+        finer = refined(open_, "_next", within, largest)
         rows = stored(finer.select(*rows.columns).union(rows.where("_n <= 1")), "ranks")
         k *= 2
         if levels is not None:

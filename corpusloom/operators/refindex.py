@@ -134,11 +134,12 @@ def backward_search(bwt_rows: DataFrame, patterns: DataFrame, longest: int) -> D
 
 
 def minima(values: DataFrame) -> list[DataFrame]:
-    """Stored tables (ref_id, node, items): BLOCK values (j, v) a node, then minima of BLOCK nodes a node, up to one for a reference."""
+    """Tables (ref_id, node, items), the first one stored: BLOCK values (j, v) a node, then minima of BLOCK nodes a node, up to one for a reference."""
     tables, rows = [], values.select("ref_id", "j", "v")
     longest = (values.agg(F.max("j")).first()[0] or 0) + 1
     while True:
-        table = stored(rows.groupBy("ref_id", F.floor(F.col("j") / BLOCK).alias("node")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("items")), "minima")
+        table = rows.groupBy("ref_id", F.floor(F.col("j") / BLOCK).alias("node")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("items"))
+        table = table if tables else stored(table, "minima")
         tables.append(table)
         longest = -(-longest // BLOCK)
         if longest <= 1:
@@ -181,12 +182,23 @@ def _lcp_minima(index: DataFrame) -> list[DataFrame]:
 
 
 def psv_nsv(index: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
-    """(ref_id, rank, lcp, psv, nsv): nearest ranks with a strictly smaller LCP value, null if none."""
+    """(ref_id, rank, lcp, psv, nsv): nearest ranks with a strictly smaller LCP value, null if none.
+
+    Both sides are looked for in the own node first, with one join; only what
+    that leaves open is searched further.
+    """
     tables = tables or _lcp_minima(index)
-    at = index.select("ref_id", "rank", (F.col("rank") - 1).alias("i"), F.col("lcp").alias("bound"))
-    back = smaller(tables, at, ["rank"], True).select("ref_id", "rank", F.col("found").alias("psv"))
-    fore = smaller(tables, at.withColumn("i", F.col("rank") + 1), ["rank"], False).select("ref_id", "rank", F.col("found").alias("nsv"))
-    return index.select("ref_id", "rank", "lcp").join(back, ["ref_id", "rank"]).join(fore, ["ref_id", "rank"])
+    rows = index.select("ref_id", "rank", "lcp", F.floor(F.col("rank") / BLOCK).alias("node")).join(tables[0], ["ref_id", "node"])
+    less = F.transform(F.filter("items", lambda x: x["v"] < F.col("lcp")), lambda x: x["j"])
+    rows = rows.select("ref_id", "rank", "lcp", less.alias("_less"))
+    rows = rows.select("ref_id", "rank", "lcp", F.array_max(F.filter("_less", lambda j: j < F.col("rank"))).alias("psv"), F.array_min(F.filter("_less", lambda j: j > F.col("rank"))).alias("nsv"))
+    if len(tables) == 1:
+        return rows
+    for side, step in (("psv", -1), ("nsv", 1)):
+        asked = rows.where(f"{side} is null").select("ref_id", "rank", (F.col("rank") + step).alias("i"), F.col("lcp").alias("bound"))
+        far = smaller(tables, asked, ["rank"], step < 0).select("ref_id", "rank", F.col("found").alias("_far"))
+        rows = rows.join(far, ["ref_id", "rank"], "left").withColumn(side, F.coalesce(side, "_far")).drop("_far")
+    return rows.select("ref_id", "rank", "lcp", "psv", "nsv")
 
 
 def range_minimum(index: DataFrame, asked: DataFrame, id_: list[str], tables: list[DataFrame] | None = None) -> DataFrame:

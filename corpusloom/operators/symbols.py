@@ -64,7 +64,7 @@ def alphabet_codes(*rows: DataFrame) -> DataFrame:
 def augmented(reference: DataFrame, collection: DataFrame, separator: str = "%") -> DataFrame:
     """(ref_id, text): each reference, the symbols it lacks (each repeated by its longest run, in symbol order) and the terminator.
 
-    Then every symbol of the collection has a match of length 1 at least.
+    Then every symbol of the collection but ``separator`` (empty: every one) has a match of length 1 at least.
     """
     runs = max_runs(collection).where(F.col("sym") != separator)
     have = positions(reference.select(F.col("ref_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("ref_id"), "sym").distinct()

@@ -571,14 +571,14 @@ def gsa_bucketed(spark, d):
 @query(_GSA.replace("from benchmark)", "from benchmark where item_id > (select min(item_id) from benchmark))", 1).join(["with ", " select rank, doc_id, idx from g"]))
 def gsa_by_ranks(spark, d):
     collection = _collection(spark, d)
-    reference = stored(symbols.augmented(_reference(spark, d), collection), "reference")
+    reference = stored(symbols.augmented(_reference(spark, d), collection, ""), "reference")
     return ga.gsa_by_matches(collection, reference, _index(reference, d), _statistics(d))
 
 
 def _whole_heads(spark, d):
     """As :func:`_heads`, against the reference with all symbols of the collection."""
     collection = _collection(spark, d)
-    reference = stored(symbols.augmented(_reference(spark, d), collection), "reference")
+    reference = stored(symbols.augmented(_reference(spark, d), collection, ""), "reference")
     ms = stored(_statistics(d)(collection, reference), "matches")
     return collection, reference, _index(reference, d), stored(matchstats.heads(ms, collection, reference), "heads")
 
@@ -588,7 +588,7 @@ _WITHOUT_FIRST = _GSA.replace("from benchmark)", "from benchmark where item_id >
 _AUGMENTED = """b0 as (select item_id as doc_id, coalesce(text, '') as text, min(item_id) over () as m from benchmark),
 i0 as (select doc_id, substr(text, idx + 1, 1) as sym, idx - row_number() over (partition by doc_id, substr(text, idx + 1, 1) order by idx) as island from (select doc_id, text, unnest(range(0, length(text))) as idx from b0 where doc_id > m)),
 m0 as (select sym, max(n) as n from (select sym, count(*) as n from i0 group by doc_id, sym, island) group by sym),
-d as (select doc_id, case when doc_id = m then text || coalesce((select string_agg(repeat(sym, n), '' order by sym) from m0 where sym <> '%' and not contains(b0.text, sym)), '') || '$' || chr(10) else text end as text from b0)"""
+d as (select doc_id, case when doc_id = m then text || coalesce((select string_agg(repeat(sym, n), '' order by sym) from m0 where not contains(b0.text, sym)), '') || '$' || chr(10) else text end as text from b0)"""
 
 
 @query(f"with {_WITHOUT_FIRST} select rank, doc_id, idx from g")

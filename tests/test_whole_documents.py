@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__
 from corpusloom.plans import registry
 
-TEXTS = {3: "banana bandana $", 5: "", 7: "ban", 8: None, 9: "banana bandana $", 11: "né🎉 ban%d\nana", 12: "na" * 300 + "x", 14: "qqz"}
+TEXTS = {3: "banana bandana $", 5: "", 7: "ban", 8: None, 9: "banana bandana $", 11: "né🎉 ban%d\nana", 12: "na" * 300 + "x", 14: "qqz", 15: "%n%d"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def test_every_item_query_has_a_form_over_documents():
     assert set(registry.DOCUMENT_QUERIES) == {f"{n}_documents" for n in registry.QUERIES if n not in own}
 
 
-@pytest.mark.parametrize("name", ["gsa_documents", "gsa_by_ranks_documents"])
+@pytest.mark.parametrize("name", ["gsa_documents", "gsa_by_ranks_documents", "gsa_by_heads_documents"])
 def test_gsa(spark, folder, name):
     want = [(d, i) for _, d, i in suffixes() if name == "gsa_documents" or d != 3]
     assert [(r.doc_id, r.idx) for r in sorted(run(spark, folder, name), key=lambda r: r.rank)] == want
