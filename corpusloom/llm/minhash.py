@@ -44,8 +44,8 @@ WIDTH = 5
 #: Percent of the union that the intersection must reach, in the query and in the pipeline's stage.
 PERCENT, STAGE_PERCENT = 85, 80
 #: Shingles that a block of a posting list holds on average.
-BLOCK_SHINGLES = 400_000
-BLOCK_DOCS = 400
+BLOCK_SHINGLES = 250_000
+BLOCK_DOCS = 250
 
 
 class _WordHashes(dict):
@@ -295,7 +295,7 @@ def similar_classes(groups: DataFrame, docs: DataFrame, sketch: DataFrame, perce
     meet = stored(met, "near-meetings")
     # neither side of this join is bounded, so neither is broadcast at any size
     wanted = meet.select("cls").distinct().join(groups.select("cls", "rep", "_set"), "cls").hint("merge")
-    block = _shared_out(meet, meet.count(), 300).join(_texts(docs, wanted, sketch), "cls")
+    block = _shared_out(meet, meet.count(), 100).join(_texts(docs, wanted, sketch), "cls")
     links = stored(block.groupBy("g").applyInPandas(lambda rows: _links(rows, percent), "a long, b long").distinct(), "near-links")
     for done in (lists, dealt, meet):
         remove(done)

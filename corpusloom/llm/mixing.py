@@ -48,7 +48,7 @@ CLASSES = 64
 RIDGE = 0.01
 #: Documents on each side of a class's threshold that the last fill may choose from.
 NEAR = 64
-_BITS = 49  # the fourteen bits above these choose a bucket of the 63-bit hash
+_BITS = (56, 49)  # the seven bits above these choose a bucket of the 63-bit hash, and one inside it
 
 
 def word_count(text: Column) -> Column:
@@ -176,21 +176,23 @@ def balanced(cells: DataFrame, goal: DataFrame) -> DataFrame:
 def thresholds(units: DataFrame, cells: DataFrame) -> DataFrame:
     """``cells`` with ``top``, the largest hash that takes an extra copy, and ``got``, the tokens up to it (at most ``want``)."""
     c = cells.where("want > 0").select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), "want")
-    open_ = units.join(c, same(units, c, "source", "_c")).drop("source_", "_c_").withColumn("_b", F.shiftright("_h", _BITS))
-    sums = open_.groupBy("source", "_c", "want", "_b").agg(F.sum("_size").alias("_sum"))
+    open_ = units.join(c, same(units, c, "source", "_c")).drop("source_", "_c_").withColumn("before", F.lit(0).cast("long"))
     run = Window.partitionBy("source", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    # the bucket that crosses the share is looked at row by row
-    edge = sums.withColumn("_cum", F.sum("_sum").over(run)).where("_cum > want").groupBy("source", "_c").agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_sum")).alias("before"))).alias("x"))
-    edge = stored(edge.select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), F.col("x._b").alias("_b_"), "x.before"), "mixing-edges")
-    inside = open_.join(edge, same(open_, edge, "source", "_c", "_b"))
+    # of the buckets of a class the one that crosses its share is cut into buckets again, and what is in that one is looked at row by row
+    for bits in _BITS:
+        open_ = open_.withColumn("_b", F.shiftright("_h", bits))
+        sums = open_.groupBy("source", "_c", "want", "before", "_b").agg(F.sum("_size").alias("_sum"))
+        edge = sums.withColumn("_cum", F.col("before") + F.sum("_sum").over(run)).where("_cum > want").groupBy("source", "_c").agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_sum")).alias("before"))).alias("x"))
+        edge = stored(edge.select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), F.col("x._b").alias("_b_"), "x.before"), "mixing-edges")
+        open_ = open_.drop("before").join(edge, same(open_, edge, "source", "_c", "_b")).drop("source_", "_c_", "_b_")
     by_hash = Window.partitionBy("source", "_c").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_cum", F.col("before") + F.sum("_size").over(by_hash)).where("_cum <= want").groupBy("source", "_c").agg(F.max(F.struct("_h", "_cum")).alias("x"))
+    inside = open_.withColumn("_cum", F.col("before") + F.sum("_size").over(by_hash)).where("_cum <= want").groupBy("source", "_c").agg(F.max(F.struct("_h", "_cum")).alias("x"))
     inside = inside.select(F.col("source").alias("source_"), F.col("_c").alias("_c_"), "x")
     out = cells.join(edge, same(cells, edge, "source", "_c"), "left").drop("source_", "_c_")
     out = out.join(inside, same(out, inside, "source", "_c"), "left").drop("source_", "_c_")
     # shares are below 1: a class that asks for a copy more always has an edge
     return out.select(
-        "source", "_c", "mass", "whole", F.coalesce("x._h", F.shiftleft("_b_", _BITS) - 1, F.lit(-1)).alias("top"), F.coalesce("x._cum", "before", F.lit(0)).alias("got"))
+        "source", "_c", "mass", "whole", F.coalesce("x._h", F.shiftleft("_b_", _BITS[-1]) - 1, F.lit(-1)).alias("top"), F.coalesce("x._cum", "before", F.lit(0)).alias("got"))
 
 
 def exchanges(left: float, add: np.ndarray, drop: np.ndarray) -> tuple[list[int], list[int]]:
