@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and the oracles of those that SQL can express."""
 
-from . import chat, htmltext, minhash, mixing, packing, pii, quality, tokenids, vectors, warc
+from . import chat, htmltext, minhash, mixing, packing, pii, quality, repair, tokenids, toxicity, vectors, warc, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_vector_dedup": vectors.op8_vector_dedup,
     "op9_html_text": htmltext.op9_html_text,
     "op10_warc": warc.op10_warc,
+    "op11_structure_repair": repair.op11_structure_repair,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLES = {
     "op3_minhash_dedup": minhash.ORACLE,
@@ -20,4 +23,5 @@ ORACLES = {
     "op7_chat_rotation": chat.ORACLE,
     "op8_vector_dedup": vectors.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_structure_repair": repair.ORACLE,
 }
