@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import substr0
 from ..storage import stored
-from .matchstats import matching_statistics, suffixes
+from .matchstats import suffixes
 from .ranking import bucket_rank, doubled, refined, running, sparse_start
 from .predecessor import head_of, next_heads
 from .refindex import symbol_at
@@ -39,16 +39,15 @@ def gsa_bucketed(collection: DataFrame) -> DataFrame:
     return bucket_rank(rows, F.left("s", F.lit(START)), ["s", "doc_id", "idx"]).select("rank", "doc_id", "idx")
 
 
-def gsa_by_matches(collection: DataFrame, reference: DataFrame, index: DataFrame, matches=matching_statistics) -> DataFrame:
+def gsa_by_matches(collection: DataFrame, matches: DataFrame, index: DataFrame) -> DataFrame:
     """(rank, doc_id, idx) from matching statistics, never comparing text.
 
     A suffix sorts by its match's rank, the side it lies on, and the match
     length; what it still shares is told apart by the suffix after the match.
     Pointers jump over one match, then two, four, …. The reference must hold
-    every symbol, so that every match moves on. ``matches`` computes the
-    statistics; by ranks it suits texts of any length.
+    every symbol, so that every match moves on.
     """
-    ms = matches(collection, reference).join(index.select("pos", "rank"), "pos")
+    ms = matches.join(index.select("pos", "rank"), "pos")
     side = F.when(F.col("smaller"), F.col("len")).otherwise(-F.col("len"))
     offset = sparse_start(ms.select("doc_id", "idx", "rank", (~F.col("smaller")).alias("_side"), side.alias("_len"), (F.col("idx") + F.col("len")).alias("jump")), F.col("rank"), []).drop("_n")
     place = F.rank().over(Window.partitionBy("rank").orderBy("_side", "_len")) - 1

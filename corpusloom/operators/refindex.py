@@ -10,6 +10,7 @@ from ..functions.text import lcp as lcp_of
 from ..functions.text import substr0
 from ..storage import stored
 from .ranking import common_prefixes, doubled, running, sparse_start
+from .staircase import smaller
 from .symbols import positions
 
 #: Ranks of a block of occurrence counts, and of block minima.
@@ -147,58 +148,19 @@ def minima(values: DataFrame) -> list[DataFrame]:
         rows = table.select("ref_id", F.col("node").alias("j"), F.array_min(F.transform("items", lambda x: x["v"])).alias("v"))
 
 
-def smaller(tables: list[DataFrame], queries: DataFrame, id_: list[str], before: bool) -> DataFrame:
-    """For queries (ref_id, *id_, i, bound): ``found`` = the greatest j <= i (``before``; else the least j >= i) with v(j) < bound, null if none.
-
-    ``tables`` are the :func:`minima` of v. The own node is searched first; what
-    it doesn't settle climbs a level, and what is found there comes down
-    again. Each step is an equi-join on (ref_id, node).
-    """
-    pick = F.array_max if before else F.array_min
-    columns = ["ref_id", *id_, "i", "bound"]
-
-    def search(rows: DataFrame, level: int, node, reach) -> DataFrame:
-        side = tables[level].withColumnRenamed("node", "_node")
-        hit = F.transform(F.filter("items", lambda x: (x["v"] < F.col("bound")) & reach(x["j"])), lambda x: x["j"])
-        return rows.withColumn("_node", node).join(side, ["ref_id", "_node"], "left").withColumn("_hit", pick(hit)).drop("items", "_node")
-
-    found, open_ = [], queries.select(*columns)
-    for level in range(len(tables)):
-        own = F.floor(F.col("i") / BLOCK**level)
-        near = lambda j: j <= F.col("i") if before else j >= F.col("i")
-        far = lambda j: j < own if before else j > own  # noqa: B023, E731
-        tried = search(open_, level, F.floor(F.col("i") / BLOCK ** (level + 1)), far if level else near)
-        found.append(tried.where("_hit is not null"))
-        open_ = tried.where("_hit is null").drop("_hit")
-    state = found[-1]
-    for level in range(len(tables) - 2, -1, -1):
-        state = search(state.withColumnRenamed("_hit", "_from"), level, F.col("_from"), lambda j: F.lit(True)).drop("_from").unionByName(found[level])
-    none = open_.withColumn("found", F.lit(None).cast("long"))
-    return state.select(*columns, F.col("_hit").cast("long").alias("found")).union(none)
-
-
 def _lcp_minima(index: DataFrame) -> list[DataFrame]:
     return minima(index.select("ref_id", F.col("rank").alias("j"), F.col("lcp").alias("v")))
 
 
-def psv_nsv(index: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
-    """(ref_id, rank, lcp, psv, nsv): nearest ranks with a strictly smaller LCP value, null if none.
-
-    Both sides are looked for in the own node first, with one join; only what
-    that leaves open is searched further.
-    """
-    tables = tables or _lcp_minima(index)
-    rows = index.select("ref_id", "rank", "lcp", F.floor(F.col("rank") / BLOCK).alias("node")).join(tables[0], ["ref_id", "node"])
-    less = F.transform(F.filter("items", lambda x: x["v"] < F.col("lcp")), lambda x: x["j"])
-    rows = rows.select("ref_id", "rank", "lcp", less.alias("_less"))
-    rows = rows.select("ref_id", "rank", "lcp", F.array_max(F.filter("_less", lambda j: j < F.col("rank"))).alias("psv"), F.array_min(F.filter("_less", lambda j: j > F.col("rank"))).alias("nsv"))
-    if len(tables) == 1:
-        return rows
+def psv_nsv(index: DataFrame) -> DataFrame:
+    """(ref_id, rank, lcp, psv, nsv): nearest ranks with a strictly smaller LCP value, null if none."""
+    values = index.select("ref_id", F.col("rank").alias("j"), F.col("lcp").alias("v"))
+    rows = index.select("ref_id", "rank", "lcp")
     for side, step in (("psv", -1), ("nsv", 1)):
-        asked = rows.where(f"{side} is null").select("ref_id", "rank", (F.col("rank") + step).alias("i"), F.col("lcp").alias("bound"))
-        far = smaller(tables, asked, ["rank"], step < 0).select("ref_id", "rank", F.col("found").alias("_far"))
-        rows = rows.join(far, ["ref_id", "rank"], "left").withColumn(side, F.coalesce(side, "_far")).drop("_far")
-    return rows.select("ref_id", "rank", "lcp", "psv", "nsv")
+        asked = index.select("ref_id", F.col("rank").alias("id"), (F.col("rank") + step).alias("i"), F.col("lcp").alias("bound"))
+        near = smaller(values, asked, step < 0).select("ref_id", F.col("id").alias("rank"), F.col("found").alias(side))
+        rows = rows.join(near, ["ref_id", "rank"])
+    return rows
 
 
 def range_minimum(index: DataFrame, asked: DataFrame, id_: list[str], tables: list[DataFrame] | None = None) -> DataFrame:
@@ -229,14 +191,15 @@ def lcp_intervals(index: DataFrame) -> DataFrame:
     return near.select("ref_id", "rank", F.col("lcp").alias("len"), F.coalesce("psv", F.lit(0)).cast("long").alias("lo"), (F.coalesce(F.col("nsv") - 1, F.col("_last"))).cast("long").alias("hi"))
 
 
-def widened(index: DataFrame, asked: DataFrame, id_: list[str]) -> DataFrame:
-    """For (ref_id, *id_, a, b, len): the interval [lo, hi] around ranks a to b that shares ``len`` symbols."""
-    tables = _lcp_minima(index)
+def widened(index: DataFrame, asked: DataFrame, id_: str) -> DataFrame:
+    """For (ref_id, id_, a, b, len): the interval [lo, hi] around ranks a to b that shares ``len`` symbols."""
+    values = index.select("ref_id", F.col("rank").alias("j"), F.col("lcp").alias("v"))
     last = index.groupBy("ref_id").agg(F.max("rank").alias("_last"))
-    low = smaller(tables, asked.select("ref_id", *id_, F.col("a").alias("i"), F.col("len").alias("bound")), id_, True).select("ref_id", *id_, F.col("found").alias("_lo"))
-    high = smaller(tables, asked.select("ref_id", *id_, (F.col("b") + 1).alias("i"), F.col("len").alias("bound")), id_, False).select("ref_id", *id_, F.col("found").alias("_hi"))
-    both = asked.join(low, ["ref_id", *id_]).join(high, ["ref_id", *id_]).join(last, "ref_id")
-    return both.select("ref_id", *id_, "len", F.coalesce("_lo", F.lit(0)).cast("long").alias("lo"), F.coalesce(F.col("_hi") - 1, F.col("_last")).cast("long").alias("hi"))
+    question = lambda i: asked.select("ref_id", F.col(id_).alias("id"), i.alias("i"), F.col("len").alias("bound"))
+    low = smaller(values, question(F.col("a")), True).select("ref_id", F.col("id").alias(id_), F.col("found").alias("_lo"))
+    high = smaller(values, question(F.col("b") + 1), False).select("ref_id", F.col("id").alias(id_), F.col("found").alias("_hi"))
+    both = asked.join(low, ["ref_id", id_]).join(high, ["ref_id", id_]).join(last, "ref_id")
+    return both.select("ref_id", id_, "len", F.coalesce("_lo", F.lit(0)).cast("long").alias("lo"), F.coalesce(F.col("_hi") - 1, F.col("_last")).cast("long").alias("hi"))
 
 
 def suffix_links(index: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -252,17 +215,21 @@ def suffix_links(index: DataFrame, intervals: DataFrame) -> DataFrame:
     for side, out in (("lo", "a"), ("hi", "b")):
         # the last suffix has no next one; its intervals have length 1 and lead to the root
         asked = asked.join(moved(side, out), ["ref_id", "rank"], "left").fillna(0, [out])
-    return widened(index, asked, ["rank"])
+    return widened(index, asked, "rank")
 
 
 def parent_intervals(index: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(ref_id, rank, len, lo, hi): the smallest interval that properly holds each interval (the root has none)."""
+    """(ref_id, rank, len, lo, hi): the smallest interval that properly holds each interval (the root has none).
+
+    It shares as many symbols as the greater LCP value at the interval's
+    borders, so it is the interval of that border's rank: one equi-join.
+    """
     value = lambda name, at: index.select("ref_id", F.col("rank").alias(at), F.col("lcp").alias(name))
-    rows = intervals.withColumn("_after", F.col("hi") + 1).join(value("_x", "lo"), ["ref_id", "lo"], "left").join(value("_y", "_after"), ["ref_id", "_after"], "left")
-    size = index.groupBy("ref_id").agg(F.max("rank").alias("_last"))
-    rows = rows.join(size, "ref_id").where("not (lo = 0 and hi = _last)")
-    asked = rows.select("ref_id", "rank", F.col("lo").alias("a"), F.col("hi").alias("b"), F.greatest(F.coalesce("_x", F.lit(0)), F.coalesce("_y", F.lit(0))).alias("len"))
-    return widened(index, asked, ["rank"])
+    rows = intervals.withColumn("_after", F.col("hi") + 1).join(value("_x", "lo"), ["ref_id", "lo"]).join(value("_y", "_after"), ["ref_id", "_after"], "left")
+    rows = rows.where("not (lo = 0 and _y is null)")
+    rows = rows.select("ref_id", "rank", F.when(F.coalesce("_y", F.lit(-1)) > F.col("_x"), F.col("_after")).otherwise(F.col("lo")).alias("_at"))
+    up = intervals.select("ref_id", F.col("rank").alias("_at"), "len", "lo", "hi")
+    return rows.join(up, ["ref_id", "_at"]).select("ref_id", "rank", "len", "lo", "hi")
 
 
 def interval_bounds(index: DataFrame, refs: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import gsa as ga
-from ..operators import backward, intseq, matchstats, predecessor, ranking, refindex, symbols
+from ..operators import backward, hashmatch, intseq, matchstats, predecessor, ranking, refindex, symbols
 from ..sources import collections as src
-from ..storage import new_path, stored
+from ..storage import kept, new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,26 +73,70 @@ def _collection(spark, d) -> DataFrame:
     return _items(spark, d).join(_reference(spark, d).select(F.col("ref_id").alias("doc_id")), "doc_id", "left_anti")
 
 
+def _kept(spark, d, name: str, build) -> DataFrame:
+    """A table over ``documents`` that several queries read, built once; over ``benchmark``, made for each query."""
+    if isinstance(d, Whole):
+        return kept(spark, f"{d}/documents.parquet", name, build)
+    return stored(build(), name)
+
+
 def _index(refs: DataFrame, d) -> DataFrame:
     if isinstance(d, Whole):
         return stored(refindex.index_by_levels(refs), "index")
     return stored(refindex.with_lcp(refindex.suffix_array(refs), refs), "index")
 
 
+def _indexes(spark, d) -> DataFrame:
+    """The index of every item."""
+    return _kept(spark, d, "index-of-all", lambda: _index(_refs(spark, d), d))
+
+
+def _suffix_array(spark, d) -> DataFrame:
+    """The suffix array of every item."""
+    if isinstance(d, Whole):
+        return _indexes(spark, d).select("ref_id", "rank", "pos")
+    return stored(refindex.suffix_array(_refs(spark, d)), "sa")
+
+
+def _intervals(spark, d) -> DataFrame:
+    return _kept(spark, d, "intervals", lambda: refindex.lcp_intervals(_indexes(spark, d)))
+
+
 def _statistics(d):
-    """The form of matching statistics: by suffix strings for short items, by ranks for texts of any length."""
-    return matchstats.matching_statistics_by_ranks if isinstance(d, Whole) else matchstats.matching_statistics
+    """The form of matching statistics: by suffix strings for short items, by hashed prefixes for texts of any length."""
+    if isinstance(d, Whole):
+        return lambda collection, reference, index: hashmatch.hashed_matching_statistics(collection, reference, index)
+    return lambda collection, reference, index: matchstats.matching_statistics(collection, reference)
+
+
+def _matches(spark, d, augment: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Collection, reference (with all symbols of the collection, if ``augment``), reference index and matching statistics."""
+    name = "augmented-" if augment else ""
+    collection = _collection(spark, d)
+    reference = _kept(spark, d, name + "reference", lambda: symbols.augmented(_reference(spark, d), collection, "") if augment else _reference(spark, d))
+    index = _kept(spark, d, name + "index", lambda: _index(reference, d))
+    return collection, reference, index, _kept(spark, d, name + "matches", lambda: _statistics(d)(collection, reference, index))
+
 
+def _heads(spark, d, augment: bool = False):
+    collection, reference, index, ms = _matches(spark, d, augment)
+    name = "augmented-heads" if augment else "heads"
+    return collection, reference, index, _kept(spark, d, name, lambda: matchstats.heads(ms, collection, reference))
 
-def _matches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Collection, reference, stored reference index and stored matching statistics."""
-    collection, reference = _collection(spark, d), stored(_reference(spark, d), "reference")
-    return collection, reference, _index(reference, d), stored(_statistics(d)(collection, reference), "matches")
 
+def _whole_heads(spark, d):
+    """As :func:`_heads`, against the reference with all symbols of the collection."""
+    return _heads(spark, d, augment=True)
+
+
+def _array(spark, d) -> DataFrame:
+    """The suffix array of all items."""
+    return _kept(spark, d, "gsa", lambda: ga.gsa(_items(spark, d)))
 
-def _heads(spark, d):
-    collection, reference, index, ms = _matches(spark, d)
-    return collection, reference, index, stored(matchstats.heads(ms, collection, reference), "heads")
+
+def _collection_array(spark, d) -> DataFrame:
+    """The suffix array of all items but the reference."""
+    return _kept(spark, d, "gsa-of-collection", lambda: ga.gsa(_collection(spark, d)))
 
 
 _D = "with d as (select doc_id, coalesce(text, '') as text from documents) "
@@ -228,17 +272,17 @@ def suffix_scan(spark, d):
 
 @query(f"with {_IX} select ref_id, rank, pos from ix")
 def suffix_array(spark, d):
-    return refindex.suffix_array(_refs(spark, d))
+    return _suffix_array(spark, d)
 
 
 @query(f"with {_IX} select ref_id, pos, rank from ix")
 def inverse_sa(spark, d):
-    return refindex.suffix_array(_refs(spark, d)).select("ref_id", "pos", "rank")
+    return _suffix_array(spark, d).select("ref_id", "pos", "rank")
 
 
 @query(f"with {_IX} select ref_id, rank, pos, lcp from ix")
 def lcp_array(spark, d):
-    return _index(_refs(spark, d), d)
+    return _indexes(spark, d)
 
 
 @query(f"with {_IX} select ref_id, rank, pos, lcp from ix")
@@ -248,37 +292,36 @@ def lcp_array_by_levels(spark, d):
 
 @query(f"with {_IX} select ref_id, pos, greatest(lcp, coalesce(lead(lcp) over (partition by ref_id order by rank), 0)) as plcp_max from ix")
 def plcp_max(spark, d):
-    return refindex.with_plcp_max(_index(_refs(spark, d), d)).select("ref_id", "pos", "plcp_max")
+    return refindex.with_plcp_max(_indexes(spark, d)).select("ref_id", "pos", "plcp_max")
 
 
 @query(f"with {_IX} select ref_id, max(lcp) as max_lcp, max(lcp) filter (where left(s, 1) <> 'N') as max_lcp_without_n from ix group by ref_id")
 def max_lcp(spark, d):
     refs = _refs(spark, d)
-    rows = _index(refs, d).join(refs, "ref_id").withColumn("_c", tx.substr0(F.col("text"), F.col("pos"), 1))
+    rows = _indexes(spark, d).join(refindex.symbol_at(refs, sym="_c"), ["ref_id", "pos"])
     return rows.groupBy("ref_id").agg(F.max("lcp").alias("max_lcp"), F.max(F.when(F.col("_c") != "N", F.col("lcp"))).alias("max_lcp_without_n"))
 
 
 @query(f"with {_IX} select ref_id, sum(lcp)::bigint as sum_lcp, sum(lcp)::double / count(*) as avg_lcp from ix group by ref_id")
 def avg_lcp(spark, d):
-    return _index(_refs(spark, d), d).groupBy("ref_id").agg(F.sum("lcp").alias("sum_lcp"), (F.sum("lcp").cast("double") / F.count("*")).alias("avg_lcp"))
+    return _indexes(spark, d).groupBy("ref_id").agg(F.sum("lcp").alias("sum_lcp"), (F.sum("lcp").cast("double") / F.count("*")).alias("avg_lcp"))
 
 
 @query(f"with {_IX} select ref_id, rank, sym from bw")
 def bwt(spark, d):
     refs = _refs(spark, d)
-    return refindex.bwt(refindex.suffix_array(refs), refs)
+    return refindex.bwt(_suffix_array(spark, d), refs)
 
 
 @query(f"""with {_IX}, p as (select ref_id, rank + 1 as primary_index from ix where pos = 0)
 select ref_id, case when pos = 0 then 0 else rank + case when rank < primary_index then 1 else 0 end end as i, case when pos = 0 then right(text, 1) else substr(text, pos, 1) end as sym, primary_index from ix join p using (ref_id)""")
 def bwt_primary_index(spark, d):
     refs = _refs(spark, d)
-    return refindex.bwt_library(stored(refindex.suffix_array(refs), "sa"), refs)
+    return refindex.bwt_library(_suffix_array(spark, d), refs)
 
 
 def _bwt(spark, d):
-    refs = _refs(spark, d)
-    return stored(refindex.bwt(refindex.suffix_array(refs), refs), "bwt")
+    return _kept(spark, d, "bwt", lambda: refindex.bwt(_suffix_array(spark, d), _refs(spark, d)))
 
 
 @query(f"with {_IX} select ref_id, sym, (select count(*) from bw b where b.ref_id = a.ref_id and b.sym < a.sym) as c from (select distinct ref_id, sym from bw) a")
@@ -312,14 +355,14 @@ _IV = _IX + ", " + _PN + ", iv as (select ref_id, rank, lcp as len, coalesce(psv
 
 @query(f"with {_IX}, {_PN} select * from pn")
 def psv_nsv(spark, d):
-    return refindex.psv_nsv(_index(_refs(spark, d), d))
+    return refindex.psv_nsv(_indexes(spark, d))
 
 
 @query(f"""with {_IX}, q as (select ref_id, rank as lo, least(rank + pos % 300, max(rank) over (partition by ref_id)) as hi from ix)
 select q.ref_id, q.lo, q.hi, min(b.lcp) as min_lcp from q join ix b on b.ref_id = q.ref_id and b.rank between q.lo and q.hi group by all""")
 def range_min(spark, d):
     """Least LCP values of a range from every rank, of many lengths."""
-    index = _index(_refs(spark, d), d)
+    index = _indexes(spark, d)
     last = index.groupBy("ref_id").agg(F.max("rank").alias("_last"))
     asked = index.join(last, "ref_id").select("ref_id", F.col("rank").alias("lo"), F.least(F.col("rank") + F.col("pos") % 300, F.col("_last")).alias("hi"))
     return refindex.range_minimum(index, asked.withColumn("id", F.col("lo")), ["id"]).select("ref_id", "lo", "hi", "min_lcp")
@@ -327,30 +370,30 @@ def range_min(spark, d):
 
 @query(f"with {_IV} select * from iv")
 def lcp_interval(spark, d):
-    return refindex.lcp_intervals(_index(_refs(spark, d), d))
+    return _intervals(spark, d)
 
 
 @query(f"""with {_IV} select v.ref_id, v.rank, v.len - 1 as len, min(b.rank) as lo, max(b.rank) as hi from iv v
 join ix a on a.ref_id = v.ref_id and a.rank = v.rank join ix b on b.ref_id = v.ref_id and left(b.s, v.len - 1) = substr(a.s, 2, v.len - 1) and length(b.s) >= v.len - 1
 where v.len > 0 group by all""")
 def suffix_link(spark, d):
-    index = _index(_refs(spark, d), d)
-    return refindex.suffix_links(index, stored(refindex.lcp_intervals(index), "intervals"))
+    index = _indexes(spark, d)
+    return refindex.suffix_links(index, _intervals(spark, d))
 
 
 @query(f"""with {_IV}, s as (select ref_id, max(rank) as last from ix group by ref_id),
 q as (select v.*, greatest(coalesce(x.lcp, 0), coalesce(y.lcp, 0)) as plen from iv v join s using (ref_id) left join ix x on x.ref_id = v.ref_id and x.rank = v.lo left join ix y on y.ref_id = v.ref_id and y.rank = v.hi + 1 where not (v.lo = 0 and v.hi = s.last))
 select q.ref_id, q.rank, q.plen as len, min(b.rank) as lo, max(b.rank) as hi from q join ix a on a.ref_id = q.ref_id and a.rank = q.lo join ix b on b.ref_id = q.ref_id and length(b.s) >= q.plen and left(b.s, q.plen) = left(a.s, q.plen) group by all""")
 def parent_interval(spark, d):
-    index = _index(_refs(spark, d), d)
-    return refindex.parent_intervals(index, stored(refindex.lcp_intervals(index), "intervals"))
+    index = _indexes(spark, d)
+    return refindex.parent_intervals(index, _intervals(spark, d))
 
 
 @query(f"with {_IV} select v.ref_id, v.lo, v.hi, v.len, substr(b.s, v.len + 1, 1) as sym, min(b.rank) as left_bound, max(b.rank) as right_bound from (select distinct ref_id, lo, hi, len from iv) v join ix b on b.ref_id = v.ref_id and b.rank between v.lo and v.hi group by all")
 def interval_bound_search(spark, d):
     refs = _refs(spark, d)
-    index = _index(refs, d)
-    return refindex.interval_bounds(index, refs, stored(refindex.lcp_intervals(index), "intervals"))
+    index = _indexes(spark, d)
+    return refindex.interval_bounds(index, refs, _intervals(spark, d))
 
 
 @query(f"""with {_IV}, q as (select distinct ref_id, lo, hi, len, sym from iv, (select unnest({list(SOUGHT)}) as sym)),
@@ -360,8 +403,8 @@ select ref_id, lo, hi, len, sym, min(rank) filter (where c = sym) as left_bound,
 def bound_insertion(spark, d):
     """Where some symbols are in each interval, or would be."""
     refs = _refs(spark, d)
-    index = _index(refs, d)
-    intervals = stored(refindex.lcp_intervals(index), "intervals")
+    index = _indexes(spark, d)
+    intervals = _intervals(spark, d)
     asked = intervals.select("ref_id", "lo", "hi", "len").distinct().withColumn("sym", F.explode(F.array(*map(F.lit, SOUGHT))))
     return refindex.bound_search(refindex.interval_bounds(index, refs, intervals), asked)
 
@@ -369,7 +412,7 @@ def bound_insertion(spark, d):
 @query(f"with {_B} select doc_id as ref_id, 0 as outcome from d")
 def sa_outcome(spark, d):
     refs = _refs(spark, d)
-    return ga.sa_outcome(stored(refindex.suffix_array(refs), "sa"), refs)
+    return ga.sa_outcome(_suffix_array(spark, d), refs)
 
 
 @query(f"""with {_IX}, k as (select ref_id, rank, pos, left(s, 1) as sym, (select b.rank from ix b where b.ref_id = ix.ref_id and b.pos = ix.pos + 1) as nxt from ix),
@@ -377,7 +420,7 @@ m as (select *, lag(sym) over w as s0, lag(coalesce(nxt, -1)) over w as n0 from
 select ref_id, count(*) as n, count(distinct pos) as n_distinct, min(pos) as min_pos, max(pos) as max_pos, count(*) filter (where s0 is not null and (s0 > sym or (s0 = sym and n0 >= coalesce(nxt, -1)))) as violations from m group by ref_id""")
 def sa_check(spark, d):
     refs = _refs(spark, d)
-    return ga.sa_violations(stored(refindex.suffix_array(refs), "sa"), refs)
+    return ga.sa_violations(_suffix_array(spark, d), refs)
 
 
 # ---- matching statistics ---------------------------------------------------------
@@ -386,12 +429,12 @@ def sa_check(spark, d):
 @query(f"""with {_B}, r0 as (select min(doc_id) as m from d), rf as (select text as ref from d, r0 where doc_id = m)
 select doc_id, i - 1 as idx, list_max(list_filter(range(0, length(text) - i + 2), lambda l: contains(ref, substr(text, i, l)))) as len from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from d), r0, rf where doc_id <> m""")
 def ms_len(spark, d):
-    return _statistics(d)(_collection(spark, d), _reference(spark, d)).select("doc_id", "idx", "len")
+    return _matches(spark, d)[3].select("doc_id", "idx", "len")
 
 
 @query(f"with {_MS} select * from ms")
 def ms_full(spark, d):
-    return _statistics(d)(_collection(spark, d), _reference(spark, d))
+    return _matches(spark, d)[3]
 
 
 @query(f"with {_MS} select * from ms")
@@ -399,6 +442,12 @@ def ms_by_ranks(spark, d):
     return matchstats.matching_statistics_by_ranks(_collection(spark, d), _reference(spark, d))
 
 
+@query(f"with {_MS} select * from ms")
+def ms_by_hashes(spark, d):
+    reference = _reference(spark, d)
+    return hashmatch.hashed_matching_statistics(_collection(spark, d), reference, _index(reference, d))
+
+
 @query(f"with {_MS} select ms.doc_id, ms.idx, pos, len, smaller, substr(text, idx + len + 1, 1) as mismatch from ms join d using (doc_id)")
 def ms_mismatch(spark, d):
     collection, _, _, ms = _matches(spark, d)
@@ -475,7 +524,7 @@ def length_buckets(spark, d):
 
 @query(f"with {_MS} select min(len) as min_len, max(len) as max_len, sum(len)::bigint as sum_len, sum(len)::double / count(*) as avg_len from ms")
 def ms_length_summary(spark, d):
-    ms = _statistics(d)(_collection(spark, d), _reference(spark, d))
+    ms = _matches(spark, d)[3]
     return ms.agg(F.min("len").alias("min_len"), F.max("len").alias("max_len"), F.sum("len").alias("sum_len"), (F.sum("len").cast("double") / F.count("*")).alias("avg_len"))
 
 
@@ -560,7 +609,7 @@ def head_names(spark, d):
 
 @query(f"with {_GSA} select rank, doc_id, idx from g")
 def gsa(spark, d):
-    return ga.gsa(_items(spark, d))
+    return _array(spark, d)
 
 
 @query(f"with {_GSA} select rank, doc_id, idx from g")
@@ -570,17 +619,8 @@ def gsa_bucketed(spark, d):
 
 @query(_GSA.replace("from benchmark)", "from benchmark where item_id > (select min(item_id) from benchmark))", 1).join(["with ", " select rank, doc_id, idx from g"]))
 def gsa_by_ranks(spark, d):
-    collection = _collection(spark, d)
-    reference = stored(symbols.augmented(_reference(spark, d), collection, ""), "reference")
-    return ga.gsa_by_matches(collection, reference, _index(reference, d), _statistics(d))
-
-
-def _whole_heads(spark, d):
-    """As :func:`_heads`, against the reference with all symbols of the collection."""
-    collection = _collection(spark, d)
-    reference = stored(symbols.augmented(_reference(spark, d), collection, ""), "reference")
-    ms = stored(_statistics(d)(collection, reference), "matches")
-    return collection, reference, _index(reference, d), stored(matchstats.heads(ms, collection, reference), "heads")
+    collection, _, index, ms = _matches(spark, d, augment=True)
+    return ga.gsa_by_matches(collection, ms, index)
 
 
 _WITHOUT_FIRST = _GSA.replace("from benchmark)", "from benchmark where item_id > (select min(item_id) from benchmark))", 1)
@@ -603,7 +643,7 @@ def heads_check(spark, d):
     collection, _, index, head = _whole_heads(spark, d)
     ranks = stored(ga.anchor_ranks(head, index), "anchor-ranks")
     starts = head.where("not is_end").select("doc_id", F.col("start").alias("idx"))
-    return ga.suborder_violations(ga.sorted_by_heads(starts, head, index, ranks), ga.gsa(collection))
+    return ga.suborder_violations(ga.sorted_by_heads(starts, head, index, ranks), _collection_array(spark, d))
 
 
 @query(f"with {_TYPES} select count(*) as n, 0::bigint as n_empty, 0::bigint as violations from st where sym <> '' and doc_id > (select min(doc_id) from d)")
@@ -612,39 +652,39 @@ def sstar_check(spark, d):
     collection, _, index, head = _whole_heads(spark, d)
     ranks = stored(ga.anchor_ranks(head, index), "anchor-ranks")
     star = ga.s_star(ga.types(collection)).where("sym <> ''")
-    return ga.suborder_violations(ga.sorted_by_heads(star, head, index, ranks), ga.gsa(collection))
+    return ga.suborder_violations(ga.sorted_by_heads(star, head, index, ranks), _collection_array(spark, d))
 
 
 @query(f"with {_GSA}, t as (select *, idx > 0 and s < t and (select substr(d.text, g.idx) > g.s from d where d.doc_id = g.doc_id) as star from g) select row_number() over (order by rank) - 1 as order_no, doc_id, idx from t where star")
 def sstar_sorted(spark, d):
     items = _items(spark, d)
-    star = ga.gsa(items).join(ga.s_star(ga.types(items)).select("doc_id", "idx"), ["doc_id", "idx"])
+    star = _array(spark, d).join(ga.s_star(ga.types(items)).select("doc_id", "idx"), ["doc_id", "idx"])
     return ranking.bucket_rank(star, F.floor(F.col("rank") / 4096), ["rank"], "order_no").select("order_no", "doc_id", "idx")
 
 
 @query(f"with {_GSA} select count(*) as n, count(*) as n_distinct, 0::bigint as min_rank, count(*) - 1 as max_rank, 0::bigint as violations from g")
 def gsa_check(spark, d):
     items = _items(spark, d)
-    return ga.order_violations(stored(ga.gsa(items), "gsa"), items)
+    return ga.order_violations(_array(spark, d), items)
 
 
 @query(_D + "select sum(length(text))::bigint as n, sum(length(text))::bigint as n_distinct, (sum(length(text)) - 1)::bigint as max_rank, 0::bigint as violations from d")
 def gsa_documents_check(spark, d):
     """The suffix array of all documents, whole, and its linear check."""
     docs = _documents(spark, d)
-    return ga.linear_violations(stored(ga.gsa(docs), "gsa"), docs)
+    return ga.linear_violations(_array(spark, Whole(d)), docs)
 
 
 @query(f"with {_TYPES} select count(*) as n, 0::bigint as violations from t where type = 'L'")
 def induce_l_check(spark, d):
     items = _items(spark, d)
-    return ga.induction_violations(stored(ga.gsa(items), "gsa"), ga.types(items), "L")
+    return ga.induction_violations(_array(spark, d), ga.types(items), "L")
 
 
 @query(f"with {_TYPES} select count(*) as n, 0::bigint as violations from t where type = 'S' and sym <> ''")
 def induce_s_check(spark, d):
     items = _items(spark, d)
-    return ga.induction_violations(stored(ga.gsa(items), "gsa"), ga.types(items), "S")
+    return ga.induction_violations(_array(spark, d), ga.types(items), "S")
 
 
 # ---- integer sequences, sinks --------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextvars
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths given out by this driver, in order.
-_given: list[str] = []
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; other applications have their own."""
+    return f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
+#: Paths given out inside the innermost :func:`stored_alone`, which is this thread's own.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("paths", default=None)
+#: Where tables that queries share are: (application, what it is) to path.
+_kept: dict[tuple, str] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _given.append(f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}")
-    return _given[-1]
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,31 +52,68 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored_alone(build, spark: SparkSession, name: str) -> DataFrame:
-    """Store what ``build()`` returns and delete the tables that were stored on the way."""
-    first = len(_given)
-    out = stored(build(), name)
-    for path in _given[first:-1]:
+    """Store what ``build()`` returns and delete the tables that were stored on the way in this thread."""
+    mark = _scope.set(given := [])
+    try:
+        out = stored(build(), name)
+    finally:
+        _scope.reset(mark)
+    for path in given[:-1]:
         delete(spark, path)
-    del _given[first:-1]
+    if (scope := _scope.get()) is not None:
+        scope.append(given[-1])
     return out
 
 
+def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` made from the files of the folder ``source``: built once for an application and read again by other queries.
+
+    It is built anew if those files have changed or the table was deleted.
+    """
+    key = (spark.sparkContext.applicationId, name, source, files(spark, source))
+    path = _kept.get(key)
+    if path is None or not exists(spark, f"{path}/_SUCCESS"):
+        mark = _scope.set(None)  # it outlives the scope it is built in
+        try:
+            path = new_path(spark, name)
+            build().write.parquet(path)
+        finally:
+            _scope.reset(mark)
+        _kept[key] = path
+    return spark.read.parquet(path)
+
+
+def _of(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _of(spark, path)
+    return system.exists(where)
+
+
+def files(spark: SparkSession, path: str) -> tuple:
+    """(name, length, time of change) of a file or of what lies in a folder."""
+    where, system = _of(spark, path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(where)))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    where, system = _of(spark, path)
+    system.delete(where, True)
 
 
 def cleared(spark: SparkSession) -> None:
-    """Delete all intermediate tables. Only when no result that reads them is needed any more: results are read from them lazily."""
-    delete(spark, f"{shared_folder(spark)}/corpusloom")
+    """Delete this application's intermediate tables. Only when no result that reads them is needed any more: results are read from them lazily."""
+    delete(spark, own_folder(spark))
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing needs any more."""
     spark = df.sparkSession
-    tail = f"{shared_folder(spark)}/corpusloom/".split(":", 1)[-1].lstrip("/")
+    tail = f"{own_folder(spark)}/".split(":", 1)[-1].lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if tail in folder:
             delete(spark, folder)

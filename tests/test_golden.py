@@ -90,7 +90,7 @@ def test_types_and_gsa(spark, golden):
     assert types == {1: "SSSLLSLLS", 2: "LSSSSLSSLS", 3: "SSLSSSSLS"}
     assert sorted((r.doc_id, r.idx) for r in gsa.s_star(gsa.types(docs)).collect()) == [(1, 5), (1, 8), (2, 1), (2, 6), (2, 9), (3, 3), (3, 8)]
     want = [(6, 2), (1, 2), (3, 3), (0, 1), (7, 2), (5, 1), (2, 2), (4, 3), (0, 3), (1, 1), (7, 1), (8, 2), (6, 1), (3, 2), (5, 3), (4, 2), (6, 3), (1, 3), (2, 1), (5, 2), (7, 3), (0, 2), (2, 3), (4, 1), (3, 1)]
-    for array in (gsa.gsa(docs), gsa.gsa_bucketed(docs), gsa.gsa_by_matches(docs, ref, index)):
+    for array in (gsa.gsa(docs), gsa.gsa_bucketed(docs), gsa.gsa_by_matches(docs, matchstats.matching_statistics(docs, ref), index)):
         assert [(r.idx, r.doc_id) for r in array.orderBy("rank").collect()] == want
     array = gsa.gsa(docs).cache()
     assert gsa.order_violations(array, docs).first().violations == 0
@@ -130,7 +130,7 @@ def test_edge_documents(spark):
     assert sorted(levels.collect()) == sorted(index.collect())
     by_text, by_rank = matchstats.matching_statistics(docs, ref), matchstats.matching_statistics_by_ranks(docs, ref)
     assert sorted(by_text.collect()) == sorted(by_rank.select(*by_text.columns).collect())
-    assert [(r.idx, r.doc_id) for r in gsa.gsa_by_matches(docs, ref, index).orderBy("rank").collect()] == want
+    assert [(r.idx, r.doc_id) for r in gsa.gsa_by_matches(docs, matchstats.matching_statistics(docs, ref), index).orderBy("rank").collect()] == want
     text = ref.first().text
     for r in matchstats.matching_statistics(docs, ref).collect():
         s = EDGES[r.doc_id][r.idx :]
@@ -168,7 +168,7 @@ def test_random_collections(spark, texts, reference):
     index = refindex.with_lcp(refindex.suffix_array(ref), ref).cache()
     want = suffix_order(docs)
     assert [(r.idx, r.doc_id) for r in gsa.gsa_bucketed(frame).orderBy("rank").collect()] == want
-    assert [(r.idx, r.doc_id) for r in gsa.gsa_by_matches(frame, ref, index).orderBy("rank").collect()] == want
+    assert [(r.idx, r.doc_id) for r in gsa.gsa_by_matches(frame, matchstats.matching_statistics(frame, ref), index).orderBy("rank").collect()] == want
 
 
 def test_text_functions(spark):
