@@ -2,8 +2,10 @@
 
 Training takes a bounded sample: of each class the :data:`SAMPLE` labelled
 texts of least hash, equal texts once. An n-gram (:data:`ORDERS` code points of
-the lower-case text, white space as one blank) counts once a text. Of those in
-at least :data:`LEAST` sampled texts, the :data:`FEATURES` whose log-count ratio
+the lower-case text, white space as one blank) counts once a text. The first
+:data:`PILOT` texts of each class tell :data:`CANDIDATES` n-grams, which are
+then counted over the whole sample. Of those in at least :data:`LEAST` sampled
+texts, the :data:`FEATURES` whose log-count ratio
 
     r = log ((texts of class 1 with it + 1) / (texts of class 1 + 2)) - log (the same of class 0)
 
@@ -39,8 +41,9 @@ from pyspark.sql import functions as F
 
 from .shared import read_table, stored
 
-#: Texts of each class that training takes at most.
-SAMPLE = 20_000
+#: Texts of each class that training takes at most, and of those the ones whose n-grams are all counted.
+SAMPLE, PILOT = 20_000, 1_000
+CANDIDATES = 200_000
 #: Features at most, and the sampled texts that must hold one.
 FEATURES, LEAST = 50_000, 5
 ORDERS = (3, 4, 5, 6, 7, 8)
@@ -98,41 +101,53 @@ def _fold(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(" ")).cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(text, y): at most ``most`` distinct texts of each class, those of least hash, of labels outside the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, pilot: int = PILOT) -> DataFrame:
+    """(text, y, pilot): at most ``most`` distinct texts of each class, those of least hash, of labels outside the held-out fold."""
     told = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y")).where(_fold("doc_id") != 0)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(told, "doc_id").select("y", "text", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h1"))
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h1"))
     # which texts is settled on hashes alone; one that has both labels counts as toxic
-    kinds = rows.groupBy("h", "h1").agg(F.max("y").alias("y"))
-    chosen = [kinds.where(F.col("y") == y).orderBy("h", "h1").limit(most) for y in (0, 1)]
-    chosen = stored(chosen[0].union(chosen[1]), "toxic-sample")
-    return rows.drop("y").join(chosen, ["h", "h1"]).groupBy("h", "h1", "y").agg(F.first("text").alias("text")).select("text", "y")
+    kinds = stored(hashed.join(told, "doc_id").groupBy("h", "h1").agg(F.max("y").alias("y")), "toxic-hashes")
+    first = lambda y, n: kinds.where(F.col("y") == y).orderBy("h", "h1").limit(n)
+    early = first(0, pilot).union(first(1, pilot)).select("h", "h1", F.lit(True).alias("pilot"))
+    chosen = first(0, most).union(first(1, most)).join(early, ["h", "h1"], "left").withColumn("pilot", F.coalesce("pilot", F.lit(False)))
+    chosen = stored(chosen, "toxic-sample")
+    rows = docs.select(text.alias("text")).select("text", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h1"))
+    # twice SAMPLE rows of three numbers at most
+    return rows.join(F.broadcast(chosen), ["h", "h1"]).groupBy("h", "h1", "y", "pilot").agg(F.first("text").alias("text")).select("text", "y", "pilot")
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for y, texts in batch.groupby("y")["text"]:
-            grams, n = np.unique(np.concatenate([np.unique(np.concatenate(list(ngrams(t)) or [np.zeros(0, np.int64)])) for t in texts]), return_counts=True)
-            yield pd.DataFrame({"gram": grams, "y": y, "n": n})
+def _ranked(texts: DataFrame, size: tuple, least: int, most: int, known: Model | None = None) -> Model:
+    """The ``most`` n-grams (of ``known`` ones, if given) with the clearest log-count ratios, which are their weights. ``size``: texts of class 0 and 1."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for y, rows in batch.groupby("y")["text"]:
+                own = [known.grams[known.held(t)] if known else np.unique(np.concatenate(list(ngrams(t)) or [np.zeros(0, np.int64)])) for t in rows]
+                grams, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pd.DataFrame({"gram": grams, "y": y, "n": n})
+
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    counts = texts.mapInPandas(counted, "gram long, y int, n long").groupBy("gram").agg(of(1).alias("p"), of(0).alias("q")).where(F.col("p") + F.col("q") >= least)
+    p, q = F.col("p") + 1.0, F.col("q") + 1.0
+    r = F.log(p / (size[1] + 2.0)) - F.log(q / (size[0] + 2.0))
+    ranked = counts.select("gram", r.alias("r"), (F.abs(r) / F.sqrt(1 / p + 1 / q)).alias("away")).orderBy(F.desc("away"), "gram").limit(most)
+    table = ranked.toPandas()  # at most ``most`` rows
+    return Model(table["gram"].to_numpy(np.int64), table["r"].to_numpy(np.float64), 0.0)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """The model learnt from labelled documents outside the held-out fold."""
     texts = stored(sample(docs, labels), "toxic-texts")
-    size = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
-    none, some = size.get(0, 0), size.get(1, 0)
-    if not none or not some:
-        share = some / (none + some) if none + some else 0.5
+    sizes = {(r["y"], r["pilot"]): r["count"] for r in texts.groupBy("y", "pilot").count().collect()}
+    early = tuple(sizes.get((y, True), 0) for y in (0, 1))
+    size = tuple(n + sizes.get((y, False), 0) for y, n in enumerate(early))
+    if not all(size):
+        share = size[1] / sum(size) if sum(size) else 0.5
         edge = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(edge / (1 - edge))))
-    counts = texts.mapInPandas(_counted, "gram long, y int, n long").groupBy("gram")
-    counts = counts.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-    counts = counts.where(F.col("p") + F.col("q") >= LEAST)
-    p, q = F.col("p") + 1.0, F.col("q") + 1.0
-    r = F.log(p / (some + 2.0)) - F.log(q / (none + 2.0))
-    ranked = counts.select("gram", r.alias("r"), (F.abs(r) / F.sqrt(1 / p + 1 / q)).alias("away")).orderBy(F.desc("away"), "gram").limit(FEATURES)
-    table = ranked.toPandas()  # at most FEATURES rows
-    plain = Model(table["gram"].to_numpy(np.int64), table["r"].to_numpy(np.float64), 0.0)
+    near = _ranked(texts.where("pilot").select("text", "y"), early, 2, CANDIDATES)
+    plain = _ranked(texts.select("text", "y"), size, LEAST, FEATURES, near)
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,11 +155,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
     width, ratios = max(1, len(plain.grams)), plain.weights
     vector = F.udf(lambda at: Vectors.sparse(width, at, ratios[at]), VectorUDT())  # on the sample only
-    rows = stored(texts.mapInPandas(indexed, "y int, at array<int>"), "toxic-rows").select(F.col("y").cast("double").alias("label"), vector("at").alias("features"))
+    rows = stored(texts.select("text", "y").mapInPandas(indexed, "y int, at array<int>"), "toxic-rows").select(F.col("y").cast("double").alias("label"), vector("at").alias("features"))
     learner = LogisticRegression(maxIter=100, regParam=PENALTY, elasticNetParam=0.0, standardization=False, tol=1e-8)
     found = learner.fit(rows)
-    weights = found.coefficients.toArray()[: len(plain.grams)] * plain.weights
-    return Model(plain.grams, weights, float(found.intercept))
+    return Model(plain.grams, found.coefficients.toArray()[: len(plain.grams)] * plain.weights, float(found.intercept))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
