@@ -70,3 +70,21 @@ def test_characters_after_the_64th_count(spark):
     docs = spark.createDataFrame([(1, "a1" * 40), (2, "a1" * 40 + "bcdefghijk")], "doc_id long, text string")
     votes = {r.doc_id: r._p_all[0].variety for r in pii.with_candidates(docs).collect()}
     assert votes == {1: -1, 2: 1}
+
+
+def test_values_of_any_length_and_no_overlaps(spark):
+    secrets = {n: 'password = "' + ("Ab3!" * n)[:n] + '"' for n in (20, 300, 3_000, 30_000)}
+    name = "x" * 100 + " [at] " + "y" * 80 + " [dot] example [dot] very [dot] long [dot] chain [dot] org"
+    rows = [(n, t) for n, t in secrets.items()] + [(1, name), (2, "Mr John [at] example [dot] org"), (3, "Dr " + "L" + "o" * 50 + " spoke."), (4, "a" * 60_000)]
+    found = pii.with_candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    all_ = {r.doc_id: [(x["kind"], x["s"], x["e"]) for x in r["_p_all"]] for r in found.collect()}
+    for n in secrets:
+        assert ("secret", 12, 12 + n) in all_[n]
+    assert ("spelt_email", 0, len(name)) in all_[1] and ("person", 0, 54) in all_[3] and len(all_[4]) <= 1
+    everything = pii.Model.accepts
+    pii.Model.accepts = lambda self, x: x["e"] > x["s"]
+    try:
+        marks = [(x["s"], x["e"]) for r in pii.spans(found.where("doc_id = 2"), pii.Model({}, {})).collect() for x in [*r["_p_base"], *r["_p_added"]]]
+    finally:
+        pii.Model.accepts = everything
+    assert len(marks) == 1
