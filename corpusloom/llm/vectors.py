@@ -38,7 +38,7 @@ from .shared import components, read_table, stored
 THRESHOLD = 0.98
 WIDTH = 1.0
 #: Chance that a projection agrees for vectors of cosine 0.98 and for unlike ones, and that near ones meet in no table.
-NEAR, UNLIKE, MISS = 0.84, 0.27, 0.0001
+NEAR, UNLIKE, MISS = 0.84, 0.27, 0.001
 BLOCK = 1024
 #: Rows that a task's group of whole block pairs holds on average.
 GROUP_ROWS = 20_000
