@@ -27,10 +27,21 @@ def gsa(collection: DataFrame) -> DataFrame:
     return _numbered(doubled(sparse_start(rows, F.col("key"), []), START, []))
 
 
+#: Documents whose equal suffixes one window numbers.
+DOCUMENTS = 4096
+
+
 def _numbered(ranked: DataFrame) -> DataFrame:
-    """Equal suffixes that share a sparse rank are numbered by document."""
-    place = F.row_number().over(Window.partitionBy("r").orderBy("doc_id", "idx")) - 1
-    return ranked.select((F.col("r") + place).cast("long").alias("rank"), "doc_id", "idx")
+    """Equal suffixes, which share a sparse rank, are numbered by document.
+
+    Few rows share one, save where very many documents end alike; those are
+    counted in cells of documents and numbered inside a cell.
+    """
+    alike = ranked.where(F.abs("_n") > 1).select("r", "doc_id", "idx").withColumn("_cell", F.floor(F.col("doc_id") / DOCUMENTS))
+    before = running(alike.groupBy("r", "_cell").count(), "_cell", "count", "_before", ["r"]).drop("count")
+    inside = F.row_number().over(Window.partitionBy("r", "_cell").orderBy("doc_id", "idx")) - 1
+    told = alike.withColumn("_in", inside).join(before, ["r", "_cell"]).select((F.col("r") + F.col("_before") + F.col("_in")).cast("long").alias("rank"), "doc_id", "idx")
+    return ranked.where(F.abs("_n") <= 1).select(F.col("r").cast("long").alias("rank"), "doc_id", "idx").union(told)
 
 
 def gsa_bucketed(collection: DataFrame) -> DataFrame:
@@ -220,12 +231,20 @@ def sa_outcome(index: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def induction_violations(array: DataFrame, typed: DataFrame, kind: str) -> DataFrame:
-    """One row: suffixes of type ``kind``, and those whose next suffix doesn't rise with their own rank within a symbol."""
+    """One row: suffixes of type ``kind``, and those out of place beside the suffix of the rank before.
+
+    Suffixes of a symbol lie together, those of type L first, and inside a type
+    the next suffix rises with the own rank. So neighbours tell it all, and
+    no symbol's suffixes meet in one window.
+    """
     follow = array.select("doc_id", (F.col("idx") - 1).alias("idx"), F.col("rank").alias("_next"))
-    rows = array.join(typed.where(F.col("type") == kind), ["doc_id", "idx"]).join(follow, ["doc_id", "idx"], "left")
-    rows = rows.withColumn("_key", F.when(F.col("_next").isNull(), F.struct(F.lit(-1).cast("long").alias("r"), F.col("doc_id").alias("d"))).otherwise(F.struct(F.col("_next").alias("r"), F.lit(0).cast("long").alias("d"))))
-    w = Window.partitionBy("sym").orderBy("rank")
-    return rows.withColumn("_before", F.lag("_key").over(w)).agg(F.count("*").alias("n"), F.count_if(F.col("_before") >= F.col("_key")).alias("violations"))
+    rows = array.join(typed, ["doc_id", "idx"]).join(follow, ["doc_id", "idx"], "left")
+    last = F.when(F.col("_next").isNull(), F.col("doc_id")).otherwise(0)
+    rows = rows.select("rank", "sym", "type", F.struct(F.coalesce("_next", F.lit(-1)).alias("r"), last.alias("d")).alias("_key"))
+    before = rows.select((F.col("rank") + 1).alias("rank"), F.col("sym").alias("_s"), F.col("type").alias("_t"), F.col("_key").alias("_k"))
+    wrong = (F.col("_t") > F.col("type")) | (F.col("_t") == F.col("type")) & (F.col("_k") >= F.col("_key"))
+    wrong = (F.col("_s") > F.col("sym")) | (F.col("_s") == F.col("sym")) & wrong
+    return rows.where(F.col("type") == kind).join(before, "rank", "left").agg(F.count("*").alias("n"), F.count_if(wrong).alias("violations"))
 
 
 def doc_boundaries(collection: DataFrame, cell: int = 1024) -> DataFrame:

@@ -31,11 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import floor_log2, lcp
+from ..functions.text import floor_log2
 from ..storage import stored
 from .refindex import interval_bounds, lcp_intervals
+from .symbols import positions
 
 CHUNK = 32
+#: Steps of an extension that one job does.
+ROUNDS = 4
 PRIMES = (2_147_483_647, 2_147_483_629)
 
 
@@ -64,6 +67,11 @@ def prefix_hashes(text: str, base: int) -> list[np.ndarray]:
     return out
 
 
+def dealt(collection: DataFrame, key: str) -> DataFrame:
+    """Documents spread over as many tasks as a shuffle has: each symbol becomes a row, so a task of the scan would hold far more than its share."""
+    return collection.repartition(int(collection.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def chunks(collection: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, idx, left, chunk): at each position, how many symbols are left and the next CHUNK of them."""
     kind = collection.schema[key].dataType.simpleString()
@@ -76,7 +84,7 @@ def chunks(collection: DataFrame, key: str = "doc_id") -> DataFrame:
                     at = range(a, min(n, a + 10_000))
                     yield pd.DataFrame({"doc_id": doc, "idx": at, "left": [n - i for i in at], "chunk": [text[i : i + CHUNK] for i in at]})
 
-    return collection.select(key, "text").mapInPandas(run, f"doc_id {kind}, idx long, left long, chunk string")
+    return dealt(collection.select(key, "text"), key).mapInPandas(run, f"doc_id {kind}, idx long, left long, chunk string")
 
 
 def hash_table(collection: DataFrame, base: int, key: str = "doc_id") -> DataFrame:
@@ -91,7 +99,7 @@ def hash_table(collection: DataFrame, base: int, key: str = "doc_id") -> DataFra
                     part = [c[a : a + 10_000] for c in columns]
                     yield pd.DataFrame({"doc_id": doc, "at": np.arange(a, a + len(part[0])), **dict(zip(("s1", "w1", "s2", "w2"), part))})
 
-    return collection.select(key, "text").mapInPandas(run, f"doc_id {kind}, at long, s1 long, w1 long, s2 long, w2 long")
+    return dealt(collection.select(key, "text"), key).mapInPandas(run, f"doc_id {kind}, at long, s1 long, w1 long, s2 long, w2 long")
 
 
 def piece_hash(a: str, b: str) -> Column:
@@ -146,16 +154,29 @@ def _searched(rows: DataFrame, handles: DataFrame, key) -> DataFrame:
         "a": F.when(hit, F.col("n.len")).otherwise(F.col("a")), "b": F.when(open_ & ~hit, F.col("f") - 1).otherwise(F.col("b"))}).drop("f", "key", "n")
 
 
+def agreement(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: how many of the first CHUNK symbols of two strings agree (null counts as none)."""
+    rows = rows.withColumn(out, F.lit(0))
+    step = CHUNK
+    while step:
+        at = F.col(out) + 1
+        same = F.substring(a, at, F.lit(step)) == F.substring(b, at, F.lit(step))
+        rows = rows.withColumn(out, F.when(F.coalesce(same, F.lit(False)), F.col(out) + step).otherwise(F.col(out)))
+        step //= 2
+    return rows.withColumn(out, F.coalesce(F.least(out, F.length(a), F.length(b)), F.lit(0)).cast("long"))
+
+
 def _child(rows: DataFrame, children: DataFrame, symbol: Column) -> DataFrame:
     """For rows whose match ends at ``node``: ``child`` by the next symbol, else ``next``: the first rank that sorts after (null if none)."""
-    rows = rows.withColumn("_c", symbol).withColumn("_lo", F.when(F.col("node.len") == F.col("len"), F.col("node.lo"))).withColumn("_len", F.col("len"))
-    side = children.select(F.col("lo").alias("_lo"), F.col("len").alias("_len"), "kids")
-    rows = rows.join(side, ["_lo", "_len"], "left")
-    own = F.get(F.filter("kids", lambda k: (k["sym"] == F.col("_c")) & k["node"].isNotNull()), F.lit(0))["node"]
+    ends = F.col("node.len") == F.col("len")
+    rows = rows.withColumn("_c", symbol).withColumn("_lo", F.when(ends & (F.col("_c") != ""), F.col("node.lo"))).withColumn("_len", F.col("len"))
+    own = children.select(F.col("lo").alias("_lo"), F.col("len").alias("_len"), F.explode("kids").alias("k")).where("k.sym <> '' and k.node is not null")
+    rows = rows.join(own.select("_lo", "_len", F.col("k.sym").alias("_c"), F.col("k.node").alias("child")), ["_lo", "_len", "_c"], "left")
+    # where there is none, the next greater symbol's; a document that ends here sorts before all; a leaf has no children
+    side = children.select(F.col("lo").alias("_lo"), F.col("len").alias("_len"), F.transform("kids", lambda k: F.struct(k["sym"].alias("sym"), k["first"].alias("first"))).alias("kids"))
+    rows = rows.withColumn("_lo", F.when(F.col("child").isNull(), F.col("_lo"))).join(side, ["_lo", "_len"], "left")
     above = F.array_min(F.transform(F.filter("kids", lambda k: k["sym"] > F.col("_c")), lambda k: k["first"]))
-    # a document that ends here sorts before all; a leaf has no children and ends here
-    above = F.when(F.col("_c") == "", F.col("node.lo")).otherwise(above)
-    return rows.withColumns({"child": F.when(F.col("_c") != "", own), "next": above}).drop("kids", "_lo", "_len")
+    return rows.withColumn("next", F.when(ends & (F.col("_c") == ""), F.col("node.lo")).otherwise(above)).drop("kids", "_lo", "_len")
 
 
 def _told(rows: DataFrame, sa: DataFrame) -> DataFrame:
@@ -167,19 +188,24 @@ def _told(rows: DataFrame, sa: DataFrame) -> DataFrame:
     return rows.join(sa, "rank").select("doc_id", "idx", "pos", "len", "smaller")
 
 
-def extended(rows: DataFrame, texts: DataFrame, own: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, idx, pos, known, most) with ``reach``: how many symbols agree from (doc_id, idx) and the reference's pos on, ``known`` at least, ``most`` at most."""
+def extended(rows: DataFrame, sides: list[tuple[DataFrame, str | None, str]]) -> DataFrame:
+    """``rows`` (..., known, most) with ``reach``: how many symbols agree from both places on, ``known`` at least, ``most`` at most.
+
+    ``sides`` are the two (hash table, column of its document or None, column of the place).
+    """
     longest = rows.agg(F.max(F.col("most") - F.col("known"))).first()[0] or 0
     rows = rows.withColumn("reach", F.col("known"))
     for k in reversed(range(int(longest).bit_length())):
         until = F.col("reach") + (1 << k)
         at = rows
-        for name, table, doc, start in (("_t", texts, "doc_id", "idx"), ("_r", own, None, "pos")):
+        for name, (table, doc, start) in zip(("_t", "_r"), sides):
             at = at_place(at, table, F.col(start) + F.col("reach"), name + "0", doc)
             at = at_place(at, table, F.col(start) + until, name + "1", doc)
         same = (until <= F.col("most")) & (piece_hash("_t0", "_t1") == piece_hash("_r0", "_r1"))
         reach = F.when(F.coalesce(same, F.lit(False)), until).otherwise(F.col("reach"))
-        rows = stored(at.withColumn("reach", reach).select(*rows.columns), "extended")
+        rows = at.withColumn("reach", reach).select(*rows.columns)
+        if k % ROUNDS == 0:
+            rows = stored(rows, "extended")
     return rows
 
 
@@ -197,20 +223,65 @@ def _along_diagonals(rows: DataFrame, texts: DataFrame, own: DataFrame, n: int)
     rows = stored(rows.withColumn("_e", F.last("_e", ignorenulls=True).over(back)), "diagonals")
     runs = rows.groupBy("doc_id", "_d", F.col("_e").alias("idx")).agg(F.min("idx").alias("_first"), F.min("left").alias("left")).withColumn("pos", F.col("_d") + F.col("idx"))
     runs = runs.select("doc_id", "_d", "idx", "_first", "pos", F.lit(CHUNK).cast("long").alias("known"), F.least("left", F.lit(n) - F.col("pos")).alias("most"))
-    reached = extended(runs, texts, own)
+    reached = extended(runs, [(texts, "doc_id", "idx"), (own, None, "pos")])
     stop = F.col("idx") + F.col("reach")
     out = rows.join(reached.select("doc_id", "_d", F.col("idx").alias("_e"), stop.alias("_stop")), ["doc_id", "_d", "_e"])
     whole = reached.select("doc_id", F.col("_first").alias("idx"), (F.col("_d") + F.col("_first")).alias("pos"), (stop - F.col("_first")).alias("reach"))
     return out.withColumn("len", F.least("most", F.col("_stop") - F.col("idx"))).drop("_d", "_e", "_stop"), whole
 
 
-def _false_pieces(runs: DataFrame, text: DataFrame, own: DataFrame) -> int:
-    """How many of the pieces of CHUNK symbols that ``runs`` (doc_id, idx, pos, reach) say agree don't."""
+def false_pieces(runs: DataFrame, text: DataFrame, other: DataFrame, key: list[str]) -> int:
+    """How many of the pieces of CHUNK symbols that ``runs`` (doc_id, idx, pos, reach) say agree don't.
+
+    The pieces at pos are those of ``other`` (*key, pos, other).
+    """
     starts = F.array_union(F.sequence(F.lit(0).cast("long"), F.col("reach") - CHUNK, F.lit(CHUNK).cast("long")), F.array(F.col("reach") - CHUNK))
     pieces = runs.select("doc_id", "idx", "pos", F.explode(starts).alias("k"))
     pieces = pieces.select("doc_id", (F.col("idx") + F.col("k")).alias("idx"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
-    both = pieces.join(text.select("doc_id", "idx", "chunk"), ["doc_id", "idx"]).join(own.select(F.col("idx").alias("pos"), F.col("chunk").alias("_r")), "pos")
-    return both.where("chunk <> _r").count()
+    return pieces.join(text.select("doc_id", "idx", "chunk"), ["doc_id", "idx"]).join(other, [*key, "pos"]).where("chunk <> other").count()
+
+
+def with_lcp(sa: DataFrame, refs: DataFrame, counts: list | None = None) -> DataFrame:
+    """(ref_id, rank, pos, lcp) of a suffix array (ref_id, rank, pos), for references of any length.
+
+    The first suffix of each symbol shares nothing. Where a suffix and the one
+    ranked before it share a symbol, and the suffixes one symbol on are
+    neighbours too, those share one symbol less: such positions form runs on
+    a diagonal, which end together. Only the last position of
+    each run (as many as there are irreducible LCP values) is compared: CHUNK
+    symbols, then hashed pieces, confirmed on text. ``counts`` collects how
+    many were compared, and how many beyond CHUNK.
+    """
+    before = sa.select("ref_id", (F.col("rank") + 1).alias("rank"), F.col("pos").alias("_p"))
+    rows = sa.join(before, ["ref_id", "rank"], "left").withColumn("_d", F.col("_p") - F.col("pos"))
+    line = Window.partitionBy("ref_id", "_d").orderBy("pos")
+    back = Window.partitionBy("ref_id", "_d").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    counts_of = positions(refs.select(F.col("ref_id").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("ref_id"), "sym").count()
+    smaller_ones = F.sum("count").over(Window.partitionBy("ref_id").orderBy("sym").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts_of.select("ref_id", F.coalesce(smaller_ones, F.lit(0)).alias("rank"), F.lit(True).alias("_first"))
+    rows = stored(rows.join(starts, ["ref_id", "rank"], "left"), "neighbours")
+    first = rows.where("_first").select("ref_id", "rank", "pos", F.lit(0).cast("long").alias("lcp"))
+    rows = rows.where("_first is null").withColumn("_e", F.when(F.coalesce(F.lead("pos").over(line), F.lit(-1)) != F.col("pos") + 1, F.col("pos")))
+    rows = stored(rows.select("ref_id", "rank", "pos", "_d", F.last("_e", ignorenulls=True).over(back).alias("_e")), "lcp-runs")
+    text = stored(chunks(refs, "ref_id"), "chunks")
+    other = text.select("doc_id", F.col("idx").alias("pos"), F.col("chunk").alias("other"), F.col("left").alias("_l"))
+    ends = rows.where("_e = pos").select(F.col("ref_id").alias("doc_id"), F.col("pos").alias("idx"), (F.col("pos") + F.col("_d")).alias("pos"), "_d")
+    ends = ends.join(text, ["doc_id", "idx"]).join(other, ["doc_id", "pos"])
+    ends = agreement(ends.withColumn("most", F.least("left", "_l")), "chunk", "other", "known").select("doc_id", "idx", "pos", "_d", "most", "known")
+    ends = stored(ends, "lcp-ends")
+    near, far = ends.where(f"known < {CHUNK} or most = known").withColumn("reach", F.col("known")), ends.where(f"known = {CHUNK} and most > known")
+    base = 1_000_003
+    if counts is not None:
+        counts.extend([ends.count(), far.count()])
+    while not far.isEmpty():
+        table = stored(hash_table(refs.join(far.select(F.col("doc_id").alias("ref_id")).distinct(), "ref_id", "left_semi"), base, "ref_id"), "hashes")
+        reached = extended(far, [(table, "doc_id", "idx"), (table, "doc_id", "pos")])
+        if not false_pieces(reached, text, other.drop("_l"), ["doc_id"]):
+            near = near.unionByName(reached)
+            break
+        base += 2
+    stops = near.select(F.col("doc_id").alias("ref_id"), "_d", F.col("idx").alias("_e"), (F.col("idx") + F.col("reach")).alias("_stop"))
+    return rows.join(stops, ["ref_id", "_d", "_e"]).select("ref_id", "rank", "pos", (F.col("_stop") - F.col("pos")).alias("lcp")).union(first)
 
 
 _NODE = ("lo", "hi", "len", "pos", "chunk")
@@ -232,10 +303,10 @@ def _short_matches(text: DataFrame, nodes: DataFrame, children: DataFrame, n: in
         for _ in range(CHUNK.bit_length()):
             rows = _searched(rows, handles, lambda r: r.withColumn("key", F.when(F.col("f").isNotNull(), hashed("chunk"))))  # noqa: B023
         symbol = lambda c: F.substring(c, (F.col("len") + 1).cast("int"), F.lit(1))
-        rows = rows.withColumn("len", F.least("node.len", F.coalesce(lcp(F.col("chunk"), F.col("node.chunk")), F.lit(0))).cast("long"))
+        rows = agreement(rows.withColumn("_n", F.col("node.chunk")), "chunk", "_n", "len").withColumn("len", F.least("node.len", "len")).drop("_n")
         rows = _child(rows, children, symbol("chunk"))
         known = F.when(F.col("child").isNull(), F.greatest("node.len", F.lit(CHUNK))).otherwise(CHUNK)
-        rows = rows.withColumn("a", known.cast("long")).withColumn("len", F.coalesce(lcp(F.col("chunk"), F.col("child.chunk")), "len").cast("long"))
+        rows = agreement(rows.withColumn("a", known.cast("long")).withColumn("_n", F.col("child.chunk")), "chunk", "_n", "_l").withColumn("len", F.when(F.col("child").isNotNull(), F.col("_l")).otherwise(F.col("len")))
         rows = rows.withColumn("node", F.coalesce("child", "node")).withColumn("_c", symbol("chunk")).withColumn("ahead", F.when(F.col("len") < F.col("node.len"), symbol("node.chunk")))
         # a handle is a hash; where the symbols differ after all, two collided
         rows = rows.withColumn("_bad", F.col("from") > F.col("len")).withColumn("_far", (F.col("len") == CHUNK) & (F.col("left") > CHUNK))
@@ -272,7 +343,7 @@ def _far_matches(rows: DataFrame, collection: DataFrame, reference: DataFrame, n
         last = first.where("child is null").drop("child").unionByName(symbol(down).withColumn("next", F.lit(None).cast("long")))
         ahead = own_text.select(F.col("idx").alias("_at"), F.left("chunk", F.lit(1)).alias("ahead"))
         last = last.withColumn("_at", F.when(F.col("len") < F.col("node.len"), F.col("node.pos") + F.col("len"))).join(ahead, "_at", "left")
-        if _unlike(handles) and not _false_pieces(runs.union(more), text, own_text):
+        if _unlike(handles) and not false_pieces(runs.union(more), text, own_text.select(F.col("idx").alias("pos"), F.col("chunk").alias("other")), []):
             return last
         base += 2
 

@@ -9,6 +9,8 @@ ranks, so neither a large group nor the whole table is one task's window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,31 +98,38 @@ def sparse_start(rows: DataFrame, key, within: list[str]) -> DataFrame:
     return b.join(before, [*within, "_b"]).drop("_b")
 
 
-def doubled(rows: DataFrame, start: int, within: list[str], levels: list | None = None) -> DataFrame:
+def doubled(rows: DataFrame, start: int, within: list[str], levels: list | None = None, counts: list | None = None) -> DataFrame:
     """Prefix doubling on (doc_id, idx, r, _n): ranks by whole suffixes.
 
     ``r`` ranks by the first ``start`` symbols; ``_n`` is the size of the
     row's group. Each round joins a suffix of an open group with the rank of
     its continuation, ``k`` symbols on (ends come first), and refines inside
-    the group. It stops when all groups are single or the prefixes are longer
-    than any document, after a logarithm of the longest repeat in rounds.
-    Equal suffixes of several documents keep a shared rank. ``levels``
-    collects (k, table): ranks by the first k symbols, for common prefixes.
+    the group. A group is closed when it has one row, or when its suffixes
+    have ended: those are equal, share a rank for good and have ``_n`` below 0.
+    Only open rows are ranked and written again. It stops when no group is
+    open, after a logarithm of the longest repeat in rounds. ``levels``
+    collects (k, table): ranks by the first k symbols; ``counts`` the rows of
+    each round.
     """
-    k = start
-    rows = stored(rows.select(*dict.fromkeys([*within, "doc_id", "idx", "r", "_n"])), "ranks")
-    longest = (rows.agg(F.max("idx")).first()[0] or 0) + 1
-    if levels is not None:
-        levels.append((k, rows))
-    while k < longest and (largest := rows.agg(F.max("_n")).first()[0] or 0) > 1:
-        follow = rows.select("doc_id", (F.col("idx") - k).alias("idx"), F.col("r").alias("_next")).where("idx >= 0")
-        open_ = rows.where("_n > 1").join(follow, ["doc_id", "idx"], "left").withColumn("_next", F.coalesce("_next", F.lit(-1)))
-        finer = refined(open_, "_next", within, largest)
-        rows = stored(finer.select(*rows.columns).union(rows.where("_n <= 1")), "ranks")
-        k *= 2
+    k, columns = start, list(dict.fromkeys([*within, "doc_id", "idx", "r", "_n"]))
+    closed: list[DataFrame] = []
+    open_ = stored(rows.select(*columns), "ranks")
+    while True:
+        closed.append(open_.where("_n <= 1"))
+        open_ = open_.where("_n > 1")
+        all_ = reduce(DataFrame.union, closed, open_)
         if levels is not None:
-            levels.append((k, rows))
-    return rows
+            levels.append((k, all_))
+        size, largest = open_.agg(F.count("*"), F.max("_n")).first()
+        if counts is not None:
+            counts.append(size)
+        if not size:
+            return reduce(DataFrame.union, closed[1:], closed[0])
+        follow = all_.select("doc_id", (F.col("idx") - k).alias("idx"), F.col("r").alias("_next")).where("idx >= 0")
+        asked = open_.join(follow, ["doc_id", "idx"], "left").withColumn("_next", F.coalesce("_next", F.lit(-1)))
+        finer = refined(asked, "_next", within, largest)
+        open_ = stored(finer.withColumn("_n", F.when(F.col("_next") < 0, -F.col("_n")).otherwise(F.col("_n"))).select(*columns), "ranks")
+        k *= 2
 
 
 def common_prefixes(pairs: DataFrame, levels: list) -> DataFrame:

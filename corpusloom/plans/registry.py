@@ -82,7 +82,7 @@ def _kept(spark, d, name: str, build) -> DataFrame:
 
 def _index(refs: DataFrame, d) -> DataFrame:
     if isinstance(d, Whole):
-        return stored(refindex.index_by_levels(refs), "index")
+        return stored(hashmatch.with_lcp(stored(refindex.suffix_array(refs), "sa"), refs), "index")
     return stored(refindex.with_lcp(refindex.suffix_array(refs), refs), "index")
 
 
@@ -290,6 +290,13 @@ def lcp_array_by_levels(spark, d):
     return refindex.index_by_levels(_refs(spark, d))
 
 
+@query(f"with {_IX} select ref_id, rank, pos, lcp from ix")
+def lcp_array_by_runs(spark, d):
+    """LCP values of which only the ends of runs are compared, by hashes."""
+    refs = _refs(spark, d)
+    return hashmatch.with_lcp(_suffix_array(spark, d), refs)
+
+
 @query(f"with {_IX} select ref_id, pos, greatest(lcp, coalesce(lead(lcp) over (partition by ref_id order by rank), 0)) as plcp_max from ix")
 def plcp_max(spark, d):
     return refindex.with_plcp_max(_indexes(spark, d)).select("ref_id", "pos", "plcp_max")
