@@ -182,7 +182,7 @@ def _child(rows: DataFrame, children: DataFrame, symbol: Column) -> DataFrame:
 def _told(rows: DataFrame, sa: DataFrame) -> DataFrame:
     """(doc_id, idx, pos, len, smaller) of rows with the end of their match: inside an edge of ``node`` (``ahead``, its next symbol), or at ``node`` with ``next``."""
     inside = F.col("ahead").isNotNull()
-    after = F.when(inside, F.col("_c") < F.col("ahead")).otherwise(F.col("next").isNotNull())
+    after = F.when(inside, (F.col("_c") == "") | (F.col("_c") < F.col("ahead"))).otherwise(F.col("next").isNotNull())
     rank = F.when(inside, F.when(after, F.col("node.lo")).otherwise(F.col("node.hi"))).otherwise(F.coalesce("next", "node.hi"))
     rows = rows.select("doc_id", "idx", rank.alias("rank"), "len", after.alias("smaller"))
     return rows.join(sa, "rank").select("doc_id", "idx", "pos", "len", "smaller")
@@ -348,13 +348,16 @@ def _far_matches(rows: DataFrame, collection: DataFrame, reference: DataFrame, n
         base += 2
 
 
-def hashed_matching_statistics(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, idx, pos, len, smaller) of every symbol of ``collection`` against the one ``reference``, of which ``index`` is (ref_id, rank, pos, lcp)."""
+def hashed_matching_statistics(collection: DataFrame, reference: DataFrame, index: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(doc_id, idx, pos, len, smaller) of every symbol of ``collection`` against the one ``reference``, of which ``index`` is (ref_id, rank, pos, lcp).
+
+    ``known`` is the reference's :func:`tree`, where it was made before.
+    """
     n = reference.select(F.length("text")).first()[0] or 0  # one reference
     text, sa = chunks(collection), index.select("rank", "pos")
     if not n:
         return text.select("doc_id", "idx", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("len"), F.lit(False).alias("smaller"))
-    nodes, children = tree(index, reference, n)
+    nodes, children = known or tree(index, reference, n)
     rows = _short_matches(text, nodes, children, n)
     near, far = _told(rows.where("not _far"), sa), rows.where("_far")
     if far.isEmpty():

@@ -136,18 +136,18 @@ def common_prefixes(pairs: DataFrame, levels: list) -> DataFrame:
     """For (…, da, ia, db, ib): ``len``, how many symbols the two suffixes share.
 
     Ranks by the first k symbols are equal where k symbols agree, so the length
-    is found from the largest level down, two joins a level and no text. The
-    levels must begin with single symbols; pairs with a null side share nothing.
+    is found from the largest level down, two joins a level and no text. Ranks
+    tell prefixes of k symbols apart only where the suffixes are that long, so
+    the length of the first side's document goes along. The levels must begin
+    with single symbols; pairs with a null side share nothing.
     """
-    out = pairs.withColumn("len", F.lit(0).cast("long"))
+    sizes = levels[0][1].groupBy(F.col("doc_id").alias("da")).agg((F.max("idx") + 1).alias("_size"))
+    columns = [*pairs.columns, "len"]
+    out = pairs.join(sizes, "da", "left").withColumn("len", F.lit(0).cast("long"))
     for k, table in reversed(levels):
         side = lambda d, i, r: table.select(F.col("doc_id").alias(d), F.col("idx").alias(i), F.col("r").alias(r))  # noqa: B023, E731
         at = out.withColumns({"_ia": F.col("ia") + F.col("len"), "_ib": F.col("ib") + F.col("len")})
         at = at.join(side("da", "_ia", "_ra"), ["da", "_ia"], "left").join(side("db", "_ib", "_rb"), ["db", "_ib"], "left")
-        # ranks tell prefixes of k symbols apart only where the suffixes are that long
-        whole = side("da", "_ea", "_x").select("da", "_ea", F.lit(1).alias("_has"))
-        at = at.withColumn("_ea", F.col("_ia") + k - 1).join(whole, ["da", "_ea"], "left")
-        at = at.withColumn("_same", F.coalesce((F.col("_ra") == F.col("_rb")) & (F.col("_has") == 1), F.lit(False)))
-        out = at.withColumn("len", F.col("len") + F.when(F.col("_same"), k).otherwise(0)).select(*out.columns)
-        out = stored(out, "prefixes")
-    return out
+        same = F.coalesce((F.col("_ra") == F.col("_rb")) & (F.col("_ia") + k <= F.col("_size")), F.lit(False))
+        out = stored(at.withColumn("len", F.col("len") + F.when(same, k).otherwise(0)).select(*columns, "_size"), "prefixes")
+    return out.select(*columns)

@@ -253,3 +253,29 @@ def bound_search(bounds: DataFrame, asked: DataFrame) -> DataFrame:
     hit, above = F.col("_s") == F.col("sym"), F.col("_s") > F.col("sym")
     out = met.groupBy(*key, "sym").agg(F.max(F.when(hit, F.col("left_bound"))).alias("left_bound"), F.max(F.when(hit, F.col("right_bound"))).alias("right_bound"), F.min(F.when(above, F.col("left_bound"))).alias("_up"))
     return out.withColumn("insertion", F.when(F.col("left_bound").isNull(), F.coalesce("_up", F.col("hi") + 1))).drop("_up")
+
+
+def bounds_at(index: DataFrame, refs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (ref_id, id, lo, hi, offset, sym) with ``left_bound`` and ``right_bound``: the first and last rank of [lo, hi] whose suffix has ``sym`` after ``offset`` symbols, or, if none has, ``insertion``: the rank it would begin at.
+
+    Any interval whose suffixes share ``offset`` symbols will do. All
+    questions halve their intervals together: a round is one look at the
+    middle rank's suffix and one at its symbol, by equi-joins, so there are as
+    many rounds as the widest interval has binary digits. A suffix that ends
+    before has the empty symbol, which is less than all others.
+    """
+    sa = index.select("ref_id", F.col("rank").alias("_m"), F.col("pos").alias("_p"))
+    symbols = symbol_at(refs, "_at", "_s")
+    # two searches a question: the first rank whose symbol isn't less, and the first whose symbol is greater
+    state = asked.select("ref_id", "id", "offset", "sym", F.col("lo").alias("_l"), (F.col("hi") + 1).alias("_r"), F.explode(F.array(F.lit(False), F.lit(True))).alias("_over"))
+    while not (state := stored(state, "halves")).where("_l < _r").isEmpty():
+        open_ = state.where("_l < _r").withColumn("_m", F.floor((F.col("_l") + F.col("_r")) / 2))
+        seen = open_.join(sa, ["ref_id", "_m"]).withColumn("_at", F.col("_p") + F.col("offset")).join(symbols, ["ref_id", "_at"], "left")
+        symbol = F.coalesce("_s", F.lit(""))
+        below = (symbol < F.col("sym")) | F.col("_over") & (symbol == F.col("sym"))
+        halved = seen.withColumn("_l", F.when(below, F.col("_m") + 1).otherwise(F.col("_l"))).withColumn("_r", F.when(below, F.col("_r")).otherwise(F.col("_m")))
+        state = halved.select(*state.columns).union(state.where("_l >= _r"))
+    ends = state.groupBy("ref_id", "id").agg(F.max(F.when(~F.col("_over"), F.col("_l"))).alias("_a"), F.max(F.when(F.col("_over"), F.col("_l"))).alias("_b"))
+    has = F.col("_a") < F.col("_b")
+    return asked.join(ends, ["ref_id", "id"]).withColumns({
+        "left_bound": F.when(has, F.col("_a")), "right_bound": F.when(has, F.col("_b") - 1), "insertion": F.when(~has, F.col("_a"))}).drop("_a", "_b")

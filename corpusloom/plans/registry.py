@@ -416,6 +416,18 @@ def bound_insertion(spark, d):
     return refindex.bound_search(refindex.interval_bounds(index, refs, intervals), asked)
 
 
+@query(f"""with {_IV}, q as (select ref_id, rank as id, lo + rank % least(3, hi - lo + 1) as lo, hi, greatest(len - rank % 3, 0) as "offset", ({list(SOUGHT)})[rank % {len(SOUGHT)} + 1] as sym from iv),
+b as (select q.*, x.rank, substr(x.s, q."offset" + 1, 1) as c from q join ix x on x.ref_id = q.ref_id and x.rank between q.lo and q.hi)
+select ref_id, id, lo, hi, "offset", sym, min(rank) filter (where c = sym) as left_bound, max(rank) filter (where c = sym) as right_bound,
+  case when count(*) filter (where c = sym) = 0 then lo + count(*) filter (where c < sym) end as insertion from b group by ref_id, id, lo, hi, "offset", sym""")
+def bound_search_anywhere(spark, d):
+    """Symbols looked for in parts of intervals, at offsets up to what their suffixes share; all questions halve together."""
+    asked = _intervals(spark, d).select(
+        "ref_id", F.col("rank").alias("id"), (F.col("lo") + F.col("rank") % F.least(F.lit(3), F.col("hi") - F.col("lo") + 1)).alias("lo"), "hi",
+        F.greatest(F.col("len") - F.col("rank") % 3, F.lit(0)).alias("offset"), F.get(F.array(*map(F.lit, SOUGHT)), (F.col("rank") % len(SOUGHT)).cast("int")).alias("sym"))
+    return refindex.bounds_at(_indexes(spark, d), _refs(spark, d), asked)
+
+
 @query(f"with {_B} select doc_id as ref_id, 0 as outcome from d")
 def sa_outcome(spark, d):
     refs = _refs(spark, d)
@@ -746,6 +758,8 @@ _OWN_TABLE = set(
 )
 #: Queries that write out suffix strings, whose size is the square of a text's; gsa_documents and gsa_documents_check tell the same of the last two.
 _STRINGS = {"suffix_scan", "gsa_bucketed", "gsa_check"}
+#: Queries whose form over documents is another one's: ms_full_documents and lcp_array_documents. By ranks, joint sorting doesn't finish there.
+_SAME = {"ms_by_ranks", "ms_by_hashes", "lcp_array_by_runs"}
 
 
 def _over_documents(f):
@@ -757,5 +771,5 @@ def _over_documents(f):
 
 
 DOCUMENT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f"{name}_documents": _over_documents(f) for name, f in QUERIES.items() if name not in _OWN_TABLE | _STRINGS
+    f"{name}_documents": _over_documents(f) for name, f in QUERIES.items() if name not in _OWN_TABLE | _STRINGS | _SAME
 }

@@ -8,6 +8,7 @@ import __spark_entry__
 from corpusloom.operators import matchstats, symbols
 from corpusloom.plans import registry
 from corpusloom.sources import collections as src
+from corpusloom.sources import library
 from corpusloom.streaming.matching import stream_matches
 
 
@@ -37,7 +38,8 @@ def test_stream_equals_batch(spark, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
     reference = spark.createDataFrame([(0, "ACGTACGGT$")], "ref_id long, text string")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream_matches(stream, reference, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    library.build(reference, str(tmp_path / "index"))
+    stream_matches(stream, str(tmp_path / "index"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = matchstats.matching_statistics(docs, reference)
     assert sorted(map(tuple, got.select("doc_id", "idx", "pos", "len", "smaller").collect())) == sorted(map(tuple, want.collect()))

@@ -26,7 +26,7 @@ def suffixes():
 
 
 def test_every_item_query_has_a_form_over_documents():
-    own = registry._OWN_TABLE | registry._STRINGS
+    own = registry._OWN_TABLE | registry._STRINGS | registry._SAME
     assert set(registry.DOCUMENT_QUERIES) == {f"{n}_documents" for n in registry.QUERIES if n not in own}
 
 
