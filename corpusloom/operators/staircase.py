@@ -77,6 +77,7 @@ def smaller(values: DataFrame, asked: DataFrame, before: bool, cell: int = CELL,
     node = lambda c, size: F.floor(F.greatest(F.col(c), F.lit(0)) / size).cast("long") * sign
     own = values.select("ref_id", node("j", cell).alias("node"), (F.col("j") * sign).alias("place"), F.lit(VALUE).alias("kind"), (F.col("j") * sign).cast("long").alias("at"), F.col("v").cast("long").alias("x"), F.lit(0).cast("long").alias("id"))
     questions = asked.select("ref_id", node("i", cell).alias("node"), (F.col("i") * sign).alias("place"), F.lit(UP_TO).alias("kind"), F.lit(0).cast("long").alias("at"), F.col("bound").cast("long").alias("x"), F.col("id").cast("long").alias("id"))
+    above = (F.floor(F.abs("node") / fan) * sign).cast("long").alias("node")
     levels = [_level(own.unionByName(questions), "stairs", ref_type)]
     while True:
         done = levels[-1]
@@ -84,15 +85,15 @@ def smaller(values: DataFrame, asked: DataFrame, before: bool, cell: int = CELL,
         if not cells:
             break
         # a level up: steps are the values of their cell, a cell's open questions come before its own steps
-        steps = done.where(F.col("kind") == STEP).select("ref_id", F.floor(F.col("node") / fan).alias("node"), F.col("node").alias("place"), F.lit(VALUE).alias("kind"), "at", "x", F.lit(0).cast("long").alias("id"))
+        steps = done.where(F.col("kind") == STEP).select("ref_id", above, F.col("node").alias("place"), F.lit(VALUE).alias("kind"), "at", "x", F.lit(0).cast("long").alias("id"))
         opened = done.where((F.col("kind") == ANSWER) & F.col("at").isNull()).select("ref_id", "node", "x").distinct()
-        opened = opened.select("ref_id", F.floor(F.col("node") / fan).alias("node"), F.col("node").alias("place"), F.lit(BEFORE).alias("kind"), F.lit(0).cast("long").alias("at"), "x", F.col("node").alias("id"))
+        opened = opened.select("ref_id", above, F.col("node").alias("place"), F.lit(BEFORE).alias("kind"), F.lit(0).cast("long").alias("at"), "x", F.col("node").alias("id"))
         levels.append(_level(steps.unionByName(opened), "stairs", ref_type))
     found = None
     for done in reversed(levels):
         answers = done.where(F.col("kind") == ANSWER).select("ref_id", "node", "x", "id", "at")
         if found is not None:
-            above = found.select("ref_id", F.col("id").alias("node"), "x", F.col("at").alias("_up"))
-            answers = answers.join(above, ["ref_id", "node", "x"], "left").withColumn("at", F.coalesce("at", "_up")).drop("_up")
+            up = found.select("ref_id", F.col("id").alias("node"), "x", F.col("at").alias("_up"))
+            answers = answers.join(up, ["ref_id", "node", "x"], "left").withColumn("at", F.coalesce("at", "_up")).drop("_up")
         found = answers
     return found.select("ref_id", "id", (F.col("at") * sign).alias("found"))
