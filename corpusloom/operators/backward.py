@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import importable
 from .refindex import psv_nsv
 
 MOST_SYMBOLS = 4_000_000
@@ -90,4 +91,5 @@ def backward_matching(collection: DataFrame, reference: DataFrame, index: DataFr
                 out = pd.DataFrame(found, columns=["idx", "len", "lo", "hi"], dtype="int64")
                 yield out.assign(doc_id=doc_id)[["doc_id", "idx", "len", "lo", "hi"]]
 
+    importable(collection.sparkSession)
     return collection.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, idx long, len long, lo long, hi long")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import floor_log2
-from ..storage import stored
+from ..storage import importable, stored
 from .refindex import interval_bounds, lcp_intervals
 from .symbols import positions
 
@@ -69,6 +69,7 @@ def prefix_hashes(text: str, base: int) -> list[np.ndarray]:
 
 def dealt(collection: DataFrame, key: str) -> DataFrame:
     """Documents spread over as many tasks as a shuffle has: each symbol becomes a row, so a task of the scan would hold far more than its share."""
+    importable(collection.sparkSession)
     return collection.repartition(int(collection.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 

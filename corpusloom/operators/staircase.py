@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import importable, stored
 
 CELL = 65_536
 FAN = 256
@@ -63,6 +63,7 @@ def _climbed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _level(rows: DataFrame, name: str, ref_type: str) -> DataFrame:
+    importable(rows.sparkSession)
     dealt = rows.repartition("ref_id", "node").sortWithinPartitions("ref_id", "node", "place", "kind", "at").select(*_COLUMNS)
     return stored(dealt.mapInPandas(_climbed, f"ref_id {ref_type}, kind int, node long, x long, id long, at long"), name)
 

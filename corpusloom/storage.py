@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextvars
+import os
 import uuid
 from collections.abc import Callable
 
@@ -26,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package, wherever the driver was started; other machines get it by ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
 def own_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder; other applications have their own."""
     return f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}"
