@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 from ..functions.text import substr0
 from ..storage import stored
 from .matchstats import suffixes
-from .ranking import bucket_rank, doubled, refined, running, sparse_start
+from .ranking import bucket_rank, doubled, filled, numbered, refined, running, sparse_start
 from .predecessor import head_of, next_heads
 from .refindex import symbol_at
-from .symbols import positions, with_ends
+from .symbols import positions
 
 START = 3
 
@@ -24,24 +24,7 @@ START = 3
 def gsa(collection: DataFrame) -> DataFrame:
     """(rank, doc_id, idx) by prefix doubling; documents of any length."""
     rows = positions(collection, START).select("doc_id", "idx", "key")
-    return _numbered(doubled(sparse_start(rows, F.col("key"), []), START, []))
-
-
-#: Documents whose equal suffixes one window numbers.
-DOCUMENTS = 4096
-
-
-def _numbered(ranked: DataFrame) -> DataFrame:
-    """Equal suffixes, which share a sparse rank, are numbered by document.
-
-    Few rows share one, save where very many documents end alike; those are
-    counted in cells of documents and numbered inside a cell.
-    """
-    alike = ranked.where(F.abs("_n") > 1).select("r", "doc_id", "idx").withColumn("_cell", F.floor(F.col("doc_id") / DOCUMENTS))
-    before = running(alike.groupBy("r", "_cell").count(), "_cell", "count", "_before", ["r"]).drop("count")
-    inside = F.row_number().over(Window.partitionBy("r", "_cell").orderBy("doc_id", "idx")) - 1
-    told = alike.withColumn("_in", inside).join(before, ["r", "_cell"]).select((F.col("r") + F.col("_before") + F.col("_in")).cast("long").alias("rank"), "doc_id", "idx")
-    return ranked.where(F.abs("_n") <= 1).select(F.col("r").cast("long").alias("rank"), "doc_id", "idx").union(told)
+    return numbered(doubled(sparse_start(rows, F.col("key"), []), START, []))
 
 
 def gsa_bucketed(collection: DataFrame) -> DataFrame:
@@ -74,7 +57,7 @@ def gsa_by_matches(collection: DataFrame, matches: DataFrame, index: DataFrame)
         to = rows.select("doc_id", F.col("idx").alias("jump"), F.col("r").alias("_r"), F.col("jump").alias("_j"))
         both = refined(rows.join(to, ["doc_id", "jump"]).where("r >= 0"), "_r", None, largest).select("doc_id", "idx", F.col("_j").alias("jump"), "r", "_n")
         rows = stored(both.union(rows.where("r < 0")), "match-ranks")
-    return _numbered(rows.where("r >= 0"))
+    return numbered(rows.where("r >= 0"))
 
 
 def anchors(head: DataFrame, index: DataFrame) -> DataFrame:
@@ -148,17 +131,17 @@ def suborder_violations(order: DataFrame, array: DataFrame) -> DataFrame:
 
 def types(collection: DataFrame) -> DataFrame:
     """(doc_id, idx, sym, type): L if the suffix is greater than the next one, else S; document ends are S."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    rows = with_ends(positions(collection), collection).withColumn("_next", F.lead("sym").over(w))
-    own = F.when(F.col("_next").isNull(), "S").when(F.col("sym") < F.col("_next"), "S").when(F.col("sym") > F.col("_next"), "L")
-    back = Window.partitionBy("doc_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("doc_id", "idx", "sym", F.last(own, ignorenulls=True).over(back).alias("type"))
+    rows = positions(collection, 2).withColumn("_next", F.substring("key", 2, 1))
+    own = F.when(F.col("sym") < F.col("_next"), "S").when(F.col("sym") > F.col("_next"), "L")
+    ends = collection.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("idx"), F.lit("").alias("sym"), F.lit("S").alias("_own"))
+    rows = rows.select("doc_id", "idx", "sym", own.alias("_own")).union(ends)
+    return filled(rows, ["doc_id"], "idx", {"type": F.col("_own")}, back=True).select("doc_id", "idx", "sym", "type")
 
 
 def s_star(typed: DataFrame) -> DataFrame:
     """(doc_id, idx, sym) of S positions after an L position."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    return typed.withColumn("_before", F.lag("type").over(w)).where("type = 'S' and _before = 'L'").select("doc_id", "idx", "sym")
+    rows = filled(typed, ["doc_id"], "idx", {"_before": F.col("type")}, own=False)
+    return rows.where("type = 'S' and _before = 'L'").select("doc_id", "idx", "sym")
 
 
 def sorted_heads(head: DataFrame, collection: DataFrame, index: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import lcp, substr0
 from ..storage import stored
-from .ranking import CELL, bucket_rank, carried, common_prefixes, doubled, sparse_start
+from .ranking import CELL, bucket_rank, carried, common_prefixes, doubled, filled, numbered, running, sparse_start
 from .refindex import with_plcp_max
 from .symbols import positions
 
@@ -106,16 +106,28 @@ def unambiguous(head: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def phrase_sequences(head: DataFrame) -> DataFrame:
-    """(order_no, doc_id, n_phrases): documents by their sequences of (pos, len), a shorter one before its continuations."""
-    rows = head.where("not is_end").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "pos", "len"))).alias("x"))  # one document's heads
-    rows = rows.select("doc_id", F.size("x").alias("n_phrases"), F.transform("x", lambda p: F.struct(p["pos"].alias("pos"), p["len"].alias("len"))).alias("_s"))
-    return bucket_rank(rows, F.get("_s", F.lit(0))["pos"], ["_s", "doc_id"], "order_no").select("order_no", "doc_id", "n_phrases")
+    """(order_no, doc_id, n_phrases): documents by their sequences of (pos, len), a shorter one before its continuations.
+
+    Phrases are symbols here, ranked by (pos, len), and sequences are sorted by
+    prefix doubling: neither a document's phrases nor the documents of one
+    first phrase, or of one sequence, meet in one row or window.
+    """
+    rows = head.where("not is_end").select("doc_id", (F.col("head_id") - 1).alias("idx"), "pos", "len")
+    by = rows.groupBy("pos", "len").agg(F.count("*").alias("_n"))
+    offset = running(by.groupBy("pos").agg(F.sum("_n").alias("_all")), "pos", "_all", "_off").drop("_all")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("pos").orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = by.withColumn("_before", before).join(offset, "pos").select("pos", "len", "_n", (F.col("_off") + F.col("_before")).alias("r"))
+    whole = stored(doubled(rows.join(by, ["pos", "len"]), 1, []).where("idx = 0").select("doc_id", "idx", "r"), "sequences")
+    place = running(whole.groupBy("r").agg(F.count("*").alias("_n")), "r", "_n", "_place")
+    order = numbered(whole.join(place, "r").select("doc_id", "idx", F.col("_place").alias("r"), "_n"))
+    sizes = rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_phrases"))
+    return order.join(sizes, "doc_id").select(F.col("rank").alias("order_no"), "doc_id", "n_phrases")
 
 
 def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame) -> DataFrame:
     """(doc_id, head_id, start, next_start, pos, len, smaller, is_end): positions whose match doesn't continue the one before, and document ends."""
     w = Window.partitionBy("doc_id").orderBy("idx")
-    first = ms.withColumn("_before", F.lag("pos").over(w)).where("_before is null or pos <> _before + 1")
+    first = filled(ms, ["doc_id"], "idx", {"_before": F.col("pos")}, own=False).where("_before is null or pos <> _before + 1")
     last = reference.select((F.length("text") - 1).cast("long").alias("pos"))  # one row, as one reference is
     ends = collection.select("doc_id", F.length("text").cast("long").alias("idx")).join(last).select("doc_id", "idx", "pos", F.lit(0).cast("long").alias("len"), F.lit(False).alias("smaller"), F.lit(True).alias("is_end"))
     rows = first.select("doc_id", "idx", "pos", "len", "smaller", F.lit(False).alias("is_end")).union(ends)
@@ -125,11 +137,10 @@ def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame) -> DataFra
 
 def symbol_runs(collection: DataFrame, symbol: str) -> DataFrame:
     """(doc_id, idx, len): how long the run of ``symbol`` lasts from each of its positions."""
-    rows = positions(collection).withColumn("_hit", (F.col("sym") == symbol).cast("int"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.last(F.when(F.col("_hit") == 0, F.col("idx")), ignorenulls=True).over(w)
-    end = F.max("idx").over(Window.partitionBy("doc_id")) + 1
-    return rows.withColumn("_stop", F.coalesce(stop, end)).where("_hit = 1").select("doc_id", "idx", (F.col("_stop") - F.col("idx")).alias("len"))
+    rows = positions(collection).withColumn("_hit", F.col("sym") == symbol)
+    ends = collection.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("idx"), F.lit("").alias("sym"), F.lit(False).alias("_hit"))
+    rows = filled(rows.union(ends), ["doc_id"], "idx", {"_stop": F.when(~F.col("_hit"), F.col("idx"))}, back=True)
+    return rows.where("_hit").select("doc_id", "idx", (F.col("_stop") - F.col("idx")).alias("len"))
 
 
 def head_statistics(head: DataFrame, index: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Predecessor lookups as interval joins and running windows."""
+"""Predecessor lookups as interval joins and values filled in from cell to cell."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import filled
 
 #: Positions of a cell that an interval join meets in.
 CELL = 1024
@@ -27,9 +28,8 @@ def pred_succ(asked: DataFrame, keys: DataFrame) -> DataFrame:
     """For (doc_id, q): the largest key <= q and the least key >= q of (doc_id, key); null if none."""
     rows = keys.select("doc_id", F.col("key").alias("_at"), F.lit(None).cast("long").alias("q"), F.col("key")).union(
         asked.select("doc_id", F.col("q").alias("_at"), "q", F.lit(None).cast("long").alias("key")))
-    up = Window.partitionBy("doc_id").orderBy("_at", F.col("q").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("doc_id").orderBy(F.desc("_at"), F.col("q").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"pred": F.last("key", ignorenulls=True).over(up), "succ": F.last("key", ignorenulls=True).over(down)})
+    rows = filled(rows, ["doc_id"], "_at", {"pred": F.col("key")})
+    rows = filled(rows, ["doc_id"], "_at", {"succ": F.col("key")}, back=True)
     return rows.where("q is not null").select("doc_id", "q", "pred", "succ")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,6 +54,22 @@ def carried(rows: DataFrame, key: str, values: dict[str, str], back: bool = Fals
     return r.join(cells, "_c1").select(key, *[F.coalesce(n, "_o_" + n).alias(n) for n in values])
 
 
+def filled(rows: DataFrame, within: list[str], at: str, values: dict[str, Column], back: bool = False, own: bool = True) -> DataFrame:
+    """``rows`` with each of ``values`` (new name to column): the last one that isn't null up to the whole number ``at`` (``back``: from there on), for each ``within``.
+
+    The row's own place counts, with all rows there, unless ``own`` is false. Windows hold the
+    rows of CELL places, then one row a cell, so one long string isn't one task.
+    """
+    way, pick = (F.desc, F.min_by) if back else (F.asc, F.max_by)
+    r = rows.withColumns({"_c": F.floor(F.col(at) / CELL), **values})
+    inside = Window.partitionBy(*within, "_c").orderBy(way(at)).rangeBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
+    over = Window.partitionBy(*within).orderBy(way("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = r.groupBy(*within, "_c").agg(*[pick(n, F.when(F.col(n).isNotNull(), F.col(at))).alias("_e_" + n) for n in values])
+    cells = cells.select(*within, "_c", *[F.last("_e_" + n, ignorenulls=True).over(over).alias("_o_" + n) for n in values])
+    r = r.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in values}).join(cells, [*within, "_c"])
+    return r.withColumns({n: F.coalesce(n, "_o_" + n) for n in values}).drop("_c", *["_o_" + n for n in values])
+
+
 def refined(rows: DataFrame, after: str, within: list[str] | None = None, largest: int | None = None) -> DataFrame:
     """``rows`` (…, r, ``after``) with finer ``r`` and ``_n``: inside each group of equal ``r``, by the whole number ``after``.
 
@@ -132,6 +148,23 @@ def doubled(rows: DataFrame, start: int, within: list[str], levels: list | None
         k *= 2
 
 
+#: Documents whose equal suffixes one window numbers.
+DOCUMENTS = 4096
+
+
+def numbered(ranked: DataFrame) -> DataFrame:
+    """Equal suffixes, which share a sparse rank, are numbered by document.
+
+    Few rows share one, save where very many documents end alike; those are
+    counted in cells of documents and numbered inside a cell.
+    """
+    alike = ranked.where(F.abs("_n") > 1).select("r", "doc_id", "idx").withColumn("_cell", F.floor(F.col("doc_id") / DOCUMENTS))
+    before = running(alike.groupBy("r", "_cell").count(), "_cell", "count", "_before", ["r"]).drop("count")
+    inside = F.row_number().over(Window.partitionBy("r", "_cell").orderBy("doc_id", "idx")) - 1
+    told = alike.withColumn("_in", inside).join(before, ["r", "_cell"]).select((F.col("r") + F.col("_before") + F.col("_in")).cast("long").alias("rank"), "doc_id", "idx")
+    return ranked.where(F.abs("_n") <= 1).select(F.col("r").cast("long").alias("rank"), "doc_id", "idx").union(told)
+
+
 def common_prefixes(pairs: DataFrame, levels: list) -> DataFrame:
     """For (…, da, ia, db, ib): ``len``, how many symbols the two suffixes share.
 

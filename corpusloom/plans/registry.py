@@ -759,7 +759,7 @@ _OWN_TABLE = set(
 #: Queries that write out suffix strings, whose size is the square of a text's; gsa_documents and gsa_documents_check tell the same of the last two.
 _STRINGS = {"suffix_scan", "gsa_bucketed", "gsa_check"}
 #: Queries whose form over documents is another one's: ms_full_documents and lcp_array_documents. By ranks, joint sorting doesn't finish there.
-_SAME = {"ms_by_ranks", "ms_by_hashes", "lcp_array_by_runs"}
+_SAME = {"ms_by_ranks", "ms_by_hashes", "lcp_array_by_runs", "lcp_array_by_levels"}
 
 
 def _over_documents(f):

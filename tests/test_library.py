@@ -170,12 +170,12 @@ def test_staircases_of_many_levels(spark):
 def test_documents_that_end_alike(spark):
     rows = [(i, f"{i % 97} and so it ends.") for i in range(10_000)]
     counts = []
-    from corpusloom.operators.ranking import doubled, sparse_start
+    from corpusloom.operators.ranking import doubled, numbered, sparse_start
     from corpusloom.operators.symbols import positions
 
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     start = sparse_start(positions(docs, gsa.START).select("doc_id", "idx", "key"), F.col("key"), [])
-    ranked = gsa._numbered(doubled(start, gsa.START, [], counts=counts))
+    ranked = numbered(doubled(start, gsa.START, [], counts=counts))
     assert counts[-1] == 0 and all(a >= b for a, b in zip(counts, counts[1:]))
     got = ranked.agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
     n = sum(len(t) for _, t in rows)

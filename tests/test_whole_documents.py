@@ -56,6 +56,6 @@ def test_index(spark, folder):
         assert got.get(d, []) == want
 
 
-@pytest.mark.parametrize("name", ["ms_heads", "head_of_suffix", "pred_succ_lookup", "head_sort", "ls_types", "sstar_sorted", "bwt", "sink_roundtrip"])
+@pytest.mark.parametrize("name", ["ms_heads", "head_of_suffix", "pred_succ_lookup", "head_sort", "phrase_sequences", "ls_types", "sstar_sorted", "bwt", "sink_roundtrip"])
 def test_equal_to_the_form_over_items(spark, folder, name):
     assert sorted(map(repr, run(spark, folder, name + "_documents"))) == sorted(map(repr, run(spark, folder, name)))
