@@ -6,6 +6,8 @@ than every symbol.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,7 +70,7 @@ def anchors(head: DataFrame, index: DataFrame) -> DataFrame:
     each head. ``r`` is -1 for document ends, ``_n`` how many have this rank.
     """
     sides = head.select("doc_id", F.col("head_id").alias("next_head_id"), "len", "smaller", "is_end")
-    rows = next_heads(head, index).join(sides, ["doc_id", "next_head_id"]).withColumn("_left", F.col("len") - F.col("offset"))
+    rows = stored(next_heads(head, index).join(sides, ["doc_id", "next_head_id"]).withColumn("_left", F.col("len") - F.col("offset")), "next-heads")
     signed = F.when(F.col("smaller"), F.col("_left")).otherwise(-F.col("_left"))
     ends = rows.where("is_end").select("doc_id", "head_id", "next_head_id", F.lit(-1).cast("long").alias("r"), F.lit(1).cast("long").alias("_n"))
     rows = rows.where("not is_end").select("doc_id", "head_id", "next_head_id", "next_isa", (~F.col("smaller")).cast("int").alias("_side"), signed.alias("_len"))
@@ -85,21 +87,29 @@ def anchor_ranks(head: DataFrame, index: DataFrame, counts: list | None = None)
     """(doc_id, head_id, after): the rank of what follows each head's match, by doubling over heads alone.
 
     Equal ranks mean equal text up to the next place, so what follows it
-    decides: pointers jump over one match, then two, four, …. ``counts``
-    collects the rows of every round.
+    decides: pointers jump over one match, then two, four, …. A group is closed
+    when it has one row or when what follows it is closed (document ends are):
+    its rows are equal for good, since equal text up to one place begins at one
+    place, and have ``_n`` below 0. Only open rows are ranked and written
+    again. ``counts`` collects the rows, closed and open, of every round.
     """
-    rows, state = stored(anchors(head, index), "anchors"), None
+    open_, state, closed, n_closed = stored(anchors(head, index), "anchors"), None, [], 0
     while True:
-        now = rows.agg(F.count_distinct("r"), F.sum("next_head_id"), F.count("*"), F.max("_n")).first()
+        is_open = F.col("_n") > 1
+        n, *now, largest = open_.agg(
+            F.count("*"), F.count_if(is_open), F.count_distinct(F.when(is_open, F.col("r"))), F.sum(F.when(is_open, F.col("next_head_id"))), F.max("_n")).first()
         if counts is not None:
-            counts.append(now[2])
-        if now[:2] == state:
-            break
-        state = now[:2]
-        to = rows.select("doc_id", F.col("head_id").alias("next_head_id"), F.col("r").alias("_r"), F.col("next_head_id").alias("_j"))
-        finer = refined(rows.where("r >= 0").join(to, ["doc_id", "next_head_id"]), "_r", None, now[3]).select("doc_id", "head_id", F.col("_j").alias("next_head_id"), "r", "_n")
-        rows = stored(finer.union(rows.where("r < 0")), "anchors")
-    return rows.select("doc_id", "head_id", F.col("r").alias("after"))
+            counts.append(n_closed + n)
+        n_closed += n - now[0]
+        closed.append(open_.where(~is_open))
+        open_ = open_.where(is_open)
+        rows = reduce(DataFrame.union, closed)
+        if not now[0] or now == state:  # pointers that don't move on tell no more apart
+            return rows.union(open_).select("doc_id", "head_id", F.col("r").alias("after"))
+        state = now
+        to = rows.union(open_).select("doc_id", F.col("head_id").alias("next_head_id"), F.col("r").alias("_r"), F.col("next_head_id").alias("_j"), (F.col("_n") <= 1).alias("_closed"))
+        finer = refined(open_.join(to, ["doc_id", "next_head_id"]), "_r", None, largest)
+        open_ = stored(finer.select("doc_id", "head_id", F.col("_j").alias("next_head_id"), "r", F.when(F.col("_closed"), -F.col("_n")).otherwise(F.col("_n")).alias("_n")), "anchors")
 
 
 def sorted_by_heads(asked: DataFrame, head: DataFrame, index: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -115,9 +125,13 @@ def sorted_by_heads(asked: DataFrame, head: DataFrame, index: DataFrame, ranks:
     return bucket_rank(rows, F.col("slot"), ["_side", "_len", "after", "doc_id", "idx"], "order_no").select("order_no", "doc_id", "idx")
 
 
-def gsa_by_heads(collection: DataFrame, head: DataFrame, index: DataFrame) -> DataFrame:
-    """(rank, doc_id, idx) from sorted heads. The reference must hold every symbol, as :func:`gsa_by_matches` needs it."""
-    ranks = stored(anchor_ranks(head, index), "anchor-ranks")
+def gsa_by_heads(collection: DataFrame, head: DataFrame, index: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """(rank, doc_id, idx) from sorted heads. The reference must hold every symbol, as :func:`gsa_by_matches` needs it.
+
+    ``ranks`` are the heads' :func:`anchor_ranks`, where they were made before.
+    """
+    if ranks is None:
+        ranks = stored(anchor_ranks(head, index), "anchor-ranks")
     return sorted_by_heads(positions(collection), head, index, ranks).withColumnRenamed("order_no", "rank")
 
 

@@ -129,14 +129,20 @@ def _whole_heads(spark, d):
     return _heads(spark, d, augment=True)
 
 
+def _anchor_ranks(spark, d, head, index) -> DataFrame:
+    """The ranks of what follows each head of :func:`_whole_heads`."""
+    return _kept(spark, d, "anchor-ranks", lambda: ga.anchor_ranks(head, index))
+
+
 def _array(spark, d) -> DataFrame:
     """The suffix array of all items."""
     return _kept(spark, d, "gsa", lambda: ga.gsa(_items(spark, d)))
 
 
 def _collection_array(spark, d) -> DataFrame:
-    """The suffix array of all items but the reference."""
-    return _kept(spark, d, "gsa-of-collection", lambda: ga.gsa(_collection(spark, d)))
+    """The suffix array of all items but the reference: that of all, in which others' suffixes keep their order."""
+    rest = _array(spark, d).join(_collection(spark, d).select("doc_id"), "doc_id", "left_semi").withColumnRenamed("rank", "_r")
+    return ranking.bucket_rank(rest, F.floor(F.col("_r") / ranking.CELL), ["_r"]).select("rank", "doc_id", "idx")
 
 
 _D = "with d as (select doc_id, coalesce(text, '') as text from documents) "
@@ -653,14 +659,14 @@ d as (select doc_id, case when doc_id = m then text || coalesce((select string_a
 @query(f"with {_WITHOUT_FIRST} select rank, doc_id, idx from g")
 def gsa_by_heads(spark, d):
     collection, _, index, head = _whole_heads(spark, d)
-    return ga.gsa_by_heads(collection, head, index)
+    return ga.gsa_by_heads(collection, head, index, _anchor_ranks(spark, d, head, index))
 
 
 @query(f"with {_HEADS.replace(_B, _AUGMENTED)} select count(*) as n, 0::bigint as n_empty, 0::bigint as violations from h where not is_end")
 def heads_check(spark, d):
     """Heads sorted by their matches and what follows, against the suffix array of all positions."""
     collection, _, index, head = _whole_heads(spark, d)
-    ranks = stored(ga.anchor_ranks(head, index), "anchor-ranks")
+    ranks = _anchor_ranks(spark, d, head, index)
     starts = head.where("not is_end").select("doc_id", F.col("start").alias("idx"))
     return ga.suborder_violations(ga.sorted_by_heads(starts, head, index, ranks), _collection_array(spark, d))
 
@@ -669,7 +675,7 @@ def heads_check(spark, d):
 def sstar_check(spark, d):
     """S* positions sorted by heads, against the suffix array of all positions."""
     collection, _, index, head = _whole_heads(spark, d)
-    ranks = stored(ga.anchor_ranks(head, index), "anchor-ranks")
+    ranks = _anchor_ranks(spark, d, head, index)
     star = ga.s_star(ga.types(collection)).where("sym <> ''")
     return ga.suborder_violations(ga.sorted_by_heads(star, head, index, ranks), _collection_array(spark, d))
 
