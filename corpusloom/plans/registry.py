@@ -747,8 +747,8 @@ def index_roundtrip(spark, d):
 @query(f"with {_GSA} select count(*) as n, 0::bigint as missing, 0::bigint as added from g")
 def sink_roundtrip(spark, d):
     """The GSA written as a sorted table and read back."""
-    by = ga.gsa if isinstance(d, Whole) else ga.gsa_bucketed
-    array, path = stored(by(_items(spark, d)), "gsa"), new_path(spark, "sink")
+    array = _array(spark, d) if isinstance(d, Whole) else stored(ga.gsa_bucketed(_items(spark, d)), "gsa")
+    path = new_path(spark, "sink")
     src.write_index(array, path, ["rank"])
     back = spark.read.parquet(path)
     both = array.select("*", F.lit(1).alias("_a")).unionByName(back.select("*", F.lit(-1).alias("_a"))).groupBy("rank", "doc_id", "idx").agg(F.sum("_a").alias("_s"), F.count_if(F.col("_a") > 0).alias("_n"))
