@@ -124,10 +124,16 @@ def phrase_sequences(head: DataFrame) -> DataFrame:
     return order.join(sizes, "doc_id").select(F.col("rank").alias("order_no"), "doc_id", "n_phrases")
 
 
-def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame) -> DataFrame:
-    """(doc_id, head_id, start, next_start, pos, len, smaller, is_end): positions whose match doesn't continue the one before, and document ends."""
+def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame, after_empty: bool = False) -> DataFrame:
+    """(doc_id, head_id, start, next_start, pos, len, smaller, is_end): positions whose match doesn't continue the one before, and document ends.
+
+    An empty match tells nothing of the next position, whose own match may lie
+    one place on by chance. With ``after_empty`` such positions are heads too,
+    so heads alone tell all matches.
+    """
     w = Window.partitionBy("doc_id").orderBy("idx")
-    first = filled(ms, ["doc_id"], "idx", {"_before": F.col("pos")}, own=False).where("_before is null or pos <> _before + 1")
+    before = F.when(F.col("len") == 0, -2).otherwise(F.col("pos")).cast("long") if after_empty else F.col("pos")
+    first = filled(ms, ["doc_id"], "idx", {"_before": before}, own=False).where("_before is null or _before < 0 or pos <> _before + 1")
     last = reference.select((F.length("text") - 1).cast("long").alias("pos"))  # one row, as one reference is
     ends = collection.select("doc_id", F.length("text").cast("long").alias("idx")).join(last).select("doc_id", "idx", "pos", F.lit(0).cast("long").alias("len"), F.lit(False).alias("smaller"), F.lit(True).alias("is_end"))
     rows = first.select("doc_id", "idx", "pos", "len", "smaller", F.lit(False).alias("is_end")).union(ends)
