@@ -11,6 +11,7 @@ longer ones.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +20,7 @@ from ..functions.text import lcp, substr0
 from ..storage import stored
 from .ranking import CELL, bucket_rank, carried, common_prefixes, doubled, filled, numbered, running, sparse_start
 from .refindex import with_plcp_max
-from .symbols import positions
+from .symbols import Texts, next_place, of_texts, positions
 
 BUCKET_SYMBOLS = 2
 
@@ -143,10 +144,13 @@ def heads(ms: DataFrame, collection: DataFrame, reference: DataFrame, after_empt
 
 def symbol_runs(collection: DataFrame, symbol: str) -> DataFrame:
     """(doc_id, idx, len): how long the run of ``symbol`` lasts from each of its positions."""
-    rows = positions(collection).withColumn("_hit", F.col("sym") == symbol)
-    ends = collection.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("idx"), F.lit("").alias("sym"), F.lit(False).alias("_hit"))
-    rows = filled(rows.union(ends), ["doc_id"], "idx", {"_stop": F.when(~F.col("_hit"), F.col("idx"))}, back=True)
-    return rows.where("_hit").select("doc_id", "idx", (F.col("_stop") - F.col("idx")).alias("len"))
+
+    def told(t: Texts) -> tuple[np.ndarray, dict]:
+        hit = t.code == ord(symbol) + 1
+        at = np.flatnonzero(hit)
+        return t.doc[at], {"idx": t.idx[at], "len": next_place(~hit)[at] - at}
+
+    return of_texts(collection, told, "idx long, len long")
 
 
 def head_statistics(head: DataFrame, index: DataFrame) -> DataFrame:
