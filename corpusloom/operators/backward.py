@@ -2,7 +2,8 @@
 
 The interval of reference suffixes that begin with the match is kept, extended
 to the left by the occurrence counts of the BWT, or widened to its parent
-interval where the symbol doesn't extend it. Documents are independent, so a
+interval where the symbol doesn't extend it; what a symbol makes of an interval
+is remembered, since a reference has no more intervals than twice its symbols. Documents are independent, so a
 task reads whole documents with the reference's index in memory: the index
 travels to every worker, so references are limited to MOST_SYMBOLS; longer ones
 are refused, and ``matching_statistics_by_ranks`` takes them.
@@ -10,17 +11,20 @@ are refused, and ``matching_statistics_by_ranks`` takes them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import importable
+from .hashmatch import dealt
 from .refindex import psv_nsv
+from .symbols import Texts, of_texts
 
 MOST_SYMBOLS = 4_000_000
+#: References whose matching statistics are told here; longer ones go by hashes. Steps that a task remembers.
+FEW_SYMBOLS, MOST_KNOWN = 1 << 20, 1 << 20
 
 
 class Index:
@@ -30,9 +34,13 @@ class Index:
         self.n, self.lcp, self.psv, self.nsv = len(text), lcp.tolist() + [0], psv.tolist(), nsv.tolist()
         before = [text[p - 1] if p else "" for p in pos.tolist()]
         #: Ranks at which each symbol is the one before the suffix, and how many symbols of the text are smaller.
-        self.ranks = {c: np.flatnonzero(np.array(before, dtype=object) == c) for c in sorted(set(text))}
+        self.sorted, self.ranks = sorted(set(text)), {c: [] for c in sorted(set(text))}
+        for rank, sym in enumerate(before):
+            if sym:
+                self.ranks[sym].append(rank)
         self.size = {c: text.count(c) for c in self.ranks}
         self.start = dict(zip(self.ranks, np.cumsum([0, *self.size.values()]).tolist()))
+        self.pos, self.known, self.neighbours, self.minima = pos.tolist(), {}, {}, []
         #: The text's last symbol alone is the first suffix of its symbol, and follows no other one.
         self.shift = {c: int(c == text[-1]) for c in self.ranks}
 
@@ -45,51 +53,142 @@ class Index:
             return 0, 0, self.n - 1
         return length, max(0, self.psv[at]), self.nsv[at] - 1 if self.nsv[at] >= 0 else self.n - 1
 
-    def scan(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(idx, len, lo, hi) of every position, last first."""
-        lo, hi, length = 0, self.n - 1, 0
-        for idx in range(len(text) - 1, -1, -1):
-            sym = text[idx]
-            while length and sym in self.ranks:
-                a, b = np.searchsorted(self.ranks[sym], (lo, hi + 1)).tolist()
-                if a < b:
-                    at = self.start[sym] + self.shift[sym]
-                    lo, hi, length = at + a, at + b - 1, length + 1
-                    break
-                length, lo, hi = self.parent(lo, hi)
-            else:
-                if sym in self.ranks:
-                    lo, hi, length = self.start[sym], self.start[sym] + self.size[sym] - 1, 1
+    def extended(self, sym: str, lo: int, hi: int) -> tuple[int, int, int]:
+        """(lo, hi, length) of the longest match that ``sym`` before the interval's string leaves; ``length`` is -1 where it is one more than the string's."""
+        if sym not in self.ranks:
+            return 0, self.n - 1, 0
+        length, at, ranks = -1, self.start[sym] + self.shift[sym], self.ranks[sym]
+        while length:
+            a, b = bisect_left(ranks, lo), bisect_left(ranks, hi + 1)
+            if a < b:
+                return at + a, at + b - 1, length + 1 if length > 0 else -1
+            length, lo, hi = self.parent(lo, hi)
+        return self.start[sym], self.start[sym] + self.size[sym] - 1, 1
+
+    def scan(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """Match lengths and both ranks of every position, last first."""
+        lo, hi, length, known = 0, self.n - 1, 0, self.known
+        lengths, los, his = [], [], []
+        for sym in reversed(text):
+            # an empty match has no symbol to lose: its extension is one symbol
+            key = sym, lo if length else -1, hi
+            told = known.get(key)
+            if told is None:
+                if len(known) >= MOST_KNOWN:
+                    known.clear()
+                if length:
+                    told = self.extended(sym, lo, hi)
                 else:
-                    lo, hi, length = 0, self.n - 1, 0
-            yield idx, length, lo, hi
-
+                    told = (self.start[sym], self.start[sym] + self.size[sym] - 1, 1) if sym in self.ranks else (0, self.n - 1, 0)
+                known[key] = told
+            lo, hi, more = told
+            length = length + 1 if more < 0 else more
+            lengths.append(length)
+            los.append(lo)
+            his.append(hi)
+        return lengths, los, his
+
+    def least(self, a: int, b: int) -> int:
+        """The least LCP value of ranks a to b."""
+        k = (b - a + 1).bit_length() - 1
+        return min(int(self.minima[k][a]), int(self.minima[k][b - (1 << k) + 1]))
+
+    def placed(self, sym: str, rank: int) -> tuple[int, int, int]:
+        """(rank, up, down) after ``sym`` is put before a string that ``rank`` suffixes are less than (-1: before the empty string).
+
+        Its successor shares one symbol more than the string shares with the
+        successor, at most ``up`` of them, and its predecessor likewise; -1
+        where that neighbour begins with another symbol.
+        """
+        if sym not in self.ranks:
+            at = bisect_left(self.sorted, sym)
+            return (self.start[self.sorted[at]] if at < len(self.sorted) else self.n), -1, -1
+        ranks, start, shift = self.ranks[sym], self.start[sym], self.shift[sym]
+        if rank < 0:
+            return start, 0, -1
+        k = bisect_left(ranks, rank)
+        up = down = -1
+        if k < len(ranks):
+            up = self.n if ranks[k] == rank else self.least(rank + 1, ranks[k])
+        if k:
+            down = self.n if ranks[k - 1] == rank - 1 else self.least(ranks[k - 1] + 1, rank - 1)
+        elif shift:
+            down = 0  # the last symbol alone
+        return start + shift + k, up, down
+
+    def matches(self, text: str) -> tuple[list[int], list[int], list[bool]]:
+        """Matched places, lengths and whether the match sorts after, of every position, last first."""
+        if not self.minima:
+            table = np.array(self.lcp[: self.n], np.int32)
+            while len(table):
+                self.minima.append(table)
+                step = 1 << (len(self.minima) - 1)
+                table = np.minimum(table[:-step], table[step:])
+        n, pos, known = self.n, self.pos, self.neighbours
+        rank, after, before = -1, 0, 0
+        places, lengths, smaller = [], [], []
+        for sym in reversed(text):
+            told = known.get((sym, rank))
+            if told is None:
+                if len(known) >= MOST_KNOWN:
+                    known.clear()
+                known[sym, rank] = told = self.placed(sym, rank)
+            rank, up, down = told
+            after = 1 + (after if after < up else up)
+            before = 1 + (before if before < down else down)
+            if after >= before and rank < n:
+                places.append(pos[rank])
+                lengths.append(after)
+                smaller.append(True)
+            else:
+                places.append(pos[rank - 1])
+                lengths.append(before)
+                smaller.append(False)
+        return places, lengths, smaller
 
-def backward_matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, idx, len, lo, hi): match lengths, and the ranks of the reference suffixes that begin with the match (all where nothing matches).
 
-    ``index`` (ref_id, rank, pos, lcp) belongs to the one row of ``reference``.
-    """
+def _sent(index: DataFrame, reference: DataFrame):
+    """The reference's text and arrays for every worker."""
     text = reference.first()["text"]
     if len(text) > MOST_SYMBOLS:
         raise ValueError(f"the reference has {len(text)} symbols; backward matching takes {MOST_SYMBOLS}")
     rows = index.join(psv_nsv(index).select("ref_id", "rank", "psv", "nsv"), ["ref_id", "rank"]).select("rank", "pos", "lcp", F.coalesce("psv", F.lit(-1)).alias("psv"), F.coalesce("nsv", F.lit(-1)).alias("nsv"))
     table = rows.toPandas().sort_values("rank")  # at most MOST_SYMBOLS rows of five numbers
     arrays = [table[c].to_numpy(np.int64) for c in ("pos", "lcp", "psv", "nsv")]
-    sent = collection.sparkSession.sparkContext.broadcast((text, arrays))
-    kind = collection.schema["doc_id"].dataType.simpleString()
+    return index.sparkSession.sparkContext.broadcast((text, arrays))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _of_places(collection: DataFrame, reference: DataFrame, index: DataFrame, scan: str, columns: dict) -> DataFrame:
+    """(doc_id, idx, ``columns``) that the method ``scan`` of the reference's :class:`Index` tells of every position; ``columns`` are name to (Arrow type, value where there is no reference)."""
+    sent = _sent(index, reference)
+
+    def told(t: Texts) -> tuple[np.ndarray, dict]:
         text, arrays = sent.value
+        at = np.flatnonzero(t.code)
         if not text:
-            known = None
-        else:
-            known = Index(text, *arrays)
-        for batch in batches:
-            for doc_id, body in zip(batch["doc_id"], batch["text"]):
-                found = list(known.scan(body)) if known and body else [(i, 0, 0, -1) for i in range(len(body or ""))]
-                out = pd.DataFrame(found, columns=["idx", "len", "lo", "hi"], dtype="int64")
-                yield out.assign(doc_id=doc_id)[["doc_id", "idx", "len", "lo", "hi"]]
-
-    importable(collection.sparkSession)
-    return collection.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, idx long, len long, lo long, hi long")
+            return t.doc[at], {"idx": t.idx[at], **{c: pa.array([v] * len(at), k) for c, (k, v) in columns.items()}}
+        if last.get("text") != text:
+            last.update(text=text, index=Index(text, *arrays))
+        found = [[] for _ in columns]
+        for body in t.texts:
+            for out, values in zip(found, getattr(last["index"], scan)(body)):
+                values.reverse()
+                out.extend(values)
+        return t.doc[at], {"idx": t.idx[at], **{c: pa.array(v, k) for (c, (k, _)), v in zip(columns.items(), found)}}
+
+    last: dict = {}
+    names = {pa.int64(): "long", pa.bool_(): "boolean"}
+    return of_texts(dealt(collection, "doc_id"), told, ", ".join(["idx long", *[f"{c} {names[k]}" for c, (k, _) in columns.items()]]))
+
+
+def matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, idx, pos, len, smaller): matching statistics, told right to left from the rank each suffix would have among the reference's."""
+    return _of_places(collection, reference, index, "matches", {"pos": (pa.int64(), None), "len": (pa.int64(), 0), "smaller": (pa.bool_(), False)})
+
+
+def backward_matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, idx, len, lo, hi): match lengths, and the ranks of the reference suffixes that begin with the match (all where nothing matches).
+
+    ``index`` (ref_id, rank, pos, lcp) belongs to the one row of ``reference``.
+    """
+    return _of_places(collection, reference, index, "scan", {"len": (pa.int64(), 0), "lo": (pa.int64(), 0), "hi": (pa.int64(), -1)})
