@@ -186,6 +186,35 @@ def matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> D
     return _of_places(collection, reference, index, "matches", {"pos": (pa.int64(), None), "len": (pa.int64(), 0), "smaller": (pa.bool_(), False)})
 
 
+def heads(collection: DataFrame, reference: DataFrame, index: DataFrame, after_empty: bool = False) -> DataFrame:
+    """As :func:`matchstats.heads` of :func:`matching`, told from whole texts; the reference must not be empty."""
+    sent, last = _sent(index, reference), {}
+
+    def told(t: Texts) -> tuple[np.ndarray, dict]:
+        text, arrays = sent.value
+        if last.get("text") != text:
+            last.update(text=text, index=Index(text, *arrays))
+        at, end = np.flatnonzero(t.code), t.code == 0
+        pos, length, smaller = np.full(len(end), len(text) - 1), np.zeros(len(end), np.int64), np.zeros(len(end), bool)
+        found = [[], [], []]
+        for body in t.texts:
+            for out, values in zip(found, last["index"].matches(body)):
+                values.reverse()
+                out.extend(values)
+        pos[at], length[at], smaller[at] = found
+        head = end | (t.idx == 0) | (np.diff(pos, prepend=pos[0]) != 1)
+        if after_empty:
+            head[1:] |= length[:-1] == 0
+        rows = np.flatnonzero(head)
+        doc, start = t.doc[rows], t.idx[rows]
+        number = np.arange(len(rows)) - np.searchsorted(doc, doc) + 1
+        following = pa.array(np.append(start[1:], 0), pa.int64(), mask=end[rows])
+        return doc, {"head_id": number, "start": start, "next_start": following, "pos": pos[rows], "len": length[rows], "smaller": smaller[rows], "is_end": end[rows]}
+
+    schema = "head_id long, start long, next_start long, pos long, len long, smaller boolean, is_end boolean"
+    return of_texts(dealt(collection, "doc_id"), told, schema)
+
+
 def backward_matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, idx, len, lo, hi): match lengths, and the ranks of the reference suffixes that begin with the match (all where nothing matches).
 

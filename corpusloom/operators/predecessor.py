@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .ranking import filled
 
-#: Positions of a cell that an interval join meets in.
-CELL = 1024
+#: Positions of a cell that an interval join meets in: each is compared with every head of its cell, which may hold as many heads.
+CELL = 16
 
 
 def head_of(asked: DataFrame, head: DataFrame) -> DataFrame:
