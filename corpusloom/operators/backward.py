@@ -12,6 +12,7 @@ are refused, and ``matching_statistics_by_ranks`` takes them.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,26 @@ class Index:
                 smaller.append(False)
         return places, lengths, smaller
 
+    def matched(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matched places, lengths and whether the match sorts after, of every place of ``t``; an end matches the last symbol with length 0."""
+        at, n = np.flatnonzero(t.code), len(t.code)
+        pos, length, smaller = np.full(n, self.n - 1), np.zeros(n, np.int64), np.zeros(n, bool)
+        found = [[], [], []]
+        for body in t.texts:
+            for out, values in zip(found, self.matches(body)):
+                values.reverse()
+                out.extend(values)
+        pos[at], length[at], smaller[at] = found
+        return pos, length, smaller
+
+
+def begins(t: Texts, pos: np.ndarray, length: np.ndarray, after_empty: bool = False) -> np.ndarray:
+    """Whether each place begins a head, by what :meth:`Index.matched` tells; ends do."""
+    head = (t.code == 0) | (t.idx == 0) | (np.diff(pos, prepend=pos[0]) != 1)
+    if after_empty:
+        head[1:] |= length[:-1] == 0
+    return head
+
 
 def _sent(index: DataFrame, reference: DataFrame):
     """The reference's text and arrays for every worker."""
@@ -158,6 +179,19 @@ def _sent(index: DataFrame, reference: DataFrame):
     return index.sparkSession.sparkContext.broadcast((text, arrays))
 
 
+def indexed(index: DataFrame, reference: DataFrame) -> Callable[[], Index]:
+    """Gives a task the :class:`Index` of the reference, which must not be empty."""
+    sent, last = _sent(index, reference), []
+
+    def index_of() -> Index:
+        if not last:
+            text, arrays = sent.value
+            last.append(Index(text, *arrays))
+        return last[0]
+
+    return index_of
+
+
 def _of_places(collection: DataFrame, reference: DataFrame, index: DataFrame, scan: str, columns: dict) -> DataFrame:
     """(doc_id, idx, ``columns``) that the method ``scan`` of the reference's :class:`Index` tells of every position; ``columns`` are name to (Arrow type, value where there is no reference)."""
     sent = _sent(index, reference)
@@ -188,23 +222,12 @@ def matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> D
 
 def heads(collection: DataFrame, reference: DataFrame, index: DataFrame, after_empty: bool = False) -> DataFrame:
     """As :func:`matchstats.heads` of :func:`matching`, told from whole texts; the reference must not be empty."""
-    sent, last = _sent(index, reference), {}
+    index_of = indexed(index, reference)
 
     def told(t: Texts) -> tuple[np.ndarray, dict]:
-        text, arrays = sent.value
-        if last.get("text") != text:
-            last.update(text=text, index=Index(text, *arrays))
-        at, end = np.flatnonzero(t.code), t.code == 0
-        pos, length, smaller = np.full(len(end), len(text) - 1), np.zeros(len(end), np.int64), np.zeros(len(end), bool)
-        found = [[], [], []]
-        for body in t.texts:
-            for out, values in zip(found, last["index"].matches(body)):
-                values.reverse()
-                out.extend(values)
-        pos[at], length[at], smaller[at] = found
-        head = end | (t.idx == 0) | (np.diff(pos, prepend=pos[0]) != 1)
-        if after_empty:
-            head[1:] |= length[:-1] == 0
+        end = t.code == 0
+        pos, length, smaller = index_of().matched(t)
+        head = begins(t, pos, length, after_empty)
         rows = np.flatnonzero(head)
         doc, start = t.doc[rows], t.idx[rows]
         number = np.arange(len(rows)) - np.searchsorted(doc, doc) + 1
