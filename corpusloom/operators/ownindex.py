@@ -18,6 +18,8 @@ from .hashmatch import dealt
 from .symbols import Texts, of_texts
 
 MOST = 1 << 20
+#: Prefixes of so many symbols are shared by few neighbours; rounds in which nearest smaller values are looked for together.
+COMMON, ROUNDS = 8, 32
 
 
 class Ranks:
@@ -70,30 +72,47 @@ class Ranks:
         out = np.zeros(len(self.at), np.int64)
         pair = np.flatnonzero(self.rank > 0)
         a, b = self.at[pair], self.at[pair - 1]
-        for k, ranks in reversed(self.levels):
-            same = np.flatnonzero(ranks[a] == ranks[b])
+        # a level is asked of those that share all its symbols from the start: of few, save for the first levels
+        asked = [np.arange(len(pair))]
+        for k, ranks in self.levels:
+            near = asked[-1]
+            asked.append(near[ranks[a[near]] == ranks[b[near]]] if k >= COMMON else near)
+        for (k, ranks), near in zip(reversed(self.levels), reversed(asked)):
             # ranks by k symbols are told anew only where k are shared, so equal ones share them
+            same = near[ranks[a[near]] == ranks[b[near]]]
             out[pair[same]] += k
             a[same] += k
             b[same] += k
         return out
 
     def smaller(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each rank the nearest ranks before and after in the same text with a smaller value; -1 and the text's size if none."""
-        before, after = [0] * len(values), [0] * len(values)
-        values = values.tolist()
-        for start, size in zip(self.begin.tolist(), self.size.tolist()):
-            held: list[int] = []
-            for i in range(start, start + size):
-                v = values[i]
-                while held and values[held[-1]] > v:
-                    after[held.pop()] = i - start
-                # an equal one held tells what lies before both
-                before[i] = -1 if not held else before[held[-1]] if values[held[-1]] == v else held[-1] - start
-                held.append(i)
-            for i in held:
-                after[i] = size
-        return np.array(before, np.int64), np.array(after, np.int64)
+        """For each rank the nearest ranks before and after in the same text with a smaller value (none is below 0); -1 and the text's size if none."""
+        # between two texts there is one less than all
+        held = np.insert(values, np.append(self.begin, len(values)), -1)
+        first = self.begin[self.doc] + self.doc + 1
+        at = first + self.rank
+        return _smaller_before(held)[at] - first, (len(held) - 1 - _smaller_before(held[::-1])[::-1])[at] - first
+
+
+def _smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place with a value of 0 or more the nearest one before with a smaller value; the first place's must be -1.
+
+    All places go on together by what the place they have come to has found;
+    the few that are still open after some rounds, such as the end of a long
+    rise, go one after another by what all before them have found, in linear time.
+    """
+    near = np.maximum(np.arange(len(values)) - 1, 0)
+    open_ = np.flatnonzero((values[near] >= values) & (values >= 0))
+    for _ in range(ROUNDS):
+        near[open_] = near[near[open_]]
+        open_ = open_[values[near[open_]] >= values[open_]]
+    value, found = memoryview(values), memoryview(near)
+    for i in open_.tolist():
+        j = i - 1
+        while value[j] >= value[i]:
+            j = found[j]
+        found[i] = j
+    return near
 
 
 def _told_by(refs: DataFrame, columns, schema: str) -> DataFrame:
@@ -193,7 +212,7 @@ class Bounds:
         key = lo * (int(lcp.max(initial=0)) + 1) + lcp
         # a symbol begins at an interval's first rank, and at the ranks that have it as theirs
         rows, own = np.concatenate([np.arange(len(lo)), lo]), np.tile(np.arange(len(lo)), 2)
-        order = np.lexsort((rows, key[own]))
+        order = np.argsort(key[own] * len(lo) + rows)  # below 2^60 for MOST symbols
         rows, own = rows[order], own[order]
         new = np.diff(key[own], prepend=-1) != 0
         keep = new | (np.diff(rows, prepend=-1) != 0)
@@ -221,15 +240,17 @@ def bound_search(refs: DataFrame, sought: tuple[str, ...]) -> DataFrame:
 
     def columns(t: Texts, r: Ranks):
         b = Bounds(t, r)
-        key, at = b.number * (len(t.known) + 1) + t.place[b.sym], np.tile(b.first, len(sought))
-        code = np.repeat([ord(s) + 1 for s in sought], len(b.first))
-        met = np.searchsorted(key, b.number[at] * (len(t.known) + 1) + np.searchsorted(t.known, code))
-        near = np.minimum(met, len(key) - 1)
-        inside = (met < len(key)) & (b.number[near] == b.number[at])
-        hit, start = inside & (t.code[b.sym[near]] == code), r.begin[b.doc[at]]
+        end, seen = np.append(b.first, len(b.own))[1:], t.code[b.sym]
+        codes = [ord(s) + 1 for s in sought]
+        # rows are in order of symbol inside an interval, so those below a symbol tell where it is
+        met = np.stack([b.first + (n := np.append(0, np.cumsum(seen < c)))[end] - n[b.first] for c in codes], axis=1).ravel()
+        # an interval's rows follow one another, so its columns repeat, which costs a writer less
+        at, code, end = np.repeat(b.first, len(sought)), np.tile(codes, len(b.first)), np.repeat(end, len(sought))
+        inside, near = met < end, np.minimum(met, end - 1)
+        hit, start = inside & (seen[near] == code), r.begin[b.doc[at]]
         value = lambda v, where: pa.array(v, pa.int64(), mask=~where)
         return b.doc[at], {
-            "lo": b.lo[at] - start, "hi": b.hi[at] - start, "len": b.len[at], "sym": pa.array([s for s in sought for _ in b.first], pa.string()),
+            "lo": b.lo[at] - start, "hi": b.hi[at] - start, "len": b.len[at], "sym": pa.array(list(sought)).take(pa.array(np.tile(np.arange(len(sought)), len(b.first)))),
             "left_bound": value(b.left[near] - start, hit), "right_bound": value(b.right[near] - start, hit),
             "insertion": value(np.where(inside, b.left[near], b.hi[at] + 1) - start, ~hit)}
 
