@@ -270,9 +270,10 @@ def bounds_at(refs: DataFrame, asked) -> DataFrame:
         lo, hi, offset, which = question(r.rank, np.maximum(before, 0), after - 1, lcp)
         start, code = r.begin[r.doc], np.array([ord(s) + 1 for s in symbols])[which]
 
-        def halved(over: bool) -> np.ndarray:
-            a, b = lo + start, hi + start + 1
-            open_ = np.flatnonzero(a < b)
+        lo, hi = lo + start, hi + start + 1
+
+        def halved(a: np.ndarray, over: bool, open_: np.ndarray) -> np.ndarray:
+            a, b = a.copy(), hi.copy()
             while len(open_):
                 m = (a[open_] + b[open_]) // 2
                 seen = t.code[r.at[m] + offset[open_]]
@@ -280,10 +281,15 @@ def bounds_at(refs: DataFrame, asked) -> DataFrame:
                 a[open_[below]] = m[below] + 1
                 b[open_[~below]] = m[~below]
                 open_ = open_[a[open_] < b[open_]]
-            return a - start
+            return a
 
-        first, last = halved(False), halved(True)
+        first = halved(lo, False, np.flatnonzero(lo < hi))
+        some = np.flatnonzero(first < hi)
+        # only where the symbol is met has it a last place
+        some = some[t.code[r.at[first[some]] + offset[some]] == code[some]]
+        last = halved(first, True, some)
         has = first < last
+        first, last, lo, hi = first - start, last - start, lo - start, hi - start - 1
         value = lambda v, where: pa.array(v, pa.int64(), mask=~where)
         return r.doc, {
             "id": r.rank, "lo": lo, "hi": hi, "offset": offset, "sym": pa.array(list(symbols)).take(pa.array(which)),
