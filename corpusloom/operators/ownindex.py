@@ -244,7 +244,7 @@ def bound_search(refs: DataFrame, sought: tuple[str, ...]) -> DataFrame:
         codes = [ord(s) + 1 for s in sought]
         # rows are in order of symbol inside an interval, so those below a symbol tell where it is
         met = np.stack([b.first + (n := np.append(0, np.cumsum(seen < c)))[end] - n[b.first] for c in codes], axis=1).ravel()
-        # an interval's rows follow one another, so its columns repeat, which costs a writer less
+        # an interval's rows follow one another, so its columns repeat
         at, code, end = np.repeat(b.first, len(sought)), np.tile(codes, len(b.first)), np.repeat(end, len(sought))
         inside, near = met < end, np.minimum(met, end - 1)
         hit, start = inside & (seen[near] == code), r.begin[b.doc[at]]
