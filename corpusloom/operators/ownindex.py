@@ -57,6 +57,10 @@ class Ranks:
         self.begin = np.cumsum(self.size) - self.size
         self.rank = np.arange(len(self.at)) - self.begin[self.doc]
 
+    def before(self) -> np.ndarray:
+        """The place before each suffix, cyclically."""
+        return np.where(self.texts.idx[self.at] > 0, self.at - 1, self.texts.start[self.doc] + self.size[self.doc] - 1)
+
     @staticmethod
     def _firsts(key: np.ndarray) -> np.ndarray:
         """For sorted keys, where the first equal one is."""
@@ -144,12 +148,206 @@ def bwt(refs: DataFrame) -> DataFrame:
     """(ref_id, rank, sym): the symbol before each suffix, cyclically."""
 
     def columns(t: Texts, r: Ranks):
-        before = np.where(t.idx[r.at] > 0, r.at - 1, t.start[r.doc] + r.size[r.doc] - 1)
-        return r.doc, {"rank": r.rank, "sym": t.symbols(before)}
+        return r.doc, {"rank": r.rank, "sym": t.symbols(r.before())}
 
     return _told_by(refs, columns, "rank long, sym string")
 
 
+def plcp_max(refs: DataFrame) -> DataFrame:
+    """(ref_id, pos, plcp_max): the greater of the LCP values before and after each suffix."""
+
+    def columns(t: Texts, r: Ranks):
+        lcp = r.lcp()
+        after = np.append(lcp, 0)[1:]  # a text's first rank has none, so the last one's is 0
+        return r.doc, {"pos": t.idx[r.at], "plcp_max": np.maximum(lcp, after)}
+
+    return _told_by(refs, columns, "pos long, plcp_max long")
+
+
+def max_lcp(refs: DataFrame, but: str) -> DataFrame:
+    """(ref_id, max_lcp, without) of each text that isn't empty: the greatest LCP value, and that of suffixes that don't begin with ``but``."""
+
+    def columns(t: Texts, r: Ranks):
+        lcp, kept = r.lcp(), t.code[r.at] != ord(but) + 1
+        every, without = np.full(len(t.texts), -1), np.full(len(t.texts), -1)
+        np.maximum.at(every, r.doc, lcp)
+        np.maximum.at(without, r.doc[kept], lcp[kept])
+        some = np.flatnonzero(r.size)
+        return some, {"max_lcp": every[some], "without": _values(without[some], without[some] >= 0)}
+
+    return _told_by(refs, columns, "max_lcp long, without long")
+
+
+def psv_nsv(refs: DataFrame) -> DataFrame:
+    """(ref_id, rank, lcp, psv, nsv), as :func:`refindex.psv_nsv`."""
+
+    def columns(t: Texts, r: Ranks):
+        lcp = r.lcp()
+        before, after = r.smaller(lcp)
+        return r.doc, {"rank": r.rank, "lcp": lcp, "psv": _values(before, before >= 0), "nsv": _values(after, after < r.size[r.doc])}
+
+    return _told_by(refs, columns, "rank long, lcp long, psv long, nsv long")
+
+
+def range_minimum(refs: DataFrame, last) -> DataFrame:
+    """(ref_id, lo, hi, min_lcp): the least LCP value of a range from every rank, whose last rank ``last`` tells from the arrays rank, pos and size of the text."""
+
+    def columns(t: Texts, r: Ranks):
+        hi = last(r.rank, t.idx[r.at], r.size[r.doc])
+        least = np.zeros(len(hi), np.int64)
+        level = np.frexp(hi - r.rank + 1)[1] - 1
+        for k, table in _minima(r.lcp(), int(level.max(initial=0))):
+            own = np.flatnonzero(level == k)
+            least[own] = np.minimum(table[own], table[own + hi[own] - r.rank[own] + 1 - (1 << k)])
+        return r.doc, {"lo": r.rank, "hi": hi, "min_lcp": least}
+
+    return _told_by(refs, columns, "lo long, hi long, min_lcp long")
+
+
+def _minima(values: np.ndarray, most: int):
+    """(k, least of 2^k values from each place on) for k up to ``most``."""
+    table = values
+    for k in range(most + 1):
+        yield k, table
+        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+
+
+def _values(values: np.ndarray, where: np.ndarray) -> pa.Array:
+    """``values``, null but ``where``."""
+    return pa.array(values, pa.int64(), mask=~where)
+
+
+def suffix_links(refs: DataFrame) -> DataFrame:
+    """(ref_id, rank, len, lo, hi), as :func:`refindex.suffix_links` of all intervals."""
+
+    def columns(t: Texts, r: Ranks):
+        lcp = r.lcp()
+        before, after = r.smaller(lcp)
+        own = np.flatnonzero(lcp)
+        place = np.empty(len(t.code), np.int64)
+        place[r.at] = np.arange(len(r.at))
+        # the suffix after this one shares a symbol less with one before it, so the last rank up to it that shares no more has the interval
+        at = np.where(lcp[own] > 1, place[np.minimum(r.at[own] + 1, len(place) - 1)], r.begin[r.doc[own]])
+        at = _last_below(lcp, at, lcp[own])
+        return r.doc[own], {"rank": r.rank[own], "len": lcp[own] - 1, "lo": np.maximum(before[at], 0), "hi": after[at] - 1}
+
+    return _told_by(refs, columns, "rank long, len long, lo long, hi long")
+
+
+def _last_below(values: np.ndarray, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each of ``at`` the last place up to there with a value below ``bound``; there must be one."""
+    at = at.copy()
+    open_ = np.flatnonzero(values[at] >= bound)
+    if not len(open_):
+        return at
+    tables = [table for _, table in _minima(values, int(len(values)).bit_length() - 1)]
+    for k in reversed(range(len(tables))):
+        first = at[open_] - (1 << k) + 1
+        over = open_[first >= 0]
+        far = over[tables[k][at[over] - (1 << k) + 1] >= bound[over]]
+        at[far] -= 1 << k
+    return at
+
+
+def parent_intervals(refs: DataFrame) -> DataFrame:
+    """(ref_id, rank, len, lo, hi), as :func:`refindex.parent_intervals` of all intervals."""
+
+    def columns(t: Texts, r: Ranks):
+        lcp = r.lcp()
+        before, after = r.smaller(lcp)
+        start = r.begin[r.doc]
+        own = np.flatnonzero((before > 0) | (after < r.size[r.doc]))  # the root has none
+        lo, up = np.maximum(before[own], 0) + start[own], after[own] + start[own]
+        beyond = np.where(after[own] < r.size[r.doc[own]], np.append(lcp, 0)[up], -1)
+        at = np.where(beyond > lcp[lo], up, lo)
+        return r.doc[own], {"rank": r.rank[own], "len": lcp[at], "lo": np.maximum(before[at], 0), "hi": after[at] - 1}
+
+    return _told_by(refs, columns, "rank long, len long, lo long, hi long")
+
+
+def occ_blocks(refs: DataFrame, block: int) -> DataFrame:
+    """(ref_id, block, sym, cnt), as :func:`refindex.occ_blocks`."""
+
+    def columns(t: Texts, r: Ranks):
+        kind, blocks = r.doc * len(t.known) + t.place[r.before()], int(r.size.max(initial=0)) // block + 1
+        key, count = np.unique(kind * blocks + r.rank // block, return_counts=True)
+        kind, total = key // blocks, np.cumsum(count)
+        first = Ranks._firsts(kind)
+        doc, symbols = kind // len(t.known), pa.array([chr(c - 1) if c else "" for c in t.known.tolist()]).take(pa.array(kind % len(t.known)))
+        return doc, {"block": key % blocks, "sym": symbols, "cnt": total - (total - count)[first]}
+
+    return _told_by(refs, columns, "block long, sym string, cnt long")
+
+
+def occ_rank(refs: DataFrame) -> DataFrame:
+    """(ref_id, rank, sym, occ), as :func:`refindex.occ_rank`."""
+
+    def columns(t: Texts, r: Ranks):
+        before = r.before()
+        kind = r.doc * len(t.known) + t.place[before]
+        order = np.argsort(kind, kind="stable")
+        occ = np.empty(len(kind), np.int64)
+        occ[order] = np.arange(len(kind)) - Ranks._firsts(kind[order]) + 1
+        return r.doc, {"rank": r.rank, "sym": t.symbols(before), "occ": occ}
+
+    return _told_by(refs, columns, "rank long, sym string, occ long")
+
+
+def faults(t: Texts, doc: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> dict[str, np.ndarray]:
+    """For each text what the linear check of its array tells: rows, distinct, least and greatest place, places that it hasn't, and neighbours whose symbols, or the ranks after them, are out of order.
+
+    The array is any rows (number of the text, rank, place); what made it isn't asked.
+    """
+    n = len(t.texts)
+    size = np.array([len(x) for x in t.texts])
+    order = np.lexsort((rank, doc))
+    doc, rank, pos = doc[order], rank[order], pos[order]
+    count = lambda where: np.bincount(doc[where], minlength=n)
+    inside = (pos >= 0) & (pos < size[doc])
+    at = np.where(inside, t.start[doc] + pos, 0)
+    ranked = np.full(len(t.code) + 1, -1)
+    ranked[at[inside]] = rank[inside]
+    code, following = np.where(inside, t.code[at], -1), np.where(inside, ranked[at + 1], -1)
+    distinct = np.zeros(n, np.int64)
+    own = np.lexsort((pos, doc))
+    new = np.append(True, (np.diff(doc[own]) != 0) | (np.diff(pos[own]) != 0))[: len(own)]
+    distinct += np.bincount(doc[own][new], minlength=n)
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, doc, pos)
+    np.maximum.at(most, doc, pos)
+    near = np.append(False, (np.diff(doc) == 0) & (np.diff(rank) == 1))[: len(doc)] & inside
+    near[1:] &= inside[:-1]
+    b = np.maximum(np.arange(len(doc)) - 1, 0)
+    first = near & (code[b] > code)
+    later = near & (code[b] == code) & (following[b] >= following)
+    return {"size": size, "n": count(slice(None)), "n_distinct": distinct, "min_pos": least, "max_pos": most, "out": count(~inside), "first": count(first), "later": count(later)}
+
+
+def sa_violations(refs: DataFrame) -> DataFrame:
+    """(ref_id, n, n_distinct, min_pos, max_pos, violations), as :func:`gsa.sa_violations`, of each text's suffix array, checked where it is made."""
+
+    def columns(t: Texts, r: Ranks):
+        f = faults(t, r.doc, r.rank, t.idx[r.at])
+        some = np.flatnonzero(f["n"])
+        return some, {c: v[some] for c, v in (f | {"violations": f["first"] + f["later"]}).items() if c in ("n", "n_distinct", "min_pos", "max_pos", "violations")}
+
+    return _told_by(refs, columns, "n long, n_distinct long, min_pos long, max_pos long, violations long")
+
+
+def sa_outcome(refs: DataFrame) -> DataFrame:
+    """(ref_id, outcome), as :func:`gsa.sa_outcome`, of each text's suffix array, checked where it is made."""
+
+    def columns(t: Texts, r: Ranks):
+        return np.arange(len(t.texts)), {"outcome": outcome(faults(t, r.doc, r.rank, t.idx[r.at])).astype(np.int32)}
+
+    return _told_by(refs, columns, "outcome int")
+
+
+def outcome(f: dict[str, np.ndarray]) -> np.ndarray:
+    wrong = [f["n"] != f["size"], f["n"] == 0, (f["out"] > 0) | (f["n_distinct"] < f["n"]), f["first"] > 0, f["later"] > 0]
+    return np.select(wrong, [-1, 0, -2, -3, -4], 0)
+
+
 def intervals(refs: DataFrame) -> DataFrame:
     """(ref_id, rank, len, lo, hi): the ranks whose suffixes share the first lcp(rank) symbols with this one."""
 
