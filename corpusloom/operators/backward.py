@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .hashmatch import dealt
 from .refindex import psv_nsv
-from .symbols import Texts, of_texts
+from .symbols import Texts, next_place, of_texts
 
 MOST_SYMBOLS = 4_000_000
 #: References whose matching statistics are told here; longer ones go by hashes. Steps that a task remembers.
@@ -41,7 +41,7 @@ class Index:
                 self.ranks[sym].append(rank)
         self.size = {c: text.count(c) for c in self.ranks}
         self.start = dict(zip(self.ranks, np.cumsum([0, *self.size.values()]).tolist()))
-        self.pos, self.known, self.neighbours, self.minima = pos.tolist(), {}, {}, []
+        self.pos, self.known, self.neighbours, self.minima, self.ranked = pos.tolist(), {}, {}, [], None
         #: The text's last symbol alone is the first suffix of its symbol, and follows no other one.
         self.shift = {c: int(c == text[-1]) for c in self.ranks}
 
@@ -147,6 +147,12 @@ class Index:
                 smaller.append(False)
         return places, lengths, smaller
 
+    def isa(self) -> np.ndarray:
+        """The rank of each place of the text."""
+        if self.ranked is None:
+            self.ranked = np.argsort(np.array(self.pos, np.int64))
+        return self.ranked
+
     def matched(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matched places, lengths and whether the match sorts after, of every place of ``t``; an end matches the last symbol with length 0."""
         at, n = np.flatnonzero(t.code), len(t.code)
@@ -220,22 +226,132 @@ def matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> D
     return _of_places(collection, reference, index, "matches", {"pos": (pa.int64(), None), "len": (pa.int64(), 0), "smaller": (pa.bool_(), False)})
 
 
-def heads(collection: DataFrame, reference: DataFrame, index: DataFrame, after_empty: bool = False) -> DataFrame:
-    """As :func:`matchstats.heads` of :func:`matching`, told from whole texts; the reference must not be empty."""
+def of_matches(collection: DataFrame, reference: DataFrame, index: DataFrame, columns: Callable[..., tuple[np.ndarray, dict]], schema: str) -> DataFrame:
+    """(doc_id, ``schema``): rows told from whole texts and their matches, where they lie; the reference must not be empty.
+
+    ``columns`` gets the texts, the reference's :class:`Index` and what :meth:`Index.matched` tells, and returns what :func:`symbols.of_texts` asks for.
+    """
     index_of = indexed(index, reference)
 
     def told(t: Texts) -> tuple[np.ndarray, dict]:
-        end = t.code == 0
-        pos, length, smaller = index_of().matched(t)
+        return columns(t, index_of(), *index_of().matched(t))
+
+    return of_texts(dealt(collection, "doc_id"), told, schema)
+
+
+class Heads:
+    """The heads of texts put together: their places ``at``, document ends among them, and of every place the number of its head, ``own``."""
+
+    def __init__(self, t: Texts, pos: np.ndarray, length: np.ndarray, after_empty: bool = False):
         head = begins(t, pos, length, after_empty)
-        rows = np.flatnonzero(head)
-        doc, start = t.doc[rows], t.idx[rows]
-        number = np.arange(len(rows)) - np.searchsorted(doc, doc) + 1
-        following = pa.array(np.append(start[1:], 0), pa.int64(), mask=end[rows])
-        return doc, {"head_id": number, "start": start, "next_start": following, "pos": pos[rows], "len": length[rows], "smaller": smaller[rows], "is_end": end[rows]}
+        self.at, self.own = np.flatnonzero(head), np.cumsum(head) - 1
+        self.doc, self.start, self.is_end = t.doc[self.at], t.idx[self.at], t.code[self.at] == 0
+        #: From 1 in each document.
+        self.number = np.arange(len(self.at)) - np.searchsorted(self.doc, self.doc) + 1
+
+
+def heads(collection: DataFrame, reference: DataFrame, index: DataFrame, after_empty: bool = False) -> DataFrame:
+    """As :func:`matchstats.heads` of :func:`matching`, told from whole texts; the reference must not be empty."""
+
+    def columns(t: Texts, _, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        h = Heads(t, pos, length, after_empty)
+        following = pa.array(np.append(h.start[1:], 0), pa.int64(), mask=h.is_end)
+        return h.doc, {"head_id": h.number, "start": h.start, "next_start": following, "pos": pos[h.at], "len": length[h.at], "smaller": smaller[h.at], "is_end": h.is_end}
 
     schema = "head_id long, start long, next_start long, pos long, len long, smaller boolean, is_end boolean"
-    return of_texts(dealt(collection, "doc_id"), told, schema)
+    return of_matches(collection, reference, index, columns, schema)
+
+
+def head_of(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, idx, head_id, head_start): the head that holds each place."""
+
+    def columns(t: Texts, _, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        h, at = Heads(t, pos, length), np.flatnonzero(t.code)
+        return t.doc[at], {"idx": t.idx[at], "head_id": h.number[h.own[at]], "head_start": h.start[h.own[at]]}
+
+    return of_matches(collection, reference, index, columns, "idx long, head_id long, head_start long")
+
+
+def pred_succ(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, q, pred, succ): for each place the last head's start up to it and the first one's from it on."""
+
+    def columns(t: Texts, _, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        h, at = Heads(t, pos, length), np.flatnonzero(t.code)
+        own = h.own[at]
+        return t.doc[at], {"q": t.idx[at], "pred": h.start[own], "succ": h.start[own + (h.at[own] < at)]}
+
+    return of_matches(collection, reference, index, columns, "q long, pred long, succ long")
+
+
+def from_heads(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, idx, pos, len): matches of all places, told from heads alone."""
+
+    def columns(t: Texts, _, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        h, at = Heads(t, pos, length, after_empty=True), np.flatnonzero(t.code)
+        first = h.at[h.own[at]]
+        return t.doc[at], {"idx": t.idx[at], "pos": pos[first] + at - first, "len": np.maximum(length[first] - (at - first), 0)}
+
+    return of_matches(collection, reference, index, columns, "idx long, pos long, len long")
+
+
+def with_runs(collection: DataFrame, reference: DataFrame, index: DataFrame, symbol: str) -> DataFrame:
+    """(doc_id, idx, pos, len, smaller), as :func:`matchstats.with_runs` of :func:`matching`."""
+
+    def columns(t: Texts, ref: Index, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        at, hit = np.flatnonzero(t.code), t.code == ord(symbol) + 1
+        run = next_place(~hit)[at] - at
+        return t.doc[at], {"idx": t.idx[at], "pos": np.where(hit[at], ref.n, pos[at]), "len": np.where(hit[at], run, length[at]), "smaller": smaller[at] & ~hit[at]}
+
+    return of_matches(collection, reference, index, columns, "idx long, pos long, len long, smaller boolean")
+
+
+def with_mismatch(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, idx, pos, len, smaller, mismatch), as :func:`matchstats.with_mismatch` of :func:`matching`."""
+
+    def columns(t: Texts, _, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        at = np.flatnonzero(t.code)
+        return t.doc[at], {"idx": t.idx[at], "pos": pos[at], "len": length[at], "smaller": smaller[at], "mismatch": t.symbols(at + length[at])}
+
+    return of_matches(collection, reference, index, columns, "idx long, pos long, len long, smaller boolean, mismatch string")
+
+
+def next_heads(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, head_id, next_head_id, offset, next_isa), as :func:`predecessor.next_heads` of :func:`heads`."""
+
+    def columns(t: Texts, ref: Index, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        h = Heads(t, pos, length)
+        own = np.flatnonzero(~h.is_end)
+        to = h.at[own] + length[h.at[own]]
+        following = h.own[to]
+        offset = to - h.at[following]
+        return h.doc[own], {"head_id": h.number[own], "next_head_id": h.number[following], "offset": offset, "next_isa": ref.isa()[pos[h.at[following]] + offset]}
+
+    return of_matches(collection, reference, index, columns, "head_id long, next_head_id long, offset long, next_isa long")
+
+
+def ranks_met(collection: DataFrame, reference: DataFrame, index: DataFrame, asked: Callable[[Texts], np.ndarray] | None = None) -> DataFrame:
+    """(isa_pos, n): how many places, or those ``asked`` tells, match each rank of the reference, for ranks that any does; counted in the tasks."""
+
+    def columns(t: Texts, ref: Index, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        at = t.code > 0 if asked is None else (t.code > 0) & asked(t)
+        rank, n = np.unique(ref.isa()[pos[at]], return_counts=True)
+        return np.zeros(len(rank), np.int64), {"isa_pos": rank, "n": n}
+
+    return of_matches(collection, reference, index, columns, "isa_pos long, n long").groupBy("isa_pos").agg(F.sum("n").alias("n"))
+
+
+def unambiguous(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
+    """(n_matched, n_unambiguous), as :func:`matchstats.unambiguous` of :func:`heads`; counted in the tasks."""
+
+    def columns(t: Texts, ref: Index, pos: np.ndarray, length: np.ndarray, smaller: np.ndarray) -> tuple[np.ndarray, dict]:
+        at = Heads(t, pos, length).at
+        at = at[length[at] > 0]
+        lcp, rank = np.array(ref.lcp), ref.isa()[pos[at]]
+        once = length[at] > np.maximum(lcp[rank], lcp[rank + 1])
+        return np.zeros(1, np.int64), {"n": np.array([len(at)]), "once": np.array([once.sum()])}
+
+    rows = of_matches(collection, reference, index, columns, "n long, once long")
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matched"), F.coalesce(F.sum("once"), F.lit(0)).alias("n_unambiguous"))
 
 
 def backward_matching(collection: DataFrame, reference: DataFrame, index: DataFrame) -> DataFrame:
