@@ -22,7 +22,7 @@ from .ranking import bucket_rank, carried, running
 from .symbols import BATCH, TOGETHER, Texts, of_texts
 
 #: Symbols of a part, more or less; at least so many parts for a core, but for small parts.
-PART, PARTS, SMALL = 1 << 20, 4, 1 << 16
+PART, PARTS, SMALL = 1 << 21, 4, 1 << 16
 #: Codes that a symbol has, the end's among them.
 CODES = 0x110001
 
